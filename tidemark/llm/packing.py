@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,11 +176,23 @@ def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return pack
 
 
+def _deal(capacity: int, n_parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Deals the rows of each length in turn, so that all parts get the same mix of lengths."""
+        seen = np.full(capacity, TaskContext.get().partitionId() * 7919, np.int64)
+        for frame in frames:
+            turn = seen[frame["length"]] + frame.groupby("length").cumcount().to_numpy(np.int64)
+            seen += np.bincount(frame["length"], minlength=capacity)
+            yield frame.assign(part=turn % n_parts)
+
+    return deal
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int = 2) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; offsets in a sequence leave no gaps.
 
     ``pieces`` must be a stored table (its rows are numbered as read). A full piece is a sequence by itself and isn't
-    moved. The others are dealt evenly over parts of about ``part_rows`` rows; best-fit decreasing packs each part, and a
+    moved. The others are dealt, length by length, over parts of about ``part_rows`` rows; best-fit decreasing packs each part, and a
     part whose bins are as few as its lower bound is done. Of the other parts, the bins that still have room are dealt
     anew, whole bins at a time, and each new part is packed again; what came in stays where that saves nothing. That
     goes on for ``rounds`` rounds, or until one part is left. No value of any column puts more rows in a part.
@@ -191,8 +204,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000
     n_rows = rest.count()
     n_parts = max(1, -(-n_rows // part_rows))
     schema = "row long, length long, part long, bin long, offset long, filled long, certified boolean"
-    # The order of rows is by number, so that a lost task gives the same again.
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n_parts))).withColumns({"bin": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    # Tasks read the stored rows in the same order each time, so that a lost task gives the same again.
+    dealt = rest.mapInPandas(_deal(capacity, n_parts), "row long, length long, part long").withColumns({"bin": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     packed = dealt.groupBy("part").applyInPandas(_pack(capacity), schema)
     packed = packed.withColumn("bin_id", F.col("part") * (1 << 24) + F.col("bin"))
     done = None

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id
+from tidemark.llm.text import remainder
 
 
 def test_gradients():
@@ -28,7 +29,7 @@ def test_held_out_accuracy(spark, tmp_path):
         lang = list(bits)[i % 3]
         rows.append((i, " ".join("".join(rng.choice(bits[lang], 3)) for _ in range(30)), lang))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    held_out = language_id.remainder("doc_id", 4) == 2
+    held_out = remainder("doc_id", 4) == 2
     found = language_id.identify(docs, docs.filter(~held_out)).join(docs, "doc_id").filter(held_out)
     n, right = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 30 and right >= 0.95 * n

@@ -177,11 +177,6 @@ def _memo(net: ByteGru, name: bytes) -> Memo:
     return _MEMOS[name]
 
 
-def remainder(key: str, n: int):
-    """crc32 of a key's text modulo n; a null key's text is empty."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
-
-
 def word_counts_by_language(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> dict[str, Counter]:
     """Words of whole texts of at most ``per_language`` documents of each language: those with the least hash of the key."""
     order = Window.partitionBy("lang").orderBy("place", "key")

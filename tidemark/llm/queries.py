@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, fingerprints, language_id, mixing, near_dedup, packing, quality_rules, sql, token_counts
+from tidemark.llm import chat_format, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules, sql, token_counts
+from tidemark.llm.text import remainder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -21,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 1
+    scored = lm_scoring.score_documents(docs, docs.filter(~held_out), RANKS, public_tokenizers.PATTERN)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,7 +61,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = language_id.remainder("doc_id", 4) == 2
+    held_out = remainder("doc_id", 4) == 2
     found = language_id.identify(docs, docs.filter(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -89,6 +98,7 @@ def _sha(text: str) -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_source_mix": op4_source_mix,
         "op5_fingerprints": op5_fingerprints,

@@ -7,7 +7,8 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +23,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def remainder(key: str, n: int) -> Column:
+    """crc32 of a key's text modulo n; a null key's text is empty."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes; a longer text is a slice of its own."""
     if not batch.num_rows:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, quality_rules, sql, token_counts
+from tidemark.llm import chat_format, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, sql, token_counts
 from tidemark.llm.text import remainder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 1
@@ -98,6 +102,7 @@ def _sha(text: str) -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_source_mix": op4_source_mix,

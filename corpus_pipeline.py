@@ -1,5 +1,66 @@
-"""placeholder"""
+"""A corpus pipeline: each stage is stored, and works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, mixing, near_dedup, packing, quality_rules
+from tidemark.llm.queries import BYTES
+from tidemark.llm.storage import materialize
+from tidemark.llm.text import remainder
+
+#: Documents whose predicted language is less sure than this go.
+LEAST_SCORE = 0.5
+
+
+def _same(docs: DataFrame, decisions: DataFrame, *keep: str) -> DataFrame:
+    """Rows of docs whose doc_id has a row in decisions, with the columns ``keep`` of that row; null ids match."""
+    named = decisions.select(F.col("doc_id").alias("_id"), *keep)
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language (op 9); the network learns from those whose crc32 remainder is not 2."""
+    found = language_id.identify(docs, docs.filter(remainder("doc_id", 4) != 2))
+    sure = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return docs.join(sure.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass the quality rules (op 8)."""
+    return quality_rules.quality_rules(docs, out="_rules").filter("_rules.kept").drop("_rules")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (op 3): the one with the least doc_id."""
+    found = near_dedup.near_duplicates(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one.dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix of sources does (op 4): none, once or twice."""
+    taken = mixing.systematic_copies(docs).filter("copies > 0")
+    return _same(docs, taken, "copies").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "_copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token pieces of all documents (op 7); a document taken twice is packed twice."""
+    pieces = packing.token_pieces(docs, BYTES).drop("ids")
+    return packing.pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language), ("quality_rules", rules), ("near_dedup", near_duplicates), ("source_mix", mix), ("packing", pack)]
+
+#: Language identification and packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each stored as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

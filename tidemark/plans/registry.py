@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    for module in ("relational", "statistics", "streams"):
+        importlib.import_module(f"tidemark.plans.{module}")
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return queries()["flagship"](spark, folder)
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

@@ -1 +1,317 @@
-"""Queries."""
+"""Queries of scoring, drift, loss, network and forecast operators, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import forecast, loss, network, scoring
+from tidemark.plans.registry import register
+from tidemark.plans.relational import r4
+from tidemark.plans.sqltext import with_feeds
+from tidemark.sources.adapters import Feeds
+
+FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LONG = "lf as (select po_id, feature, value from (unpivot (select po_id, l_quantity, l_extendedprice, l_discount, l_tax from li) on l_quantity, l_extendedprice, l_discount, l_tax into name feature value value))"
+TAILS = f"{LONG}, cd as (select *, cume_dist() over (partition by feature order by value) as f from lf), raws as (select po_id, sum(-ln(least(f, 1 - f) + 1e-9::double)) as raw from cd group by 1)"
+
+
+def long(f: Feeds) -> DataFrame:
+    return scoring.long_form(f.lines(), "po_id", *FEATURES)
+
+
+@register("robust_scale", with_feeds(f"""
+with {LONG}, q as (select feature, quantile_cont(value, [0.25, 0.5, 0.75]) as q from lf group by 1)
+select po_id, feature, round((value - q[2]) / nullif(q[3] - q[1], 0), 4) + 0.0 as scaled from lf join q using (feature)"""))
+def robust_scale(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.robust_scale(long(Feeds(spark, d))).select("po_id", "feature", *r4("scaled"))
+
+
+@register("ecod", with_feeds(f"""
+with {TAILS}, m as (select min(raw) as lo, max(raw) as hi, quantile_cont(raw, 0.95) as cut from raws)
+select po_id, round(raw, 4) as raw, round(least(1, greatest(0, (raw - lo) / (hi - lo + 1e-9::double))), 4) as score, (round(raw, 8) >= round(cut, 8))::int as flag from raws cross join m"""))
+def ecod(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.ecod(long(Feeds(spark, d)), "po_id").select("po_id", *r4("raw", "score"), "flag")
+
+
+@register("ecod_oos", with_feeds(f"""
+with {LONG}, part as (select *, l.ship < date '2000-01-01' as fit from lf join (select po_id, ship from li) l using (po_id)),
+c as (select feature, value, sum(sum(fit::int)) over (partition by feature order by value) / sum(sum(fit::int)) over (partition by feature) as f from part group by 1, 2)
+select po_id, round(sum(-ln(least(f, 1 - f) + 1e-9::double)), 4) as raw from part join c using (feature, value) where not fit group by 1"""))
+def ecod_oos(spark: SparkSession, d: str) -> DataFrame:
+    lines = Feeds(spark, d).lines()
+    fitted, new = (scoring.long_form(lines.filter(t), "po_id", *FEATURES) for t in ("ship < '2000-01-01'", "ship >= '2000-01-01'"))
+    return scoring.ecod_out_of_sample(fitted, new, "po_id").select("po_id", *r4("raw"))
+
+
+@register("zscore_top", with_feeds(f"""
+with {LONG}, m as (select feature, avg(value) as mean, stddev_pop(value) as dev from lf group by 1), z as (select po_id, feature, round((value - mean) / (dev + 1e-9::double), 3) + 0.0 as z from lf join m using (feature))
+select * from (select po_id, feature, z, row_number() over (partition by po_id order by abs(z) desc, feature)::int as place from z) where place <= 2"""))
+def zscore_top(spark: SparkSession, d: str) -> DataFrame:
+    z = scoring.z_scores(long(Feeds(spark, d)))
+    return scoring.strongest(z, "po_id", "z", 2).select("po_id", "feature", "z", "place")
+
+
+@register("anomaly_records", with_feeds(f"""
+with {TAILS}, m as (select min(raw) as lo, max(raw) as hi, quantile_cont(raw, 0.95) as cut from raws), s as (select po_id, round(least(1, greatest(0, (raw - lo) / (hi - lo + 1e-9::double))), 4) as score, raw >= cut as flag from raws cross join m),
+g as (select feature, avg(value) as mean, stddev_pop(value) as dev from lf group by 1), z as (select po_id, feature, round((value - mean) / (dev + 1e-9::double), 3) as z from lf join g using (feature))
+select po_id, score, top_features from s join (select po_id, string_agg(feature, ',' order by abs(z) desc, feature) as top_features from z group by 1) using (po_id) where flag"""))
+def anomaly_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = long(Feeds(spark, d))
+    found = scoring.explanations(rows, scoring.ecod(rows, "po_id").filter("flag = 1"), "po_id")
+    return found.select("po_id", *r4("score"), F.array_join("top_features", ",").alias("top_features"))
+
+
+_BOTH = "bs as (select 'champion' as model, y, p from scores union all select 'candidate', y, p2 from scores)"
+_STEP = f"{_BOTH}, st as (select model, p, sum(y) as pos, count(*) as n from bs group by 1, 2), cu as (select *, sum(pos) over w as tp, sum(n) over w as rws, sum(pos) over (partition by model) as ap, sum(n) over (partition by model) as ar from st window w as (partition by model order by p desc))"
+
+
+def both(f: Feeds) -> DataFrame:
+    s = f.labelled_scores()
+    return s.select(F.lit("champion").alias("model"), "doc_id", "y", "p").unionByName(s.select(F.lit("candidate").alias("model"), "doc_id", "y", F.col("p2").alias("p")))
+
+
+@register("auc", with_feeds(f"with {_STEP} select model, round(sum((n - pos) * (tp - pos + pos / 2.0::double)) / (max(ap) * (max(ar) - max(ap))), 6) as auc from cu group by 1"))
+def auc(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.auc(both(Feeds(spark, d)), ["model"]).select("model", F.round("auc", 6).alias("auc"))
+
+
+@register("avg_precision", with_feeds(f"with {_STEP} select model, round(sum(pos * tp / rws::double) / max(ap), 6) as average_precision from cu group by 1"))
+def avg_precision(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.average_precision(both(Feeds(spark, d)), ["model"]).select("model", F.round("average_precision", 6).alias("average_precision"))
+
+
+@register("brier", with_feeds(f"with {_BOTH} select model, round(avg((p - y) * (p - y)), 6) as brier, count(*) as n from bs group by 1"))
+def brier(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.brier(both(Feeds(spark, d)), ["model"]).select("model", F.round("brier", 6).alias("brier"), "n")
+
+
+@register("class_report", with_feeds("""
+select label::int as label, round(hit / seen, 4) as precision, round(hit / truth, 4) as recall, round(2 * hit / (seen + truth), 4) as f1, truth as support from (
+  select label, sum((y = label and s = label)::int)::double as hit, sum((s = label)::int)::double as seen, sum((y = label)::int)::double as truth from (select y, (p >= 0.45)::int as s from scores) cross join (select unnest([0, 1]) as label) group by 1)"""))
+def class_report(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.class_report(Feeds(spark, d).labelled_scores()).select("label", *r4("precision", "recall", "f1"), "support")
+
+
+@register("roc_points", with_feeds("""
+select p, round(tp / ap::double, 6) as tpr, round((rws - tp) / (ar - ap)::double, 6) as fpr, round(tp / rws::double, 6) as precision from (
+  select *, sum(pos) over w as tp, sum(n) over w as rws, sum(pos) over () as ap, sum(n) over () as ar from (select p, sum(y) as pos, count(*) as n from scores group by 1) window w as (order by p desc))"""))
+def roc_points(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.roc_points(Feeds(spark, d).labelled_scores()).select("p", *(F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")))
+
+
+@register("calibration", with_feeds("select least(floor(p * 10), 9)::int as bin, round(avg(p), 4) as mean_p, round(avg(y), 4) as share, count(*) as n from scores group by 1"))
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.calibration(Feeds(spark, d).labelled_scores()).select("bin", *r4("mean_p", "share"), "n")
+
+
+@register("precision_at_20", with_feeds("select round(avg(y), 4) as precision_at_k from (select y from scores order by p desc, doc_id limit 20)"))
+def precision_at_20(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.precision_at(Feeds(spark, d).labelled_scores(), 20, "doc_id").select(*r4("precision_at_k"))
+
+
+@register("average_rank", with_feeds("select doc_id, floor(rank() over (order by p desc) + (count(*) over (partition by p) - 1) / 2.0::double)::bigint as place from scores"))
+def average_rank(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.average_rank(Feeds(spark, d).labelled_scores()).select("doc_id", "place")
+
+
+@register("shadow", with_feeds(f"with {_STEP}, a as (select model, sum((n - pos) * (tp - pos + pos / 2.0::double)) / (max(ap) * (max(ar) - max(ap))) as auc from cu group by 1) select a.model, round(auc, 6) as auc, round(b, 6) as brier, n from a join (select model, avg((p - y) * (p - y)) as b, count(*) as n from bs group by 1) using (model)"))
+def shadow(spark: SparkSession, d: str) -> DataFrame:
+    s = both(Feeds(spark, d))
+    return scoring.auc(s, ["model"]).join(scoring.brier(s, ["model"]), "model").select("model", *(F.round(c, 6).alias(c) for c in ("auc", "brier")), "n")
+
+
+@register("promotion", with_feeds(f"""
+with {_STEP}, a as (select model, sum((n - pos) * (tp - pos + pos / 2.0::double)) / (max(ap) * (max(ar) - max(ap))) as auc from cu group by 1), c as (select max(case when model = 'champion' then auc end) as ca, max(case when model = 'candidate' then auc end) as na from a)
+select model as model_id, upper(model) as status, case when na >= ca - 0.01::double then case model when 'candidate' then 'CHAMPION' else 'RETIRED' end else upper(model) end as next_status from a cross join c"""))
+def promotion(spark: SparkSession, d: str) -> DataFrame:
+    metrics = scoring.auc(both(Feeds(spark, d)), ["model"]).select(F.lit("risk").alias("model_type"), F.col("model").alias("model_id"), F.upper("model").alias("status"), "auc")
+    return scoring.promotions(metrics).select("model_id", "status", "next_status")
+
+
+_EV = "lv as (select feature, v, ref from (unpivot ev on value, hour into name feature value v))"
+_PSI = f"""{_EV}, ed as (select feature, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as e from lv where ref group by 1),
+bn as (select feature, ref, case when v = e[-1] then len(e) - 1 else len(list_filter(e, lambda x: x <= v)) end as b, len(e) as k from lv join ed using (feature)),
+ct as (select feature, ref, count(*) as total from lv group by 1, 2), sh as (select feature, ref, b, count(*) / max(total)::double as s from bn join ct using (feature, ref) where b > 0 and b < k group by 1, 2, 3),
+sp as (select feature, unnest(range(1, len(e))) as b from ed),
+pi as (select feature, sum((a - r) * ln(a / r)) as psi from (select sp.feature, greatest(coalesce(x.s, 0), 1e-9::double) as r, greatest(coalesce(y.s, 0), 1e-9::double) as a from sp left join sh x on sp.feature = x.feature and sp.b = x.b and x.ref left join sh y on sp.feature = y.feature and sp.b = y.b and not y.ref) group by 1)"""
+_KL = "kb as (select unnest(range(0, 20)) as b), kc as (select least(floor(score * 20), 19)::int as b, sum(ref::int) as r, sum((not ref)::int) as c from ev group by 1), kl as (select sum(p * ln(p / q)) as kl from (select greatest(coalesce(c, 0) / sum(c) over () * 20, 1e-9::double) as p, greatest(coalesce(r, 0) / sum(r) over () * 20, 1e-9::double) as q from kb left join kc using (b)))"
+
+
+def _drift(f: Feeds) -> tuple[DataFrame, DataFrame]:
+    sides = f.drift()
+    index = scoring.psi(*(s.select("value", "hour").unpivot([], ["value", "hour"], "feature", "v").withColumnRenamed("v", "value") for s in sides))
+    return index, scoring.kl(*sides)
+
+
+@register("psi", with_feeds(f"with {_PSI} select feature, round(psi, 6) as psi from pi"))
+def psi(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(Feeds(spark, d))[0].select("feature", F.round("psi", 6).alias("psi"))
+
+
+@register("kl", with_feeds(f"with {_KL} select round(kl, 6) as kl, round(kl / 20, 6) as kl_normalised from kl"))
+def kl(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(Feeds(spark, d))[1].select(*(F.round(c, 6).alias(c) for c in ("kl", "kl_normalised")))
+
+
+@register("drift_report", with_feeds(f"with {_PSI}, {_KL} select round(max(psi), 4) as max_psi, coalesce(string_agg(case when psi > 0.25 then feature end, ',' order by feature), '') as drifted, round(max(kl), 4) as kl, max(psi) > 0.25 or max(kl) > 0.10 as retrain from pi cross join kl"))
+def drift_report(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.drift_report(*_drift(Feeds(spark, d))).select(*r4("max_psi"), "drifted", *r4("kl"), "retrain")
+
+
+# ---------------------------------------------------------------- loss
+
+_TAIL = "cu as (select quantile_cont(loss, 0.95) as v95, quantile_cont(loss, 0.99) as v99 from scen_loss)"
+
+
+def losses(f: Feeds) -> DataFrame:
+    return loss.scenario_losses(f.scenarios(), f.inventory())
+
+
+@register("scenario_loss", with_feeds("select scenario_id, round(loss, 2) as loss from scen_loss"))
+def scenario_loss(spark: SparkSession, d: str) -> DataFrame:
+    return losses(Feeds(spark, d)).select("scenario_id", F.round("loss", 2).alias("loss"))
+
+
+@register("var_cvar", with_feeds(f"""
+with {_TAIL} select round(max(v95), 2) as var_95, round(max(v99), 2) as var_99, round(avg(loss) filter (where loss >= v95), 2) as cvar_95, round(avg(loss) filter (where loss >= v99), 2) as cvar_99, round(avg(loss), 2) as mean_loss, round(stddev_pop(loss), 2) as std_loss, count(*) as n_scenarios,
+  round((select avg(h) from (select max(disrupted) as h from scenarios group by scenario_id)), 4) as p_any, max(v95) > 1000000 as escalate from scen_loss cross join cu"""))
+def var_cvar(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    found = loss.tail_metrics(losses(f)).crossJoin(loss.any_disruption(f.scenarios()))
+    return found.select(*(F.round(c, 2).alias(c) for c in ("var_95", "var_99", "cvar_95", "cvar_99", "mean_loss", "std_loss")), "n_scenarios", *r4("p_any"), (F.col("var_95") > 1_000_000).alias("escalate"))
+
+
+@register("tail_attr", with_feeds(f"""
+with {_TAIL}, tl as (select scenario_id from scen_loss cross join cu where loss >= v95)
+select supplier_id, round(sum(disrupted) / (select count(*) from tl)::double, 4) as tail_frequency, round(sum(disrupted) / (select count(*) from tl)::double * (select v95 from cu) / (select count(*) from supplier), 2) as marginal_var
+from scenarios where scenario_id in (select scenario_id from tl) group by 1 order by sum(disrupted) desc, supplier_id limit 10"""))
+def tail_attr(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return loss.tail_attribution(f.scenarios(), losses(f)).select("supplier_id", *r4("tail_frequency"), F.round("marginal_var", 2).alias("marginal_var"))
+
+
+@register("roi", with_feeds(f"""
+with {_TAIL}, cv as (select avg(loss) filter (where loss >= v95) as c from scen_loss cross join cu), op as (select s_nationkey as option, (5 + s_nationkey)::double / 100 as reduction, sum(greatest(s_acctbal, 1)) as cost from supplier group by 1)
+select option, round(c * reduction, 2) as avoided, round(c * reduction - cost, 2) as net, round((c * reduction - cost) / cost * 100, 4) as roi_pct, round(cost / (c * reduction / 12), 6) as payback_months from op cross join cv"""))
+def roi(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    options = f.table("supplier").groupBy(F.col("s_nationkey").alias("option")).agg(F.sum(F.greatest("s_acctbal", F.lit(1.0))).alias("cost")).withColumn("reduction", (F.col("option") + 5).cast("double") / 100)
+    found = loss.mitigation(options, loss.tail_metrics(losses(f)))
+    return found.select("option", *(F.round(c, 2).alias(c) for c in ("avoided", "net")), *r4("roi_pct"), F.round("payback_months", 6).alias("payback_months"))
+
+
+@register("convergence", with_feeds("""
+with pr as (select n, loss from scen_loss join (select unnest([50, 100, 200, 400]) as n) on scenario_id < n), cut as (select n, quantile_cont(loss, 0.95) as v from pr group by 1)
+select n, round(max(v), 2) as var_95, round(avg(loss) filter (where loss >= v), 2) as cvar_95 from pr join cut using (n) group by 1"""))
+def convergence(spark: SparkSession, d: str) -> DataFrame:
+    return loss.convergence(losses(Feeds(spark, d)), [50, 100, 200, 400]).select("n", *(F.round(c, 2).alias(c) for c in ("var_95", "cvar_95")))
+
+
+@register("contagion2", with_feeds("""
+with rc as (select scenario_id, dst as supplier_id, sum(c) as pressure from (select scenario_id, supplier_id as src from scenarios where disrupted = 1) join edges using (src) group by 1, 2)
+select scenario_id, supplier_id, disrupted, case when disrupted = 1 or coalesce(round(pressure, 8), 0) > 0.5 then 1 else 0 end as second from scenarios left join rc using (scenario_id, supplier_id)"""))
+def contagion2(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return loss.spread_disruption(f.scenarios(), f.edges()).select("scenario_id", "supplier_id", "disrupted", "second")
+
+
+# ---------------------------------------------------------------- network
+
+
+def nodes(f: Feeds) -> DataFrame:
+    return f.table("supplier").select(F.col("s_suppkey").alias("id"), (F.pmod(F.col("s_suppkey") * 37, F.lit(100)).cast("double") / 100).alias("p"))
+
+
+_NODES = "nd as (select s_suppkey as id, ((s_suppkey * 37) % 100)::double / 100 as p from supplier)"
+
+
+@register("edges_top", with_feeds("select src, dst, round(flow_volume, 2) as flow_volume, round(c, 4) as c, contagion_label from edges"))
+def edges_top(spark: SparkSession, d: str) -> DataFrame:
+    return Feeds(spark, d).edges().select("src", "dst", F.round("flow_volume", 2).alias("flow_volume"), *r4("c"), "contagion_label")
+
+
+@register("spof", with_feeds("select supplier_id, count(*) as n_skus from (select l_partkey, min(l_suppkey) as supplier_id from lineitem where l_quantity >= 49 group by 1 having count(distinct l_suppkey) = 1) group by 1"))
+def spof(spark: SparkSession, d: str) -> DataFrame:
+    lines = Feeds(spark, d).table("lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("sku_id"), F.col("l_suppkey").alias("supplier_id"))
+    return network.single_points_of_failure(lines)
+
+
+@register("sage_mean", with_feeds(f"""
+with {_NODES}, lp as (select src, dst from edges union all select id, id from nd), h1 as (select nd.id, nd.p, nd.p + coalesce(m, 0) as p_hop1 from nd left join (select dst as id, avg(p) as m from lp join nd on lp.src = nd.id group by 1) using (id))
+select h1.id, round(p, 7) as p, round(p_hop1, 7) as p_hop1, round(p_hop1 + coalesce(m, 0), 7) as p_hop2 from h1 left join (select dst as id, avg(p_hop1) as m from lp join h1 on lp.src = h1.id group by 1) using (id)"""))
+def sage_mean(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return network.mean_neighbours(nodes(f), f.edges(), ["p"]).select("id", *(F.round(c, 7).alias(c) for c in ("p", "p_hop1", "p_hop2")))
+
+
+@register("second_order", with_feeds(f"with {_NODES} select id, round(coalesce(1 - exp(s), 0), 6) as score from nd left join (select dst as id, sum(ln(1 - least(p * c, 0.999999::double))) as s from edges join nd on src = nd.id group by 1) using (id)"))
+def second_order(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return network.second_order_risk(nodes(f), f.edges()).select("id", F.round("score", 6).alias("score"))
+
+
+@register("reach", with_feeds("""
+with h0 as (select s_suppkey as seed, s_suppkey as id from supplier where s_suppkey < 20), h1 as (select distinct seed, dst as id, 1 as hop from h0 join edges on id = src), h2 as (select distinct seed, dst as id, 2 as hop from h1 join edges on id = src)
+select seed, id, min(hop)::int as hop from (select *, 0 as hop from h0 union all select * from h1 union all select * from h2) group by 1, 2"""))
+def reach(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return network.reach(f.edges(), nodes(f).filter("id < 20"), 2)
+
+
+_RANK = "".join(
+    f", r{i} as materialized (select nd.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) as rank from nd cross join sz cross join (select coalesce(sum(rank), 0) as loose from r{i - 1} where id not in (select src from ot)) left join (select dst as id, sum(rank * w) as got from wt join r{i - 1} on src = id group by 1) using (id))"
+    for i in range(1, 11)
+)
+
+
+@register("pagerank", with_feeds(f"with {_NODES}, sz as (select count(*) as n from nd), ot as (select src, sum(flow_volume) as o from edges group by 1), wt as (select src, dst, flow_volume / o as w from edges join ot using (src)), r0 as (select id, 1.0::double / n as rank from nd cross join sz) {_RANK} select id, round(rank, 6) as rank from r10"))
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    return network.pagerank(nodes(f), f.edges()).select("id", F.round("rank", 6).alias("rank"))
+
+
+# ---------------------------------------------------------------- forecast
+
+
+@register("fourier", with_feeds("select sku, region, t, demand, round(sin(t * (2 * pi() / 52)), 4) + 0.0 as fourier_sin, round(cos(t * (2 * pi() / 52)), 4) + 0.0 as fourier_cos, (t % 7)::int as weekday from demand"))
+def fourier(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.fourier(Feeds(spark, d).demand()).select("sku", "region", "t", "demand", *r4("fourier_sin", "fourier_cos"), "weekday")
+
+
+@register("demand_windows", with_feeds("""
+select sku, region, t, array_to_string(list_transform(x, lambda v: v::int::varchar), ',') as x, array_to_string(list_transform(y, lambda v: v::int::varchar), ',') as y from (
+  select *, list(demand) over (partition by sku, region order by t rows between 8 preceding and 1 preceding) as x, list(demand) over (partition by sku, region order by t rows between current row and 3 following) as y from demand) where len(x) = 8 and len(y) = 4"""))
+def demand_windows(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",").alias(c)
+    return forecast.supervised(Feeds(spark, d).demand(), 8, 4).select("sku", "region", "t", text("x"), text("y"))
+
+
+@register("demand_scaled", with_feeds("select sku, region, t, round((demand - avg(demand) over w) / nullif(stddev_pop(demand) over w, 0), 4) + 0.0 as scaled from demand window w as (partition by sku, region)"))
+def demand_scaled(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.standardise(Feeds(spark, d).demand()).select("sku", "region", "t", *r4("scaled"))
+
+
+def _fc(origin: int) -> str:
+    return f"""(select sku, region, d.t + 52 as t, greatest(0, d.demand + q[1]) as p10, greatest(0, d.demand + q[2]) as p50, greatest(0, d.demand + q[3]) as p90 from demand d
+  join (select a.sku, a.region, quantile_cont(a.demand - b.demand, [0.1, 0.5, 0.9]) as q from demand a join demand b on a.sku = b.sku and a.region = b.region and a.t = b.t + 52 where a.t <= {origin} group by 1, 2) using (sku, region)
+  where d.t <= {origin} and d.t + 52 > {origin} and d.t + 52 <= {origin} + 14)"""
+
+
+_LOSS = "avg((greatest(-0.9::double * (demand - p10), 0.1::double * (demand - p10)) + greatest(-0.5::double * (demand - p50), 0.5::double * (demand - p50)) + greatest(-0.1::double * (demand - p90), 0.9::double * (demand - p90))) / 3)"
+
+
+@register("forecast_q", with_feeds(f"select sku, region, t::int as t, round(p10, 4) as p10, round(p50, 4) as p50, round(p90, 4) as p90 from {_fc(300)}"))
+def forecast_q(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.quantile_forecast(Feeds(spark, d).demand(), 300).select("sku", "region", "t", *r4("p10", "p50", "p90"))
+
+
+@register("pinball", with_feeds(f"select round({_LOSS}, 4) as pinball, round(avg(abs((demand - p50) / nullif(demand, 0))), 4) as mape, round(avg(p90 - p10), 4) as width, count(*) as n from {_fc(300)} f join demand using (sku, region, t)"))
+def pinball(spark: SparkSession, d: str) -> DataFrame:
+    rows = Feeds(spark, d).demand()
+    return forecast.pinball(forecast.quantile_forecast(rows, 300), rows).select(*r4("pinball", "mape", "width"), "n")
+
+
+@register("rolling_origin", with_feeds(" union all ".join(f"select {o} as origin, round({_LOSS}, 4) as pinball, round(2 * {_LOSS}, 4) as crps, count(*) as n from {_fc(o)} f{o} join demand using (sku, region, t)" for o in (220, 260, 300))))
+def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.rolling_origin(Feeds(spark, d).demand(), [220, 260, 300]).select("origin", *r4("pinball", "crps"), "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,9 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir; a new temporary one only where none is set (tests)."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))

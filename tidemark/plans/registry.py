@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    for module in ("relational", "statistics", "streams"):
+    for module in ("relational", "statistics", "streams", "learning"):
         importlib.import_module(f"tidemark.plans.{module}")
 
 

@@ -33,30 +33,38 @@ class ByteEncoder:
         names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.spaced = np.zeros(names[-1][1] + 1, bool)
         self.spaced[[i for name, i in names if name.startswith("Ġ")]] = True
-        self.known = Memo(self._encode)
+        self.words, self.others = Memo(self._encode_words, 400_000), Memo(self._encode_each)
 
-    def _encode(self, parts: list[str]) -> Iterator[bytes]:
-        """Parts of one leading space and no other white space go together in a few calls; the first id of each has a space."""
-        plain = [p[:1] == " " and len(p.split()) == 1 and len(p) == len(p.strip()) + 1 for p in parts]
-        together = [p for p, ok in zip(parts, plain, strict=True) if ok]
+    def _encode_each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts]
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes | None]:
+        """Ids of parts that follow a space, with that space; None for a part with white space at an end, or empty.
+
+        Parts without white space go together in a few calls; of each one, only the first id has a space.
+        """
+        plain = [w for w in words if len(w.split()) == 1 and len(w) == len(w.strip())]
         found: dict[str, bytes] = {}
-        for a in range(0, len(together), 2000):
-            some = together[a : a + 2000]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(some):
                 ends = [*starts[1:].tolist(), len(ids)]
                 raw = ids.tobytes()
-                found.update((p, raw[4 * i : 4 * j]) for p, i, j in zip(some, starts.tolist(), ends, strict=True))
-        for p in parts:
-            yield found[p] if p in found else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                found.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, starts.tolist(), ends, strict=True))
+        for w in words:
+            if w in found:
+                yield found[w]
+            elif not w or w[0].isspace() or w[-1].isspace():
+                yield None
+            else:
+                yield self._encode_each([" " + w])[0]
 
     @staticmethod
     def split(text: str) -> list[str]:
         """Parts that begin with their space, cut where a single space has no white space beside it."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
         whole = [parts[0]]
         for part in parts[1:]:
             if part and not part[0].isspace() and whole[-1] and not whole[-1][-1].isspace():
@@ -66,9 +74,19 @@ class ByteEncoder:
         return whole
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.split(x) if x else [] for x in texts]
-        found = iter(self.known([p for x in parts for p in x]))
-        return [b"".join(next(found) for _ in x) for x in parts]
+        parts = [(x or "").split(" ") for x in texts]
+        heads = [x.pop(0) for x in parts]
+        firsts = self.others(heads)
+        found = self.words([p for x in parts for p in x])
+        out, at = [], 0
+        for text, head, first, own in zip(texts, heads, firsts, parts, strict=True):
+            ids = found[at : at + len(own)]
+            at += len(own)
+            if own and (None in ids or not head or head[-1].isspace()):
+                out.append(b"".join(self.others(self.split(text))))
+            else:
+                out.append(first + b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -40,26 +40,43 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
             yield batch.slice(a, b - a)
 
 
+class _Index(dict):
+    """Places of chunks in a list of values; a chunk that isn't there gets the next place at once."""
+
+    def __init__(self, old: dict, old_values: list):
+        super().__init__()
+        self.old, self.old_values = old, old_values
+        self.values: list = []
+        self.unknown: list = []
+
+    def __missing__(self, chunk: Hashable) -> int:
+        at = self[chunk] = len(self.values)
+        before = self.old.get(chunk)
+        if before is None:
+            self.unknown.append(chunk)
+            self.values.append(None)
+        else:
+            self.values.append(self.old_values[before])
+        return at
+
+
 class Memo:
-    """Values of chunks that come up again and again; at most 2 * ``size`` are held, the longest unused go."""
+    """Values of chunks that come up again and again; about 2 * ``size`` are held, the longest unused go."""
 
     def __init__(self, make: Callable[[list], Iterable], size: int = 200_000):
         self.make, self.size = make, size
-        self.new: dict[Hashable, object] = {}
-        self.old: dict[Hashable, object] = {}
+        self.index = _Index({}, [])
 
     def __call__(self, chunks: list) -> list:
         """The value of each chunk, in order; values of unknown chunks are made in one call."""
-        new, old = self.new, self.old
-        unknown = []
-        for chunk in set(chunks).difference(new):
-            if chunk in old:
-                new[chunk] = old[chunk]
-            else:
-                unknown.append(chunk)
-        if unknown:
-            new.update(zip(unknown, self.make(unknown), strict=True))
-        found = list(map(new.__getitem__, chunks))
-        if len(new) > self.size:
-            self.old, self.new = new, {}
+        index = self.index
+        places = list(map(index.__getitem__, chunks))
+        if index.unknown:
+            for chunk, value in zip(index.unknown, self.make(index.unknown), strict=True):
+                index.values[index[chunk]] = value
+            index.unknown = []
+        found = list(map(index.values.__getitem__, places))
+        if len(index) > self.size:
+            index.old, index.old_values = {}, []
+            self.index = _Index(index, index.values)
         return found

@@ -109,4 +109,7 @@ def quality_rules(docs: DataFrame, text: str = "text", out: str = "rules", max_l
     base_failed = (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
     lost = (c("line_chars") - c("good_chars")) > max_lost * c("line_chars")
     kept = ~base_failed & ~lost
-    return step.withColumn(out, F.col(f"`{out}`").withField("base_failed", base_failed).withField("lost_too_much", lost).withField("kept", kept))
+    judged = F.col(f"`{out}`").withField("base_failed", base_failed).withField("lost_too_much", lost).withField("kept", kept)
+    # As the one element of an array that is exploded, the struct is made once: a later filter on it isn't pushed down,
+    # where its whole expression, steps and all, would be repeated for each use.
+    return step.withColumn(out, F.explode(F.array(judged)))

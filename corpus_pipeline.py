@@ -35,9 +35,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (op 3): the one with the least doc_id."""
     found = near_dedup.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    first = materialize(first, "pipeline-first")
+    one = docs.join(first.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Only where a document's id repeats are texts compared once more.
+    return one.dropDuplicates(["doc_id"]) if first.filter("_n > 1").limit(1).count() else one
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
             yield batch.slice(a, b - a)
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def hold(name: Hashable, make: Callable[[], object]) -> object:
+    """The tool of that name in this Python worker, kept between tasks; another one gives way, with all it remembers."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class _Index(dict):
     """Places of chunks in a list of values; a chunk that isn't there gets the next place at once."""
 

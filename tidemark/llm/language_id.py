@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.text import Memo, by_bytes, small_batches
+from tidemark.llm.text import Memo, by_bytes, hold, small_batches
 
 UNKNOWN = "und"
 #: A word, with one space before it, is cut into segments of at most so many bytes; the network reads one at a time.
@@ -166,15 +166,9 @@ def words_to_sums(net: ByteGru, words: list[bytes], batch: int = 4096) -> list[b
     return [raw[i : i + step] for i in range(0, len(raw), step)]
 
 
-_MEMOS: dict[bytes, Memo] = {}
-
-
 def _memo(net: ByteGru, name: bytes) -> Memo:
     """Sums of words seen by this Python worker, for one network."""
-    if name not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[name] = Memo(lambda some: words_to_sums(net, some), 300_000)
-    return _MEMOS[name]
+    return hold(("language", name), lambda: Memo(lambda some: words_to_sums(net, some), 300_000))
 
 
 def word_counts_by_language(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> dict[str, Counter]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.text import Memo, by_bytes, small_batches
+from tidemark.llm.text import Memo, by_bytes, hold, small_batches
 
 # ---------------------------------------------------------------- token ids
 
@@ -89,10 +88,8 @@ class ByteEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
-    """One per Python worker, kept between tasks."""
-    return ByteEncoder(path)
+    return hold(("bytes", path), lambda: ByteEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import Memo, by_bytes, small_batches
+from tidemark.llm.text import Memo, by_bytes, hold, small_batches
 
 MARK = "▁"
 #: A single space between two characters that are neither spaces nor the library's own mark for one.
@@ -59,10 +58,8 @@ class PieceCounter:
         return np.diff(total[np.concatenate([[0], ends])]).tolist()
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str, call_bytes: int) -> PieceCounter:
-    """One per Python worker, kept between tasks."""
-    return PieceCounter(path, call_bytes)
+    return hold(("pieces", path, call_bytes), lambda: PieceCounter(path, call_bytes))
 
 
 def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096, call_bytes: int = 1 << 18, batch_bytes: int = 4 << 20) -> DataFrame:

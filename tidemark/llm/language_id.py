@@ -168,7 +168,7 @@ def words_to_sums(net: ByteGru, words: list[bytes], batch: int = 4096) -> list[b
 
 def _memo(net: ByteGru, name: bytes) -> Memo:
     """Sums of words seen by this Python worker, for one network."""
-    return hold(("language", name), lambda: Memo(lambda some: words_to_sums(net, some), 300_000))
+    return hold(("language", name), lambda: Memo(lambda some: words_to_sums(net, some), 100_000))
 
 
 def word_counts_by_language(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> dict[str, Counter]:
@@ -183,7 +183,7 @@ def word_counts_by_language(docs: DataFrame, key: str, text: str, lang: str, per
     return {k: c for k, c in counts.items() if c}
 
 
-def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 150, batch_bytes: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 150, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: key, lang_pred, score.
 
     The network is fitted to ``training``, at most ``per_language`` documents of each language that it names (that bounds

@@ -34,7 +34,7 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, batch_bytes: int = 4 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, batch_bytes: int = 1 << 20) -> DataFrame:
     """key, fp: the fingerprint of each whole text as a signed long; a null or blank text has 0."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()

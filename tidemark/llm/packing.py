@@ -92,7 +92,7 @@ def encoder(path: str) -> ByteEncoder:
     return hold(("bytes", path), lambda: ByteEncoder(path))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, batch_bytes: int = 1 << 20) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens: key, piece, start, length, ids (binary), ids_crc32.
 
     A document is its ids, then ``end_id``; a null text is just ``end_id``. Longer ones are cut so that only the first

@@ -62,7 +62,7 @@ def _counter(path: str, call_bytes: int) -> PieceCounter:
     return hold(("pieces", path, call_bytes), lambda: PieceCounter(path, call_bytes))
 
 
-def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096, call_bytes: int = 1 << 18, batch_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096, call_bytes: int = 1 << 18, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit.
 
     ``model`` is the path of a sentencepiece model that every executor has. A null text counts as empty (0 bytes,

@@ -59,6 +59,15 @@ def tier_counts(df: DataFrame) -> DataFrame:
     return tiers.join(df.groupBy("risk_tier").agg(F.count("*").alias("n")), "risk_tier", "left").fillna({"n": 0})
 
 
+def subtotals(df: DataFrame, *by: str) -> DataFrame:
+    """Rows, late rows and late rate for all values of ``by``, and for each of its prefixes down to the grand total.
+
+    ``level`` counts the columns that a row sums over; those are null.
+    """
+    rolled = df.rollup(*by).agg(F.grouping_id().alias("mask"), F.count("*").alias("n"), F.sum("is_late").alias("late"), F.avg(F.col("is_late").cast("double")).alias("late_rate"))
+    return rolled.withColumn("level", F.bit_count("mask")).drop("mask")
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """Equal-width counts; the last bin is closed."""
     at = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")

@@ -213,6 +213,14 @@ def tier_counts(spark: SparkSession, d: str) -> DataFrame:
     return gold.tier_counts(master(Feeds(spark, d)))
 
 
+@register("mode_rollup", with_feeds("""
+select transport_mode, status, count(*) as n, sum((delay_days > 0)::int)::bigint as late, round(avg((delay_days > 0)::int::double), 4) as late_rate, bit_count(grouping(transport_mode, status)::int)::int as level
+from ship group by rollup (transport_mode, status)"""))
+def mode_rollup(spark: SparkSession, d: str) -> DataFrame:
+    rolled = gold.subtotals(ships(Feeds(spark, d)), "transport_mode", "canonical_status")
+    return rolled.select("transport_mode", F.col("canonical_status").alias("status"), "n", "late", *r4("late_rate"), F.col("level").cast("int").alias("level"))
+
+
 @register("score_hist", _master("select least(floor(composite / (1.0::double / 40)), 39)::int as bin, count(*) as n from master where composite between 0 and 1 group by 1"))
 def score_hist(spark: SparkSession, d: str) -> DataFrame:
     return gold.histogram(master(Feeds(spark, d)), "composite", 0.0, 1.0, 40)

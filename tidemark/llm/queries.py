@@ -53,7 +53,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), BYTES).drop("ids")
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), BYTES, batch_bytes=4 << 20).drop("ids")
     packed = packing.pack_pieces(pieces)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

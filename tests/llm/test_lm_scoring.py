@@ -90,3 +90,39 @@ def test_training_helps():
     before = model.score(texts).sum()
     model.train(texts, steps=200)
     assert model.score(texts).sum() > 0.3 * before
+
+
+def test_every_seen_id_has_a_place_and_short_texts_are_learned():
+    counts = np.append(np.arange(1, 3000), np.zeros(500))
+    model = lm_scoring.CausalModel(counts.astype(float))
+    assert len(set(model.place[:2999])) == 2999 and model.place[:2999].max() < model.groups * model.members
+    texts = [np.array([2500, 7, 2999 - 1, 0])] * 30
+    before = model.score(texts[:1])[0]
+    model.train(texts, steps=60)
+    assert model.score(texts[:1])[0] > 0.5 * before
+
+
+def test_masked_gradients(counts):
+    model = lm_scoring.CausalModel(counts, groups=4, members=4, width=4, hidden=5, window=6, overlap=2)
+    ids = np.argsort(-counts)[None, :6].copy()  # ids with places: the odds within the others' group are not learned
+    places, scored = model.sequence(ids[0])[None], np.array([[False, False, True, True, False, False]])
+    loss, grads = model.gradients(places, ids, scored)
+    assert loss == pytest.approx(-model.logp(places, ids, scored).mean(), rel=1e-4)
+    ids[0, 4:], places[0, 4:] = ids[0, 0], 5  # what comes after the scored positions doesn't matter
+    assert all(np.allclose(g, grads[k], atol=1e-6) for k, g in model.gradients(places, ids, scored)[1].items())
+
+
+def test_weights_learn_from_all_rows(spark):
+    """More texts than any fixed sample, most of them under a window, with null and repeated keys; in several shards."""
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 50 else None, " ".join(["red", "green", "blue", "grey"] * int(rng.integers(1, 12))) if i % 40 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = lm_scoring.subword_counts(lm_scoring.word_counts(docs), RANKS, P.PATTERN)
+    models = [lm_scoring.CausalModel(seen) for _ in range(3)]
+    ids = int(seen.sum())
+    for model, rows in zip(models[1:], (docs, docs.repartition(5))):
+        assert lm_scoring.fit(model, rows, RANKS, P.PATTERN, ids, shard_ids=ids // 3, least=ids) == ids
+    coder = lm_scoring.subwords(RANKS, P.PATTERN)
+    text = [np.append(np.frombuffer(b"".join(coder.known(words("red green blue grey " * 5))), "<i4"), coder.size)]
+    start, one, other = (m.score(text)[0] for m in models)
+    assert one > 0.7 * start and one == pytest.approx(other, rel=1e-4)

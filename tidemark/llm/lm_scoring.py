@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import copy
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,12 +46,14 @@ def subwords(path: str, pattern: str) -> Subwords:
 class CausalModel:
     """One causal attention layer that predicts the next id in two steps: its group, then its place in the group.
 
-    The ``groups`` * ``members`` most frequent ids (by counts over all training documents) have learned places; the others
-    and never seen ones share one group, within which their odds are their smoothed counts. The end of a text is an id.
-    Probabilities of all ids sum to 1.
+    The ``groups`` * ``members`` most frequent ids (by counts over all training documents) have learned places; by default
+    that is every id that was seen. The others share one group, within which their odds are their smoothed counts. The end
+    of a text is an id. Probabilities of all ids sum to 1.
     """
 
-    def __init__(self, counts: np.ndarray, groups: int = 32, members: int = 32, width: int = 16, hidden: int = 32, window: int = 32, overlap: int = 4, seed: int = 3):
+    def __init__(self, counts: np.ndarray, groups: int | None = None, members: int | None = None, width: int = 16, hidden: int = 32, window: int = 32, overlap: int = 4, seed: int = 3):
+        side = max(32, math.isqrt(max(int(np.count_nonzero(counts)) - 1, 0)) + 1)
+        groups, members = groups or side, members or side
         self.window, self.overlap, self.groups, self.members = window, overlap, groups, members
         rng = np.random.default_rng(seed)
         order = np.argsort(-counts, kind="stable")[: groups * members]
@@ -109,7 +113,7 @@ class CausalModel:
         ids = targets[scored]
         place = self.place[ids]
         group = place // self.members
-        order = np.argsort(group.astype(np.uint8), kind="stable")
+        order = np.argsort(group.astype(np.uint16), kind="stable")
         h, group = h[order], group[order]
         logits = h @ self.p["group"]
         logits += self.p["group_b"]
@@ -132,12 +136,13 @@ class CausalModel:
         out[order] = picked - np.log(total)
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-probability over full windows, and its gradients."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log-probability over the scored positions of windows (all by default), and its gradients."""
         p, width = self.p, self.p["at"].shape[1]
-        h, (x, q, k, v, e, total, y) = self._hidden(inputs)
-        n = len(h)
-        place = self.place[targets.ravel()]
+        every, (x, q, k, v, e, total, y) = self._hidden(inputs)
+        use = np.arange(len(every)) if scored is None else np.flatnonzero(scored)
+        h, n = every[use], len(use)
+        place = self.place[targets.ravel()[use]]
         group = place // self.members
         logits = h @ p["group"] + p["group_b"]
         logits -= logits.max(1, keepdims=True)
@@ -163,7 +168,9 @@ class CausalModel:
             grads["member"][g] = h[rows].T @ own
             grads["member_b"][g] = own.sum(0)
             gh[rows] += own @ p["member"][g].T
-        gh *= 1 - h * h
+        some = gh * (1 - h * h)
+        gh = np.zeros_like(every)
+        gh[use] = some
         grads["w"], grads["b"] = y.reshape(-1, width).T @ gh, gh.sum(0)
         gy = (gh @ p["w"].T).reshape(x.shape)
         a = e / total
@@ -184,29 +191,8 @@ class CausalModel:
         """Input places that predict ids: the start, then all but the last id."""
         return np.concatenate([[self.start], self.place[ids[:-1]]])
 
-    def train(self, texts: list[np.ndarray], steps: int = 1500, batch: int = 64, rate: float = 0.02, seed: int = 5) -> None:
-        """Adam over random full windows of the texts; each text ends with the end id."""
-        rng = np.random.default_rng(seed)
-        long = [t for t in texts if len(t) >= self.window]
-        if not long:
-            return
-        places, ids = np.concatenate([self.sequence(t) for t in long]), np.concatenate(long)
-        sizes = np.array([len(t) for t in long])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        starts = np.concatenate([f + np.arange(n - self.window + 1) for f, n in zip(first, sizes, strict=True)])
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for step in range(1, steps + 1):
-            at = starts[rng.integers(len(starts), size=batch)][:, None] + np.arange(self.window)
-            _, grads = self.gradients(places[at], ids[at])
-            pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grads.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.p[k] -= pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-
-    def score(self, texts: list[np.ndarray], rows: int = 1024) -> np.ndarray:
-        """Log10 probability of each text (ids with the end id); every id is scored once."""
+    def _spread(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """All texts as one: ids, input places, and by window its text's first place and size, its start, its first scored position."""
         w = self.window
         n = np.array([len(t) for t in texts], np.int64)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -218,7 +204,44 @@ class CausalModel:
         for k, size in zip(count.tolist(), n.tolist(), strict=True):
             starts[at : at + k], fresh[at : at + k] = self.windows(size)
             at += k
-        owner = np.repeat(np.arange(len(texts)), count)
+        return flat, places, np.repeat(np.arange(len(texts)), count), first, n, starts, fresh
+
+    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
+        """Adam over the windows of all texts, in random order, each id learned in the window that scores it.
+
+        Each text ends with the end id; short ones are padded and masked. By default every window comes up once. ``span``
+        is the part of the whole training that this call is: the rate falls over its second half.
+        """
+        rng = np.random.default_rng(seed)
+        flat, places, owner, first, n, starts, fresh = self._spread(texts)
+        per_pass = -(-len(owner) // batch)
+        steps = steps or per_pass
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        for step in range(1, steps + 1):
+            turn = (step - 1) % per_pass
+            if turn == 0:
+                order = rng.permutation(len(owner))
+            some = order[turn * batch : (turn + 1) * batch]
+            own = owner[some]
+            place = starts[some, None] + np.arange(self.window)
+            scored = (place >= fresh[some, None]) & (place < n[own, None])
+            index = first[own, None] + place
+            inputs = places[index]
+            _, grads = self.gradients(inputs, flat[index], scored)
+            pace = rate * min(1.0, 2 * (1 - span[0] - (span[1] - span[0]) * step / (steps + 1)))
+            for k, g in grads.items():
+                # Of the table of inputs only the rows that were read move.
+                at = np.unique(inputs) if k == "ids" else slice(None)
+                g = g[at]
+                m[k][at] += 0.1 * (g - m[k][at])
+                v[k][at] += 0.01 * (g * g - v[k][at])
+                self.p[k][at] -= pace * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.99**step)) + 1e-8)
+
+    def score(self, texts: list[np.ndarray], rows: int = 1024) -> np.ndarray:
+        """Log10 probability of each text (ids with the end id); every id is scored once."""
+        w = self.window
+        flat, places, owner, first, n, starts, fresh = self._spread(texts)
         total = np.zeros(len(texts))
         steps = np.arange(w)
         for a in range(0, len(owner), rows):
@@ -284,6 +307,69 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return found
 
 
+def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, total: float, key: str = "doc_id", text: str = "text", shard_ids: int = 4_000_000, rounds: int = 2, least: int = 2_300_000, part: int = 4096) -> int:
+    """Fits the weights to all training texts, which have ``total`` ids with their ends; how many ids were learned.
+
+    Rows are dealt by their hash into shards of about ``shard_ids`` ids and into ``rounds``. In a round a task trains a copy
+    of the weights on a shard's rows of that round; the mean of all copies, by ids learned, goes to the next round. So the
+    steps grow with the input, every text is learned, and the shards don't depend on how the input is partitioned. Rows of a
+    small corpus come up again, until about ``least`` ids went by. Copies are added up in parts of ``part`` numbers.
+    """
+    if not total:
+        return 0
+    spark = training.sparkSession
+    shards, again = math.ceil(total / shard_ids), math.ceil(least / total)
+    place = F.xxhash64(key, text)
+    rows = training.select(F.col(text).alias("text"), place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(place, 32), F.lit(rounds)).alias("turn"))
+    names, learned = list(model.p), 0
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(group: pa.Table) -> pa.Table:  # runs before the next round begins
+            model, coder = copy.deepcopy(shared.value), subwords(tokenizer, pattern)
+            end = np.array([coder.size], np.int32)
+            group = group.sort_by([("place", "ascending"), ("text", "ascending")])
+            texts = [np.concatenate([np.frombuffer(b"".join(coder.known(words(x))), "<i4"), end]) for x in group.column("text").to_pylist()]
+            n_windows = sum(len(model.windows(len(t))[0]) for t in texts)
+            batch = 128
+            model.train(texts, again * -(-n_windows // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
+            n = sum(map(len, texts))
+            flat = np.concatenate([model.p[k].ravel() for k in names]).astype("<f4")
+            parts = [flat[a : a + part].tobytes() for a in range(0, len(flat), part)]
+            shard = group.column("shard")[0].as_py()
+            columns = [pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
+            return pa.Table.from_arrays(columns, ["part", "shard", "n", "numbers"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([(held / n).astype("<f4").tobytes()], pa.binary())], ["part", "n", "numbers"])
+
+            at, n, held = None, 0, None
+            for batch in batches:
+                for one, own, numbers in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "numbers")), strict=True):
+                    if one != at:
+                        if at is not None:
+                            yield out()
+                        at, n, held = one, 0, 0.0
+                    n += own
+                    held = held + own * np.frombuffer(numbers, "<f4").astype(float)
+            if at is not None:
+                yield out()
+
+        copies = rows.filter(F.col("turn") == turn).groupBy("shard").applyInArrow(run, "part int, shard int, n long, numbers binary")
+        dealt = copies.repartition("part").sortWithinPartitions("part", "shard").select("part", "n", "numbers")
+        means = sorted(dealt.mapInArrow(add, "part int, n long, numbers binary").collect())
+        shared.unpersist()
+        if means:
+            flat, at = np.frombuffer(b"".join(bytes(r.numbers) for r in means), "<f4"), 0
+            for k in names:
+                size = model.p[k].size
+                model.p[k] = flat[at : at + size].reshape(model.p[k].shape).copy()
+                at += size
+            learned += means[0].n
+    return learned
+
+
 def score_documents(
     docs: DataFrame,
     training: DataFrame,
@@ -291,7 +377,6 @@ def score_documents(
     pattern: str,
     key: str = "doc_id",
     text: str = "text",
-    sample: int = 800,
     head: int = 200_000,
     head_bytes: int = 64,
     batch_bytes: int = 1 << 20,
@@ -300,8 +385,7 @@ def score_documents(
 
     Tokens are lower-cased words and one end per text. ``base_score`` is that of a smoothed unigram model over the exact
     counts of all ``training`` texts. ``score`` is the log10 probability of the text's subword ids and end under the
-    attention model, whose frequencies also come from all training texts and whose weights are fitted to at most
-    ``sample`` of them (those with the least hash of their key). Counts of at most ``head`` of the most frequent words of at most
+    attention model, whose frequencies and weights also come from all training texts (see :func:`fit`). Counts of at most ``head`` of the most frequent words of at most
     ``head_bytes`` bytes (whole levels of frequency) are sent to all tasks, a bounded table; rarer words of the documents are joined with their
     counts. Null texts are empty: one token, the end. Repeated rows and null keys stay; other columns are not read. Without
     training rows every count is 0, train_tokens is 0, base_score is null and the model knows no frequencies.
@@ -319,15 +403,10 @@ def score_documents(
     top = {bytes(r.word): r.n for r in frequent.filter(F.col("level") >= least).collect()} if held else {}
 
     coder = subwords(tokenizer, pattern)
-    model = CausalModel(subword_counts(counts, tokenizer, pattern))
+    seen = subword_counts(counts, tokenizer, pattern)
+    model = CausalModel(seen)
+    fit(model, training, tokenizer, pattern, seen.sum(), key, text)
     end = np.array([coder.size], np.int32)
-    fit_rows = training.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(key).alias("place"), F.col(key).alias("key"))
-    chosen = fit_rows.orderBy("place", "key").limit(sample).select("key").distinct()
-    texts = []
-    rows = training.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    for r in rows.join(F.broadcast(chosen), "key").orderBy("key", "text").toLocalIterator():
-        texts.append(np.concatenate([np.frombuffer(b"".join(coder.known(words(r.text))), "<i4"), end]))
-    model.train(texts)
     shared = spark.sparkContext.broadcast((model, top))
     kind = docs.schema[key].dataType.simpleString()
     bottom = n_all + 0.5 * (n_distinct + 1)

@@ -126,3 +126,10 @@ def test_weights_learn_from_all_rows(spark):
     text = [np.append(np.frombuffer(b"".join(coder.known(words("red green blue grey " * 5))), "<i4"), coder.size)]
     start, one, other = (m.score(text)[0] for m in models)
     assert one > 0.7 * start and one == pytest.approx(other, rel=1e-4)
+
+
+def test_context_of_long_texts(counts):
+    """Every id past the first window has at least 8 ids of context in the window that scores it."""
+    model = lm_scoring.CausalModel(counts)
+    starts, fresh = model.windows(1000)
+    assert (fresh - starts)[1:].min() >= 8 and model.p["at"].shape[1] >= 24

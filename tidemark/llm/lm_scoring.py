@@ -51,7 +51,7 @@ class CausalModel:
     of a text is an id. Probabilities of all ids sum to 1.
     """
 
-    def __init__(self, counts: np.ndarray, groups: int | None = None, members: int | None = None, width: int = 16, hidden: int = 32, window: int = 32, overlap: int = 4, seed: int = 3):
+    def __init__(self, counts: np.ndarray, groups: int | None = None, members: int | None = None, width: int = 24, hidden: int = 32, window: int = 32, overlap: int = 8, seed: int = 3):
         side = max(32, math.isqrt(max(int(np.count_nonzero(counts)) - 1, 0)) + 1)
         groups, members = groups or side, members or side
         self.window, self.overlap, self.groups, self.members = window, overlap, groups, members

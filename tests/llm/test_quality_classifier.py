@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def test_margins_agree():
         np.add.at(x, buckets[a:b].ravel(), 1 / max(1, b - a))
         x[-1] = repeats[i]
         assert np.isclose(margin[i], q.SCALE * x @ model.words[:-1] + model.words[-1])
+
+
+def test_compression_reads_the_whole_text():
+    """Two texts with the same first 64 KB: the one with a repetitive tail compresses better."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    head = prose(70_000)
+    clean, junk = head + prose(200_000), head + "buy now " * 25_000
+    found = q.metadata([clean, junk, "", None], [None] * 4, [None] * 4, [None] * 4)[:, 11]
+    assert found[1] < 0.6 * found[0] and found[2] == found[3] == len(zlib.compress(b"", 1))
+    assert np.isclose(found[0], len(zlib.compress(clean.encode(), 1)) / len(clean), rtol=1e-3)

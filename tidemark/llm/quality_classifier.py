@@ -45,6 +45,13 @@ def content(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return table[:, 1:], ends, repeats
 
 
+def _compressed(raw: bytes, block: int = 65536) -> int:
+    """Bytes of the whole text compressed as one stream, fed in blocks so that no compressed copy is held."""
+    stream = zlib.compressobj(1)
+    view = memoryview(raw)
+    return sum(len(stream.compress(view[a : a + block])) for a in range(0, len(raw), block)) + len(stream.flush())
+
+
 def metadata(texts: list[str | None], n_chars: list[int | None], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
     """What a page tells without its words: length, layout, make-up of characters, language and source."""
     rows = []
@@ -57,7 +64,7 @@ def metadata(texts: list[str | None], n_chars: list[int | None], langs: list[str
         row = [
             np.log1p(n if n is not None and n >= 0 else len(x or "")), np.log1p(n_lines), np.log1p(len(raw) / n_lines), count[upper].sum() / size, count[digit].sum() / size,
             count[marks].sum() / size, count[list(b"#*$%&|<>")].sum() / size, count[33] / size, count[32] / size, sum(y.rstrip().endswith((b".", b"!", b"?")) for y in lines) / n_lines,
-            len(set(lines)) / n_lines, len(zlib.compress(raw[:65536], 1)) / min(size, 65536),
+            len(set(lines)) / n_lines, _compressed(raw) / size,
         ]
         one = [0.0] * 24
         one[zlib.crc32((lang or "").encode()) % 8] = 1.0

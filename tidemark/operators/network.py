@@ -37,11 +37,12 @@ def second_order_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """seed, id, hop: nodes within some hops of each seed, at their least hop. Only new nodes go on."""
+    use_checkpoints(edges.sparkSession)
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"))
     wave = seen
     for hop in range(1, hops + 1):
         step = wave.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("seed", F.col("dst").alias("id")).distinct()
-        wave = step.join(seen, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        wave = step.join(seen, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()  # the next wave and all that was seen read it
         seen = seen.unionByName(wave)
     return seen
 

@@ -237,6 +237,12 @@ def spof(spark: SparkSession, d: str) -> DataFrame:
     return network.single_points_of_failure(lines)
 
 
+@register("spof_all", with_feeds("select supplier_id, count(*) as n_skus from (select l_partkey, min(l_suppkey) as supplier_id from lineitem group by 1 having count(distinct l_suppkey) = 1) group by 1"))
+def spof_all(spark: SparkSession, d: str) -> DataFrame:
+    """As spof, over all lines."""
+    return network.single_points_of_failure(Feeds(spark, d).table("lineitem").select(F.col("l_partkey").alias("sku_id"), F.col("l_suppkey").alias("supplier_id")))
+
+
 @register("sage_mean", with_feeds(f"""
 with {_NODES}, lp as (select src, dst from edges union all select id, id from nd), h1 as (select nd.id, nd.p, nd.p + coalesce(m, 0) as p_hop1 from nd left join (select dst as id, avg(p) as m from lp join nd on lp.src = nd.id group by 1) using (id))
 select h1.id, round(p, 7) as p, round(p_hop1, 7) as p_hop1, round(p_hop1 + coalesce(m, 0), 7) as p_hop2 from h1 left join (select dst as id, avg(p_hop1) as m from lp join h1 on lp.src = h1.id group by 1) using (id)"""))
@@ -259,6 +265,13 @@ def reach(spark: SparkSession, d: str) -> DataFrame:
     return network.reach(f.edges(), nodes(f).filter("id < 20"), 2)
 
 
+@register("reach_all")
+def reach_all(spark: SparkSession, d: str) -> DataFrame:
+    """As reach, from all suppliers and to three hops."""
+    f = Feeds(spark, d)
+    return network.reach(f.edges(), nodes(f), 3)
+
+
 _RANK = "".join(
     f", r{i} as materialized (select nd.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) as rank from nd cross join sz cross join (select coalesce(sum(rank), 0) as loose from r{i - 1} where id not in (select src from ot)) left join (select dst as id, sum(rank * w) as got from wt join r{i - 1} on src = id group by 1) using (id))"
     for i in range(1, 11)

@@ -24,12 +24,22 @@ def supervised(df: DataFrame, lookback: int, horizon: int) -> DataFrame:
 
 
 def standardise(df: DataFrame) -> DataFrame:
-    fitted = df.groupBy(*SERIES).agg(F.avg("demand").alias("mean"), F.stddev_pop("demand").alias("deviation"))
-    return df.join(F.broadcast(fitted), SERIES).withColumn("scaled", F.try_divide(F.col("demand") - F.col("mean"), F.col("deviation")))
+    """Adds the scaled demand, and the mean and deviation of its series, by which :func:`unscale` goes back."""
+    w = Window.partitionBy(*SERIES)
+    fitted = df.withColumns({"mean": F.avg("demand").over(w), "deviation": F.stddev_pop("demand").over(w)})
+    return fitted.withColumn("scaled", F.try_divide(F.col("demand") - F.col("mean"), F.col("deviation")))
+
+
+def unscale(df: DataFrame, column: str = "scaled") -> DataFrame:
+    """Adds ``restored``: the value before scaling; a series without spread is its mean."""
+    return df.withColumn("restored", F.coalesce(F.col(column) * F.col("deviation"), F.lit(0.0)) + F.col("mean"))
 
 
 def quantile_forecast(df: DataFrame, origin: int, horizon: int = 14, season: int = 52) -> DataFrame:
-    """P10, P50 and P90 for the ``horizon`` steps after ``origin``: the value a season earlier plus quantiles of that rule's past errors."""
+    """P10, P50 and P90 for the ``horizon`` steps after ``origin``: the value a season earlier plus quantiles of that rule's past errors.
+
+    There are as many groups as series, each as long as its history, so the quantiles of a series are taken in one buffer.
+    """
     past = df.filter(F.col("t") <= origin)
     before = past.select(*SERIES, (F.col("t") + season).alias("t"), F.col("demand").alias("naive"))
     errors = past.join(before, [*SERIES, "t"]).select(*SERIES, (F.col("demand") - F.col("naive")).alias("error"))

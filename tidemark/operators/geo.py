@@ -49,9 +49,9 @@ def country_risk(conflict: DataFrame, ports: DataFrame, gov: DataFrame, trade: D
         .join(governance(gov), ["country_code", "year"], "left")
         .join(trade_monthly(trade), ["country_code", "month"], "left")
         .join(commodity_daily(commodity).withColumnRenamed("price_date", "event_date"), ["event_date"], "left")
-        .fillna({"instability": 0.5, "trade_score": 0.0, "volatility": 0.0, "port_score": 0.0})
+        .fillna({"instability": 0.5, "trade_score": 0.0, "volatility": 0.0, "port_score": 0.0, "conflict_score": 0.0})
     )
-    score = C.clamp01(C.weighted(conflict_score=0.30, instability=0.25, trade_score=0.20, volatility=0.15, port_score=0.10))
+    score = C.clamp01(C.weighted(instability=0.30, trade_score=0.25, conflict_score=0.20, port_score=0.15, volatility=0.10))
     return joined.withColumn("geo_score", score).withColumn("geo_risk_tier", C.geo_tier("geo_score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.silver import latest
 
 
@@ -26,7 +27,7 @@ def risk_master(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, orde
     """Composite score and tier: each side is reduced to one row per key first, so suppliers stay unique."""
     now = latest(order_history(orders), "supplier_id", "order_date", "order_id").select("supplier_id", "on_time_rate", "order_delay", "order_volume")
     country = latest(geo, "country_code", "event_date").select("country_code", "geo_score")
-    joined = suppliers.join(shipment_totals(shipments), "supplier_id", "left").join(F.broadcast(country), "country_code", "left").join(now, "supplier_id", "left")
+    joined = suppliers.join(shipment_totals(shipments), "supplier_id", "left").join(country, "country_code", "left").join(now, "supplier_id", "left")
     joined = joined.withColumns(
         {
             "financial_risk": 1 - F.col("financial_score_ext") / 100,
@@ -75,9 +76,10 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def profile(df: DataFrame, *features: str) -> DataFrame:
-    """Mean, deviation, least, median and most of each feature, from one pass."""
+    """Mean, deviation, least, median and most of each feature."""
     long = df.select(*(F.col(c).cast("double") for c in features)).unpivot([], list(features), "feature", "value")
-    return long.groupBy("feature").agg(*(F.round(f("value"), 3).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("median", F.median), ("max", F.max))))
+    one = long.groupBy("feature").agg(*(F.round(f("value"), 3).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))))
+    return one.join(F.broadcast(quantiles(long, ["feature"], "value", {"median": 0.5})), "feature").withColumn("median", F.round("median", 3))
 
 
 def spend_share(suppliers: DataFrame) -> DataFrame:
@@ -89,7 +91,6 @@ def spend_share(suppliers: DataFrame) -> DataFrame:
 
 def concentration(suppliers: DataFrame, by: str = "primary_category") -> DataFrame:
     """Sum of squared shares of spend within each group."""
-    w = Window.partitionBy(by)
     spend = suppliers.select(by, F.greatest(F.coalesce("annual_spend_usd", F.lit(0.0)), F.lit(0.0)).alias("spend"))
     share = spend.groupBy(by).agg(F.sum("spend").alias("total"), F.sum(F.col("spend") * F.col("spend")).alias("squares"))
     return share.select(by, F.try_divide("squares", F.col("total") * F.col("total")).alias("hhi"))
@@ -154,10 +155,51 @@ def route_question(text: str | Column) -> Column:
     return out.otherwise("default")
 
 
-def narrative(attribution: DataFrame, k: int = 3) -> DataFrame:
-    """Text per supplier from its k strongest attributions (supplier_id, feature, value)."""
-    w = Window.partitionBy("supplier_id").orderBy(F.abs("value").desc(), "feature")
+def narrative(attribution: DataFrame, key: str = "supplier_id", k: int = 3) -> DataFrame:
+    """Text per key from its k strongest attributions (key, feature, value), strongest first."""
+    w = Window.partitionBy(key).orderBy(F.abs("value").desc(), "feature")
     first = attribution.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-    line = F.concat(F.lit("  "), F.col("feature"), F.lit(": "), F.format_string("%+.4f", "value"), F.when(F.col("value") > 0, " (raises risk)").otherwise(" (lowers risk)"))
-    lines = first.groupBy("supplier_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("x"))
-    return lines.select("supplier_id", F.concat(F.lit("Drivers:\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("narrative"))
+    line = F.concat(F.lit("  "), F.col("feature"), F.format_string(": %+.4f", "value"), F.when(F.col("value") > 0, " (↑ risk)").otherwise(" (↓ risk)"))
+    lines = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("x"))
+    return lines.select(key, F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("narrative"))
+
+
+def risk_filter(scored: DataFrame, tiers: list[str], least: float, n: int, score: str = "composite", key: str = "supplier_id") -> DataFrame:
+    """The n riskiest rows of some tiers (an empty list: all) with at least a score."""
+    rows = scored.filter(F.col("risk_tier").isin(*tiers)) if tiers else scored
+    return top(rows.filter(F.col(score) >= least), n, F.col(score).desc(), key)
+
+
+def alerts(risk: DataFrame, least: float = 0.5, score: str = "composite") -> DataFrame:
+    """An alert for each supplier over a score, as a row of the table of alerts."""
+    summary = F.format_string("Supplier %s is %s with a composite score of %.4f", F.col("supplier_id").cast("string"), F.col("risk_tier"), F.col(score))
+    advice = F.when(F.col("risk_tier") == "CRITICAL", "Qualify a backup supplier").otherwise("Review open orders")
+    rows = risk.filter(F.col(score) > least)
+    return rows.select("supplier_id", summary.alias("risk_summary"), advice.alias("recommended_action"), F.when(F.col("risk_tier") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("urgency"), F.lit("SENT").alias("status"), F.lit("AGENT").alias("created_by"))
+
+
+def anomaly_text(records: DataFrame, key: str, threshold: float) -> DataFrame:
+    """One line of text per anomaly (key, score, feature, value, mean, deviation, z)."""
+    low, high = (F.col("mean") + k * F.col("deviation") for k in (-2, 2))
+    text = F.format_string("Anomaly of %s: score %.4f (threshold %.2f); %s is %.2f, expected %.2f to %.2f, z %+.3f", F.col(key).cast("string"), F.col("score"), F.lit(threshold), F.col("feature"), F.col("value"), low, high, F.col("z"))
+    return records.select(key, text.alias("text"))
+
+
+def briefing_text(totals: DataFrame, metrics: DataFrame) -> DataFrame:
+    """The weekly briefing as text, from one row of portfolio totals and one of tail metrics."""
+    text = F.format_string(
+        "Critical suppliers: %d (%.2f%% of spend at risk), high: %d. Mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f. SKUs under 7 days: %d, under 14 days: %d, revenue at risk %.2f.",
+        "n_critical", "pct_spend_at_risk", "n_high", "mean_loss", "var_95", "cvar_95", "skus_under_7", "skus_under_14", "revenue_at_risk",
+    )
+    return totals.crossJoin(metrics).select(text.alias("text"))
+
+
+def geo_report(country: DataFrame) -> DataFrame:
+    """One row: country days, critical ones, their share."""
+    hit = (F.col("geo_risk_tier") == "CRITICAL").cast("long")
+    return country.agg(F.count("*").alias("total"), F.sum(hit).alias("critical"), F.avg(hit.cast("double")).alias("critical_rate"))
+
+
+def label_report(features: DataFrame) -> DataFrame:
+    """One row: shipments and the share with the disruption label."""
+    return features.agg(F.count("*").alias("total"), F.avg(F.col("label").cast("double")).alias("label_rate"))

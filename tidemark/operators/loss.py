@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles
 
-def scenario_losses(scenarios: DataFrame, inventory: DataFrame) -> DataFrame:
-    """scenario_id, loss: revenue lost after stock runs out, and dearer substitution, over all SKUs.
 
-    scenarios: (scenario_id, supplier_id, disrupted, lead_time_draw, substitution_cost_factor). Both sides are reduced
-    before they meet where they can be: the loss of a supplier's SKUs depends on the scenario by its lead time only.
+def scenario_losses(scenarios: DataFrame, inventory: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """scenario_id, loss: revenue lost after stock runs out, and dearer substitution, over the SKUs of disrupted suppliers.
+
+    scenarios: (scenario_id, supplier_id, second, lead_time_draw), pairs that aren't there are undisrupted; ``second`` is
+    disruption after contagion (:func:`spread_disruption`). A missing draw is the supplier's mean lead time. Revenue is
+    lost for as long as the draw outlasts the stock; substitution is paid for the mean lead time.
+    suppliers: (supplier_id, avg_lead_time_days, substitution_cost_factor).
     """
-    hit = scenarios.filter("disrupted = 1")
+    hit = scenarios.filter("second = 1").join(suppliers.select("supplier_id", "avg_lead_time_days", "substitution_cost_factor"), "supplier_id")
     joined = hit.join(inventory.select("supplier_id", "days_of_supply", "avg_daily_revenue"), "supplier_id")
-    short = F.greatest(F.lit(0.0), F.col("lead_time_draw") - F.coalesce("days_of_supply", F.lit(0.0)))
-    each = short * F.col("avg_daily_revenue") + F.col("avg_daily_revenue") * F.col("lead_time_draw") * (F.col("substitution_cost_factor") - 1)
+    draw = F.coalesce("lead_time_draw", "avg_lead_time_days")
+    short = F.greatest(F.lit(0.0), draw - F.coalesce("days_of_supply", F.lit(0.0)))
+    each = short * F.col("avg_daily_revenue") + F.col("avg_daily_revenue") * F.col("avg_lead_time_days") * (F.col("substitution_cost_factor") - 1)
     losses = joined.groupBy("scenario_id").agg(F.sum(each).alias("loss"))
     return scenarios.select("scenario_id").distinct().join(losses, "scenario_id", "left").fillna({"loss": 0.0})
 
 
 def tail_metrics(losses: DataFrame) -> DataFrame:
     """One row: value at risk and expected shortfall at 95 and 99 %, mean, population deviation."""
-    cuts = losses.agg(F.percentile("loss", 0.95).alias("var_95"), F.percentile("loss", 0.99).alias("var_99"))
+    cuts = quantiles(losses, [], "loss", {"var_95": 0.95, "var_99": 0.99})
     beyond = lambda v: F.avg(F.when(F.col("loss") >= F.col(v), F.col("loss")))
     return losses.crossJoin(F.broadcast(cuts)).agg(
         F.max("var_95").alias("var_95"), F.max("var_99").alias("var_99"), beyond("var_95").alias("cvar_95"), beyond("var_99").alias("cvar_99"), F.avg("loss").alias("mean_loss"), F.stddev_pop("loss").alias("std_loss"), F.count("*").alias("n_scenarios")
@@ -30,19 +35,17 @@ def tail_metrics(losses: DataFrame) -> DataFrame:
 
 
 def any_disruption(scenarios: DataFrame) -> DataFrame:
-    each = scenarios.groupBy("scenario_id").agg(F.max("disrupted").alias("hit"))
+    each = scenarios.groupBy("scenario_id").agg(F.max("second").alias("hit"))
     return each.agg(F.avg(F.col("hit").cast("double")).alias("p_any"))
 
 
-def tail_attribution(scenarios: DataFrame, losses: DataFrame, k: int = 10) -> DataFrame:
+def tail_attribution(scenarios: DataFrame, losses: DataFrame, suppliers: DataFrame, k: int = 10) -> DataFrame:
     """How often each supplier is disrupted in scenarios at or beyond the 95 % loss; the k most frequent."""
-    metrics = losses.agg(F.percentile("loss", 0.95).alias("var_95"))
+    metrics = quantiles(losses, [], "loss", {"var_95": 0.95})
     tail = losses.crossJoin(F.broadcast(metrics)).filter("loss >= var_95").select("scenario_id")
-    n = tail.agg(F.count("*").alias("n_tail"))
-    n_sup = scenarios.agg(F.countDistinct("supplier_id").alias("n_sup"))
-    hits = scenarios.join(tail, "scenario_id", "left_semi").groupBy("supplier_id").agg(F.sum("disrupted").alias("hits"))
-    rated = hits.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(n_sup)).crossJoin(F.broadcast(metrics))
-    out = rated.select("supplier_id", (F.col("hits") / F.col("n_tail")).alias("tail_frequency"), (F.col("hits") / F.col("n_tail") * F.col("var_95") / F.col("n_sup")).alias("marginal_var"))
+    n = tail.agg(F.count("*").alias("n_tail")).crossJoin(suppliers.agg(F.count("*").alias("n_sup"))).crossJoin(metrics)
+    hits = scenarios.join(tail, "scenario_id", "left_semi").groupBy("supplier_id").agg(F.sum("second").alias("hits"))
+    out = hits.crossJoin(F.broadcast(n)).select("supplier_id", (F.col("hits") / F.col("n_tail")).alias("tail_frequency"), (F.col("hits") / F.col("n_tail") * F.col("var_95") / F.col("n_sup")).alias("marginal_var"))
     return out.orderBy(F.col("tail_frequency").desc(), "supplier_id").limit(k)
 
 
@@ -56,14 +59,17 @@ def mitigation(options: DataFrame, metrics: DataFrame) -> DataFrame:
 def convergence(losses: DataFrame, sizes: list[int]) -> DataFrame:
     """Value at risk and shortfall of the first n scenarios, for each n of a short list."""
     n = losses.sparkSession.createDataFrame([(s,) for s in sizes], "n int")
-    prefix = losses.join(F.broadcast(n), F.col("scenario_id") < F.col("n"))
-    cut = prefix.groupBy("n").agg(F.percentile("loss", 0.95).alias("var_95"))
-    return prefix.join(F.broadcast(cut), "n").groupBy("n").agg(F.max("var_95").alias("var_95"), F.avg(F.when(F.col("loss") >= F.col("var_95"), F.col("loss"))).alias("cvar_95"))
+    prefix = losses.join(F.broadcast(n), F.col("scenario_id") < F.col("n")).withColumnRenamed("n", "size")
+    cut = quantiles(prefix, ["size"], "loss", {"var_95": 0.95})
+    found = prefix.join(F.broadcast(cut), "size").groupBy("size").agg(F.max("var_95").alias("var_95"), F.avg(F.when(F.col("loss") >= F.col("var_95"), F.col("loss"))).alias("cvar_95"))
+    return found.withColumnRenamed("size", "n")
 
 
 def spread_disruption(scenarios: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A supplier is also disrupted where the flows from disrupted ones add up to over the threshold."""
+    """Adds ``second`` to (scenario_id, supplier_id, disrupted, ...): disrupted itself, or where the flows from disrupted
+    ones add up to over the threshold. Pairs that only contagion reaches become rows; their other columns are null."""
     primary = scenarios.filter("disrupted = 1").select("scenario_id", F.col("supplier_id").alias("src"))
     reached = primary.join(edges.select("src", "dst", "c"), "src").groupBy("scenario_id", F.col("dst").alias("supplier_id")).agg(F.sum("c").alias("pressure"))
-    joined = scenarios.join(reached, ["scenario_id", "supplier_id"], "left")
-    return joined.withColumn("second", F.when((F.col("disrupted") == 1) | (F.coalesce("pressure", F.lit(0.0)) > threshold), 1).otherwise(0))
+    over = reached.filter(F.round("pressure", 8) > threshold).select("scenario_id", "supplier_id", F.lit(1).alias("_over"))
+    joined = scenarios.join(over, ["scenario_id", "supplier_id"], "full").fillna({"disrupted": 0})
+    return joined.withColumn("second", F.greatest("disrupted", F.coalesce("_over", F.lit(0)))).drop("_over")

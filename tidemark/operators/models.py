@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.columns import model_tier
 from tidemark.operators.scoring import average_rank
@@ -25,8 +26,20 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
-    """A fold per row by the hash of its key and class."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, label), F.lit(k)).cast("int"))
+    """A fold per row, stratified: rows of a class go to the folds in turn, in the order of their keys' hashes.
+
+    A class is split into ranges of hashes before it is counted off, so that none is ordered in one task; folds of a class
+    differ by at most the number of ranges.
+    """
+    place = F.xxhash64(key)
+    turn = Window.partitionBy(label, F.pmod(place, F.lit(256))).orderBy(place, key)
+    return df.withColumn("fold", F.pmod(F.row_number().over(turn) + F.pmod(place, F.lit(256)), F.lit(k)).cast("int"))
+
+
+def split(df: DataFrame, key: str, label: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, four fifths and one, stratified by class."""
+    dealt = folds(df, key, label, k)
+    return dealt.filter("fold > 0").drop("fold"), dealt.filter("fold = 0").drop("fold")
 
 
 def boosted(df: DataFrame, label: str, depth: int = 4, rounds: int = 20, seed: int = 42):
@@ -37,7 +50,7 @@ def probability(model, df: DataFrame, name: str = "p") -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def search(df: DataFrame, label: str, k: int = 3) -> CrossValidatorModel:
+def search(df: DataFrame, label: str, k: int = 5) -> CrossValidatorModel:
     """Grid search of the boosted trees by mean AUC over folds (column fold)."""
     trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=10, seed=42)
     grid = ParamGridBuilder().addGrid(trees.maxDepth, [2, 4]).addGrid(trees.stepSize, [0.1, 0.3]).build()
@@ -45,7 +58,7 @@ def search(df: DataFrame, label: str, k: int = 3) -> CrossValidatorModel:
     return CrossValidator(estimator=trees, estimatorParamMaps=grid, evaluator=rater, numFolds=k, foldCol="fold", parallelism=2).fit(df)
 
 
-def calibrated(df: DataFrame, label: str, key: str, k: int = 3) -> DataFrame:
+def calibrated(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """key, label, raw and calibrated probability of each row by models that did not see it.
 
     Each fold is scored by trees fitted to the others; a logistic regression of the label on those scores calibrates them.
@@ -104,23 +117,21 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 50, sample: int = 256, share: float = 0.8, seed: int = 42) -> DataFrame:
+def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 200, sample: int = 256, share: float = 0.8, seed: int = 42) -> DataFrame:
     """key, iso_score in [0, 1]: trees are grown in parallel on samples of ``sample`` rows, then sent to all tasks.
 
     Rows are drawn for a tree by their hash, about twice the sample's size, and each tree keeps those of least hash.
-    The forest has at most trees * 2 * sample nodes.
+    The forest has at most trees * 2 * sample nodes. The score is that of the paths, 2 to the power of minus the mean path
+    over the expected one, by 0.5 and cut at 1.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
     n = rows.count()
     space = 1 << 40
-    if n >= 4 * sample * trees:  # enough rows that each may serve one tree: one hash a row
-        numbered = rows.withColumn("draw", F.xxhash64("key", F.lit(seed))).withColumn("tree", F.pmod(F.xxhash64("draw"), F.lit(trees)).cast("int"))
-        odds = 2 * sample * trees / n
-    else:
-        numbered = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", F.xxhash64("key", "tree", F.lit(seed)))
-        odds = min(1.0, 2 * sample / max(n, 1))
-    drawn = numbered.filter(F.pmod("draw", F.lit(space)) < int(odds * space))
+    odds = min(1.0, 2 * sample / max(n, 1))
+    # Which trees draw a row is decided before the row is repeated for them.
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("key", t, F.lit(seed)), F.lit(space)) < int(odds * space))
+    drawn = rows.withColumn("tree", F.explode(chosen)).withColumn("draw", F.xxhash64("key", "tree", F.lit(seed)))
     limit = int(np.ceil(np.log2(sample)))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +159,7 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
                 total += depth + _mean_path(size[at])
             norm = _mean_path(np.array([shared.value[0]["rows"].iloc[0]]))[0] if shared.value else 1.0
             s = 2 ** (-total / max(1, len(shared.value)) / max(norm, 1e-9))
-            yield pd.DataFrame({"key": frame["key"], "iso_score": np.clip(s, 0, 1)})
+            yield pd.DataFrame({"key": frame["key"], "iso_score": np.clip(s / 0.5, 0, 1)})
 
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInPandas(score, f"key {kind}, iso_score double").withColumnRenamed("key", key)
@@ -161,3 +172,9 @@ def edge_contagion(nodes: DataFrame, edges: DataFrame, features: list[str]) -> D
     names = [f"{end}_{c}" for end in ("src", "dst") for c in features] + ["c"]
     ready = assemble(joined, names)
     return probability(LogisticRegression(labelCol="contagion_label", featuresCol="features").fit(ready), ready).select("src", "dst", "p")
+
+
+def node_risk(nodes: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """id, p: the chance that a node is disrupted, refined from its and its neighbours' features."""
+    ready = assemble(nodes, features)
+    return probability(LogisticRegression(labelCol=label, featuresCol="features").fit(ready), ready).select("id", "p")

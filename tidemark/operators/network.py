@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import use_checkpoints
+from tidemark.sources.stored import discard, store
 
 
 def single_points_of_failure(lines: DataFrame) -> DataFrame:
@@ -36,31 +36,46 @@ def second_order_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """seed, id, hop: nodes within some hops of each seed, at their least hop. Only new nodes go on."""
-    use_checkpoints(edges.sparkSession)
+    """seed, id, hop: nodes within some hops of each seed, at their least hop. Only new nodes go on; each wave is stored."""
+    links = store(edges.select(F.col("src").alias("id"), "dst"), "reach-links")
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"))
     wave = seen
     for hop in range(1, hops + 1):
-        step = wave.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("seed", F.col("dst").alias("id")).distinct()
-        wave = step.join(seen, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()  # the next wave and all that was seen read it
+        step = wave.join(links, "id").select("seed", F.col("dst").alias("id")).distinct()
+        wave = store(step.join(seen, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)), "reach-wave")
         seen = seen.unionByName(wave)
     return seen
 
 
+def spend_coverage(reached: DataFrame, spend: DataFrame) -> DataFrame:
+    """Per seed: suppliers at each hop up to three and the share of all positive spend within reach (itself included)."""
+    amount = F.greatest(F.coalesce("annual_spend_usd", F.lit(0.0)), F.lit(0.0))
+    rows = spend.select(F.col("supplier_id").alias("id"), amount.alias("spend"))
+    total = rows.agg(F.sum("spend").alias("total"))
+    hops = [F.sum((F.col("hop") == k).cast("long")).alias(f"n_hop{k}") for k in (1, 2, 3)]
+    found = reached.join(rows, "id", "left").groupBy("seed").agg(*hops, F.sum("spend").alias("covered"))
+    return found.crossJoin(F.broadcast(total)).select("seed", *(f"n_hop{k}" for k in (1, 2, 3)), (F.try_divide("covered", "total") * 100).alias("spend_pct"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, rank after a fixed number of rounds by flow; nodes without out-flow give theirs to all."""
-    use_checkpoints(nodes.sparkSession)
+    """id, rank after a fixed number of rounds by flow; nodes without out-flow give theirs to all.
+
+    Shares of flow and nodes are stored once, ranks once a round; the table of the round before is discarded.
+    """
     total = edges.groupBy("src").agg(F.sum("flow_volume").alias("out"))
-    share = edges.join(total, "src").select("src", "dst", (F.col("flow_volume") / F.col("out")).alias("w"))
+    share = store(edges.join(total, "src").select("src", "dst", (F.col("flow_volume") / F.col("out")).alias("w")), "rank-shares")
     size = nodes.agg(F.count("*").alias("n"))
-    ids = nodes.select("id").crossJoin(F.broadcast(size)).join(total.select(F.col("src").alias("id"), F.lit(0).alias("_out")), "id", "left").select("id", "n", F.col("_out").isNull().alias("dangling"))
+    out = share.select(F.col("src").alias("id"), F.lit(0).alias("_out")).distinct()
+    ids = store(nodes.select("id").crossJoin(F.broadcast(size)).join(out, "id", "left").select("id", "n", F.col("_out").isNull().alias("dangling")), "rank-nodes")
     rank = ids.withColumn("rank", 1 / F.col("n"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         given = rank.join(share, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         loose = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"))
         new = (1 - damping) / F.col("n") + (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n")) * damping
-        rank = ids.join(given, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("id", "n", "dangling", new.alias("rank"))
-        rank = rank.checkpoint()  # each round reads the one before twice
+        before, rank = rank, store(ids.join(given, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("id", "n", "dangling", new.alias("rank")), "ranks")
+        if turn:
+            discard(before)
+    discard(share)
     return rank.select("id", "rank")
 
 

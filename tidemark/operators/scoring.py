@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranks import look_up, quantiles, running_totals
+from tidemark.sources.stored import store
+
 EPS = 1e-9
 
 
@@ -16,47 +19,39 @@ def long_form(df: DataFrame, key: str, *features: str) -> DataFrame:
 
 def robust_scale(long: DataFrame) -> DataFrame:
     """Less the median, by the interquartile range; the fitted table has a row per feature."""
-    fitted = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return long.join(F.broadcast(fitted), "feature").withColumn("scaled", F.try_divide(F.col("value") - F.col("q")[1], F.col("q")[2] - F.col("q")[0])).drop("q")
+    fitted = quantiles(long, ["feature"], "value", {"_low": 0.25, "_mid": 0.5, "_high": 0.75})
+    return long.join(F.broadcast(fitted), "feature").withColumn("scaled", F.try_divide(F.col("value") - F.col("_mid"), F.col("_high") - F.col("_low"))).drop("_low", "_mid", "_high")
 
 
 def _cdf(long: DataFrame) -> DataFrame:
-    """feature, value, cdf: the share of rows up to each distinct value.
-
-    Values are counted first, so ties shrink, and summed in two steps: within ranges of values, and over the ranges; a
-    feature isn't ordered in one task.
-    """
+    """feature, value, cdf, n, n_all: the share of rows up to each distinct value, its rows and all of the feature."""
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    spread = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
-    placed = counts.join(F.broadcast(spread), "feature").withColumn("part", F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 255, F.lit(0.0)).cast("int"))
-    parts = placed.groupBy("feature", "part").agg(F.sum("n").alias("m"))
-    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("feature", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = placed.withColumn("here", F.sum("n").over(inside)).join(F.broadcast(starts), ["feature", "part"])
-    return running.select("feature", "value", ((F.col("start") + F.col("here")) / F.col("total")).alias("cdf"))
+    return running_totals(counts, ["feature"], "value", ["n"]).select("feature", "value", (F.col("n_upto") / F.col("n_all")).alias("cdf"), "n", "n_all")
+
+
+def _tail_sums(rows: DataFrame, cdf: DataFrame, key: str) -> DataFrame:
+    """key, raw: the tails of each feature's distribution at the row's value, summed."""
+    tail = -F.ln(F.least(F.col("cdf"), 1 - F.col("cdf")) + EPS)
+    return look_up(rows, cdf, ["feature", "value"]).groupBy(key).agg(F.sum(tail).alias("raw"))
 
 
 def ecod(long: DataFrame, key: str, contamination: float = 0.05) -> DataFrame:
     """key, raw, score in [0, 1] and flag: tails of each feature's empirical distribution, summed.
 
-    The extremes and the threshold are one row, sent to all tasks.
+    The extremes and the threshold are one row, sent to all tasks. Sums are compared with it to eight places, so that rows
+    of the same tails tie whatever the order of the sum.
     """
-    tail = -F.ln(F.least(F.col("cdf"), 1 - F.col("cdf")) + EPS)
-    raw = long.join(_cdf(long), ["feature", "value"]).groupBy(key).agg(F.sum(tail).alias("raw"))
-    limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.percentile("raw", 1 - contamination).alias("cut"))
-    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (F.col("raw") >= F.col("cut")).cast("int").alias("flag"))
+    raw = store(_tail_sums(long, _cdf(long), key), "ecod")  # read for the extremes, the threshold and the scores
+    limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(quantiles(raw, [], "raw", {"cut": 1 - contamination}))
+    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (F.round("raw", 8) >= F.round("cut", 8)).cast("int").alias("flag"))
 
 
 def ecod_out_of_sample(fitted: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     """Raw scores of rows by the distribution of other rows: values of both are ordered together and fitted ones counted."""
     both = fitted.select("feature", "value", F.lit(1).alias("fit")).unionByName(scored.select("feature", "value", F.lit(0).alias("fit")))
-    counts = both.groupBy("feature", "value").agg(F.sum("fit").alias("n"))
-    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    cdf = counts.withColumn("cdf", F.sum("n").over(upto) / total)
-    tail = -F.ln(F.least(F.col("cdf"), 1 - F.col("cdf")) + EPS)
-    return scored.join(cdf, ["feature", "value"]).groupBy(key).agg(F.sum(tail).alias("raw"))
+    counts = both.groupBy("feature", "value").agg(F.sum("fit").alias("fit"), F.count("*").alias("n"))
+    cdf = running_totals(counts, ["feature"], "value", ["fit", "n"]).select("feature", "value", (F.col("fit_upto") / F.col("fit_all")).alias("cdf"), "n", "n_all")
+    return _tail_sums(scored, cdf, key)
 
 
 def z_scores(long: DataFrame) -> DataFrame:
@@ -70,12 +65,48 @@ def strongest(long: DataFrame, key: str, by: str, k: int = 5) -> DataFrame:
     return long.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def normal_percentile(z: str) -> Column:
+    """Percentile of a z-score under the normal distribution, rounded to a tenth.
+
+    The distribution function by a series for the error function (Abramowitz and Stegun 7.1.26, error under 1.5e-7).
+    """
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    erf = 1 - poly * F.exp(-x * x)
+    return F.round(F.when(F.col(z) >= 0, 0.5 + erf / 2).otherwise(0.5 - erf / 2) * 100, 1)
+
+
 def explanations(long: DataFrame, scores: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """One record per row: score, flag, strongest features and a map of z-scores."""
-    z = strongest(z_scores(long), key, "z", 10_000)
-    entry = F.struct("place", "feature", "z")
-    maps = z.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    return scores.join(maps, key).select(key, "score", "flag", F.transform(F.slice("s", 1, k), lambda x: x["feature"]).alias("top_features"), F.map_from_entries(F.transform("s", lambda x: F.struct(x["feature"], x["z"]))).alias("z_map"))
+    """One record per scored row: score, flag, its k strongest features, maps of z-scores and of normal percentiles."""
+    entry = F.struct((-F.abs("z")).alias("o"), "feature", "z", normal_percentile("z").alias("percentile"))
+    maps = z_scores(long).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    pairs = lambda c: F.map_from_entries(F.transform("s", lambda x: F.struct(x["feature"], x[c])))
+    top = F.transform(F.slice("s", 1, k), lambda x: x["feature"])
+    return scores.join(maps, key).select(key, "score", "flag", top.alias("top_features"), pairs("z").alias("z_map"), pairs("percentile").alias("percentile_map"))
+
+
+def detector_report(scored: DataFrame, label: str, score: str = "ensemble", threshold: float = 0.6) -> DataFrame:
+    """One row: ROC-AUC of the score, share of anomalies, share of labelled rows, threshold, number of rows."""
+    area = auc(scored.select(F.lit(1).alias("_g"), F.col(label).alias("y"), F.col(score).alias("p")), ["_g"]).select("auc")
+    rest = scored.agg(F.avg((F.col(score) >= threshold).cast("double")).alias("anomaly_rate"), F.avg(F.col(label).cast("double")).alias("disruption_rate"), F.count("*").alias("n_samples"))
+    return area.crossJoin(rest).select(F.col("auc").alias("roc_auc"), "anomaly_rate", "disruption_rate", F.lit(threshold).alias("threshold"), "n_samples")
+
+
+def anomaly_kpis(scored: DataFrame, score: str = "ensemble", flag: str = "is_anomaly") -> DataFrame:
+    """One row: number, mean and largest score of the anomalies."""
+    return scored.filter(F.col(flag) == 1).agg(F.count("*").alias("n_anomalies"), F.round(F.avg(score), 3).alias("avg_score"), F.round(F.max(score), 3).alias("max_score"))
+
+
+def top_alerts(scored: DataFrame, key: str, score: str = "ensemble", flag: str = "is_anomaly", k: int = 5) -> DataFrame:
+    """The k anomalies of largest score, with their badge."""
+    badge = F.when(F.col(score) > 0.8, "CRITICAL").otherwise("HIGH")
+    return scored.filter(F.col(flag) == 1).orderBy(F.col(score).desc(), key).limit(k).withColumn("badge", badge)
+
+
+def importances(long: DataFrame, value: str, k: int = 10) -> DataFrame:
+    """The k features of largest mean absolute value over all rows."""
+    return long.groupBy("feature").agg(F.avg(F.abs(value)).alias("importance")).orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
 def ensemble(df: DataFrame, forest: str, tails: str, threshold: float = 0.65) -> DataFrame:
@@ -87,11 +118,10 @@ def ensemble(df: DataFrame, forest: str, tails: str, threshold: float = 0.65) ->
 
 
 def _cumulative(scores: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
-    """Per distinct score, highest first: positives and rows so far, in their group, and totals."""
+    """Per distinct score: positives and rows from the highest score to it, in their group, and totals."""
     steps = scores.groupBy(*group, F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    part = Window.partitionBy(*group)
-    upto = part.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"tp": F.sum("pos").over(upto), "rows": F.sum("n").over(upto), "all_pos": F.sum("pos").over(part), "all_rows": F.sum("n").over(part)})
+    found = running_totals(steps, group, "p", ["pos", "n"], descending=True)
+    return found.withColumnsRenamed({"pos_upto": "tp", "n_upto": "rows", "pos_all": "all_pos", "n_all": "all_rows"})
 
 
 def auc(scores: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -143,7 +173,7 @@ def average_rank(scores: DataFrame, p: str = "p") -> DataFrame:
     """Rank of each row by falling score; ties take their mean place, cut to a whole number. Values are counted first."""
     c = _cumulative(scores, [], F.lit(1), p)
     place = F.floor(F.col("rows") - (F.col("n") - 1) / 2.0).cast("bigint")
-    return scores.join(c.select(F.col("p").alias("_p"), place.alias("place")), F.col(p) == F.col("_p")).drop("_p")
+    return look_up(scores, c.select(F.col("p").alias(p), place.alias("place"), "n", F.col("all_rows").alias("n_all")), [p]).drop("n", "n_all")
 
 
 # ---------------------------------------------------------------- drift
@@ -155,8 +185,8 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     Breakpoints are the distinct linear quantiles of the reference, the last bin closed; values outside count in the
     denominator only. With fewer than two breakpoints it is 0.
     """
-    odds = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = reference.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", odds))).alias("edges"))
+    cuts = quantiles(reference, ["feature"], "value", {f"q{i}": i / bins for i in range(bins + 1)})
+    edges = cuts.select("feature", F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(bins + 1))))).alias("edges"))
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
         # the bin is the number of edges up to the value; the table of edges has a row per feature
@@ -201,3 +231,9 @@ def promotions(metrics: DataFrame, slack: float = 0.01) -> DataFrame:
     replaced = F.max("first").over(Window.partitionBy("model_type"))
     status: Column = F.when(F.col("first"), "CHAMPION").when((F.col("status") == "CHAMPION") & replaced, "RETIRED").otherwise(F.col("status"))
     return judged.select("model_type", "model_id", "status", "auc", status.alias("next_status"))
+
+
+def registry_listing(versions: DataFrame, model_type: str | None = None) -> DataFrame:
+    """The registry's versions (of one type) with the first twelve digits of their checksum."""
+    rows = versions.filter(F.col("model_type") == model_type) if model_type else versions
+    return rows.withColumn("sha256", F.substring("sha256", 1, 12)).select("model_type", "model_id", "version", "status", "auc", "brier", "training_samples", "registered_at", "sha256")

@@ -9,16 +9,26 @@ from pyspark.sql.window import Window
 from tidemark.functions import columns as C
 
 EPS = 1e-9
-DISRUPTED = ("EXCEPTION", "CUSTOMS_HOLD", "DELAYED", "AT_RISK")
 
 
 def events(shipments: DataFrame, least_dq: float = 0.6) -> DataFrame:
     """Shipments of known suppliers that pass the quality gate; a null score does not."""
     return shipments.filter((F.col("dq_score") >= least_dq) & F.col("supplier_id").isNotNull()).withColumns(
-        {"on_time": (F.col("delay_days") <= 0).cast("int"), "disrupted": F.col("canonical_status").isin(*DISRUPTED).cast("int")}
+        {"on_time": (F.col("delay_days") <= 0).cast("int"), "disrupted": F.coalesce((F.col("canonical_status") == "EXCEPTION").cast("int"), F.lit(0))}
     )
 
 
+def _proxies() -> dict[str, Column]:
+    """Columns that follow from the rolling ones."""
+    return {
+        "disruption_rate_90": F.col("disruptions_90") / (F.col("total_90") + EPS),
+        "ewm_proxy": F.col("on_time_rate_30") * 0.2 + F.col("on_time_rate_90") * 0.8,
+        "drift_proxy": F.abs(F.col("delay_mean_30") - F.col("delay_mean_90")) / (F.col("delay_mean_90") + EPS),
+        "trend_proxy": (F.col("delay_mean_30") - F.col("delay_mean_90")) / 60,
+        "lead_time_variance": F.when(F.col("delay_mean_90") > 0, F.col("delay_std_90") / F.col("delay_mean_90")).otherwise(0.0),
+    }
+
+
 def _by_supplier() -> Window:
     return Window.partitionBy("supplier_id").orderBy("event_date", "purchase_order_id")
 
@@ -38,15 +48,7 @@ def rolling(df: DataFrame) -> DataFrame:
             "disruptions_90": F.sum("disrupted").over(last(90)),
             "total_90": F.count("*").over(last(90)),
         }
-    ).withColumns(
-        {
-            "disruption_rate_90": F.col("disruptions_90") / (F.col("total_90") + EPS),
-            "ewm_proxy": F.col("on_time_rate_30") * 0.2 + F.col("on_time_rate_90") * 0.8,
-            "drift_proxy": F.abs(F.col("delay_mean_30") - F.col("delay_mean_90")) / (F.col("delay_mean_90") + EPS),
-            "trend_proxy": (F.col("delay_mean_30") - F.col("delay_mean_90")) / 60,
-            "lead_time_variance": F.when(F.col("delay_mean_90") > 0, F.col("delay_std_90") / F.col("delay_mean_90")).otherwise(0.0),
-        }
-    )
+    ).withColumns(_proxies())
 
 
 def rolling_days(df: DataFrame, n: int = 90) -> DataFrame:
@@ -74,13 +76,17 @@ def trend(df: DataFrame, n: int = 90) -> DataFrame:
     return df.withColumn("delay_slope", F.regr_slope("delay_days", F.unix_date("event_date").cast("double")).over(_by_supplier().rowsBetween(1 - n, 0)))
 
 
-def exact_ewm(df: DataFrame, alpha: float = 0.2, last: int = 90) -> DataFrame:
-    """Exponentially weighted on-time rate of each supplier's latest ``last`` events, folded in order; a bounded array."""
+def exact_ewm(df: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """Exponentially weighted on-time rate of each supplier over all its events, in order.
+
+    The fold of a series is a sum with weights by place: alpha (1 - alpha)^i for the i-th newest event, and the rest of the
+    weight for the oldest. So no series is collected.
+    """
     newest = Window.partitionBy("supplier_id").orderBy(F.col("event_date").desc(), F.col("purchase_order_id").desc())
-    tail = df.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= last)
-    series = tail.groupBy("supplier_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("at"), F.col("on_time").cast("double").alias("x")))).alias("s"))
-    folded = F.aggregate(F.slice("s", 2, last), F.element_at("s", 1)["x"], lambda a, v: a * (1 - alpha) + v["x"] * alpha)
-    return series.select("supplier_id", folded.alias("ewm"))
+    placed = df.select("supplier_id", "on_time", F.row_number().over(newest).alias("n"))
+    decay = F.pow(F.lit(1 - alpha), F.col("n") - 1)
+    sums = placed.groupBy("supplier_id").agg(F.sum(decay * alpha * F.col("on_time")).alias("s"), F.max_by("on_time", "n").alias("oldest"), F.max("n").alias("k"))
+    return sums.select("supplier_id", (F.col("s") + F.pow(F.lit(1 - alpha), F.col("k") - 1) * (1 - alpha) * F.col("oldest")).alias("ewm"))
 
 
 def delay_divergence(df: DataFrame, width: int = 5) -> DataFrame:
@@ -102,9 +108,9 @@ def latest(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 
 
 def labelled(shipments: DataFrame, least_dq: float = 0.6) -> DataFrame:
-    """Shipments past the gate with their disruption label."""
+    """Shipments past the gate with their disruption label; a null value of cargo and a null delay are 0."""
     label = F.when((F.col("delay_days") > 3) | F.col("canonical_status").isin("EXCEPTION", "CUSTOMS_HOLD"), 1).otherwise(0)
-    return shipments.filter(F.col("dq_score") >= least_dq).withColumn("label", label)
+    return shipments.filter(F.col("dq_score") >= least_dq).fillna(0.0, ["cargo_value_usd", "delay_days"]).withColumn("label", label)
 
 
 def route_stats(df: DataFrame, least_rows: int = 10, prior: float = 0.25) -> DataFrame:
@@ -116,7 +122,8 @@ def route_stats(df: DataFrame, least_rows: int = 10, prior: float = 0.25) -> Dat
     return stats.withColumn("route_risk", F.when(F.col("route_n") >= least_rows, F.col("route_rate")).otherwise(prior))
 
 
-def calendar(df: DataFrame, day: str = "event_date") -> DataFrame:
+def calendar(df: DataFrame, day: str = "expected_delivery_date") -> DataFrame:
+    """Calendar columns of the day that a shipment is expected; a row without one has a sine of 0 and a cosine of 1."""
     month = F.month(day)
     angle = month * (2 * 3.14159265 / 12)
     return df.withColumns(
@@ -129,37 +136,116 @@ def calendar(df: DataFrame, day: str = "event_date") -> DataFrame:
             "month_sin": F.sin(angle),
             "month_cos": F.cos(angle),
         }
-    )
-
-
-def shipment_features(shipments: DataFrame, suppliers: DataFrame, exclude_current: bool = False) -> DataFrame:
-    """Calendar, mode, cargo, route and supplier features; null ports take the prior. ``exclude_current`` leaves a row out of its own route's rate."""
+    ).fillna({"is_q4": 0, "is_weekend": 0, "month_sin": 0.0, "month_cos": 1.0})
+
+
+#: What stands for a missing route or supplier value of a shipment, and for one of a supplier.
+SHIPMENT_DEFAULTS = {
+    "route_risk": 0.25,
+    "route_rate": 0.25,
+    "route_median_delay": 2.0,
+    "route_std_delay": 3.0,
+    "route_n": 0,
+    "sup_disruption_rate_90": 0.1,
+    "sup_on_time_rate_90": 0.9,
+    "sup_geo_score": 0.3,
+    "sup_financial_risk": 0.3,
+    "sup_network_pagerank": 0.01,
+}
+SUPPLIER_DEFAULTS = {
+    "on_time_rate_7": 1.0,
+    "on_time_rate_30": 1.0,
+    "on_time_rate_90": 1.0,
+    "ewm_proxy": 1.0,
+    "delay_mean_30": 0.0,
+    "delay_mean_90": 0.0,
+    "delay_std_90": 0.0,
+    "drift_proxy": 0.0,
+    "disruption_rate_90": 0.0,
+    "days_since_disruption": 365,
+    "on_time_streak": 30,
+    "lead_time_variance": 0.0,
+    "trend_proxy": 0.0,
+    "geo_score": 0.3,
+    "instability": 0.3,
+    "trade_score": 0.0,
+    "port_score": 0.0,
+    "volatility": 0.0,
+    "financial_risk": 0.3,
+    "payment_delay_proxy": 0.0,
+    "network_pagerank": 0.01,
+    "betweenness_centrality": 0.0,
+    "second_order_contagion_score": 0.0,
+    "supply_concentration_hhi": 0.0,
+    "transit_route_risk": 0.0,
+    "order_volume_30": 0.0,
+    "order_volume_90": 0,
+}
+
+
+def shipment_features(shipments: DataFrame, features: DataFrame, exclude_current: bool = False) -> DataFrame:
+    """Calendar, mode, cargo and route features, and five of the supplier's (``features``, a row a supplier).
+
+    ``exclude_current`` leaves a row out of its own route's rate.
+    """
     base = labelled(shipments)
-    routes = route_stats(base)
-    joined = calendar(base).join(routes, ["origin_port", "destination_port"], "left").fillna({"route_risk": 0.25, "route_n": 0})
+    joined = calendar(base).join(route_stats(base), ["origin_port", "destination_port"], "left")
     if exclude_current:
         others = (F.col("route_rate") * F.col("route_n") - F.col("label")) / (F.col("route_n") - 1)
         joined = joined.withColumn("route_risk", F.when(F.col("route_n") > 10, others).otherwise(0.25))
-    context = suppliers.select("supplier_id", F.col("country_code").alias("supplier_country"), F.col("tier").alias("supplier_tier"), F.col("sole_source_flag").alias("supplier_sole_source"), F.col("avg_lead_time_days").alias("supplier_lead_time"), F.col("dq_score").alias("supplier_dq"))
+    names = ("disruption_rate_90", "on_time_rate_90", "geo_score", "financial_risk", "network_pagerank")
+    context = features.select("supplier_id", *((F.col(c) if c in features.columns else F.lit(None).cast("double")).alias(f"sup_{c}") for c in names))
     modes = {f"is_{m.lower()}": (F.col("transport_mode") == m).cast("int") for m in ("OCEAN", "AIR_PARCEL", "TRUCK")}
-    return joined.withColumns({**modes, "log_cargo": F.log1p("cargo_value_usd")}).join(context, "supplier_id", "left")
+    return joined.withColumns({**modes, "log_cargo": F.log1p("cargo_value_usd")}).join(context, "supplier_id", "left").fillna(SHIPMENT_DEFAULTS)
+
+
+def newest_values(df: DataFrame, as_of: str) -> DataFrame:
+    """One row per supplier: what the row-wise windows above hold at its newest event.
+
+    Rates come from the newest 90 events, a limited rank that is applied before the shuffle as well; the last disruption
+    and the events since the last late one from partial aggregates. No supplier's whole history is ordered in a task.
+    """
+    order = F.struct("event_date", "purchase_order_id")
+    newest = Window.partitionBy("supplier_id").orderBy(F.col("event_date").desc(), F.col("purchase_order_id").desc())
+    tail = df.withColumn("n", F.row_number().over(newest)).filter("n <= 90")
+    last = lambda n, c: F.when(F.col("n") <= n, F.col(c).cast("double"))
+    rates = tail.groupBy("supplier_id").agg(
+        *(F.avg(last(n, "on_time")).alias(f"on_time_rate_{n}") for n in (7, 30, 90)),
+        *(F.avg(last(n, "delay_days")).alias(f"delay_mean_{n}") for n in (30, 90)),
+        F.stddev(last(90, "delay_days")).alias("delay_std_90"),
+        F.sum("disrupted").alias("disruptions_90"),
+        F.count("*").alias("total_90"),
+        *(F.max_by(c, order).alias(f"last_{c}") for c in ("origin_port", "destination_port")),
+    )
+    marks = df.groupBy("supplier_id").agg(F.max(F.when(F.col("disrupted") == 1, F.col("event_date"))).alias("last_disruption"), F.max(F.when(F.col("on_time") == 0, order)).alias("late"))
+    since = df.join(marks.select("supplier_id", "late"), "supplier_id").filter(F.col("late").isNull() | (order > F.col("late")))
+    streaks = since.groupBy("supplier_id").agg(F.count("*").alias("on_time_streak"))
+    joined = rates.join(marks.drop("late"), "supplier_id").join(streaks, "supplier_id", "left").fillna({"on_time_streak": 0})
+    return joined.withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption")).withColumns(_proxies())
 
 
 def supplier_features(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, centrality: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
-    """One row per supplier past the gate of 0.7: its latest window values, its country's latest risk, its network scores."""
-    rolled = streak(last_disruption(rolling(events(shipments)), as_of or "current_date"))
-    columns = ("on_time_rate_30", "on_time_rate_90", "delay_mean_90", "delay_std_90", "disruptions_90", "total_90", "disruption_rate_90", "ewm_proxy", "drift_proxy", "trend_proxy", "lead_time_variance", "days_since_disruption", "on_time_streak")
-    now = latest(rolled, "supplier_id", "event_date", "purchase_order_id").select("supplier_id", *columns)
-    country = latest(geo, "country_code", "event_date").select("country_code", "geo_score", "geo_risk_tier", "instability")
-    joined = suppliers.filter("dq_score >= 0.7").join(now, "supplier_id", "left").join(F.broadcast(country), "country_code", "left")
+    """One row per supplier past the gate of 0.7: its latest window values, its country's latest risk, its network scores.
+
+    ``centrality`` has a row a supplier. The route risk is that of the latest shipment's route; the shares of spend are of
+    all suppliers here. Missing values are those of ``SUPPLIER_DEFAULTS``.
+    """
+    now = newest_values(events(shipments), as_of or str(shipments.sparkSession.sql("select current_date()").first()[0]))
+    routes = route_stats(labelled(shipments)).select(F.col("origin_port").alias("last_origin_port"), F.col("destination_port").alias("last_destination_port"), F.col("route_risk").alias("transit_route_risk"))
+    now = now.join(routes, ["last_origin_port", "last_destination_port"], "left")
+    country = latest(geo, "country_code", "event_date").select("country_code", "geo_score", "geo_risk_tier", "instability", "trade_score", "port_score", "volatility")
+    joined = suppliers.filter("dq_score >= 0.7").join(now, "supplier_id", "left").join(country, "country_code", "left")
     if centrality is not None:
         joined = joined.join(centrality, "supplier_id", "left")
-    joined = joined.withColumns(
+    spend = F.greatest(F.coalesce("annual_spend_usd", F.lit(0.0)), F.lit(0.0))
+    joined = joined.crossJoin(F.broadcast(suppliers.agg(F.sum(spend).alias("all_spend")))).withColumns(
         {
             "financial_risk": 1 - F.col("financial_score_ext") / 100,
             "payment_delay_proxy": F.coalesce(F.col("delay_mean_90") / 30, F.lit(0.0)),
             "order_volume_30": F.col("total_90") / 3,
+            "order_volume_90": F.col("total_90"),
+            "spend_share_pct": F.try_divide(spend, F.col("all_spend")) * 100,
         }
     )
-    defaults = {"on_time_rate_30": 0.85, "on_time_rate_90": 0.85, "delay_mean_90": 0.0, "delay_std_90": 0.0, "disruption_rate_90": 0.0, "geo_score": 0.3, "network_pagerank": 0.0, "betweenness_centrality": 0.0, "on_time_streak": 0}
-    return joined.fillna({k: v for k, v in defaults.items() if k in joined.columns})
+    filled = joined.fillna({k: v for k, v in SUPPLIER_DEFAULTS.items() if k in joined.columns})
+    return filled.withColumn("political_stability", 2.5 - 5 * F.col("instability")).drop("all_spend")

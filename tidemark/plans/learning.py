@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models, network, scoring, silver
 from tidemark.plans.registry import register
-from tidemark.plans.relational import ships, sups
+from tidemark.plans.relational import bronze_table, features
 from tidemark.plans.statistics import FEATURES, nodes
 from tidemark.sources.adapters import Feeds
+from tidemark.sources.stored import store
 
-INPUTS = ["month", "day_of_week", "is_ocean", "is_air_parcel", "log_cargo", "supplier_lead_time", "supplier_tier", "origin_risk_incoterm", "order_quantity"]
+#: Of shipments; then the features of their suppliers, all those of the risk classifier.
+OWN = ["month", "day_of_week", "is_ocean", "is_air_parcel", "log_cargo", "origin_risk_incoterm", "order_quantity"]
+OF_SUPPLIER = [
+    "on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "days_since_disruption", "on_time_streak", "geo_score", "political_stability", "trade_score",
+    "volatility", "financial_risk", "payment_delay_proxy", "network_pagerank", "second_order_contagion_score", "lead_time_variance", "trend_proxy", "port_score", "transit_route_risk", "order_volume_30", "order_volume_90", "spend_share_pct",
+]
+INPUTS = OWN + OF_SUPPLIER
 
 
 def training(f: Feeds) -> DataFrame:
-    rows = silver.shipment_features(ships(f), sups(f)).select("purchase_order_id", "label", *INPUTS)
-    return models.assemble(models.folds(rows, "purchase_order_id", "label", 3), INPUTS)
+    shipments = bronze_table(f)
+    of_supplier = store(features(f, shipments).select("supplier_id", *OF_SUPPLIER), "supplier-features")
+    rows = silver.shipment_features(shipments, of_supplier).select("purchase_order_id", "supplier_id", "label", *OWN).join(of_supplier, "supplier_id", "left")
+    # Stored, as the fits below read it many times.
+    return models.assemble(store(models.folds(rows, "purchase_order_id", "label"), "training"), INPUTS)
 
 
 @register("gbt_scores")
@@ -28,10 +38,9 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @register("cv")
 def cv(spark: SparkSession, d: str) -> DataFrame:
-    rows = training(Feeds(spark, d)).select("label", "fold", "features").cache()
+    rows = training(Feeds(spark, d)).select("label", "fold", "features")
     found = models.search(rows, "label")
     grid = [({p.name: v for p, v in params.items()}, auc) for params, auc in zip(found.getEstimatorParamMaps(), found.avgMetrics, strict=True)]
-    rows.unpersist()
     return spark.createDataFrame([(int(g["maxDepth"]), float(g["stepSize"]), float(a)) for g, a in grid], "max_depth int, step_size double, mean_auc double")
 
 
@@ -58,3 +67,17 @@ def contagion_lr(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
     hops = network.mean_neighbours(nodes(f), f.edges(), ["p"])
     return models.edge_contagion(hops, f.edges(), ["p", "p_hop1", "p_hop2"])
+
+
+@register("node_risk")
+def node_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Risk of each supplier from its own and its neighbours' features; the label is a p over one half."""
+    f = Feeds(spark, d)
+    hops = network.mean_neighbours(nodes(f), f.edges(), ["p"]).withColumn("label", (F.col("p") > 0.5).cast("int"))
+    return models.node_risk(hops, ["p_hop1", "p_hop2"])
+
+
+@register("attribution_top")
+def attribution_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten features of largest mean attribution."""
+    return scoring.importances(models.attribution(training(Feeds(spark, d)), "label", "purchase_order_id", INPUTS), "value")

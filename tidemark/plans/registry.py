@@ -25,6 +25,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
     """Imports the modules that register queries."""
     for module in ("relational", "statistics", "streams", "learning"):

@@ -9,6 +9,7 @@ from tidemark.operators import bronze, geo, gold, silver
 from tidemark.plans.registry import register
 from tidemark.plans.sqltext import with_feeds
 from tidemark.sources.adapters import AS_OF, Feeds
+from tidemark.sources.stored import store
 
 r4 = lambda *names: [F.round(F.col(n).cast("double"), 4).alias(n) for n in names]
 dbl = lambda n: F.col(n).cast("double").alias(n)
@@ -43,7 +44,11 @@ def bronze_suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 @register("bronze_shipments", with_feeds("select purchase_order_id, status, transport_mode, delay_days, cargo_value_usd, supplier_id::double as supplier_id, sku_id::double as sku_id, origin_risk::double as origin_risk, round(order_value, 4) as order_value, round(dq_score, 4) as dq_score from ship"))
 def bronze_shipments(spark: SparkSession, d: str) -> DataFrame:
-    return ships(Feeds(spark, d)).select(
+    return bronze_columns(ships(Feeds(spark, d)))
+
+
+def bronze_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "purchase_order_id", F.col("canonical_status").alias("status"), "transport_mode", "delay_days", "cargo_value_usd", dbl("supplier_id"), dbl("sku_id"), F.col("origin_risk_incoterm").cast("double").alias("origin_risk"), F.round("order_value_usd", 4).alias("order_value"), *r4("dq_score")
     )
 
@@ -139,7 +144,7 @@ def ols_slope(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ewm_exact", with_feeds("""
 select supplier_id, round(sum(case when n = k then power(0.8::double, n - 1) else 0.2::double * power(0.8::double, n - 1) end * ok), 4) as ewm from (
-  select *, count(*) over (partition by supplier_id) as k from (select *, row_number() over (partition by supplier_id order by event_date desc, purchase_order_id desc) as n from evs) where n <= 90) group by 1"""))
+  select *, row_number() over (partition by supplier_id order by event_date desc, purchase_order_id desc) as n, count(*) over (partition by supplier_id) as k from evs) group by 1"""))
 def ewm_exact(spark: SparkSession, d: str) -> DataFrame:
     return silver.exact_ewm(silver.events(ships(Feeds(spark, d)))).select("supplier_id", *r4("ewm"))
 
@@ -158,30 +163,68 @@ def route_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("origin_port", "destination_port", "route_n", *r4("route_rate"), "route_median_delay", *r4("route_std_delay"), F.round("route_avg_cargo", 2).alias("route_avg_cargo"), *r4("route_risk"))
 
 
-@register("shipment_features", with_feeds("""
-select s.purchase_order_id, case when delay_days > 3 or status in ('EXCEPTION', 'CUSTOMS_HOLD') then 1 else 0 end as label, month(event_date)::int as month, (dayofweek(event_date) + 1)::int as day_of_week, quarter(event_date)::int as quarter,
-  (month(event_date) >= 10)::int as is_q4, (dayofweek(event_date) in (0, 6))::int as is_weekend, round(sin(month(event_date) * (2 * 3.14159265::double / 12)), 4) + 0.0 as month_sin, (transport_mode = 'OCEAN')::int as is_ocean,
-  round(ln(1 + cargo_value_usd), 4) as log_cargo, round(coalesce(case when r.n >= 10 then r.rate else 0.25::double end, 0.25::double), 4) as route_risk, upper(p.country_code) as supplier_country, p.tier::double as supplier_tier
-from ship s left join route r using (origin_port, destination_port) left join sup p on s.supplier_id = p.supplier_id where s.dq_score >= 0.6"""))
-def shipment_features(spark: SparkSession, d: str) -> DataFrame:
-    f = Feeds(spark, d)
-    found = silver.shipment_features(ships(f), sups(f))
-    return found.select("purchase_order_id", "label", "month", "day_of_week", "quarter", "is_q4", "is_weekend", *r4("month_sin"), "is_ocean", *r4("log_cargo", "route_risk"), "supplier_country", dbl("supplier_tier"))
-
-
 _LATEST = """
 (select * from (select *, row_number() over (partition by supplier_id order by event_date desc, purchase_order_id desc) as rn from streaks) where rn = 1)"""
-_GEO = "(select country_code, geo_score from (select *, row_number() over (partition by country_code order by event_date desc) as rn from geo) where rn = 1)"
+_GEO = "(select * from (select *, row_number() over (partition by country_code order by event_date desc) as rn from geo) where rn = 1)"
+_FEATURES = f"""
+feat as (select s.supplier_id, coalesce(on_time_7, 1) as on_time_rate_7, coalesce(on_time_30, 1) as on_time_rate_30, coalesce(on_time_90, 1) as on_time_rate_90, coalesce(on_time_30 * 0.2::double + on_time_90 * 0.8::double, 1) as ewm_proxy,
+  coalesce(delay_30, 0) as delay_mean_30, coalesce(delay_90, 0) as delay_mean_90, coalesce(delay_std_90, 0) as delay_std_90, coalesce(abs(delay_30 - delay_90) / (delay_90 + 1e-9::double), 0) as drift_proxy,
+  coalesce(disruptions_90 / (total_90 + 1e-9::double), 0) as disruption_rate_90, coalesce(date_diff('day', last_disruption, date '2001-11-05'), 365) as days_since_disruption, coalesce(streak, 30) as on_time_streak,
+  coalesce(case when delay_90 > 0 then delay_std_90 / delay_90 else 0 end, 0) as lead_time_variance, coalesce((delay_30 - delay_90) / 60, 0) as trend_proxy, coalesce(geo_score, 0.3::double) as geo_score, coalesce(instability, 0.3::double) as instability,
+  coalesce(trade_score, 0) as trade_score, coalesce(port_score, 0) as port_score, coalesce(volatility, 0) as volatility, coalesce(1 - financial_score / 100, 0.3::double) as financial_risk, coalesce(delay_90 / 30, 0) as payment_delay_proxy,
+  coalesce(network_pagerank, 0.01::double) as network_pagerank, coalesce(second_order, 0) as second_order, coalesce(case when r.n >= 10 then r.rate when r.n is not null then 0.25::double end, 0) as transit_route_risk,
+  coalesce(total_90 / 3::double, 0) as order_volume_30, coalesce(total_90, 0) as order_volume_90, greatest(coalesce(annual_spend_usd, 0), 0) / (select sum(greatest(coalesce(annual_spend_usd, 0), 0)) from sup) * 100 as spend_share_pct
+  from sup s left join {_LATEST} l on s.supplier_id = l.supplier_id left join {_GEO} g on upper(s.country_code) = g.country_code left join route r on l.origin_port = r.origin_port and l.destination_port = r.destination_port
+  left join (select s_suppkey as supplier_id, s_suppkey::double / 10000 as network_pagerank, (s_suppkey % 7)::double / 7 as second_order from supplier where s_suppkey % 10 <> 0) c on s.supplier_id = c.supplier_id
+  where s.dq_score >= 0.7)"""
+
+
+def bronze_table(f: Feeds) -> DataFrame:
+    """The first layer's shipments as a stored table, which the second layer reads several times."""
+    return store(ships(f), "bronze-shipments")
+
+
+def features(f: Feeds, shipments: DataFrame) -> DataFrame:
+    k = F.col("s_suppkey")
+    central = f.table("supplier").filter(k % 10 != 0).select(k.alias("supplier_id"), (k / 10000).alias("network_pagerank"), ((k % 7) / 7).alias("second_order_contagion_score"))
+    return silver.supplier_features(sups(f), shipments, country(f), central, AS_OF)
+
+
+_RATES = ("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "lead_time_variance", "trend_proxy", "geo_score", "instability", "trade_score", "port_score", "volatility", "financial_risk", "payment_delay_proxy", "network_pagerank", "transit_route_risk", "order_volume_30", "spend_share_pct")
 
 
 @register("supplier_features", with_feeds(f"""
-select s.supplier_id, round(coalesce(on_time_30, 0.85::double), 4) as on_time_rate_30, round(coalesce(delay_90, 0), 4) as delay_mean_90, round(coalesce(disruptions_90 / (total_90 + 1e-9::double), 0), 4) as disruption_rate_90,
-  coalesce(streak, 0) as on_time_streak, date_diff('day', last_disruption, date '2001-11-05')::double as days_since_disruption, round(coalesce(geo_score, 0.3::double), 4) as geo_score, round(1 - financial_score / 100, 4) as financial_risk, round(coalesce(delay_90 / 30, 0), 4) as payment_delay_proxy
-from sup s left join {_LATEST} l on s.supplier_id = l.supplier_id left join {_GEO} g on upper(s.country_code) = g.country_code where s.dq_score >= 0.7"""))
+with {_FEATURES} select supplier_id, {", ".join(f"round({c}, 4) + 0.0 as {c}" for c in _RATES)}, round(second_order, 4) as second_order_contagion_score, on_time_streak, days_since_disruption::double as days_since_disruption, order_volume_90::double as order_volume_90,
+  round(2.5::double - 5 * instability, 4) as political_stability from feat"""))
 def supplier_features(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    found = silver.supplier_features(sups(f), ships(f), country(f), as_of=AS_OF)
-    return found.select("supplier_id", *r4("on_time_rate_30", "delay_mean_90", "disruption_rate_90"), "on_time_streak", dbl("days_since_disruption"), *r4("geo_score", "financial_risk", "payment_delay_proxy"))
+    return features(f, bronze_table(f)).select("supplier_id", *r4(*_RATES, "second_order_contagion_score"), "on_time_streak", dbl("days_since_disruption"), dbl("order_volume_90"), *r4("political_stability"))
+
+
+@register("shipment_features", with_feeds(f"""
+with {_FEATURES} select s.purchase_order_id, case when delay_days > 3 or status in ('EXCEPTION', 'CUSTOMS_HOLD') then 1 else 0 end as label, month(expected)::int as month, (dayofweek(expected) + 1)::int as day_of_week, quarter(expected)::int as quarter,
+  (month(expected) >= 10)::int as is_q4, (dayofweek(expected) in (0, 6))::int as is_weekend, round(sin(month(expected) * (2 * 3.14159265::double / 12)), 4) + 0.0 as month_sin, (transport_mode = 'OCEAN')::int as is_ocean,
+  round(ln(1 + cargo_value_usd), 4) as log_cargo, round(coalesce(case when r.n >= 10 then r.rate else 0.25::double end, 0.25::double), 4) as route_risk, round(coalesce(p.disruption_rate_90, 0.1::double), 4) as sup_disruption_rate_90,
+  round(coalesce(p.on_time_rate_90, 0.9::double), 4) as sup_on_time_rate_90, round(coalesce(p.geo_score, 0.3::double), 4) as sup_geo_score, round(coalesce(p.financial_risk, 0.3::double), 4) as sup_financial_risk, round(coalesce(p.network_pagerank, 0.01::double), 4) as sup_network_pagerank
+from ship s left join route r using (origin_port, destination_port) left join feat p on s.supplier_id = p.supplier_id where s.dq_score >= 0.6"""))
+def shipment_features(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    shipments = bronze_table(f)
+    found = silver.shipment_features(shipments, features(f, shipments))
+    return found.select("purchase_order_id", "label", "month", "day_of_week", "quarter", "is_q4", "is_weekend", *r4("month_sin"), "is_ocean", *r4("log_cargo", "route_risk", "sup_disruption_rate_90", "sup_on_time_rate_90", "sup_geo_score", "sup_financial_risk", "sup_network_pagerank"))
+
+
+@register("label_report", with_feeds("select count(*) as total, round(avg(label::double), 6) as label_rate from (select case when delay_days > 3 or status in ('EXCEPTION', 'CUSTOMS_HOLD') then 1 else 0 end as label from ship where dq_score >= 0.6)"))
+def label_report(spark: SparkSession, d: str) -> DataFrame:
+    return gold.label_report(silver.labelled(ships(Feeds(spark, d)))).select("total", F.round("label_rate", 6).alias("label_rate"))
+
+
+@register("geo_report", with_feeds("select count(*) as total, sum((round(geo_score, 9) >= 0.75)::int)::bigint as critical, round(avg((round(geo_score, 9) >= 0.75)::int::double), 6) as critical_rate from geo"))
+def geo_report(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.columns import geo_tier
+
+    rows = country(Feeds(spark, d)).withColumn("geo_risk_tier", geo_tier(F.round("geo_score", 9)))
+    return gold.geo_report(rows).select("total", "critical", F.round("critical_rate", 6).alias("critical_rate"))
 
 
 @register("gold_orders90", with_feeds("""
@@ -329,3 +372,19 @@ def route_question(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     risk = master(Feeds(spark, d)).filter("composite is not null")
     return gold.top(risk, 20, F.col("composite").desc(), "supplier_id").select("supplier_id", *r4("composite"), "risk_tier")
+
+
+@register("risk_filter", _master("""
+select 'all' as choice, supplier_id, round(composite, 4) as composite, risk_tier from (select * from master where composite >= 0.3 order by composite desc, supplier_id limit 25)
+union all select 'medium', supplier_id, round(composite, 4), risk_tier from (select * from master where composite >= 0.3 and risk_tier in ('MEDIUM', 'HIGH') order by composite desc, supplier_id limit 25)"""))
+def risk_filter(spark: SparkSession, d: str) -> DataFrame:
+    risk = master(Feeds(spark, d))
+    chosen = [gold.risk_filter(risk, tiers, 0.3, 25).select(F.lit(name).alias("choice"), "supplier_id", *r4("composite"), "risk_tier") for name, tiers in (("all", []), ("medium", ["MEDIUM", "HIGH"]))]
+    return chosen[0].unionByName(chosen[1])
+
+
+@register("supplier_alerts", _master("""
+select supplier_id, 'Supplier ' || supplier_id || ' is ' || risk_tier || ' with a composite score of ' || printf('%.4f', composite) as risk_summary, case when risk_tier = 'CRITICAL' then 'Qualify a backup supplier' else 'Review open orders' end as recommended_action,
+  case when risk_tier = 'CRITICAL' then 'CRITICAL' else 'HIGH' end as urgency, 'SENT' as status, 'AGENT' as created_by from master where composite > 0.5"""))
+def supplier_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return gold.alerts(master(Feeds(spark, d)))

@@ -27,30 +27,33 @@ FEEDS = {
     "trade": f"select n_name as country_code, date_trunc('month', order_date)::date as month, ({_PM('o_orderkey', 100)})::double / 100 as deficit, ({_PM('o_orderkey', 17)} = 0)::int as dispute, ({_PM('o_orderkey', 50)})::double / 50 as hhi from o_nation",
     "commodity": "select p_brand as commodity_code, ship as price_date, avg(l_extendedprice / l_quantity) as close_price from li join part on l_partkey = p_partkey group by all",
     "ports": f"select n_name as country_code, ship as event_date, ({_PM('l_orderkey * 3', 240)})::double as wait from li join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_linenumber = 1",
-    "gold_orders": "select l_suppkey as supplier_id, purchase_order_id as order_id, order_date, (d <= 0)::int as on_time, d::double as delay from carrier",
-    "gold_shipments": "select l_suppkey as supplier_id, case when raw_status = 'De' then 'LOST' when raw_status = 'DL' and d > 3 then 'DELAYED' else 'ON_TIME' end as status, d::double as delay from carrier",
+    "gold_orders": f"select l_suppkey as supplier_id, purchase_order_id as order_id, order_date, (d <= {_PM('l_suppkey', 13)} - 6)::int as on_time, d::double as delay from carrier",
+    "gold_shipments": f"select l_suppkey as supplier_id, case when raw_status = 'De' then 'LOST' when raw_status = 'DL' and d > {_PM('l_suppkey', 7)} then 'DELAYED' else 'ON_TIME' end as status, (greatest(d, 0) + {_PM('l_suppkey', 20)})::double as delay from carrier",
     "inventory": f"""
       select p_partkey as sku_id, {_PM("p_partkey", "n_sup")} as supplier_id, (p_size * 10)::double as stock, coalesce(dd, 0)::double as daily_demand,
         (p_size * 10)::double / nullif(coalesce(dd, 0)::double, 0) as days_of_supply, coalesce(dr, 0)::double as avg_daily_revenue, p_retailprice as unit_cost_usd
       from part cross join (select count(*) as n_sup from supplier) left join (select l_partkey, sum(l_quantity) / 2500 as dd, sum(l_extendedprice) / 2500 as dr from lineitem group by 1) on p_partkey = l_partkey""",
+    "risk_sup": f"select s_suppkey as supplier_id, greatest(1, {_PM('s_suppkey * 7', 46)} - 1)::double as lt_mean, 1.1::double + ({_PM('s_suppkey', 20)})::double / 10 as factor from supplier",
     "weeks": "select floor(date_diff('day', date '1995-01-01', event_date) / 7)::int as scenario_id, l_suppkey as supplier_id, d from carrier",
-    "scenarios": f"""
-      select scenario_id, supplier_id, case when share >= 0.75::double then 1 else 0 end as disrupted, 10.0::double + coalesce(late, 0) as lead, 1.1::double + ({_PM("supplier_id", 20)})::double / 10 as factor
-      from (select distinct scenario_id from weeks) cross join (select s_suppkey as supplier_id from supplier)
-      left join (select scenario_id, supplier_id, avg((d > 3)::int::double) as share, avg(greatest(d, 0)::double) as late from weeks group by 1, 2) using (scenario_id, supplier_id)""",
+    "scenarios": """
+      select scenario_id, supplier_id, case when share >= 0.75::double then 1 else 0 end as disrupted, lt_mean + late as lead
+      from (select scenario_id, supplier_id, avg((d > 3)::int::double) as share, avg(greatest(d, 0)::double) as late from weeks group by 1, 2) join risk_sup using (supplier_id)""",
     "edges": f"""
-      select *, least(1.0::double, 0.2::double + flow_volume / sum(flow_volume) over (partition by src)) as c, ({_PM("src * 31 + dst", 4)} = 0)::int as contagion_label
-      from (select *, row_number() over (partition by src order by flow_volume desc, dst) as rn from (
-        select a.l_suppkey as src, b.l_suppkey as dst, round(sum(a.l_extendedprice), 2) as flow_volume from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1, 2)) where rn <= 10""",
+      select src, dst, flow_volume, least(1.0::double, flow_volume / sum(flow_volume) over (partition by src) * (1 + ({_PM("src * 37", 100)})::double / 50)) as c, ({_PM("src * 31 + dst", 4)} = 0)::int as contagion_label
+      from (select a.l_suppkey as src, b.l_suppkey as dst, round(sum(a.l_extendedprice), 2) as flow_volume from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1, 2)""",
+    "spread": """
+      select scenario_id, supplier_id, coalesce(disrupted, 0)::int as disrupted, lead, greatest(coalesce(disrupted, 0), coalesce(hit, 0))::int as second from scenarios full join (
+        select scenario_id, dst as supplier_id, 1 as hit from (select scenario_id, supplier_id as src from scenarios where disrupted = 1) join edges using (src) group by 1, 2 having round(sum(c), 8) > 0.5) using (scenario_id, supplier_id)""",
     "scores": f"select doc_id, quality::int as y, ({_PM('n_chars', 1000)})::double / 1000 as p, ({_PM('n_chars * 7', 1000)})::double / 1000 as p2 from labels join documents using (doc_id)",
     "ev": "select value::double as value, hour(ts)::double as hour, least(value / 500, 1.0::double) as score, ts < timestamp '2024-01-16' as ref from events",
     "sold": "select p_brand as sku, n_regionkey as region, floor(date_diff('day', date '1995-01-01', ship) / 7)::int as t, sum(l_quantity) as q from li join part on l_partkey = p_partkey join o_nation on l_orderkey = o_orderkey group by all",
     "demand": "select sku, region, t, coalesce(q, 0)::double as demand from (select distinct sku, region from sold) cross join (select unnest(range(a, b + 1))::int as t from (select min(t)::bigint as a, max(t)::bigint as b from sold)) left join sold using (sku, region, t)",
+    "lagged": "select *, lag(demand, 52) over (partition by sku, region order by t) as naive from demand",
     # ------------------------------------------------------------ layers
     "ship": """
       select *, 1.0::double - case when purchase_order_id is null then 0.35::double else 0 end - case when supplier_id is null then 0.30::double else 0 end - case when status = 'UNKNOWN' then 0.20::double else 0 end - case when delay_days < -7 then 0.15::double else 0 end as dq_score
       from (
-        select c.purchase_order_id, l_suppkey, event_date, order_date, origin_port, destination_port, cargo_value_usd, supplier_id, sku_id,
+        select c.purchase_order_id, l_suppkey, event_date, order_date, expected, origin_port, destination_port, cargo_value_usd, supplier_id, sku_id,
           case raw_status when 'DL' then 'DELIVERED' when 'De' then 'EXCEPTION' when 'TRANSIT' then 'IN_TRANSIT' when 'customs' then 'CUSTOMS_HOLD' when 'Loaded' then 'VESSEL_LOADED' else 'UNKNOWN' end as status,
           case when carrier_type in ('MAERSK', 'MSC') then 'OCEAN' when carrier_type in ('FEDEX', 'DHL') then 'AIR_PARCEL' else 'TRUCK' end as transport_mode,
           case when actual is not null then date_diff('day', expected, actual)::double else greatest(0, date_diff('day', expected, date '2001-11-05'))::double end as delay_days,
@@ -59,7 +62,7 @@ FEEDS = {
     "sup": """
       select *, 1.0::double - 0.40::double * no_id - 0.20::double * no_name - 0.20::double * no_country - 0.10::double * bad_spend - 0.10::double * bad_lead as dq_score
       from (select *, (supplier_id is null)::int as no_id, (supplier_name is null)::int as no_name, (country_code is null)::int as no_country, (annual_spend_usd < 0)::int as bad_spend, (avg_lead_time_days <= 0)::int as bad_lead from sup_raw)""",
-    "evs": "select *, (delay_days > 0)::int as late, (delay_days <= 0)::int as ok, case when status in ('EXCEPTION', 'CUSTOMS_HOLD', 'DELAYED', 'AT_RISK') then 1 else 0 end as disrupted from ship where dq_score >= 0.6 and supplier_id is not null",
+    "evs": "select *, (delay_days > 0)::int as late, (delay_days <= 0)::int as ok, case when status = 'EXCEPTION' then 1 else 0 end as disrupted from ship where dq_score >= 0.6 and supplier_id is not null",
     "roll": """
       select *, avg(ok::double) over w7 as on_time_7, avg(ok::double) over w30 as on_time_30, avg(ok::double) over w90 as on_time_90, avg(delay_days) over w30 as delay_30, avg(delay_days) over w90 as delay_90, stddev(delay_days) over w90 as delay_std_90,
         sum(disrupted) over w90 as disruptions_90, count(*) over w90 as total_90
@@ -75,13 +78,14 @@ FEEDS = {
     "g_comm": "select price_date, avg(vol) as vol from g_comm_rows group by 1",
     "g_port": "select country_code, event_date, avg(wait) as wait, least(1, avg(wait) / 168) as port_score from ports group by 1, 2",
     "geo": """
-      select *, greatest(0, least(1, 0.30::double * conflict_score + 0.25::double * instability + 0.20::double * trade_score + 0.15::double * volatility + 0.10::double * port_score)) as geo_score from (
+      select *, greatest(0, least(1, 0.30::double * instability + 0.25::double * trade_score + 0.20::double * conflict_score + 0.15::double * port_score + 0.10::double * volatility)) as geo_score from (
         select c.country_code, c.event_date, conflict_score, coalesce(instability, 0.5::double) as instability, coalesce(trade_score, 0.0::double) as trade_score, coalesce(vol, 0.0::double) as volatility, coalesce(port_score, 0.0::double) as port_score
         from g_conflict c left join g_port p using (country_code, event_date) left join g_gov g on c.country_code = g.country_code and year(c.event_date) = g.year
         left join g_trade t on c.country_code = t.country_code and date_trunc('month', c.event_date) = t.month left join g_comm m on c.event_date = m.price_date)""",
     "scen_loss": """
-      select s.scenario_id, sum(greatest(0, s.lead - coalesce(i.days_of_supply, 0)) * i.avg_daily_revenue * s.disrupted + s.disrupted * i.avg_daily_revenue * s.lead * (s.factor - 1)) as loss
-      from scenarios s join inventory i using (supplier_id) group by 1""",
+      select scenario_id, round(coalesce(loss, 0), 4)::double as loss from (select distinct scenario_id from spread) left join (
+        select scenario_id, sum(greatest(0, coalesce(lead, lt_mean) - coalesce(days_of_supply, 0)) * avg_daily_revenue + avg_daily_revenue * lt_mean * (factor - 1)) as loss
+        from spread join risk_sup using (supplier_id) join inventory using (supplier_id) where second = 1 group by 1) using (scenario_id)""",
 }
 
 
@@ -105,6 +109,3 @@ def with_feeds(query: str) -> str:
         return query
     return f"with {head}\n{query}" if not query.lstrip().lower().startswith("with ") else f"with {head}, {query.lstrip()[5:]}"
 
-
-def with_recursive_feeds(query: str) -> str:
-    return with_feeds(query).replace("with ", "with recursive ", 1)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import forecast, loss, network, scoring
+from tidemark.operators import bronze, forecast, gold, loss, network, scoring, silver
 from tidemark.plans.registry import register
-from tidemark.plans.relational import r4
+from tidemark.plans.relational import _MASTER, master, r4, ships
 from tidemark.plans.sqltext import with_feeds
-from tidemark.sources.adapters import Feeds
+from tidemark.sources.adapters import AS_OF, Feeds
+from tidemark.sources.stored import store
 
 FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LONG = "lf as (select po_id, feature, value from (unpivot (select po_id, l_quantity, l_extendedprice, l_discount, l_tax from li) on l_quantity, l_extendedprice, l_discount, l_tax into name feature value value))"
@@ -62,6 +63,61 @@ def anomaly_records(spark: SparkSession, d: str) -> DataFrame:
     return found.select("po_id", *r4("score"), F.array_join("top_features", ",").alias("top_features"))
 
 
+_SCORED = f"""{TAILS}, m as (select min(raw) as lo, max(raw) as hi, quantile_cont(raw, 0.95) as cut from raws),
+sc as (select po_id, least(1, greatest(0, (raw - lo) / (hi - lo + 1e-9::double))) as score, (round(raw, 8) >= round(cut, 8))::int as flag from raws cross join m)"""
+
+
+@register("detector_eval", with_feeds(f"""
+with {_SCORED}, lb as (select purchase_order_id as po_id, case when delay_days > 3 or status in ('EXCEPTION', 'CUSTOMS_HOLD') then 1 else 0 end as y from ship where dq_score >= 0.6), b as (select y, round(score, 9) as p from sc join lb using (po_id)),
+st as (select p, sum(y) as pos, count(*) as n from b group by 1), cu as (select *, sum(pos) over (order by p desc) as tp, sum(pos) over () as ap, sum(n) over () as ar from st)
+select round((select sum((n - pos) * (tp - pos + pos / 2.0::double)) / (max(ap) * (max(ar) - max(ap))) from cu), 6) as roc_auc, round(avg((p >= 0.6)::int::double), 6) as anomaly_rate, round(avg(y), 6) as disruption_rate, 0.6::double as threshold, count(*) as n_samples from b"""))
+def detector_eval(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    labels = silver.labelled(ships(f)).select(F.col("purchase_order_id").alias("po_id"), "label")
+    scored = scoring.ecod(long(f), "po_id").join(labels, "po_id").withColumn("score", F.round("score", 9))
+    return scoring.detector_report(scored, "label", "score").withColumns({c: F.round(c, 6) for c in ("roc_auc", "anomaly_rate", "disruption_rate")})
+
+
+@register("anomaly_kpi", with_feeds(f"with {_SCORED} select count(*) as n_anomalies, round(avg(score), 3) as avg_score, round(max(score), 3) as max_score from sc where flag = 1"))
+def anomaly_kpi(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.anomaly_kpis(scoring.ecod(long(Feeds(spark, d)), "po_id"), "score", "flag")
+
+
+@register("alert_badges", with_feeds(f"with {_SCORED}, r as (select po_id, round(score, 9) as score from sc where flag = 1) select po_id, round(score, 4) as score, case when score > 0.8 then 'CRITICAL' else 'HIGH' end as badge from (select * from r order by score desc, po_id limit 5)"))
+def alert_badges(spark: SparkSession, d: str) -> DataFrame:
+    scored = scoring.ecod(long(Feeds(spark, d)), "po_id").withColumn("score", F.round("score", 9))
+    return scoring.top_alerts(scored, "po_id", "score", "flag").select("po_id", *r4("score"), "badge")
+
+
+_Z = "g as (select feature, avg(value) as mean, stddev_pop(value) as dev from lf group by 1), z as (select po_id, feature, value, mean, dev, round((value - mean) / (dev + 1e-9::double), 3) as z from lf join g using (feature))"
+
+
+@register("importances", with_feeds(f"with {LONG}, {_Z} select feature, round(avg(abs(z)), 4) as importance from z group by 1 order by avg(abs(z)) desc, feature limit 10"))
+def importances(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.importances(scoring.z_scores(long(Feeds(spark, d))), "z").select("feature", *r4("importance"))
+
+
+@register("narrative", with_feeds(f"""
+with {_SCORED}, {_Z}, t as (select po_id, feature, z, row_number() over (partition by po_id order by abs(z) desc, feature) as place from z join (select po_id from sc where flag = 1) using (po_id))
+select po_id, string_agg('  ' || feature || printf(': %+.4f', z) || case when z > 0 then ' (↑ risk)' else ' (↓ risk)' end, chr(10) order by place) as narrative from t where place <= 3 group by 1"""))
+def narrative(spark: SparkSession, d: str) -> DataFrame:
+    rows = long(Feeds(spark, d))
+    flagged = scoring.ecod(rows, "po_id").filter("flag = 1").select("po_id")
+    return gold.narrative(scoring.z_scores(rows).join(flagged, "po_id").select("po_id", "feature", F.col("z").alias("value")), "po_id")
+
+
+@register("anomaly_text", with_feeds(f"""
+with {_SCORED}, {_Z}, t as (select *, row_number() over (partition by po_id order by abs(z) desc, feature) as place from z join (select po_id, round(score, 9) as score from sc where flag = 1) using (po_id))
+select po_id, printf('Anomaly of %s: score %.4f (threshold %.2f); %s is %.2f, expected %.2f to %.2f, z %+.3f', po_id, score, 0.6::double, feature, round(value, 2), round(mean - 2 * dev, 4), round(mean + 2 * dev, 4), z) as text from t where place = 1"""))
+def anomaly_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = long(Feeds(spark, d))
+    fitted = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    z = rows.join(F.broadcast(fitted), "feature").withColumn("z", F.round((F.col("value") - F.col("mean")) / (F.col("deviation") + scoring.EPS), 3))
+    flagged = scoring.ecod(rows, "po_id").filter("flag = 1").select("po_id", F.round("score", 9).alias("score"))
+    first = scoring.strongest(z.join(flagged, "po_id"), "po_id", "z", 1)
+    return gold.anomaly_text(first.withColumn("value", F.round("value", 2)), "po_id", 0.6)
+
+
 _BOTH = "bs as (select 'champion' as model, y, p from scores union all select 'candidate', y, p2 from scores)"
 _STEP = f"{_BOTH}, st as (select model, p, sum(y) as pos, count(*) as n from bs group by 1, 2), cu as (select *, sum(pos) over w as tp, sum(n) over w as rws, sum(pos) over (partition by model) as ap, sum(n) over (partition by model) as ar from st window w as (partition by model order by p desc))"
 
@@ -129,6 +185,17 @@ def promotion(spark: SparkSession, d: str) -> DataFrame:
     return scoring.promotions(metrics).select("model_id", "status", "next_status")
 
 
+@register("model_listing", with_feeds(f"""
+with {_STEP}, a as (select model, sum((n - pos) * (tp - pos + pos / 2.0::double)) / (max(ap) * (max(ar) - max(ap))) as auc from cu group by 1)
+select 'risk' as model_type, a.model as model_id, '1.0' as version, upper(a.model) as status, round(auc, 6) as auc, round(b, 6) as brier, n as training_samples, '2001-11-05' as registered_at, substr(sha256(a.model), 1, 12) as sha256
+from a join (select model, avg((p - y) * (p - y)) as b, count(*) as n from bs group by 1) using (model)"""))
+def model_listing(spark: SparkSession, d: str) -> DataFrame:
+    s = both(Feeds(spark, d))
+    rows = scoring.auc(s, ["model"]).join(scoring.brier(s, ["model"]), "model")
+    versions = rows.select(F.lit("risk").alias("model_type"), F.col("model").alias("model_id"), F.lit("1.0").alias("version"), F.upper("model").alias("status"), F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier"), F.col("n").alias("training_samples"), F.lit(AS_OF).alias("registered_at"), F.sha2("model", 256).alias("sha256"))
+    return scoring.registry_listing(versions, "risk")
+
+
 _EV = "lv as (select feature, v, ref from (unpivot ev on value, hour into name feature value v))"
 _PSI = f"""{_EV}, ed as (select feature, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as e from lv where ref group by 1),
 bn as (select feature, ref, case when v = e[-1] then len(e) - 1 else len(list_filter(e, lambda x: x <= v)) end as b, len(e) as k from lv join ed using (feature)),
@@ -164,8 +231,15 @@ def drift_report(spark: SparkSession, d: str) -> DataFrame:
 _TAIL = "cu as (select quantile_cont(loss, 0.95) as v95, quantile_cont(loss, 0.99) as v99 from scen_loss)"
 
 
-def losses(f: Feeds) -> DataFrame:
-    return loss.scenario_losses(f.scenarios(), f.inventory())
+def spread(f: Feeds) -> DataFrame:
+    """Scenarios after contagion, stored, as losses and their attribution both read them."""
+    return store(loss.spread_disruption(f.scenarios(), f.edges()), "scenarios")
+
+
+def losses(f: Feeds, scenarios: DataFrame | None = None) -> DataFrame:
+    """Losses to a hundredth of a cent, so that equal ones tie whatever the order of their sums; stored."""
+    found = loss.scenario_losses(scenarios or spread(f), f.inventory(), f.risk_suppliers())
+    return store(found.withColumn("loss", F.round("loss", 4)), "losses")
 
 
 @register("scenario_loss", with_feeds("select scenario_id, round(loss, 2) as loss from scen_loss"))
@@ -175,20 +249,22 @@ def scenario_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @register("var_cvar", with_feeds(f"""
 with {_TAIL} select round(max(v95), 2) as var_95, round(max(v99), 2) as var_99, round(avg(loss) filter (where loss >= v95), 2) as cvar_95, round(avg(loss) filter (where loss >= v99), 2) as cvar_99, round(avg(loss), 2) as mean_loss, round(stddev_pop(loss), 2) as std_loss, count(*) as n_scenarios,
-  round((select avg(h) from (select max(disrupted) as h from scenarios group by scenario_id)), 4) as p_any, max(v95) > 1000000 as escalate from scen_loss cross join cu"""))
+  round((select avg(h) from (select max(second) as h from spread group by scenario_id)), 4) as p_any, max(v95) > 1000000 as escalate from scen_loss cross join cu"""))
 def var_cvar(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    found = loss.tail_metrics(losses(f)).crossJoin(loss.any_disruption(f.scenarios()))
+    scenarios = spread(f)
+    found = loss.tail_metrics(losses(f, scenarios)).crossJoin(loss.any_disruption(scenarios))
     return found.select(*(F.round(c, 2).alias(c) for c in ("var_95", "var_99", "cvar_95", "cvar_99", "mean_loss", "std_loss")), "n_scenarios", *r4("p_any"), (F.col("var_95") > 1_000_000).alias("escalate"))
 
 
 @register("tail_attr", with_feeds(f"""
 with {_TAIL}, tl as (select scenario_id from scen_loss cross join cu where loss >= v95)
-select supplier_id, round(sum(disrupted) / (select count(*) from tl)::double, 4) as tail_frequency, round(sum(disrupted) / (select count(*) from tl)::double * (select v95 from cu) / (select count(*) from supplier), 2) as marginal_var
-from scenarios where scenario_id in (select scenario_id from tl) group by 1 order by sum(disrupted) desc, supplier_id limit 10"""))
+select supplier_id, round(sum(second) / (select count(*) from tl)::double, 4) as tail_frequency, round(sum(second) / (select count(*) from tl)::double * (select v95 from cu) / (select count(*) from supplier), 2) as marginal_var
+from spread where scenario_id in (select scenario_id from tl) group by 1 order by sum(second) desc, supplier_id limit 10"""))
 def tail_attr(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    return loss.tail_attribution(f.scenarios(), losses(f)).select("supplier_id", *r4("tail_frequency"), F.round("marginal_var", 2).alias("marginal_var"))
+    scenarios = spread(f)
+    return loss.tail_attribution(scenarios, losses(f, scenarios), f.risk_suppliers()).select("supplier_id", *r4("tail_frequency"), F.round("marginal_var", 2).alias("marginal_var"))
 
 
 @register("roi", with_feeds(f"""
@@ -201,6 +277,18 @@ def roi(spark: SparkSession, d: str) -> DataFrame:
     return found.select("option", *(F.round(c, 2).alias(c) for c in ("avoided", "net")), *r4("roi_pct"), F.round("payback_months", 6).alias("payback_months"))
 
 
+@register("briefing_text", with_feeds(f"""
+with {_MASTER}, {_TAIL}, t as (select round(avg(loss), 2) as mean_loss, round(max(v95), 2) as v95, round(avg(loss) filter (where loss >= v95), 2) as c95 from scen_loss cross join cu),
+b as (select sum((risk_tier = 'CRITICAL')::int)::bigint as nc, sum((risk_tier = 'HIGH')::int)::bigint as nh, round(sum(case when risk_tier in ('CRITICAL', 'HIGH') then greatest(coalesce(annual_spend_usd, 0), 0) else 0 end) / sum(greatest(coalesce(annual_spend_usd, 0), 0)) * 100, 4) as pct from master),
+i as (select sum((days_of_supply < 7)::int)::bigint as s7, sum((days_of_supply < 14)::int)::bigint as s14, round(sum(case when days_of_supply < 7 then avg_daily_revenue else 0 end), 4) as rev from inventory)
+select printf('Critical suppliers: %d (%.2f%% of spend at risk), high: %d. Mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f. SKUs under 7 days: %d, under 14 days: %d, revenue at risk %.2f.', nc, pct, nh, mean_loss, v95, c95, s7, s14, rev) as text from b cross join t cross join i"""))
+def briefing_text(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    totals = gold.briefing(master(f), f.inventory()).withColumns({c: F.round(c, 4) for c in ("pct_spend_at_risk", "revenue_at_risk")})
+    metrics = loss.tail_metrics(losses(f)).select(*(F.round(c, 2).alias(c) for c in ("mean_loss", "var_95", "cvar_95")))
+    return gold.briefing_text(totals, metrics)
+
+
 @register("convergence", with_feeds("""
 with pr as (select n, loss from scen_loss join (select unnest([50, 100, 200, 400]) as n) on scenario_id < n), cut as (select n, quantile_cont(loss, 0.95) as v from pr group by 1)
 select n, round(max(v), 2) as var_95, round(avg(loss) filter (where loss >= v), 2) as cvar_95 from pr join cut using (n) group by 1"""))
@@ -208,12 +296,9 @@ def convergence(spark: SparkSession, d: str) -> DataFrame:
     return loss.convergence(losses(Feeds(spark, d)), [50, 100, 200, 400]).select("n", *(F.round(c, 2).alias(c) for c in ("var_95", "cvar_95")))
 
 
-@register("contagion2", with_feeds("""
-with rc as (select scenario_id, dst as supplier_id, sum(c) as pressure from (select scenario_id, supplier_id as src from scenarios where disrupted = 1) join edges using (src) group by 1, 2)
-select scenario_id, supplier_id, disrupted, case when disrupted = 1 or coalesce(round(pressure, 8), 0) > 0.5 then 1 else 0 end as second from scenarios left join rc using (scenario_id, supplier_id)"""))
+@register("contagion2", with_feeds("select scenario_id, supplier_id, disrupted, second from spread"))
 def contagion2(spark: SparkSession, d: str) -> DataFrame:
-    f = Feeds(spark, d)
-    return loss.spread_disruption(f.scenarios(), f.edges()).select("scenario_id", "supplier_id", "disrupted", "second")
+    return spread(Feeds(spark, d)).select("scenario_id", "supplier_id", "disrupted", "second")
 
 
 # ---------------------------------------------------------------- network
@@ -226,9 +311,17 @@ def nodes(f: Feeds) -> DataFrame:
 _NODES = "nd as (select s_suppkey as id, ((s_suppkey * 37) % 100)::double / 100 as p from supplier)"
 
 
-@register("edges_top", with_feeds("select src, dst, round(flow_volume, 2) as flow_volume, round(c, 4) as c, contagion_label from edges"))
+@register("edges_top", with_feeds("select src, dst, round(flow_volume, 2) as flow_volume, round(c, 4) as c, contagion_label from (select *, row_number() over (partition by src order by flow_volume desc, dst) as place from edges) where place <= 10"))
 def edges_top(spark: SparkSession, d: str) -> DataFrame:
-    return Feeds(spark, d).edges().select("src", "dst", F.round("flow_volume", 2).alias("flow_volume"), *r4("c"), "contagion_label")
+    """The ten largest flows of each supplier; the other graph queries take all flows."""
+    return Feeds(spark, d).main_edges().select("src", "dst", F.round("flow_volume", 2).alias("flow_volume"), *r4("c"), "contagion_label")
+
+
+@register("contagion_top", with_feeds("select src, round(sum(c) / (select count(*) from supplier), 6) as mean_outbound from edges group by 1 order by sum(c) desc, src limit 5"))
+def contagion_top(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    n = f.table("supplier").count()
+    return network.contagion_order(f.edges(), n).select("src", F.round("mean_outbound", 6).alias("mean_outbound"))
 
 
 @register("spof", with_feeds("select supplier_id, count(*) as n_skus from (select l_partkey, min(l_suppkey) as supplier_id from lineitem where l_quantity >= 49 group by 1 having count(distinct l_suppkey) = 1) group by 1"))
@@ -257,19 +350,33 @@ def second_order(spark: SparkSession, d: str) -> DataFrame:
     return network.second_order_risk(nodes(f), f.edges()).select("id", F.round("score", 6).alias("score"))
 
 
-@register("reach", with_feeds("""
-with h0 as (select s_suppkey as seed, s_suppkey as id from supplier where s_suppkey < 20), h1 as (select distinct seed, dst as id, 1 as hop from h0 join edges on id = src), h2 as (select distinct seed, dst as id, 2 as hop from h1 join edges on id = src)
-select seed, id, min(hop)::int as hop from (select *, 0 as hop from h0 union all select * from h1 union all select * from h2) group by 1, 2"""))
+_REACH = """h0 as (select s_suppkey as seed, s_suppkey as id from supplier where s_suppkey % 100 = 0), h1 as (select distinct seed, dst as id, 1 as hop from h0 join edges on id = src), h2 as (select distinct seed, dst as id, 2 as hop from h1 join edges on id = src),
+h3 as (select distinct seed, dst as id, 3 as hop from h2 join edges on id = src), rc as (select seed, id, min(hop)::int as hop from (select *, 0 as hop from h0 union all select * from h1 union all select * from h2 union all select * from h3) group by 1, 2)"""
+
+
+def reached(f: Feeds) -> DataFrame:
+    return network.reach(f.edges(), nodes(f).filter("id % 100 = 0"), 3)
+
+
+@register("reach", with_feeds(f"with {_REACH} select seed, id, hop from rc"))
 def reach(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers whose id is divisible by 100, against all, over all flows, to three hops."""
+    return reached(Feeds(spark, d))
+
+
+@register("reach_spend", with_feeds(f"""
+with {_REACH}, sp as (select supplier_id as id, greatest(coalesce(annual_spend_usd, 0), 0) as spend from sup) select seed, sum((hop = 1)::int)::bigint as n_hop1, sum((hop = 2)::int)::bigint as n_hop2, sum((hop = 3)::int)::bigint as n_hop3,
+  round(sum(spend) / (select sum(spend) from sp) * 100, 4) as spend_pct from rc left join sp using (id) group by 1"""))
+def reach_spend(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    return network.reach(f.edges(), nodes(f).filter("id < 20"), 2)
+    return network.spend_coverage(reached(f), bronze.suppliers(f.supplier_master())).select("seed", "n_hop1", "n_hop2", "n_hop3", *r4("spend_pct"))
 
 
 @register("reach_all")
 def reach_all(spark: SparkSession, d: str) -> DataFrame:
-    """As reach, from all suppliers and to three hops."""
+    """From all suppliers, to three hops, over each one's ten largest flows: over all flows nearly every pair is one hop apart."""
     f = Feeds(spark, d)
-    return network.reach(f.edges(), nodes(f), 3)
+    return network.reach(f.main_edges(), nodes(f), 3)
 
 
 _RANK = "".join(
@@ -300,15 +407,14 @@ def demand_windows(spark: SparkSession, d: str) -> DataFrame:
     return forecast.supervised(Feeds(spark, d).demand(), 8, 4).select("sku", "region", "t", text("x"), text("y"))
 
 
-@register("demand_scaled", with_feeds("select sku, region, t, round((demand - avg(demand) over w) / nullif(stddev_pop(demand) over w, 0), 4) + 0.0 as scaled from demand window w as (partition by sku, region)"))
+@register("demand_scaled", with_feeds("select sku, region, t, round((demand - avg(demand) over w) / nullif(stddev_pop(demand) over w, 0), 4) + 0.0 as scaled, round(demand, 4) as restored from demand window w as (partition by sku, region)"))
 def demand_scaled(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.standardise(Feeds(spark, d).demand()).select("sku", "region", "t", *r4("scaled"))
+    return forecast.unscale(forecast.standardise(Feeds(spark, d).demand())).select("sku", "region", "t", *r4("scaled", "restored"))
 
 
 def _fc(origin: int) -> str:
-    return f"""(select sku, region, d.t + 52 as t, greatest(0, d.demand + q[1]) as p10, greatest(0, d.demand + q[2]) as p50, greatest(0, d.demand + q[3]) as p90 from demand d
-  join (select a.sku, a.region, quantile_cont(a.demand - b.demand, [0.1, 0.5, 0.9]) as q from demand a join demand b on a.sku = b.sku and a.region = b.region and a.t = b.t + 52 where a.t <= {origin} group by 1, 2) using (sku, region)
-  where d.t <= {origin} and d.t + 52 > {origin} and d.t + 52 <= {origin} + 14)"""
+    return f"""(select sku, region, t, greatest(0, naive + q[1]) as p10, greatest(0, naive + q[2]) as p50, greatest(0, naive + q[3]) as p90 from (
+  select *, quantile_cont(case when t <= {origin} then demand - naive end, [0.1, 0.5, 0.9]) over (partition by sku, region) as q from lagged) where t > {origin} and t <= {origin} + 14 and naive is not null)"""
 
 
 _LOSS = "avg((greatest(-0.9::double * (demand - p10), 0.1::double * (demand - p10)) + greatest(-0.5::double * (demand - p50), 0.5::double * (demand - p50)) + greatest(-0.1::double * (demand - p90), 0.9::double * (demand - p90))) / 3)"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans import registry, relational
 from tidemark.plans.registry import register
-from tidemark.sources.adapters import Feeds
+from tidemark.sources.adapters import AS_OF, Feeds
 from tidemark.streaming import streams
 
 text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -14,16 +15,14 @@ text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 @register("st_tumbling", "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def st_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    Feeds(spark, d).table("events")  # sets the session's zone
-    return streams.drain(streams.tumbling(streams.event_stream(spark, d))).select(text("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return streams.drain(streams.tumbling(streams.event_stream(spark, d)), "update", ["start", "event_type"]).select(text("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @register("st_sliding", """
 select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(avg((value < 60)::int::double), 4) as rate
 from (select value, unnest(generate_series(date_trunc('day', ts) - interval 6 days, date_trunc('day', ts), interval 1 day)) as start from events) group by 1""")
 def st_sliding(spark: SparkSession, d: str) -> DataFrame:
-    Feeds(spark, d).table("events")
-    return streams.drain(streams.sliding(streams.event_stream(spark, d))).select(text("start"), "n", F.round("rate", 4).alias("rate"))
+    return streams.drain(streams.sliding(streams.event_stream(spark, d)), "update", ["start"]).select(text("start"), "n", F.round("rate", 4).alias("rate"))
 
 
 @register("st_session", """
@@ -31,19 +30,16 @@ with g as (select *, case when ts >= lag(ts) over (partition by user_id order by
 s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as "end", user_id, count(*) as n from s group by user_id, k""")
 def st_session(spark: SparkSession, d: str) -> DataFrame:
-    Feeds(spark, d).table("events")
     return streams.drain(streams.sessions(streams.event_stream(spark, d))).select(text("start"), text("end"), "user_id", "n")
 
 
 @register("st_latest", "select user_id, arg_max(event_id, ts) as event_id, arg_max(event_type, ts) as event_type, round(arg_max(value, ts), 4) as value, count(*) as n_events from events group by 1")
 def st_latest(spark: SparkSession, d: str) -> DataFrame:
-    Feeds(spark, d).table("events")
-    return streams.drain(streams.latest_state(streams.event_stream(spark, d))).select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"), "n_events")
+    return streams.drain(streams.latest_state(streams.event_stream(spark, d)), "update", ["user_id"]).select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"), "n_events")
 
 
 @register("st_dedup", "select distinct event_id, event_type, user_id from events")
 def st_dedup(spark: SparkSession, d: str) -> DataFrame:
-    Feeds(spark, d).table("events")
     return streams.drain(streams.distinct_events(streams.event_stream(spark, d)), "append").select("event_id", "event_type", "user_id")
 
 
@@ -53,3 +49,27 @@ def st_scored(spark: SparkSession, d: str) -> DataFrame:
     past = Feeds(spark, d).table("events").filter("ts < '2024-01-16'")
     fitted = past.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
     return streams.drain(streams.scored(streams.event_stream(spark, d), fitted, 2.0), "append").select("event_id", "flag")
+
+
+class StreamedLines(Feeds):
+    """The feeds with order lines as a stream; the other tables stay as they are."""
+
+    def table(self, name: str) -> DataFrame:
+        return streams.event_stream(self.spark, self.folder, name, "l_shipdate") if name == "lineitem" else super().table(name)
+
+
+@register("st_bronze", registry.sql_of("bronze_shipments"))
+def st_bronze(spark: SparkSession, d: str) -> DataFrame:
+    """Tracking events as they come in, typed and joined with the table of purchase orders."""
+    typed = streams.bronze_stream(StreamedLines(spark, d).carrier(), Feeds(spark, d).purchase_orders(), AS_OF)
+    rows = streams.drain(relational.bronze_columns(typed), "append")
+    return rows
+
+
+@register("st_sliding30", """
+select strftime(start, '%Y-%m-%d %H:%M:%S') as start, user_id, count(*) as n, round(avg((value < 60)::int::double), 4) as rate
+from (select user_id, value, unnest(generate_series(date_trunc('day', ts) - interval 29 days, date_trunc('day', ts), interval 1 day)) as start from events) group by 1, 2""")
+def st_sliding30(spark: SparkSession, d: str) -> DataFrame:
+    """The rate over 30 days, by key."""
+    found = streams.drain(streams.sliding(streams.event_stream(spark, d), "30 days", by=["user_id"]), "update", ["start", "user_id"])
+    return found.select(text("start"), "user_id", "n", F.round("rate", 4).alias("rate"))

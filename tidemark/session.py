@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots."""
+    """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots.
+
+    Arrow batches are bounded in bytes as well as in rows, since one text can be long.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -21,9 +24,3 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; a new temporary one only where none is set (tests)."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))

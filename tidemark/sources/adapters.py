@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.sources.tables import load
 
@@ -134,12 +135,19 @@ class Feeds:
         lines = self.lines().filter("l_linenumber = 1").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
         return lines.select(F.col("n_name").alias("country_code"), F.col("ship").alias("event_date"), F.pmod(F.col("l_orderkey") * 3, F.lit(240)).cast("double").alias("wait_time_hours"))
 
+    def dated_lines(self) -> DataFrame:
+        """Order lines with the day of their order and their delay; what the third layer needs of the tracking events."""
+        orders = self.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
+        lines = self.lines().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.select(F.col("l_suppkey").alias("supplier_id"), "po_id", "order_date", F.concat("l_returnflag", "l_linestatus").alias("kind"), (F.pmod(days("order_date", "ship"), F.lit(21)) - 9).alias("d"))
+
     def gold_orders(self) -> DataFrame:
-        return self.carrier().select(F.col("l_suppkey").alias("supplier_id"), F.col("purchase_order_id").alias("order_id"), "order_date", (F.col("d") <= 0).cast("int").alias("on_time_flag"), F.col("d").cast("double").alias("delay_days"))
+        return self.dated_lines().select("supplier_id", F.col("po_id").alias("order_id"), "order_date", (F.col("d") <= F.pmod("supplier_id", F.lit(13)) - 6).cast("int").alias("on_time_flag"), F.col("d").cast("double").alias("delay_days"))
 
     def gold_shipments(self) -> DataFrame:
-        status = F.when(F.col("raw_status") == "De", "LOST").when((F.col("raw_status") == "DL") & (F.col("d") > 3), "DELAYED").otherwise("ON_TIME")
-        return self.carrier().select(F.col("l_suppkey").alias("supplier_id"), F.col("purchase_order_id").alias("shipment_id"), status.alias("status"), F.col("d").cast("double").alias("delay_days"))
+        status = F.when(F.col("kind") == "RF", "LOST").when((F.col("kind") == "AF") & (F.col("d") > F.pmod("supplier_id", F.lit(7))), "DELAYED").otherwise("ON_TIME")
+        late = (F.greatest("d", F.lit(0)) + F.pmod("supplier_id", F.lit(20))).cast("double")
+        return self.dated_lines().select("supplier_id", F.col("po_id").alias("shipment_id"), status.alias("status"), late.alias("delay_days"))
 
     def inventory(self) -> DataFrame:
         n_suppliers = self.table("supplier").agg(F.count("*").alias("n_suppliers"))
@@ -156,31 +164,31 @@ class Feeds:
             F.col("p_retailprice").alias("unit_cost_usd"),
         )
 
+    def risk_suppliers(self) -> DataFrame:
+        """Mean lead time and price of substitution by supplier."""
+        k = F.col("s_suppkey")
+        return self.table("supplier").select(k.alias("supplier_id"), F.greatest(F.lit(1.0), (F.pmod(k * 7, F.lit(46)) - 1).cast("double")).alias("avg_lead_time_days"), (F.lit(1.1) + F.pmod(k, F.lit(20)) / 10).alias("substitution_cost_factor"))
+
     def scenarios(self) -> DataFrame:
-        """Historical weeks as scenarios: every supplier in every week, disrupted if most of its lines were late."""
+        """Historical weeks as scenarios: the suppliers with lines in a week, disrupted if most of them were late."""
         weeks = self.carrier().select(F.floor(days(F.lit("1995-01-01").cast("date"), "event_date") / 7).cast("int").alias("scenario_id"), F.col("l_suppkey").alias("supplier_id"), "d")
         seen = weeks.groupBy("scenario_id", "supplier_id").agg(F.avg((F.col("d") > 3).cast("double")).alias("share"), F.avg(F.greatest("d", F.lit(0)).cast("double")).alias("late"))
-        spine = weeks.select("scenario_id").distinct().crossJoin(self.table("supplier").select(F.col("s_suppkey").alias("supplier_id")))
-        return spine.join(seen, ["scenario_id", "supplier_id"], "left").select(
-            "scenario_id",
-            "supplier_id",
-            F.when(F.col("share") >= 0.75, 1).otherwise(0).alias("disrupted"),
-            (F.lit(10.0) + F.coalesce("late", F.lit(0.0))).alias("lead_time_draw"),
-            (F.lit(1.1) + F.pmod("supplier_id", F.lit(20)) / 10).alias("substitution_cost_factor"),
-        )
-
-    def edges(self, k: int = 10) -> DataFrame:
-        """Suppliers that share an order: per source the k largest flows. An order has a few lines, so its pairs are few."""
-        from pyspark.sql.window import Window
+        joined = seen.join(self.risk_suppliers(), "supplier_id")
+        return joined.select("scenario_id", "supplier_id", F.when(F.col("share") >= 0.75, 1).otherwise(0).alias("disrupted"), (F.col("avg_lead_time_days") + F.col("late")).alias("lead_time_draw"))
 
+    def edges(self) -> DataFrame:
+        """Suppliers that share an order, with the flow between them. An order has a few lines, so its pairs are few."""
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
         left = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("src")).agg(F.sum("l_extendedprice").alias("v"))
         right = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
         flow = left.join(right, "l_orderkey").filter("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.col("v") * F.col("n")), 2).alias("flow_volume"))
-        order = Window.partitionBy("src").orderBy(F.col("flow_volume").desc(), "dst")
-        top = flow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
         share = F.col("flow_volume") / F.sum("flow_volume").over(Window.partitionBy("src"))
-        return top.withColumns({"c": F.least(F.lit(1.0), F.lit(0.2) + share), "contagion_label": (F.pmod(F.col("src") * 31 + F.col("dst"), F.lit(4)) == 0).cast("int")})
+        return flow.withColumns({"c": F.least(F.lit(1.0), share * (1 + F.pmod(F.col("src") * 37, F.lit(100)) / 50)), "contagion_label": (F.pmod(F.col("src") * 31 + F.col("dst"), F.lit(4)) == 0).cast("int")})
+
+    def main_edges(self, k: int = 10) -> DataFrame:
+        """Of each source the k largest flows."""
+        order = Window.partitionBy("src").orderBy(F.col("flow_volume").desc(), "dst")
+        return self.edges().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
     def labelled_scores(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "n_chars")

@@ -12,9 +12,8 @@ def lower_columns(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table with lower-case columns; times without a zone are read as UTC."""
+    """A Parquet table with lower-case columns; times without a zone are read in the session's."""
     df = lower_columns(spark.read.parquet(f"{folder}/{name}.parquet"))
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return df.select(*(F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in df.schema))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.bronze import shipments
-from tidemark.session import use_checkpoints
+from tidemark.sources.stored import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", time: str = "ts") -> DataFrame:
@@ -25,8 +25,9 @@ def tumbling(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def sliding(events: DataFrame, size: str = "7 days", step: str = "1 day", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n"), F.avg((F.col("value") < 60).cast("double")).alias("rate")).select(F.col("w.start").alias("start"), "n", "rate")
+def sliding(events: DataFrame, size: str = "7 days", step: str = "1 day", late: str = "1 hour", by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w"), *by).agg(F.count("*").alias("n"), F.avg((F.col("value") < 60).cast("double")).alias("rate")).select(F.col("w.start").alias("start"), *by, "n", "rate")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -55,19 +56,23 @@ def scored(events: DataFrame, fitted: DataFrame, limit: float = 3.0) -> DataFram
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    use_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its table.
 
-    The table is written to the shared folder, batch by batch: the whole result in complete mode, else what is new.
+    The table is written to the shared folder, batch by batch: the whole result in complete mode, what is new in append
+    mode, and in update mode what changed, of which the latest row of each of ``keys`` counts; windows past the watermark
+    leave the state.
     """
     spark = stream.sparkSession
     out = f"{_checkpoint(spark)}/table"
     stream.writeStream.outputMode(mode).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).foreachBatch(writer(out, mode)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row")).select("_row.*")
 
 
 def writer(path: str, mode: str) -> Callable[[DataFrame, int], None]:

@@ -45,3 +45,38 @@ def test_odd_rows(odd_docs, no_docs):
             assert (r.lang_pred == "und") == (not any(map(str.isalpha, text[r.doc_id] or "")))
     assert language_id.identify(no_docs, no_docs).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd_docs, no_docs).collect()} == {"und"}
+
+
+def test_pooling_against_one_text_at_a_time():
+    """Batches of segments of several lengths against each segment alone, byte by byte."""
+    net = language_id.ByteGru(3, 4, np.random.default_rng(1))
+    texts = [b"", b"a", b"words of running text, " * 30, b"12 34 \xc3\xa9", b"x" * 128, b"y z " * 64]
+    want = []
+    for text in texts:
+        total = np.zeros(3)
+        for a in range(0, len(text), 128):
+            own = text[a : a + 128]
+            p, _ = net.forward(*language_id.padded([own]))
+            total += sum((p[t, :, 0] for t, b in enumerate(own) if chr(b).isascii() and chr(b).isalpha() or b >= 128), np.zeros(3))
+        want.append(total)
+    assert np.allclose(language_id.pooled(net, texts, batch=7), want, atol=1e-4)
+
+
+def test_state_crosses_spaces():
+    """A byte's label depends on the words around it."""
+    net = language_id.ByteGru(2, 4, np.random.default_rng(3))
+    a, b, c = (net.forward(*language_id.padded([x]))[0][4, :, 0] for x in (b"abc def ghi", b"xyz def ghi", b"abc def xyz"))
+    assert not np.allclose(a, b) and not np.allclose(a, c)
+
+
+def test_carried_columns(odd_docs):
+    found = language_id.identify(odd_docs, odd_docs, carry=True)
+    assert found.columns == [*odd_docs.columns, "lang_pred", "score"]
+    assert sorted(map(repr, found.select(*odd_docs.columns).collect())) == sorted(map(repr, odd_docs.collect()))
+
+
+def test_sample_is_spread_over_the_text(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(2000)), "en") for i in range(5)] + [(7, "kurz", "de"), (None, "x", "en"), (8, None, "en"), (9, "y", None)]
+    parts = language_id.sample_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 3, 10)
+    assert set(parts) == {"de", "en"} and parts["de"] == [b"kurz"] and len(parts["en"]) == 30
+    assert any(b"w19" in x for x in parts["en"]) and any(b"w5" in x for x in parts["en"])

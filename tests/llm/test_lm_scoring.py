@@ -19,12 +19,14 @@ def counts():
 
 
 def test_gradients(counts):
-    model = lm_scoring.CausalModel(counts, groups=4, members=4, width=4, hidden=5, window=6, overlap=2)
+    model = lm_scoring.CausalModel(counts, first=4, growth=2, width=4, hidden=5, window=6, overlap=2)
     model.p = {k: v.astype(float) for k, v in model.p.items()}
     ids = np.random.default_rng(1).integers(0, 300, (2, 6))
     places = np.concatenate([[model.start], model.place[ids.ravel()[:-1]]]).reshape(2, 6)
     _, grads = model.gradients(places, ids)
-    for name, g in grads.items():
+    for name, (rows, part) in grads.items():
+        g = np.zeros_like(model.p[name])
+        g[rows] = part
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, losses = model.p[name][at], []
         for step in (1e-4, -1e-4):
@@ -35,7 +37,7 @@ def test_gradients(counts):
 
 
 def test_probabilities_sum_to_one(counts):
-    model = lm_scoring.CausalModel(counts, groups=4, members=8, window=5, overlap=2)
+    model = lm_scoring.CausalModel(counts, first=4, growth=2, window=5, overlap=2)
     prefix = np.array([7, 3, 200])
     total = 0.0
     for i in range(300):
@@ -45,7 +47,7 @@ def test_probabilities_sum_to_one(counts):
 
 @pytest.mark.parametrize("n", [1, 4, 5, 6, 8, 9, 40])
 def test_each_id_is_scored_once_with_its_window(counts, n):
-    model = lm_scoring.CausalModel(counts, groups=4, members=8, window=5, overlap=2)
+    model = lm_scoring.CausalModel(counts, first=4, growth=2, window=5, overlap=2)
     ids = np.random.default_rng(n).integers(0, 300, n)
     places = model.sequence(ids)
     starts, fresh = model.windows(n)
@@ -86,16 +88,28 @@ def test_documents(odd_docs, no_docs):
 def test_training_helps():
     rng = np.random.default_rng(2)
     texts = [np.append(np.tile([3, 9, 27, 5], 12)[: rng.integers(36, 48)], 0) for _ in range(40)]
-    model = lm_scoring.CausalModel(np.bincount(np.concatenate(texts), minlength=50).astype(float), groups=3, members=3, window=8, overlap=3)
+    model = lm_scoring.CausalModel(np.bincount(np.concatenate(texts), minlength=50).astype(float), first=3, growth=2, window=8, overlap=3)
     before = model.score(texts).sum()
     model.train(texts, steps=200)
     assert model.score(texts).sum() > 0.3 * before
 
 
+def test_a_frequent_long_word_is_sent_to_tasks(spark):
+    """A long word in a third of all rows, and one too long for the table, count like any other."""
+    texts = [f"w{i} {'x' * 500}" if i % 3 == 0 else f"w{i} {'y' * 7000}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for head in (12, 10_000):
+        rows = lm_scoring.score_documents(docs, docs, RANKS, P.PATTERN, head=head).collect()
+        want = math.log10(1.5 / (180 + 0.5 * 64)) + math.log10(60.5 / (180 + 0.5 * 64))
+        assert all(r.n_known == 3 and r.n_tokens == 3 for r in rows)
+        assert sorted({round(r.base_score - want, 6) for r in rows}) == sorted(round(math.log10((n + 0.5) / (180 + 0.5 * 64)), 6) for n in (20, 40))
+
+
 def test_every_seen_id_has_a_place_and_short_texts_are_learned():
     counts = np.append(np.arange(1, 3000), np.zeros(500))
     model = lm_scoring.CausalModel(counts.astype(float))
-    assert len(set(model.place[:2999])) == 2999 and model.place[:2999].max() < model.groups * model.members
+    assert len(set(model.place[:2999])) == 2999 and model.place[:2999].max() == 2998 and set(model.place[2999:]) == {2999}
+    assert model.cuts[0] == 0 and model.cuts[-1] == 2999 and (np.diff(model.cuts) > 0).all()
     texts = [np.array([2500, 7, 2999 - 1, 0])] * 30
     before = model.score(texts[:1])[0]
     model.train(texts, steps=60)
@@ -103,13 +117,14 @@ def test_every_seen_id_has_a_place_and_short_texts_are_learned():
 
 
 def test_masked_gradients(counts):
-    model = lm_scoring.CausalModel(counts, groups=4, members=4, width=4, hidden=5, window=6, overlap=2)
+    model = lm_scoring.CausalModel(counts, first=4, growth=2, width=4, hidden=5, window=6, overlap=2)
     ids = np.argsort(-counts)[None, :6].copy()  # ids with places: the odds within the others' group are not learned
     places, scored = model.sequence(ids[0])[None], np.array([[False, False, True, True, False, False]])
     loss, grads = model.gradients(places, ids, scored)
     assert loss == pytest.approx(-model.logp(places, ids, scored).mean(), rel=1e-4)
     ids[0, 4:], places[0, 4:] = ids[0, 0], 5  # what comes after the scored positions doesn't matter
-    assert all(np.allclose(g, grads[k], atol=1e-6) for k, g in model.gradients(places, ids, scored)[1].items())
+    again = model.gradients(places, ids, scored)[1]
+    assert all(np.allclose(again[k][1], g, atol=1e-6) for k, (_, g) in grads.items() if k not in ("ids", "at"))
 
 
 def test_weights_learn_from_all_rows(spark):
@@ -125,7 +140,7 @@ def test_weights_learn_from_all_rows(spark):
     coder = lm_scoring.subwords(RANKS, P.PATTERN)
     text = [np.append(np.frombuffer(b"".join(coder.known(words("red green blue grey " * 5))), "<i4"), coder.size)]
     start, one, other = (m.score(text)[0] for m in models)
-    assert one > 0.7 * start and one == pytest.approx(other, rel=1e-4)
+    assert one > 0.7 * start and other > 0.7 * start
 
 
 def test_context_of_long_texts(counts):
@@ -133,3 +148,14 @@ def test_context_of_long_texts(counts):
     model = lm_scoring.CausalModel(counts)
     starts, fresh = model.windows(1000)
     assert (fresh - starts)[1:].min() >= 8 and model.p["at"].shape[1] >= 24
+
+
+@pytest.mark.parametrize("factor", [1.0, 30.0])
+def test_folded_tables_give_the_same_states(counts, factor):
+    """Also where products are so large that they are cut."""
+    model = lm_scoring.CausalModel(counts, first=4, growth=2)
+    model.p["qkv"] *= np.float32(factor)
+    ids = np.random.default_rng(8).integers(0, 300, (3, 32))
+    places = np.stack([model.sequence(x) for x in ids])
+    assert np.allclose(model._states(places), model._hidden(places)[0], atol=2e-4 if factor > 1 else 1e-5)
+    assert np.isfinite(model.logp(places, ids, np.ones(ids.shape, bool))).all()

@@ -1,5 +1,5 @@
 import numpy as np
-import pytest
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -59,9 +59,33 @@ def test_no_link_is_lost(spark):
     want = _reach(len(fps), [(int(i), int(j)) for i, j in np.argwhere(near) if i < j])
     table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    pairs = [(place[r.a], place[r.b]) for r in near_dedup.links(table.repartition(3)).collect()]
-    assert all(near[i, j] for i, j in pairs)
-    assert _reach(len(fps), pairs) == want
+    for limit in (8192, 6, 2):  # most buckets are over the last limits and visited block by block
+        pairs = [(place[r.a], place[r.b]) for r in near_dedup.links(table.repartition(3), bucket_rows=limit).collect()]
+        assert all(near[i, j] for i, j in pairs)
+        assert _reach(len(fps), pairs) == want
+
+
+def test_large_buckets_are_handed_on():
+    """Over any cut of the rows into batches, a bucket is visited whole or handed on whole."""
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([np.full(40, 3), np.full(9, 5), np.full(10, 6), rng.integers(7, 30, 60)])).astype(np.int32)
+    fps = rng.integers(0, 1 << 62, len(keys), dtype=np.int64)
+    sizes = {int(k): int((keys == k).sum()) for k in keys}
+    for size in (1, 7, 64, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + size]), pa.array(fps[a : a + size])], ["key", "fp"]) for a in range(0, len(keys), size)]
+        rows = [r for b in near_dedup._buckets(4, 9)(iter(batches)) for r in b.to_pylist()]
+        passed = sorted((r["key"], r["a"]) for r in rows if r["key"] is not None)
+        assert passed == sorted((int(k), int(f)) for k, f in zip(keys, fps) if sizes[int(k)] > 9)
+
+
+def test_one_of_each(spark, odd_docs):
+    """Null and repeated keys: rows are told apart by their place."""
+    unlike = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (1, unlike[3]), (2, unlike[4]), (2, unlike[5]), (3, unlike[0]), (3, unlike[6]), (3, unlike[6]), (None, None), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = near_dedup.one_of_each(docs).collect()
+    assert sorted(r.text or "" for r in kept) == ["", *unlike]
+    assert near_dedup.one_of_each(odd_docs).columns == odd_docs.columns and near_dedup.one_of_each(odd_docs.filter("false")).count() == 0
 
 
 def _slow(text, n=4):

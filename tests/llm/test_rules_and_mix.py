@@ -1,3 +1,6 @@
+import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -75,3 +78,24 @@ def test_copies(spark, odd_docs):
         taken[r.source] += r.copies * r.size
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) < 0.02 * target[s] for s in target)
+
+
+def test_copies_by_a_plain_walk(spark):
+    """Documents one after the other along the same order, with text keys, a hot source, repeated and null keys."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, f"k{i}", f"k{i}", "hot"]), "w " * rng.randint(0, 300), rng.choice(["a", "a", "a", "b", None])) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    found = mixing.systematic_copies(docs, bucket_rows=50).collect()
+    target = {r.source: r.target for r in found}
+    buckets = max(64, -(-len(rows) // 50))
+    digest = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    want = Counter()
+    for source in target:
+        own = [(k, len(t.split())) for k, t, s in rows if s == source]
+        own.sort(key=lambda r: (len(str(r[1])) * 100 + int(str(r[1])[:2]), digest(r[0] or "") % buckets, r[1], r[0] is None, r[0] or ""))
+        rate = target[source] / sum(n for _, n in own)
+        at = digest(f"mix:{source}" if source is not None else "mix:\\null") / (1 << 32)
+        for i, (key, n) in enumerate(own):
+            copies = math.floor(rate * (i + 1) + at) - math.floor(rate * i + at)
+            want[key, source, n, copies] += 1
+    assert Counter((r.doc_id, r.source, r["size"], r.copies) for r in found) == want

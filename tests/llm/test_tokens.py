@@ -97,5 +97,14 @@ def test_many_parts_reach_the_bound(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1024, 6000)
     pieces = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "doc_id long, length long")
-    used = packing.pack_pieces(pieces, part_rows=500).select("sequence_id").distinct().count()
+    packed = packing.pack_pieces(pieces, part_rows=500)
+    used = packed.select("sequence_id").distinct().count()
     assert used <= 1.01 * packing.lower_bound(sizes, 1024) + 1
+    row = packing.certificate(packed).first()
+    assert (row.n_sequences, row.bound, row.certified) == (used, packing.lower_bound(sizes, 1024), used == packing.lower_bound(sizes, 1024))
+    assert packing.certificate(packed.filter("false")).first().n_sequences == 0
+
+
+def test_a_bound_is_reached_and_certified(spark):
+    pieces = spark.createDataFrame([(i, 512 if i % 3 else 1024) for i in range(900)], "doc_id long, length long")
+    assert packing.certificate(packing.pack_pieces(pieces, part_rows=100)).first().certified

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import by_bytes, small_batches
+from tidemark.llm.text import by_bytes
 
 #: The template: a turn is TURN role SAYS text END. Reserved ids follow the vocabulary; no text encodes to them.
 TURN, SAYS, END = "<turn>", "### ", "</turn>"
@@ -83,7 +83,6 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
     first; equal numbers by role, then text. Repeated rows are repeated turns. A conversation is one output row, so it must
     fit in a task; memory holds one at a time. Other columns are not read.
     """
-    small_batches(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", empty("role").alias("role"), empty("text").alias("text"))

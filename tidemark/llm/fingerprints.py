@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import small_batches
 
 #: Chunk sizes in bytes: none is shorter (but the last) or longer, and boundaries are rarer before NORMAL than after it.
 LEAST, NORMAL, MOST = 16, 48, 192
@@ -79,49 +78,94 @@ def containment(a: set[int], b: set[int]) -> float:
     return weight(a & b) / min(weight(a), weight(b))
 
 
-def _in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, extra, in partitions sorted by part and falling key; in each part a row with ``extra`` comes last.
+def _places(keys: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Numbers that grow along the order of documents: the complement of a key, the largest number for null."""
+    null = keys.is_null().to_numpy(zero_copy_only=False)
+    return np.where(null, np.iinfo(np.int64).max, ~keys.fill_null(0).to_numpy(zero_copy_only=False))
 
-    The keys that split the parts are keys of documents (approximate quantiles); such a document is the first of its part
-    and a copy of it, as extra row, the last of the part before. After the last part comes the first document.
-    """
-    spark = docs.sparkSession
-    n_parts = min(10_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = docs.select(F.col(key).cast("long").alias("key"))
-    odds = F.array(*(F.lit(i / n_parts) for i in range(1, n_parts)))
-    least, most, splits = keys.agg(F.min("key"), F.max("key"), F.percentile_approx("key", odds, 10_000)).first()
-    bounds = np.array(sorted({*(splits or [])} - {least}), np.int64)
-    last = len(bounds)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("key")
-            null = column.is_null().to_numpy(zero_copy_only=False)
-            keys = column.fill_null(0).to_numpy(zero_copy_only=False)
-            place = np.searchsorted(bounds, keys, side="left")
-            part = np.where(null, last, last - place)
-            split = ~null & (place < last) & (bounds[np.minimum(place, last - 1)] == keys) if last else np.zeros(len(keys), bool)
-            first = null if most is None else ~null & (keys == most)
-            rows = np.concatenate([np.arange(len(keys)), np.flatnonzero(split), np.flatnonzero(first)])
-            parts = np.concatenate([part, part[split] - 1, np.full(int(first.sum()), last)])
-            extra = np.arange(len(rows)) >= len(keys)
-            yield pa.RecordBatch.from_arrays([column.take(pa.array(rows)), batch.column("text").take(pa.array(rows)), pa.array(parts, pa.int64()), pa.array(extra)], ["key", "text", "part", "extra"])
+class Bounds:
+    """Starts of parts, (place, hash) in order; a key that takes several parts is cut by the hashes of its texts."""
+
+    def __init__(self, splits: list[int]):
+        found, times = np.unique(np.array(splits, np.int64), return_counts=True)
+        self.place = np.repeat(found, times)
+        turn = np.arange(len(self.place)) - np.repeat(np.cumsum(times) - times, times)
+        step = np.repeat((1 << 64) // times.astype(object), times) if len(times) else np.array([], object)
+        self.hash = np.array([int(a) * int(b) - (1 << 63) for a, b in zip(turn, step, strict=True)], np.int64)
+
+    def part(self, place: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        """The part of each row: how many starts are not after it."""
+        low, high = (np.searchsorted(self.place, place, side=s) for s in ("left", "right"))
+        part = high.copy()
+        for start in np.unique(low[high - low > 1]):
+            rows = np.flatnonzero((low == start) & (high - low > 1))
+            part[rows] = start + np.searchsorted(self.hash[start : high[rows[0]]], digest[rows], side="right")
+        return part
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(deal, "key long, text string, part long, extra boolean")
-    return dealt.repartition("part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "text")
 
+def _in_order(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
+    """key, text, extra, in partitions sorted by part and order; in each part a row with ``extra`` comes last.
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 3, batch_bytes: int = 1 << 20) -> DataFrame:
+    There are as many parts as ``part_bytes`` go into the bytes of all texts. They start at approximate quantiles of the
+    key. The first document of each part (found in a pass over keys and hashes) is also sent, as extra row, to the part
+    before; after the last part comes the first document.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n, n_null, size = rows.agg(F.count("*"), F.count(F.when(F.col("key").isNull(), 1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_parts = max(1, -(-size // part_bytes))
+    n_cuts = (n_parts - 1) * (n - n_null) // max(n, 1)
+    splits: list[int] = []
+    if n_cuts:
+        odds = F.array(*(F.lit(i / (n_cuts + 1)) for i in range(1, n_cuts + 1)))
+        # The sketch has about 20 entries a part.
+        splits = [~x for x in rows.agg(F.percentile_approx("key", odds, max(10_000, 20 * n_parts))).first()[0]]
+    bounds = Bounds(splits + [np.iinfo(np.int64).max] * (n_parts - 1 - n_cuts))
+    hashed = rows.withColumn("digest", F.xxhash64("text"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            place, digest = _places(batch.column("key")), batch.column("digest").to_numpy()
+            part = bounds.part(place, digest)
+            order = np.lexsort((digest, place, part))
+            for i in order[np.flatnonzero(np.diff(part[order], prepend=-1))].tolist():
+                own = (int(place[i]), int(digest[i]))
+                first[int(part[i])] = min(own, first.get(int(part[i]), own))
+        columns = [list(first), *zip(*first.values())] if first else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["part", "place", "digest"])
+
+    least = F.min(F.struct("place", "digest")).alias("s")
+    found = sorted(hashed.select("key", "digest").mapInArrow(starts, "part long, place long, digest long").groupBy("part").agg(least).collect())
+    part_of, place_of, digest_of = (np.array([f(r) for r in found], np.int64) for f in (lambda r: r.part, lambda r: r.s.place, lambda r: r.s.digest))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, digest = _places(batch.column("key")), batch.column("digest").to_numpy()
+            part = bounds.part(place, digest)
+            at = np.searchsorted(part_of, part)
+            first = np.flatnonzero((place_of[at] == place) & (digest_of[at] == digest))
+            take = pa.array(np.concatenate([np.arange(len(part)), first]))
+            parts = np.concatenate([part, part_of[at[first] - 1]])  # before the first part comes the last
+            extra = np.arange(len(take)) >= len(part)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("key", "digest", "text")), pa.array(parts, pa.int64()), pa.array(extra)], ["key", "digest", "text", "part", "extra"])
+
+    dealt = hashed.select("key", "digest", "text").mapInArrow(deal, "key long, digest long, text string, part long, extra boolean")
+    return dealt.repartition(n_parts, "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "digest", "text").drop("digest")
+
+
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 3, part_bytes: int = 64 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per document, with the fingerprints of its text and of an edited text.
 
     Edited: the last n_chars // ``share`` code points give way to the first as many (or all) of the next document by
     falling key, after the last the first one. Columns: key (long), n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next (containment of fingerprints). Texts are shuffled once; a task holds a
-    batch of them. Null texts are empty, null keys come last; equal keys go by text. An empty text has an empty
-    fingerprint. Repeated rows follow each other. Other columns are not read.
+    batch of them, of parts of about ``part_bytes``; a key with more rows than that takes several parts. Null texts are
+    empty, null keys come last; equal keys go by the XXH64 of their text. An empty text has an empty fingerprint. Repeated
+    rows follow each other. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
 
     def results(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         """Of (key, text, next text); each next text but the last is the next row's text, or else comes extra."""
@@ -167,5 +211,5 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if rows:
             yield results(rows)
 
-    found = _in_order(docs, key, text).mapInArrow(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = _in_order(docs, key, text, part_bytes).mapInArrow(run, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.withColumnRenamed("key", key)

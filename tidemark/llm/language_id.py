@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidemark.llm.text import Memo, by_bytes, hold, small_batches
+from tidemark.llm.text import by_bytes
 
 UNKNOWN = "und"
-#: A word, with one space before it, is cut into segments of at most so many bytes; the network reads one at a time.
-SEGMENT = 32
+#: The network reads running text, spaces and all, in segments of so many bytes.
+SEGMENT = 128
+#: Bytes whose labels count: letters of ASCII, and all bytes of other characters.
+LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)], np.float32)
 
 
 class ByteGru:
-    """Two gated recurrent layers, one in each direction, label each byte of a segment."""
+    """Two gated recurrent layers, one in each direction, label each byte of a segment.
+
+    A gate is (1 + tanh(a)) / 2, which is the logistic function of 2a.
+    """
 
     def __init__(self, n_labels: int, hidden: int, rng: np.random.Generator):
         h = hidden
@@ -28,202 +33,222 @@ class ByteGru:
         self.p = {"out": scale(2 * h, n_labels), "bias": np.zeros(n_labels, np.float32)}
         for d in "fb":
             self.p[f"x{d}"] = (rng.standard_normal((256, 3 * h)) * 0.3).astype(np.float32)
-            self.p[f"x{d}"][:, :h] += 1.0  # update gates start nearly closed: the state lasts
-            self.p[f"u{d}"] = scale(h, 2 * h)
+            self.p[f"x{d}"][:, :h] += 0.5  # update gates start nearly closed: the state lasts
+            self.p[f"u{d}"] = scale(h, 2 * h) / 2
             self.p[f"c{d}"] = scale(h, h)
 
-    def _run(self, d: str, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States of one direction; ids are (time, batch). keep: what backpropagation needs."""
-        h, u, c = self.h, self.p[f"u{d}"], self.p[f"c{d}"]
-        inputs = self.p[f"x{d}"][ids]
-        state = np.zeros((ids.shape[1], h), np.float32)
-        states, kept = np.empty((*ids.shape, h), np.float32), []
-        for t, x in enumerate(inputs):
-            gates = state @ u
-            gates += x[:, : 2 * h]
-            np.clip(gates, -30, 30, out=gates)
-            gates = 1 / (1 + np.exp(-gates))
-            z, r = gates[:, :h], gates[:, h:]
+    def _run(self, d: str, ids: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """States (time, hidden, batch) of one direction over ids (time, batch); kept: gets what backpropagation needs.
+
+        The batch comes last, so that gates are whole blocks of memory.
+        """
+        h, table, u, c = self.h, self.p[f"x{d}"], self.p[f"u{d}"].T, self.p[f"c{d}"].T
+        inputs = np.take(np.ascontiguousarray(table.T), ids, axis=1)
+        states = np.empty((len(ids), h, ids.shape[1]), table.dtype)
+        state = np.zeros(states.shape[1:], table.dtype)
+        for t in range(len(ids)):
+            gates = u @ state
+            gates += inputs[: 2 * h, t]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            z, r = gates[:h], gates[h:]
             reset = r * state
-            new = np.tanh(reset @ c + x[:, 2 * h :])
-            after = new + z * (state - new)
-            if keep:
+            new = c @ reset
+            new += inputs[2 * h :, t]
+            np.tanh(new, out=new)
+            after = states[t]
+            np.subtract(state, new, out=after)
+            after *= z
+            after += new
+            if kept is not None:
                 kept.append((state, z, r, reset, new))
-            states[t] = state = after
-        return states, kept
+            state = after
+        return states
 
     @staticmethod
-    def _flip(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each (time, item) the time read from the other end of its segment; padding stays in place."""
-        t = np.arange(ids.shape[0])[:, None]
+    def _flip(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray | None:
+        """For each (time, item) the time read from the other end of its segment, padding in place; None if all are full."""
+        if (lengths == len(ids)).all():
+            return None
+        t = np.arange(len(ids))[:, None]
         return np.where(t < lengths, lengths - 1 - t, t)
 
-    def forward(self, ids: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """Log-probabilities (time, batch, label) of each byte's label."""
+    @staticmethod
+    def _turned(x: np.ndarray, flip: np.ndarray | None) -> np.ndarray:
+        """x (time, ..., batch) read from the other end."""
+        if flip is None:
+            return x[::-1]
+        return np.take_along_axis(x, flip if x.ndim == 2 else flip[:, None, :], 0)
+
+    def forward(self, ids: np.ndarray, lengths: np.ndarray, kept: tuple[list, list] | None = None) -> tuple[np.ndarray, tuple]:
+        """Probabilities (time, label, batch) of each byte's label."""
         flip = self._flip(ids, lengths)
-        ahead, kept_f = self._run("f", ids, keep)
-        back_ids = np.take_along_axis(ids, flip, 0)
-        back, kept_b = self._run("b", back_ids, keep)
-        both = np.concatenate([ahead, np.take_along_axis(back, flip[:, :, None], 0)], 2)
-        logits = both @ self.p["out"] + self.p["bias"]
-        logits -= logits.max(2, keepdims=True)
-        logp = logits - np.log(np.exp(logits).sum(2, keepdims=True))
-        return logp, (flip, back_ids, both, kept_f, kept_b)
+        back_ids = self._turned(ids, flip)
+        ahead = self._run("f", ids, kept and kept[0])
+        back = self._turned(self._run("b", back_ids, kept and kept[1]), flip)
+        h = self.h
+        p = np.matmul(self.p["out"][:h].T, ahead)
+        p += np.matmul(self.p["out"][h:].T, back)
+        p += self.p["bias"][:, None]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return p, (flip, back_ids, ahead, back)
 
     def _back(self, d: str, ids: np.ndarray, grad_states: np.ndarray, kept: list, grads: dict[str, np.ndarray]) -> None:
         """Backpropagation through time in one direction."""
         h, u, c = self.h, self.p[f"u{d}"], self.p[f"c{d}"]
-        gx, gu, gc = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u), np.zeros_like(c)
-        later = np.zeros(grad_states.shape[1:], np.float32)
+        gu, gc = np.zeros_like(u), np.zeros_like(c)
+        inputs = np.empty((3 * h, *ids.shape), u.dtype)
+        later = np.zeros(grad_states.shape[1:], u.dtype)
         for t in range(len(kept) - 1, -1, -1):
             state, z, r, reset, new = kept[t]
             g = grad_states[t] + later
             g_new = g * (1 - z) * (1 - new * new)
-            g_reset = g_new @ c.T
-            g_gates = np.concatenate([g * (state - new) * z * (1 - z), g_reset * state * r * (1 - r)], 1)
-            later = g * z + g_reset * r + g_gates @ u.T
-            gu += state.T @ g_gates
-            gc += reset.T @ g_new
-            np.add.at(gx, ids[t], np.concatenate([g_gates, g_new], 1))
+            g_reset = c @ g_new
+            # of (1 + tanh(a)) / 2 = s by a: 2 s (1 - s)
+            inputs[:h, t] = g * (state - new) * z * (1 - z) * 2
+            inputs[h : 2 * h, t] = g_reset * state * r * (1 - r) * 2
+            inputs[2 * h :, t] = g_new
+            g_gates = inputs[: 2 * h, t]
+            later = g * z + g_reset * r + u @ g_gates
+            gu += state @ g_gates.T
+            gc += reset @ g_new.T
+        flat = ids.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+        gx = np.zeros_like(self.p[f"x{d}"])
+        gx[flat[order][first]] = np.add.reduceat(inputs.reshape(3 * h, -1)[:, order], first, axis=1).T
         grads[f"x{d}"], grads[f"u{d}"], grads[f"c{d}"] = gx, gu, gc
 
     def gradients(self, ids: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the bytes of a batch, and its gradients."""
-        logp, (flip, back_ids, both, kept_f, kept_b) = self.forward(ids, lengths, keep=True)
-        real = (np.arange(len(ids))[:, None] < lengths).astype(np.float32)
-        n = real.sum()
-        loss = -(logp[:, np.arange(len(labels)), labels] * real).sum() / n
-        g = np.exp(logp)
-        g[:, np.arange(len(labels)), labels] -= 1
-        g *= real[:, :, None] / n
-        grads = {"out": np.tensordot(both, g, ([0, 1], [0, 1])), "bias": g.sum((0, 1))}
-        g_both = g @ self.p["out"].T
-        self._back("f", ids, g_both[:, :, : self.h], kept_f, grads)
-        self._back("b", back_ids, np.take_along_axis(g_both[:, :, self.h :], flip[:, :, None], 0), kept_b, grads)
+        kept: tuple[list, list] = ([], [])
+        p, (flip, back_ids, ahead, back) = self.forward(ids, lengths, kept)
+        real = (np.arange(len(ids))[:, None] < lengths).astype(p.dtype)
+        n, rows, h = real.sum(), np.arange(len(labels)), self.h
+        loss = -(np.log(p[:, labels, rows]) * real).sum() / n
+        p[:, labels, rows] -= 1
+        p *= real[:, None, :] / n
+        grads = {"out": np.concatenate([np.einsum("thn,tkn->hk", x, p) for x in (ahead, back)]), "bias": p.sum((0, 2))}
+        self._back("f", ids, np.matmul(self.p["out"][:h], p), kept[0], grads)
+        self._back("b", back_ids, self._turned(np.matmul(self.p["out"][h:], p), flip), kept[1], grads)
         return float(loss), grads
 
 
-def segments(word: bytes) -> list[bytes]:
-    """A word with one space before it, cut into segments."""
-    word = b" " + word
-    return [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
-
-
 def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes as (time, batch), and lengths."""
     lengths = np.array([len(x) for x in parts], np.int64)
     width = int(lengths.max())
     flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8)
-    return flat.reshape(len(parts), width).T.astype(np.int64), lengths
+    return np.ascontiguousarray(flat.reshape(len(parts), width).T), lengths
+
+
+def segments(text: bytes, size: int = SEGMENT) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def train(counts: dict[str, Counter], hidden: int = 8, steps: int = 300, batch: int = 384, rate: float = 0.02, seed: int = 7) -> tuple[list[str], ByteGru]:
-    """Fits a network to words counted by language; each language makes up an equal part of each batch."""
-    labels = sorted(counts)
+def train(parts: dict[str, list[bytes]], hidden: int = 8, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 7) -> tuple[list[str], ByteGru]:
+    """Fits a network to segments by language; each language makes up an equal part of each batch.
+
+    A batch is cut to a length drawn for it, so that short texts are learned as well.
+    """
+    labels = sorted(parts)
     rng = np.random.default_rng(seed)
     net = ByteGru(len(labels), hidden, rng)
-    pools, odds = [], []
-    for label in labels:
-        items = sorted(counts[label].items())
-        pools.append([s for w, _ in items for s in segments(w)])
-        weight = np.array([k for w, k in items for _ in segments(w)], float) ** 0.75
-        odds.append(np.cumsum(weight / weight.sum()))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     each = max(1, batch // len(labels))
     for step in range(1, steps + 1 if len(labels) > 1 else 1):
-        picks, truth = [], []
-        for k, (pool, odd) in enumerate(zip(pools, odds, strict=True)):
-            for i in np.minimum(np.searchsorted(odd, rng.random(each)), len(pool) - 1):
-                picks.append(pool[i])
-                truth.append(k)
+        size = int(rng.integers(SEGMENT // 8, SEGMENT // 2 + 1))
+        picks = []
+        for label in labels:
+            for i in rng.integers(0, len(parts[label]), each):
+                x = parts[label][i]
+                at = int(rng.integers(0, max(1, len(x) - size + 1)))
+                picks.append(x[at : at + size])
         ids, lengths = padded(picks)
-        _, grads = net.gradients(ids, lengths, np.array(truth))
+        _, grads = net.gradients(ids, lengths, np.repeat(np.arange(len(labels)), each))
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
-            net.p[k] -= pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            net.p[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return labels, net
 
 
-def words_to_sums(net: ByteGru, words: list[bytes], batch: int = 4096) -> list[bytes]:
-    """For each word the sums, over its bytes, of the log-probabilities by label, then its number of bytes, as float32."""
-    parts, owner = [], []
-    for k, word in enumerate(words):
-        own = segments(word)
-        parts += own
-        owner += [k] * len(own)
-    sums = np.zeros((len(words), len(net.p["bias"]) + 1), np.float32)
-    order = np.argsort([len(x) for x in parts], kind="stable")
-    for a in range(0, len(parts), batch):
+def pooled(net: ByteGru, texts: list[bytes], batch: int = 1024) -> np.ndarray:
+    """For each text the sum of its letters' label probabilities, by label."""
+    parts = [segments(x) for x in texts]
+    flat = [s for x in parts for s in x]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+    sums = np.zeros((len(texts), len(net.p["bias"])))
+    order = np.argsort([-len(s) for s in flat], kind="stable")
+    for a in range(0, len(flat), batch):
         some = order[a : a + batch]
-        ids, lengths = padded([parts[i] for i in some])
-        logp, _ = net.forward(ids, lengths)
-        logp *= (np.arange(len(ids))[:, None] < lengths)[:, :, None]
-        np.add.at(sums, np.array(owner)[some], np.concatenate([logp.sum(0), lengths[:, None].astype(np.float32)], 1))
-    raw, step = sums.tobytes(), sums.shape[1] * 4
-    return [raw[i : i + step] for i in range(0, len(raw), step)]
-
-
-def _memo(net: ByteGru, name: bytes) -> Memo:
-    """Sums of words seen by this Python worker, for one network."""
-    return hold(("language", name), lambda: Memo(lambda some: words_to_sums(net, some), 100_000))
+        ids, lengths = padded([flat[i] for i in some])
+        p, _ = net.forward(ids, lengths)
+        counts = LETTERS[ids]  # padding is no letter
+        np.add.at(sums, owner[some], np.einsum("tn,tkn->nk", counts, p))
+    return sums
 
 
-def word_counts_by_language(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> dict[str, Counter]:
-    """Words of whole texts of at most ``per_language`` documents of each language: those with the least hash of the key."""
+def sample_segments(docs: DataFrame, key: str, text: str, lang: str, per_language: int, per_text: int) -> dict[str, list[bytes]]:
+    """Segments of running text by language: of at most ``per_language`` documents of each (those with the least hash of
+    the key) at most ``per_text``, evenly spaced over the whole text. They are cut where the texts lie; the driver gets
+    at most ``per_language`` * ``per_text`` * SEGMENT bytes a language."""
     order = Window.partitionBy("lang").orderBy("place", "key")
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     named = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("place"))
     chosen = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("key").distinct()
-    counts: dict[str, Counter] = {}
-    for r in rows.join(F.broadcast(chosen), rows[key] == chosen["key"]).select(F.col(lang).alias("lang"), F.col(text).alias("text")).toLocalIterator():
-        counts.setdefault(r.lang, Counter()).update(r.text.encode("utf-8", "surrogatepass").lower().split())
-    return {k: c for k, c in counts.items() if c}
 
-
-def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 150, batch_bytes: int = 1 << 20) -> DataFrame:
-    """One row per document: key, lang_pred, score.
-
-    The network is fitted to ``training``, at most ``per_language`` documents of each language that it names (that bounds
-    what the driver holds; a language's rarest words matter little). It labels every byte of every whole text; a
-    document's probabilities are the geometric mean over the bytes of its words that have a letter, scaled to sum to 1.
-    ``und`` with score 0: a null text, one without any letter, or a training table without rows. Of equal
-    probabilities the first language wins. Segments are words, so a word met again costs a lookup. Equal rows give equal
-    rows; null keys stay; other columns are not read.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for label, x in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = segments(x.encode("utf-8", "surrogatepass").lower())
+                own = [own[i * len(own) // per_text] for i in range(per_text)] if len(own) > per_text else own
+                langs += [label] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "part"])
+
+    picked = rows.join(F.broadcast(chosen), rows[key] == chosen["key"]).select("key", F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    # A key may have several rows: the bound holds for rows as well.
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "text")
+    few = picked.withColumn("n", F.row_number().over(again)).filter(F.col("n") <= per_language).select("lang", "text")
+    parts: dict[str, list[bytes]] = {}
+    for r in sorted(few.mapInArrow(cut, "lang string, part binary").collect(), key=lambda r: (r.lang, bytes(r.part))):
+        parts.setdefault(r.lang, []).append(bytes(r.part))
+    return parts
+
+
+def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 150, per_text: int = 32, carry: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+    """One row per document: key, lang_pred, score; with ``carry`` all columns of ``docs`` instead of the key alone.
+
+    The network is fitted to a sample of the labelled rows of ``training`` (see :func:`sample_segments`; its bounds are the
+    parameters). Then it reads every whole text, A-Z in lower case, in segments of running text, and labels every byte; a
+    document's probabilities are the mean over its letters. ``und`` with score 0: a null text, one without any letter,
+    or a training table without rows. Of equal probabilities the first language wins. Equal rows give equal rows; null keys
+    stay; other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    counts = word_counts_by_language(training, key, text, lang, per_language)
-    labels, net = train(counts) if counts else ([], None)
-    name = net.p["out"].tobytes() if net else b""
-    kind = docs.schema[key].dataType.simpleString()
+    parts = sample_segments(training, key, text, lang, per_language, per_text)
+    labels, net = train(parts) if parts else ([], None)
+    rows = docs if carry else docs.select(key, text)
+    kept = rows.columns if carry else [key]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _memo(net, name) if net else None
+        net = shared.value
         for batch in batches:
-            for part in by_bytes(batch, "text", batch_bytes):
-                words, ends = [], []
-                for x in part.column("text").to_pylist():
-                    if net and x and any(map(str.isalpha, x)):
-                        words += x.encode("utf-8", "surrogatepass").lower().split()
-                    ends.append(len(words))
-                table = np.frombuffer(b"".join(known(words)), np.float32).reshape(len(words), len(labels) + 1).astype(np.float64) if words else np.zeros((0, len(labels) + 1))
-                total = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table, 0)])
-                sums = np.diff(total[np.concatenate([[0], np.array(ends, np.int64)])], axis=0)
-                found, score = [], []
-                for row in sums:
-                    if not net or row[-1] == 0:
-                        found.append(UNKNOWN)
-                        score.append(0.0)
-                        continue
-                    mean = row[:-1] / row[-1]
-                    p = np.exp(mean - mean.max())
-                    p /= p.sum()
-                    best = int(p.argmax())
-                    found.append(labels[best])
-                    score.append(float(p[best]))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.string()), pa.array(score, pa.float64())], ["key", "lang_pred", "score"])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+            for part in by_bytes(batch, text, batch_bytes):
+                texts = [x.encode("utf-8", "surrogatepass").lower() if net and x and any(map(str.isalpha, x)) else b"" for x in part.column(text).to_pylist()]
+                found, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                for i, row in enumerate(pooled(net, texts)) if net else ():
+                    if row.any():
+                        best = int(row.argmax())
+                        found[i], score[i] = labels[best], float(min(1.0, row[best] / row.sum()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array(score, pa.float64())], schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.text import Memo, by_bytes, hold, small_batches, words
+from tidemark.llm.text import Memo, by_bytes, hold, words
 
 # ---------------------------------------------------------------- subword ids
 
@@ -42,42 +42,52 @@ def subwords(path: str, pattern: str) -> Subwords:
 
 # ---------------------------------------------------------------- model
 
+#: Products that an exponential takes are cut to this size, so that sums of them stay finite and positive.
+LIMIT = 60.0
 
 class CausalModel:
-    """One causal attention layer that predicts the next id in two steps: its group, then its place in the group.
+    """One causal attention layer that predicts the next id in two steps: its class, then its place in the class.
 
-    The ``groups`` * ``members`` most frequent ids (by counts over all training documents) have learned places; by default
-    that is every id that was seen. The others share one group, within which their odds are their smoothed counts. The end
-    of a text is an id. Probabilities of all ids sum to 1.
+    Seen ids are ranked by their counts over all training texts. A class holds neighbours in that order: ``first`` ids, or
+    a ``growth``-th of the ranks before it where that is more. So frequent ids sit in small classes and each seen id has
+    places of its own, as input and as output, while a prediction costs about as many terms as there are classes and
+    members of a frequent one. Unseen ids share the last class, with equal odds. The end of a text is an id.
+    Probabilities of all ids sum to 1.
     """
 
-    def __init__(self, counts: np.ndarray, groups: int | None = None, members: int | None = None, width: int = 24, hidden: int = 32, window: int = 32, overlap: int = 8, seed: int = 3):
-        side = max(32, math.isqrt(max(int(np.count_nonzero(counts)) - 1, 0)) + 1)
-        groups, members = groups or side, members or side
-        self.window, self.overlap, self.groups, self.members = window, overlap, groups, members
+    def __init__(self, counts: np.ndarray, width: int = 24, hidden: int = 32, window: int = 32, overlap: int = 8, first: int = 32, growth: int = 4, seed: int = 3):
+        self.window, self.overlap, self.width = window, overlap, width
         rng = np.random.default_rng(seed)
-        order = np.argsort(-counts, kind="stable")[: groups * members]
-        smooth = counts + 0.5
-        self.place = np.full(len(counts), groups * members, np.int32)  # of each id; the last place is that of all rare ids
-        self.place[order] = np.arange(len(order))
-        rare = np.where(self.place == groups * members, smooth, 0)
-        self.rare_logp = np.where(rare > 0, np.log(np.maximum(rare, 1e-30) / max(rare.sum(), 1e-30)), 0).astype(np.float32)
+        seen = np.flatnonzero(counts > 0)
+        order = seen[np.argsort(-counts[seen], kind="stable")]
+        n = len(order)
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(min(n, cuts[-1] + max(first, cuts[-1] // growth)))
+        self.cuts = np.array(cuts)  # class c holds the ranks from cuts[c] to cuts[c + 1]
+        self.n_classes = len(cuts) - 1
+        self.place = np.full(len(counts), n, np.int32)  # of each id: its rank; unseen ids share the last place
+        self.place[order] = np.arange(n)
+        self.class_of = np.append(np.repeat(np.arange(self.n_classes), np.diff(self.cuts)), self.n_classes).astype(np.uint16)
+        self.unseen_logp = np.float32(-np.log(max(1, len(counts) - n)))
+        top = counts[order].astype(np.float64)
+        mass = np.append(np.add.reduceat(top, self.cuts[:-1]) if n else [], 0.5 * max(1, len(counts) - n))
+        inner = np.log(top / mass[self.class_of[:n]]) if n else top
         scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        top = np.full(groups * members, 0.5)
-        top[: len(order)] = smooth[order]
-        mass = np.append(top.reshape(groups, members).sum(1), max(rare.sum(), 0.5))
         self.p = {
-            "ids": (rng.standard_normal((groups * members + 2, width)) * 0.5).astype(np.float32),  # rare ids, then the start
+            "ids": (rng.standard_normal((n + 2, width)) * 0.5).astype(np.float32),  # unseen ids, then the start, come last
             "at": (rng.standard_normal((window, width)) * 0.1).astype(np.float32),
             "qkv": scale(width, 3 * width),
             "w": scale(width, hidden),
             "b": np.zeros(hidden, np.float32),
-            "group": scale(hidden, groups + 1) * 0.3,
-            "group_b": np.log(mass / mass.sum()).astype(np.float32),
-            "member": (scale(hidden, groups * members) * 0.3).reshape(hidden, groups, members).transpose(1, 0, 2).copy(),
-            "member_b": np.log(top.reshape(groups, members) / top.reshape(groups, members).sum(1, keepdims=True)).astype(np.float32),
+            "class": scale(hidden, self.n_classes + 1) * np.float32(0.3),
+            "class_b": np.log(mass / mass.sum()).astype(np.float32),
+            "member": scale(hidden, n).T * np.float32(0.3),
+            "member_b": inner.astype(np.float32),
         }
-        self.start = groups * members + 1
+        self.p["member"] = np.ascontiguousarray(self.p["member"])
+        self.start = n + 1
+        self._tables: tuple | None = None
         self.causal = np.tril(np.ones((window, window), np.float32))
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,156 +99,248 @@ class CausalModel:
         return starts, np.append(0, starts[:-1] + w)
 
     def _hidden(self, places: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Hidden states of (batch, window) input places."""
-        p, width = self.p, self.p["at"].shape[1]
+        """Hidden states of (batch, window) input places, and what backpropagation needs."""
+        p, width = self.p, self.width
         x = p["ids"][places]
         x += p["at"]
-        q, k, v = np.split((x.reshape(-1, width) @ p["qkv"]).reshape(*x.shape[:2], -1), 3, 2)
-        q = q * np.float32(width**-0.5)
+        flat = x.reshape(-1, width)
+        # A last column of ones makes the products below sum the weights as well.
+        qkv = np.empty((len(flat), 3 * width + 1), flat.dtype)
+        np.matmul(flat, p["qkv"], out=qkv[:, :-1])
+        qkv[:, :width] *= flat.dtype.type(width**-0.5)
+        qkv[:, -1] = 1
+        qkv = qkv.reshape(*places.shape, -1)
+        q, k, v = qkv[..., :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
         e = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(e, -30, 30, out=e)
+        np.clip(e, -LIMIT, LIMIT, out=e)
         np.exp(e, out=e)
         e *= self.causal
-        total = e.sum(2, keepdims=True)
-        y = np.matmul(e, v)
-        y /= total
-        y += x
-        h = np.tanh(y.reshape(-1, width) @ p["w"] + p["b"])
+        mixed = np.matmul(e, v)
+        total = mixed[..., -1:]
+        y = mixed[..., :-1] / total
+        h = (y + x).reshape(-1, width) @ p["w"]
+        h += p["b"]
+        np.tanh(h, out=h)
         return h, (x, q, k, v, e, total, y)
 
+    def _by_class(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of targets by class, and where each class starts in it."""
+        group = self.class_of[place]
+        return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.n_classes + 1))])
+
+    def _fold(self) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+        """Products of the inputs with the weights, by place and by position, made once for scoring.
+
+        What attention and the hidden layer take from an input is linear in it, so it is a row of a table, and the hidden
+        layer's weights go into the values. Last, whether no product can be so large that it has to be cut.
+        """
+        if self._tables is None:
+            p, width = self.p, self.width
+            own = np.split(p["qkv"], 3, 1)
+            make = lambda x, one: np.concatenate([x @ own[0] * np.float32(width**-0.5), x @ own[1], x @ own[2] @ p["w"], np.full((len(x), 1), one, np.float32), x @ p["w"]], 1)
+            tables = make(p["ids"], 1), make(p["at"], 0)
+            tables[1][:, -len(p["b"]) :] += p["b"]
+            longest = lambda a, b: sum(np.sqrt((t[:, a:b] ** 2).sum(1).max()) for t in tables)
+            calm = bool(longest(0, width) * longest(width, 2 * width) < LIMIT)
+            reach = max(np.abs(p[k]).sum(axis).max() + np.abs(p[f"{k}_b"]).max() for k, axis in (("class", 0), ("member", 1)) if p[k].size)
+            self._tables = *tables, calm, bool(reach < LIMIT)
+        return self._tables
+
+    def _states(self, places: np.ndarray) -> np.ndarray:
+        """As :meth:`_hidden`, by the tables of :meth:`_fold`."""
+        table, at, calm, _ = self._fold()
+        width, hidden = self.width, len(self.p["b"])
+        z = np.take(table, places, axis=0)
+        z += at
+        e = np.matmul(z[..., :width], z[..., width : 2 * width].transpose(0, 2, 1))
+        if not calm:
+            np.clip(e, -LIMIT, LIMIT, out=e)
+        np.exp(e, out=e)
+        e *= self.causal
+        mixed = np.matmul(e, z[..., 2 * width : 2 * width + hidden + 1])
+        h = mixed[..., :-1] / mixed[..., -1:]
+        h += z[..., -hidden:]
+        np.tanh(h, out=h)
+        return h.reshape(-1, hidden)
+
     def logp(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the target ids at the scored positions of (batch, window) input places."""
-        some = 64  # windows whose attention fits in a core's cache
-        h = np.concatenate([self._hidden(inputs[a : a + some])[0][scored[a : a + some].ravel()] for a in range(0, len(inputs), some)])
-        ids = targets[scored]
-        place = self.place[ids]
-        group = place // self.members
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        h, group = h[order], group[order]
-        logits = h @ self.p["group"]
-        logits += self.p["group_b"]
-        out = np.empty(len(ids), np.float32)
-        picked = logits[np.arange(len(ids)), group]
-        np.clip(logits, -60, 60, out=logits)
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        starts = np.searchsorted(group, np.arange(self.groups + 2))
-        for g in range(self.groups):
-            a, b = starts[g], starts[g + 1]
+        p, some = self.p, 64  # windows whose attention fits in a core's cache
+        calm = self._fold()[3]
+        place = self.place[targets[scored]]
+        group = self.class_of[place]
+        ones = np.ones(max(self.n_classes + 1, int(np.diff(self.cuts).max(initial=0))), np.float32)
+        rows = np.arange(len(place))
+        states, out, at = np.empty((len(place), len(p["b"])), np.float32), np.empty(len(place), np.float32), 0
+        for a in range(0, len(inputs), some):
+            h = self._states(inputs[a : a + some])[scored[a : a + some].ravel()]
+            end = at + len(h)
+            states[at:end] = h
+            logits = h @ p["class"]
+            logits += p["class_b"]
+            if not calm:
+                np.clip(logits, -LIMIT, LIMIT, out=logits)
+            out[at:end] = logits[rows[: len(h)], group[at:end]]
+            np.exp(logits, out=logits)
+            out[at:end] -= np.log(logits @ ones[: self.n_classes + 1])
+            at = end
+        order, starts = self._by_class(place)
+        h, place, inner = np.take(states, order, axis=0), place[order], np.empty(len(place), np.float32)
+        for c in range(self.n_classes):
+            a, b, low, high = starts[c], starts[c + 1], self.cuts[c], self.cuts[c + 1]
             if a < b:
-                own = h[a:b] @ self.p["member"][g]
-                own += self.p["member_b"][g]
-                picked[a:b] += own[np.arange(b - a), place[order[a:b]] % self.members]
+                own = h[a:b] @ p["member"][low:high].T
+                own += p["member_b"][low:high]
+                if not calm:
+                    np.clip(own, -LIMIT, LIMIT, out=own)
+                inner[a:b] = own[rows[: b - a], place[a:b] - low]
                 np.exp(own, out=own)
-                total[a:b] *= own.sum(1)
-        a = starts[self.groups]
-        picked[a:] += self.rare_logp[ids[order[a:]]]
-        out[order] = picked - np.log(total)
+                inner[a:b] -= np.log(own @ ones[: high - low])
+        inner[starts[-2] :] = self.unseen_logp
+        out[order] += inner
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-probability over the scored positions of windows (all by default), and its gradients."""
-        p, width = self.p, self.p["at"].shape[1]
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray | None = None) -> tuple[float, dict[str, tuple[np.ndarray | slice, np.ndarray]]]:
+        """Mean negative log-probability over the scored positions of windows (all by default), and its gradients.
+
+        Each gradient comes with the rows that it is of; the other rows of that table have none.
+        """
+        p, width = self.p, self.width
         every, (x, q, k, v, e, total, y) = self._hidden(inputs)
-        use = np.arange(len(every)) if scored is None else np.flatnonzero(scored)
-        h, n = every[use], len(use)
-        place = self.place[targets.ravel()[use]]
-        group = place // self.members
-        logits = h @ p["group"] + p["group_b"]
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(1, keepdims=True)
-        loss = -np.log(prob[np.arange(n), group] + 1e-30).sum()
-        prob[np.arange(n), group] -= 1
-        prob /= n
-        grads = {"group": h.T @ prob, "group_b": prob.sum(0), "member": np.zeros_like(p["member"]), "member_b": np.zeros_like(p["member_b"])}
-        gh = prob @ p["group"].T
-        for g in range(self.groups):
-            rows = np.flatnonzero(group == g)
-            if not len(rows):
+        kind = every.dtype.type
+        use = slice(None) if scored is None or scored.all() else np.flatnonzero(scored)
+        h = every[use]
+        n, place = len(h), self.place[targets.ravel()[use]]
+        order, starts = self._by_class(place)
+        h, place = h[order], place[order]
+        group = self.class_of[place]
+        logits = h @ p["class"]
+        logits += p["class_b"]
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
+        np.exp(logits, out=logits)
+        logits /= (logits @ np.ones(self.n_classes + 1, kind))[:, None]
+        rows = np.arange(n)
+        loss = -np.log(logits[rows, group]).sum()
+        logits[rows, group] -= 1
+        logits *= kind(1 / n)
+        all_rows = slice(None)
+        grads = {"class": (all_rows, h.T @ logits), "class_b": (all_rows, np.ones(n, kind) @ logits)}
+        gh = logits @ p["class"].T
+        touched, members, biases = [], [], []
+        for c in range(self.n_classes):
+            a, b, low, high = starts[c], starts[c + 1], self.cuts[c], self.cuts[c + 1]
+            if a == b:
                 continue
-            own = h[rows] @ p["member"][g] + p["member_b"][g]
-            own -= own.max(1, keepdims=True)
-            own = np.exp(own)
-            own /= own.sum(1, keepdims=True)
-            at = place[rows] % self.members
-            loss -= np.log(own[np.arange(len(rows)), at] + 1e-30).sum()
-            own[np.arange(len(rows)), at] -= 1
-            own /= n
-            grads["member"][g] = h[rows].T @ own
-            grads["member_b"][g] = own.sum(0)
-            gh[rows] += own @ p["member"][g].T
-        some = gh * (1 - h * h)
-        gh = np.zeros_like(every)
-        gh[use] = some
-        grads["w"], grads["b"] = y.reshape(-1, width).T @ gh, gh.sum(0)
-        gy = (gh @ p["w"].T).reshape(x.shape)
-        a = e / total
-        gv = np.matmul(a.transpose(0, 2, 1), gy)
+            weights = p["member"][low:high]
+            own = h[a:b] @ weights.T
+            own += p["member_b"][low:high]
+            np.clip(own, -LIMIT, LIMIT, out=own)
+            np.exp(own, out=own)
+            own /= (own @ np.ones(high - low, kind))[:, None]
+            at = place[a:b] - low
+            loss -= np.log(own[rows[: b - a], at]).sum()
+            own[rows[: b - a], at] -= 1
+            own *= kind(1 / n)
+            touched.append(np.arange(low, high))
+            members.append(own.T @ h[a:b])
+            biases.append(np.ones(b - a, kind) @ own)
+            gh[a:b] += own @ weights
+        loss -= float(self.unseen_logp) * (n - starts[-2])
+        if touched:
+            at = np.concatenate(touched)
+            grads["member"], grads["member_b"] = (at, np.concatenate(members)), (at, np.concatenate(biases))
+        gh *= 1 - h * h
+        back = np.zeros_like(every) if not isinstance(use, slice) else np.empty_like(every)
+        back[order if isinstance(use, slice) else use[order]] = gh
+        grads["w"], grads["b"] = (all_rows, (y + x).reshape(-1, width).T @ back), (all_rows, np.ones(len(back), kind) @ back)
+        gy = np.empty((*x.shape[:2], width + 1), x.dtype)
+        np.matmul(back, p["w"].T, out=gy.reshape(-1, width + 1)[:, :-1])
+        # Less the mean of the weights' gradients, through the column of ones.
+        np.einsum("bij,bij->bi", gy[..., :-1], y, out=gy[..., -1])
+        np.negative(gy[..., -1], out=gy[..., -1])
+        e /= total
         ga = np.matmul(gy, v.transpose(0, 2, 1))
-        gs = a * (ga - (a * ga).sum(2, keepdims=True))
-        gq = np.matmul(gs, k) * np.float32(width**-0.5)
-        gk = np.matmul(gs.transpose(0, 2, 1), q)
-        g_all = np.concatenate([gq, gk, gv], 2).reshape(-1, 3 * width)
-        grads["qkv"] = x.reshape(-1, width).T @ g_all
-        gx = gy + (g_all @ p["qkv"].T).reshape(x.shape)
-        grads["at"] = gx.sum(0)
-        grads["ids"] = np.zeros_like(p["ids"])
-        np.add.at(grads["ids"], inputs.ravel(), gx.reshape(-1, width))
+        ga *= e
+        g_all = np.empty((*x.shape[:2], 3 * width), x.dtype)
+        g_all[..., :width] = np.matmul(ga, k)
+        g_all[..., :width] *= kind(width**-0.5)
+        g_all[..., width : 2 * width] = np.matmul(ga.transpose(0, 2, 1), q)
+        g_all[..., 2 * width :] = np.matmul(e.transpose(0, 2, 1), gy[..., :-1])
+        flat = g_all.reshape(-1, 3 * width)
+        grads["qkv"] = (all_rows, x.reshape(-1, width).T @ flat)
+        gx = flat @ p["qkv"].T
+        gx += gy.reshape(-1, width + 1)[:, :-1]
+        grads["at"] = (all_rows, (np.ones(len(x), kind) @ gx.reshape(len(x), -1)).reshape(-1, width))
+        read = inputs.ravel()
+        order = np.argsort(read, kind="stable")
+        read = read[order]
+        first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+        grads["ids"] = (read[first], np.add.reduceat(gx[order], first, axis=0))
         return float(loss) / n, grads
 
     def sequence(self, ids: np.ndarray) -> np.ndarray:
         """Input places that predict ids: the start, then all but the last id."""
         return np.concatenate([[self.start], self.place[ids[:-1]]])
 
+    def _flat(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and input places of all texts one after the other, and a window of padding."""
+        pad = np.zeros(self.window, np.int32)
+        return np.concatenate([*texts, pad]), np.concatenate([*(self.sequence(t) for t in texts), pad])
+
     def _spread(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """All texts as one: ids, input places, and by window its text's first place and size, its start, its first scored position."""
         w = self.window
         n = np.array([len(t) for t in texts], np.int64)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        flat = np.concatenate([*texts, np.zeros(w, np.int32)])
-        places = np.concatenate([*(self.sequence(t) for t in texts), np.zeros(w, np.int64)])
-        count = np.where(n <= w, 1, 1 + -(-(n - w) // (w - self.overlap)))
-        starts, fresh = np.empty(count.sum(), np.int64), np.empty(count.sum(), np.int64)
-        at = 0
-        for k, size in zip(count.tolist(), n.tolist(), strict=True):
-            starts[at : at + k], fresh[at : at + k] = self.windows(size)
-            at += k
+        flat, places = self._flat(texts)
+        step = w - self.overlap
+        count = np.where(n <= w, 1, 1 + -(-(n - w) // step))
+        turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        last = turn == np.repeat(count, count) - 1
+        starts = np.where(last, np.repeat(np.maximum(n - w, 0), count), turn * step)
+        fresh = np.where(turn == 0, 0, (turn - 1) * step + w)
         return flat, places, np.repeat(np.arange(len(texts)), count), first, n, starts, fresh
 
-    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
-        """Adam over the windows of all texts, in random order, each id learned in the window that scores it.
+    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 256, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
+        """Adam over the windows of all texts, in random order.
 
-        Each text ends with the end id; short ones are padded and masked. By default every window comes up once. ``span``
-        is the part of the whole training that this call is: the rate falls over its second half.
+        Training windows stand side by side, so each id is learned once in a pass; each text ends with the end id, short
+        windows are padded and masked. By default every window comes up once. ``span`` is the part of the whole training
+        that this call is: the rate falls over its second half.
         """
         rng = np.random.default_rng(seed)
-        flat, places, owner, first, n, starts, fresh = self._spread(texts)
-        per_pass = -(-len(owner) // batch)
-        steps = steps or per_pass
+        w, self._tables = self.window, None
+        n = np.array([len(t) for t in texts], np.int64)
+        flat, places = self._flat(texts)
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        count = -(-n // w)
+        before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts, left = np.repeat(first, count) + before * w, np.repeat(n, count) - before * w
+        per_pass = -(-len(starts) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for step in range(1, steps + 1):
+        for step in range(1, (steps or per_pass) + 1):
             turn = (step - 1) % per_pass
             if turn == 0:
-                order = rng.permutation(len(owner))
+                order = rng.permutation(len(starts))
             some = order[turn * batch : (turn + 1) * batch]
-            own = owner[some]
-            place = starts[some, None] + np.arange(self.window)
-            scored = (place >= fresh[some, None]) & (place < n[own, None])
-            index = first[own, None] + place
-            inputs = places[index]
-            _, grads = self.gradients(inputs, flat[index], scored)
-            pace = rate * min(1.0, 2 * (1 - span[0] - (span[1] - span[0]) * step / (steps + 1)))
-            for k, g in grads.items():
-                # Of the table of inputs only the rows that were read move.
-                at = np.unique(inputs) if k == "ids" else slice(None)
-                g = g[at]
-                m[k][at] += 0.1 * (g - m[k][at])
-                v[k][at] += 0.01 * (g * g - v[k][at])
-                self.p[k][at] -= pace * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.99**step)) + 1e-8)
-
-    def score(self, texts: list[np.ndarray], rows: int = 1024) -> np.ndarray:
+            index = starts[some, None] + np.arange(w)
+            _, grads = self.gradients(places[index], flat[index], np.arange(w) < left[some, None])
+            pace = np.float32(rate * min(1.0, 2 * (1 - span[0] - (span[1] - span[0]) * step / ((steps or per_pass) + 1))) / (1 - 0.9**step))
+            soft = np.float32(1 / (1 - 0.99**step))
+            for k, (at, g) in grads.items():
+                # Of the tables by id only the rows that a batch touches move.
+                new_m, new_v = m[k][at], v[k][at]
+                new_m += np.float32(0.1) * (g - new_m)
+                new_v += np.float32(0.01) * (g * g - new_v)
+                m[k][at], v[k][at] = new_m, new_v
+                move = np.sqrt(new_v * soft)
+                move += np.float32(1e-8)
+                np.divide(new_m, move, out=move)
+                move *= pace
+                self.p[k][at] -= move
+
+    def score(self, texts: list[np.ndarray], rows: int = 512) -> np.ndarray:
         """Log10 probability of each text (ids with the end id); every id is scored once."""
         w = self.window
         flat, places, owner, first, n, starts, fresh = self._spread(texts)
@@ -260,7 +362,6 @@ class CausalModel:
 
 def word_counts(docs: DataFrame, text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
     """word (binary), count: words of all texts; a null word is the end of a text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -307,19 +408,20 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return found
 
 
-def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, total: float, key: str = "doc_id", text: str = "text", shard_ids: int = 4_000_000, rounds: int = 2, least: int = 2_300_000, part: int = 4096) -> int:
+def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, total: float, key: str = "doc_id", text: str = "text", shard_ids: int = 8_000_000, rounds: int = 2, least: int = 2_300_000, part: int = 4096) -> int:
     """Fits the weights to all training texts, which have ``total`` ids with their ends; how many ids were learned.
 
-    Rows are dealt by their hash into shards of about ``shard_ids`` ids and into ``rounds``. In a round a task trains a copy
-    of the weights on a shard's rows of that round; the mean of all copies, by ids learned, goes to the next round. So the
-    steps grow with the input, every text is learned, and the shards don't depend on how the input is partitioned. Rows of a
-    small corpus come up again, until about ``least`` ids went by. Copies are added up in parts of ``part`` numbers.
+    Rows are dealt by a hash of key, text and place in the table (so that repeated rows part) into shards of about
+    ``shard_ids`` ids and into ``rounds``. In a round a task trains a copy of the weights on a shard's rows of that round;
+    the mean of all copies, by ids learned, goes to the next round. So the steps grow with the input and every text is
+    learned. Rows of a small corpus come up again, until about ``least`` ids went by. Copies are added up in parts of
+    ``part`` numbers.
     """
     if not total:
         return 0
     spark = training.sparkSession
     shards, again = math.ceil(total / shard_ids), math.ceil(least / total)
-    place = F.xxhash64(key, text)
+    place = F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id())
     rows = training.select(F.col(text).alias("text"), place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(place, 32), F.lit(rounds)).alias("turn"))
     names, learned = list(model.p), 0
     for turn in range(rounds):
@@ -330,8 +432,8 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
             end = np.array([coder.size], np.int32)
             group = group.sort_by([("place", "ascending"), ("text", "ascending")])
             texts = [np.concatenate([np.frombuffer(b"".join(coder.known(words(x))), "<i4"), end]) for x in group.column("text").to_pylist()]
-            n_windows = sum(len(model.windows(len(t))[0]) for t in texts)
-            batch = 128
+            n_windows = sum(-(-len(t) // model.window) for t in texts)
+            batch = 256
             model.train(texts, again * -(-n_windows // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
             n = sum(map(len, texts))
             flat = np.concatenate([model.p[k].ravel() for k in names]).astype("<f4")
@@ -366,6 +468,7 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
                 size = model.p[k].size
                 model.p[k] = flat[at : at + size].reshape(model.p[k].shape).copy()
                 at += size
+            model._tables = None
             learned += means[0].n
     return learned
 
@@ -378,25 +481,26 @@ def score_documents(
     key: str = "doc_id",
     text: str = "text",
     head: int = 200_000,
-    head_bytes: int = 64,
+    unit: int = 64,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased words and one end per text. ``base_score`` is that of a smoothed unigram model over the exact
     counts of all ``training`` texts. ``score`` is the log10 probability of the text's subword ids and end under the
-    attention model, whose frequencies and weights also come from all training texts (see :func:`fit`). Counts of at most ``head`` of the most frequent words of at most
-    ``head_bytes`` bytes (whole levels of frequency) are sent to all tasks, a bounded table; rarer words of the documents are joined with their
-    counts. Null texts are empty: one token, the end. Repeated rows and null keys stay; other columns are not read. Without
-    training rows every count is 0, train_tokens is 0, base_score is null and the model knows no frequencies.
+    attention model, whose frequencies and weights also come from all training texts (see :func:`fit`). An id is scored
+    with at least 8 ids before it in its window, or all of its text's. Counts of the most frequent words (whole levels of
+    frequency, short and long ones alike) are sent to all tasks, a table of at most ``head`` times ``unit`` bytes; rarer
+    words of the documents are joined with their counts. Null texts are empty: one token, the end. Repeated rows and null
+    keys stay; other columns are not read. Without training rows every count is 0, train_tokens is 0, base_score is null
+    and the model knows no frequencies.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     counts = materialize(word_counts(training, text), "word-counts")
     n_all, n_distinct, n_ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-    frequent = counts.filter(F.col("word").isNotNull() & (F.octet_length("word") <= head_bytes)).withColumn("level", F.floor(F.log2("n") * 16))
+    frequent = counts.filter(F.col("word").isNotNull()).select("word", "n", F.floor(F.log2("n") * 16).alias("level"), F.ceil(F.octet_length("word") / unit).alias("units"))
     least, held = None, 0
-    for level, n in sorted(frequent.groupBy("level").agg(F.count("*")).collect(), reverse=True):
+    for level, n in sorted(frequent.groupBy("level").agg(F.sum("units")).collect(), reverse=True):
         if held + n > head:
             break
         least, held = level, held + n

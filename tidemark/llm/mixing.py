@@ -43,19 +43,22 @@ def stratum(size: Column) -> Column:
     return (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")
 
 
-def systematic_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", buckets: int = 64) -> DataFrame:
+def systematic_copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 10_000) -> DataFrame:
     """One row per document: key, source, size, source_size, target, copies.
 
     Size is the number of words; a null text has size 0. Within a source all documents expect target / source_size
     copies (0 if it has no words). They stand in an order of size classes, so that any stretch of like documents gets its
     share; the expected copies are summed along that order from one offset per source, drawn from ``seed``, and a
     document is taken once for each whole number that its stretch crosses: none more than ``most`` rounded up. The sums
-    are taken in two steps, within buckets of (source, size class, key mod ``buckets``) and over bucket totals, so a
-    source with most rows is spread over many tasks. Reruns agree. Ties: equal keys are ordered by size, and rows equal
-    in both are alike, so it doesn't matter which of them is first. Null sources are a source, null keys a bucket.
+    are taken in two steps, within buckets of (source, size class, hash of the key) and over bucket totals, so a source
+    with most rows is spread over many tasks; there are so many buckets that one has about ``bucket_rows`` rows at most,
+    as long as no key repeats as often. Reruns agree. Ties: equal keys are ordered by size, and rows equal in both are
+    alike, so it doesn't matter which of them is first. Keys are of any type that can be ordered. Null sources are a
+    source; null keys are hashed like any other.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumns({"stratum": stratum(F.col("size")), "bucket": F.coalesce(F.pmod(F.col("key").cast("long"), F.lit(buckets)), F.lit(buckets).cast("long"))})
+    buckets = max(64, -(-docs.count() // bucket_rows))
+    rows = rows.withColumns({"stratum": stratum(F.col("size")), "bucket": F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets})
     spot = ["source", "stratum", "bucket"]
     inside = Window.partitionBy(*spot)
     rows = rows.withColumn("place", F.row_number().over(inside.orderBy("size", F.col("key").asc_nulls_last())))

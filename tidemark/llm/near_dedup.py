@@ -10,10 +10,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.components import components
 from tidemark.llm.storage import discard, materialize
-from tidemark.llm.text import by_bytes, small_batches, words
+from tidemark.llm.text import by_bytes, words
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -36,7 +37,6 @@ def simhash(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, batch_bytes: int = 1 << 20) -> DataFrame:
     """key, fp: the fingerprint of each whole text as a signed long; a null or blank text has 0."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,54 +148,95 @@ def spanning_links(fps: np.ndarray, most: int) -> tuple[list[np.ndarray], list[n
     return left, right
 
 
-def links(distinct: DataFrame, most: int = 4) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) of at most ``most`` (up to 4) differing bits.
-
-    Not all pairs, but enough to join everything that pairs would: in each bucket a spanning forest. Rows of a bucket
-    come one after the other in a sorted partition; only one bucket is held at a time.
-    """
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for a in range(0, len(fps), 4096):
-                some = fps[a : a + 4096]
-                keys, rows = bucket_keys(some)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(some[rows].view(np.int64))], ["key", "fp"])
+def _buckets(most: int, limit: int | None):
+    """Visits sorted rows (key, fp) bucket by bucket: rows a, b of links; a bucket of over ``limit`` rows is handed on as
+    rows (key, a) with no b, without being held."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            nulls = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([nulls if key is None else pa.array(key, pa.int64()), pa.array(a.view(np.int64)), nulls if b is None else pa.array(b.view(np.int64))], ["key", "a", "b"])
+
+        def found(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             pairs = starts[sizes == 2]
             near = np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= most
             left, right = [fps[pairs][near]], [fps[pairs + 1][near]]
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                more = spanning_links(fps[start : start + size], most)
-                left += more[0]
-                right += more[1]
-            edges = [np.concatenate(x).view(np.int64) for x in (left, right)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in edges], ["a", "b"])
+                if limit and size > limit:
+                    yield rows(keys[start : start + size], fps[start : start + size], None)
+                else:
+                    more = spanning_links(fps[start : start + size], most)
+                    left += more[0]
+                    right += more[1]
+            yield rows(None, np.concatenate(left), np.concatenate(right))
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket so far
+        size, passing = 0, None  # the key of a bucket that is handed on
         for batch in batches:
             keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if passing is not None:
+                end = int(np.searchsorted(keys, passing, side="right"))
+                if end:
+                    yield rows(keys[:end], fps[:end], None)
+                keys, fps = keys[end:], fps[end:]
+                if len(keys):
+                    passing = None
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))
-            if last == 0 and held and held[-1][0][-1] == keys[0]:
-                held.append((keys, fps))
-                continue
-            whole = [np.concatenate(x) for x in zip(*held, (keys[:last], fps[:last]), strict=True)]
-            if len(whole[0]):
-                yield found(*whole)
-            held = [(keys[last:], fps[last:])]
+            if last or not held or held[-1][0][-1] != keys[0]:
+                whole = [np.concatenate(x) for x in zip(*held, (keys[:last], fps[:last]), strict=True)]
+                if len(whole[0]):
+                    yield from found(*whole)
+                held, size = [], 0
+            held.append((keys[last:], fps[last:]))
+            size += len(keys) - last
+            if limit and size > limit:
+                yield rows(*(np.concatenate(x) for x in zip(*held, strict=True)), None)
+                held, size, passing = [], 0, keys[-1]
         if held:
-            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return visit
+
+
+def links(distinct: DataFrame, most: int = 4, bucket_rows: int = 8192) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) of at most ``most`` (up to 4) differing bits.
+
+    Not all pairs, but enough to join everything that pairs would: in each bucket a spanning forest. Rows of a bucket
+    come one after the other in a sorted partition. A bucket of over ``bucket_rows`` fingerprints isn't held: its rows are
+    dealt into blocks of about half as many, and each pair of blocks is visited as a bucket of its own.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for a in range(0, len(fps), 4096):
+                some = fps[a : a + 4096]
+                keys, rows = bucket_keys(some)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(some[rows].view(np.int64))], ["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(emit, "key int, fp long")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(visit, "a long, b long").distinct()
+    first = materialize(dealt.mapInArrow(_buckets(most, bucket_rows), "key long, a long, b long"), "bucket-links")
+    large = first.filter("key is not null").select("key", F.col("a").alias("fp"))
+    blocks = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / bucket_rows).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    placed = large.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    paired = placed.filter("n = 1 or own <> other").select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    again = paired.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_buckets(most, None), "key long, a long, b long")
+    return first.filter("key is null").select("a", "b").unionByName(again.select("a", "b")).distinct()
+
+
+def _roots(rows: DataFrame, most: int) -> DataFrame:
+    """fp, root of all fingerprints of ``rows`` (key, fp): the component of each."""
+    nodes = rows.select("fp").distinct()
+    edges = materialize(links(nodes, most), "near")
+    roots = components(edges)
+    discard(edges)
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
@@ -206,11 +247,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     stay rows of one component. Other columns are not read.
     """
     rows = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    edges = materialize(links(nodes, most), "near")
-    roots = components(edges)
-    discard(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
+    least = rows.groupBy("fp").agg(F.min("key").alias("least"))
+    named = _roots(rows, most).join(least, "fp")
+    ids = named.select("fp", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 4, most: int = 4, batch_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, but of each group of near-duplicates only one: the first as stored.
+
+    Rows are told apart by their place in a table that is stored with their fingerprints, so null and repeated keys don't
+    matter; of wholly equal rows one stays.
+    """
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, text, batch_bytes):
+                found = np.array([simhash(x, shingle) for x in part.column(text).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "_fp"])
+
+    stored = materialize(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    rows = stored.select(F.col("_fp").alias("fp"), F.col("_row").alias("key"))
+    first = rows.groupBy("fp").agg(F.min("key").alias("key"))
+    kept = _roots(rows, most).join(first, "fp").groupBy("root").agg(F.min("key").alias("_row")).select("_row")
+    return stored.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.text import Memo, by_bytes, hold, small_batches
+from tidemark.llm.text import Memo, by_bytes, hold
 
 # ---------------------------------------------------------------- token ids
 
@@ -98,7 +98,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     A document is its ids, then ``end_id``; a null text is just ``end_id``. Longer ones are cut so that only the first
     piece may be short.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -157,9 +156,13 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     For each split point e up to half a bin: items over capacity - e count as whole bins, items under e as nothing. For
     each k: an item counts as floor((k + 1) x) / k bins, or as x itself where (k + 1) x is whole (x: its share of a bin).
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(*np.unique(sizes, return_counts=True), capacity) if len(sizes) else 0
+
+
+def bound_of_counts(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """:func:`lower_bound` from the distinct lengths and how often each comes."""
+    count = np.zeros(capacity + 1, np.int64)
+    count[lengths] = counts
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     mass, number = np.concatenate([[0], np.cumsum(count * size)]), np.concatenate([[0], np.cumsum(count)])
@@ -178,7 +181,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        """Packs one group anew; bins that came in are kept where that takes no fewer."""
+        """Packs one group anew; bins that came in are kept where that takes no fewer. ``gap``: bins over the bound."""
         group = group.sort_values("row", kind="stable").reset_index(drop=True)
         sizes = group["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(sizes, capacity)
@@ -186,7 +189,7 @@ def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if before is not None and before <= len(np.unique(bins)):
             bins, offsets = pd.factorize(group["bin"])[0].astype(np.int64), group["offset"].to_numpy(np.int64)
         used = np.bincount(bins, weights=sizes).astype(np.int64)
-        return pd.DataFrame({"row": group["row"], "length": sizes, "part": group["part"], "bin": bins, "offset": offsets, "filled": used[bins], "certified": len(used) <= lower_bound(sizes, capacity)})
+        return pd.DataFrame({"row": group["row"], "length": sizes, "part": group["part"], "bin": bins, "offset": offsets, "filled": used[bins], "gap": len(used) - lower_bound(sizes, capacity)})
 
     return pack
 
@@ -203,38 +206,37 @@ def _deal(capacity: int, n_parts: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     return deal
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int = 2) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int = 8) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; offsets in a sequence leave no gaps.
 
-    ``pieces`` must be a stored table (its rows are numbered as read). A full piece is a sequence by itself and isn't
-    moved. The others are dealt, length by length, over parts of about ``part_rows`` rows; best-fit decreasing packs each part, and a
-    part whose bins are as few as its lower bound is done. Of the other parts, the bins that still have room are dealt
-    anew, whole bins at a time, and each new part is packed again; what came in stays where that saves nothing. That
-    goes on for ``rounds`` rounds, or until one part is left. No value of any column puts more rows in a part.
+    Rows are numbered once, as a stored table. A full piece is a sequence by itself and isn't moved. The others are dealt,
+    length by length, over parts of about ``part_rows`` rows; best-fit decreasing packs each part, and a part whose bins
+    are as few as its lower bound is done. Of the other parts, the bins that still have room are dealt anew, whole bins at
+    a time, and each new part is packed again; what came in stays where that saves nothing. That goes on until one part is
+    left, a round saves no bin, or ``rounds`` rounds are over. No value of any column puts more rows in a part. :func:`certificate`
+    compares the whole with its bound.
     """
-    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "packing-rows")
+    numbered = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "packing-rows")
     full = numbered.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.col("row") * 2, "offset": F.lit(0).cast("long")})
     rest = numbered.filter(F.col("length") < capacity).select("row", "length")
-    n_rows = rest.count()
-    n_parts = max(1, -(-n_rows // part_rows))
-    schema = "row long, length long, part long, bin long, offset long, filled long, certified boolean"
+    n_parts = max(1, -(-rest.count() // part_rows))
+    schema = "row long, length long, part long, bin long, offset long, filled long, gap long"
     # Tasks read the stored rows in the same order each time, so that a lost task gives the same again.
     dealt = rest.mapInPandas(_deal(capacity, n_parts), "row long, length long, part long").withColumns({"bin": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    packed = dealt.groupBy("part").applyInPandas(_pack(capacity), schema)
-    packed = packed.withColumn("bin_id", F.col("part") * (1 << 24) + F.col("bin"))
-    done = None
-    base = n_parts
+    bin_id = F.col("part") * (1 << 24) + F.col("bin")
+    packed = dealt.groupBy("part").applyInPandas(_pack(capacity), schema).withColumn("bin_id", bin_id)
+    done, base, before = None, n_parts, None
     for _ in range(rounds if n_parts > 1 else 0):
         packed = materialize(packed, "packing-round")
-        is_open = ~F.col("certified") & (F.col("filled") < capacity)
+        is_open = (F.col("gap") > 0) & (F.col("filled") < capacity)
+        n_again, n_bins = packed.agg(F.sum(is_open.cast("long")), F.count(F.when((F.col("offset") == 0) & is_open, 1))).first()
+        if not n_again or before is not None and n_bins >= before:
+            break
         closed, again = packed.filter(~is_open), packed.filter(is_open)
         done = closed if done is None else done.unionByName(closed)
-        n_again = again.count()
-        n_parts = max(1, -(-n_again // part_rows))
+        before, n_parts = n_bins, max(1, -(-n_again // part_rows))
         again = again.withColumns({"part": base + F.pmod(F.xxhash64("bin_id"), F.lit(n_parts)), "bin": F.col("bin_id")})
-        packed = again.select("row", "length", "part", "bin", "offset").groupBy("part").applyInPandas(_pack(capacity), schema)
-        packed = packed.withColumn("bin_id", F.col("part") * (1 << 24) + F.col("bin"))
+        packed = again.select("row", "length", "part", "bin", "offset").groupBy("part").applyInPandas(_pack(capacity), schema).withColumn("bin_id", bin_id)
         base += n_parts
         if n_parts == 1:
             break
@@ -242,3 +244,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000
     placed = done.select("row", (F.col("bin_id") * 2 + 1).alias("sequence_id"), "offset")
     rest = numbered.filter(F.col("length") < capacity).join(placed, "row")
     return full.unionByName(rest).drop("row")
+
+
+def certificate(packed: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row: n_sequences, bound (no packing of these pieces has fewer) and certified, whether they are equal.
+
+    The bound is that of :func:`lower_bound` over the lengths of all rows, which is a table of at most ``capacity`` counts.
+    """
+    counts = packed.groupBy("length").agg(F.count("*").alias("n"))
+    used = packed.select("sequence_id").distinct().agg(F.count("*").alias("n_sequences"))
+
+    def bound(table: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bound": [bound_of_counts(table["length"].to_numpy(), table["n"].to_numpy(), capacity)]})
+
+    found = counts.groupBy().applyInPandas(bound, "bound long")
+    return used.join(found, how="left").fillna({"bound": 0}).select("n_sequences", "bound", (F.col("n_sequences") == F.col("bound")).alias("certified"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import Memo, by_bytes, hold, small_batches
+from tidemark.llm.text import Memo, by_bytes, hold
 
 MARK = "▁"
 #: A single space between two characters that are neither spaces nor the library's own mark for one.
@@ -69,7 +69,6 @@ def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     0 tokens). Texts are whole; begin, end and other added tokens are not counted. Equal rows give equal rows, a null key
     stays null, an empty table gives an empty one, and other columns are not read.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage is stored, and works on all that the one before it kept."""
+"""A corpus pipeline: each stage is stored, and works on all that the one before it kept.
+
+Rows are never told apart by their ids, which may be null or repeat: a stage carries whole rows through its operator, or
+numbers them in a stored table first.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +14,11 @@ from tidemark.llm.queries import BYTES
 from tidemark.llm.storage import materialize
 from tidemark.llm.text import remainder
 
-#: Documents whose predicted language is less sure than this go.
-LEAST_SCORE = 0.5
-
-
-def _same(docs: DataFrame, decisions: DataFrame, *keep: str) -> DataFrame:
-    """Rows of docs whose doc_id has a row in decisions, with the columns ``keep`` of that row; null ids match."""
-    named = decisions.select(F.col("doc_id").alias("_id"), *keep)
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language (op 9); the network learns from those whose crc32 remainder is not 2."""
-    found = language_id.identify(docs, docs.filter(remainder("doc_id", 4) != 2))
-    sure = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(sure.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = language_id.identify(docs, docs.filter(remainder("doc_id", 4) != 2), carry=True)
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +27,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (op 3): the one with the least doc_id."""
-    found = near_dedup.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    first = materialize(first, "pipeline-first")
-    one = docs.join(first.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # Only where a document's id repeats are texts compared once more.
-    return one.dropDuplicates(["doc_id"]) if first.filter("_n > 1").limit(1).count() else one
+    """Keeps one document of each group of near-duplicates (op 3)."""
+    return near_dedup.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix of sources does (op 4): none, once or twice."""
-    taken = mixing.systematic_copies(docs).filter("copies > 0")
-    return _same(docs, taken, "copies").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "_copy")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    taken = mixing.systematic_copies(rows, key="_row").filter("copies > 0").select("_row", "copies")
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token pieces of all documents (op 7); a document taken twice is packed twice."""
-    pieces = packing.token_pieces(docs, BYTES).drop("ids")
-    return packing.pack_pieces(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Packs the token pieces of all documents (op 7); a document taken twice is packed twice, as another ``document``."""
+    named = docs.select(F.struct(F.monotonically_increasing_id().alias("document"), "doc_id").alias("_key"), "text")
+    pieces = packing.token_pieces(named, BYTES, key="_key").drop("ids")
+    packed = packing.pack_pieces(pieces.select("_key.document", "_key.doc_id", "piece", "start", "length", "ids_crc32"))
+    return packed.select("document", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language), ("quality_rules", rules), ("near_dedup", near_duplicates), ("source_mix", mix), ("packing", pack)]

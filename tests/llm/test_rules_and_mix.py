@@ -33,7 +33,7 @@ def test_base_counts(odd_docs):
 def test_lines(spark):
     prose = "The engine reads every row of the table once and keeps what it needs."
     cases = [
-        (prose, False), ("Home | About | News | Contact", True), ("Licensed under the Apache License, Version 2.0.", True), ("BUY!! NOW!! CHEAP!! STUFF!!", True),
+        (prose, False), ("Home | About | News | Contact", True), ("Start » Shop » Shoes", True), ("Start » Shop » Shoes for walking", False), ("It costs more › or less › than you might think it would cost there.", False), ("Licensed under the Apache License, Version 2.0.", True), ("BUY!! NOW!! CHEAP!! STUFF!!", True),
         ("a*** b### c%%% d$$$ e&&&", True), ("Read more", True), ("Short, but ends.", False), ("", False), (None, False), ("a line of five words", False),
     ]
     rows = spark.createDataFrame(cases, "line string, bad boolean").withColumn("found", quality_rules.bad_line(F.col("line")))

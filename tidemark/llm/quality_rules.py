@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text import WORD
 
-#: Wording of lines that a site repeats on its pages.
+#: Wording of lines that a site repeats on its pages; a choice, to be replaced by the user's own.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -26,6 +26,8 @@ BOILERPLATE = (
 )
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Marks between the links of a navigation bar or a trail of pages.
+BARS = "[|›»·]"
 
 
 def _count(text: Column, part: str) -> Column:
@@ -37,12 +39,12 @@ def bad_line(line: Column) -> Column:
     """True where a line with words is shouting or symbols, a navigation bar, boilerplate or a crumb.
 
     Punctuation: three or more "!!" on at least half as many words, or as many symbols as words; or fewer than four
-    words without a closing mark. Navigation: two or more "|" among at most three times as many words. Boilerplate:
+    words without a closing mark. Navigation: two or more marks of ``BARS`` among at most three times as many words. Boilerplate:
     a phrase of ``BOILERPLATE``.
     """
     line = F.coalesce(line, F.lit(""))
     n_words = F.regexp_count(line, F.lit(WORD))
-    shouts, bars = _count(line, "!!"), _count(line, "|")
+    shouts, bars = _count(line, "!!"), F.regexp_count(line, F.lit(BARS))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&<>]"))
     crumb = (n_words < 4) & ~line.rlike(r"[.!?:;,)\]\"'”’»…。！？][\x20\x09-\x0D]*$")
     return (

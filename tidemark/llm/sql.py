@@ -1,6 +1,6 @@
 """SQL twins, for DuckDB, of the queries that SQL can express."""
 
-from tidemark.llm.quality_rules import BOILERPLATE
+from tidemark.llm.quality_rules import BARS, BOILERPLATE
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,7 +41,7 @@ _BAD_LINE = rf"""
   (len(l) - len(replace(l, '!!', ''))) / 2 >= 3 and (len(l) - len(replace(l, '!!', ''))) >= n
   or s >= 3 and s >= n
   or n < 4 and not regexp_matches(l, '[.!?:;,)\]"''”’»…。！？][\x20\x09-\x0D]*$')
-  or (len(l) - len(replace(l, '|', ''))) >= 2 and 3 * (len(l) - len(replace(l, '|', ''))) >= n
+  or len(regexp_extract_all(l, '{BARS}')) >= 2 and 3 * len(regexp_extract_all(l, '{BARS}')) >= n
   or regexp_matches(lower(l), '{"|".join(BOILERPLATE)}')
 )
 """

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import by_bytes
+from tidemark.llm.text import by_bytes, hold
 
 #: The template: a turn is TURN role SAYS text END. Reserved ids follow the vocabulary; no text encodes to them.
 TURN, SAYS, END = "<turn>", "### ", "</turn>"
@@ -48,10 +47,8 @@ class SegmentCoder:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> SegmentCoder:
-    """One per Python worker, kept between tasks."""
-    return SegmentCoder(path)
+    return hold(("segments", path), lambda: SegmentCoder(path))
 
 
 def _assemble(first: int, turns: list[tuple[str, bytes, bytes]], trained: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +78,7 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
     Segments are encoded row by row wherever rows lie; then rows go to their conversation and reserved ids are spliced
     between segments. Null texts and roles count as empty; null conv_ids are one conversation. Turns go by number, null
     first; equal numbers by role, then text. Repeated rows are repeated turns. A conversation is one output row, so it must
-    fit in a task; memory holds one at a time. Other columns are not read.
+    fit in a task; memory holds one more than about ``batch_bytes`` / 4 finished ids. Other columns are not read.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -99,14 +96,19 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
         now: object = assemble  # no conversation yet
         held: list[tuple[str, bytes, bytes]] = []
         out: tuple[list, list, list] = ([], [], [])
+        size = 0
 
         def close() -> None:
+            nonlocal size
             ids, mask = _assemble(first, held, trained)
+            size += len(ids)
             for column, value in zip(out, (now, ids, mask), strict=True):
                 column.append(value)
 
         def take(like: pa.DataType) -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(out[0], like), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.bool_()))], ["conv_id", "ids", "loss_mask"])
+            nonlocal size
+            size = 0
             for column in out:
                 column.clear()
             return batch
@@ -119,10 +121,10 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
                     if held:
                         close()
                         held.clear()
+                    if 4 * size >= batch_bytes:
+                        yield take(like)
                     now = conv
                 held.append((role, role_ids, text_ids))
-            if len(out[0]) >= 500:
-                yield take(like)
         if held:
             close()
             yield take(like)

@@ -10,7 +10,7 @@ from tidemark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Trained models and drained streams take long; the first ones are tested for their rows only.
+#: Numbers may differ by one in the fourth place, to which most queries round. Trained models are in test_models.
 NAMES = sorted(registry.oracle_sql())
 
 
@@ -29,7 +29,7 @@ def duck():
 def _plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return None
-    return round(float(value), 3) + 0.0 if isinstance(value, (int, float)) else str(value)
+    return round(float(value), 6) + 0.0 if isinstance(value, (int, float)) else str(value)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -42,4 +42,4 @@ def test_query(spark, duck, name):
     other = sorted((tuple(_plain(x) for x in r) for r in duck.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({registry.oracle_sql()[name]})").fetchall()), key=repr)
     assert len(rows) == len(other)
     for a, b in zip(rows, other):
-        assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 0.0021 for x, y in zip(a, b)), (a, b)
+        assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= max(1.1e-4, 1e-8 * abs(x)) for x, y in zip(a, b)), (a, b)

@@ -10,6 +10,7 @@ from tidemark.plans.registry import register
 from tidemark.plans.sqltext import with_feeds
 from tidemark.sources.adapters import AS_OF, Feeds
 from tidemark.sources.stored import store
+from tidemark.sources.tables import with_audit
 
 r4 = lambda *names: [F.round(F.col(n).cast("double"), 4).alias(n) for n in names]
 dbl = lambda n: F.col(n).cast("double").alias(n)
@@ -181,7 +182,7 @@ feat as (select s.supplier_id, coalesce(on_time_7, 1) as on_time_rate_7, coalesc
 
 def bronze_table(f: Feeds) -> DataFrame:
     """The first layer's shipments as a stored table, which the second layer reads several times."""
-    return store(ships(f), "bronze-shipments")
+    return store(with_audit(ships(f), "carrier_tracking", "bronze", AS_OF), "bronze-shipments")
 
 
 def features(f: Feeds, shipments: DataFrame) -> DataFrame:
@@ -235,20 +236,20 @@ def gold_orders90(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MASTER = f"""
-master as (select supplier_id, supplier_name, country_code, annual_spend_usd, primary_category, composite, case when composite >= 0.7 then 'CRITICAL' when composite >= 0.4 then 'HIGH' when composite >= 0.2 then 'MEDIUM' else 'LOW' end as risk_tier from (
-  select s.*, round(0.30::double * g.geo_score + 0.25::double * rate + 0.20::double * (1 - o.on_time) + 0.15::double * (std / (mean + 1e-6::double)) + 0.10::double * (1 - financial_score / 100), 6) as composite
+master as (select supplier_id, supplier_name, country_code, annual_spend_usd, primary_category, composite, variance, concentration, financial, case when composite >= 0.7 then 'CRITICAL' when composite >= 0.4 then 'HIGH' when composite >= 0.2 then 'MEDIUM' else 'LOW' end as risk_tier from (
+  select s.*, std / (mean + 1e-6::double) as variance, volume / 1000::double as concentration, 1 - financial_score / 100 as financial, round(0.30::double * g.geo_score + 0.25::double * rate + 0.20::double * (1 - o.on_time) + 0.15::double * (std / (mean + 1e-6::double)) + 0.10::double * (1 - financial_score / 100), 6) as composite
   from sup s left join (select supplier_id, avg(delay) as mean, stddev(delay) as std, sum((status in ('DELAYED', 'LOST'))::int)::double / count(*) as rate from gold_shipments group by 1) t using (supplier_id)
   left join {_GEO} g on upper(s.country_code) = g.country_code
-  left join (select supplier_id, h as on_time from (select supplier_id, avg(on_time::double) over (partition by supplier_id order by order_date range between interval 90 days preceding and current row) as h, row_number() over (partition by supplier_id order by order_date desc, order_id desc) as rn from gold_orders) where rn = 1) o using (supplier_id)))"""
+  left join (select supplier_id, h as on_time, volume from (select supplier_id, avg(on_time::double) over (partition by supplier_id order by order_date range between interval 90 days preceding and current row) as h, count(*) over (partition by supplier_id order by order_date range between interval 90 days preceding and current row) as volume, row_number() over (partition by supplier_id order by order_date desc, order_id desc) as rn from gold_orders) where rn = 1) o using (supplier_id)))"""
 
 
 def _master(query: str) -> str:
     return with_feeds(f"with {_MASTER} {query}")
 
 
-@register("risk_master", _master("select supplier_id, round(composite, 4) as composite, risk_tier from master"))
+@register("risk_master", _master("select supplier_id, round(composite, 4) as composite, risk_tier, round(variance, 4) as lead_time_variance, round(concentration, 4) as concentration_risk, round(financial, 4) as financial_risk from master"))
 def risk_master(spark: SparkSession, d: str) -> DataFrame:
-    return master(Feeds(spark, d)).select("supplier_id", *r4("composite"), "risk_tier")
+    return master(Feeds(spark, d)).select("supplier_id", *r4("composite"), "risk_tier", *r4("lead_time_variance", "concentration_risk", "financial_risk"))
 
 
 @register("tier_counts", _master("select t as risk_tier, count(supplier_id) as n from (select unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) as t) left join master on t = risk_tier group by 1"))

@@ -38,6 +38,11 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_report(df: DataFrame, path: str, at=None) -> None:
+    """Adds the rows of a report to a folder of JSON lines, with the time of the report."""
+    df.withColumn("_reported_at", F.lit(at).cast("timestamp") if at else F.current_timestamp()).write.mode("append").json(path)
+
+
 def string_schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 

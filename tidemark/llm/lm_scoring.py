@@ -301,7 +301,7 @@ class CausalModel:
         fresh = np.where(turn == 0, 0, (turn - 1) * step + w)
         return flat, places, np.repeat(np.arange(len(texts)), count), first, n, starts, fresh
 
-    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 256, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
+    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
         """Adam over the windows of all texts, in random order.
 
         Training windows stand side by side, so each id is learned once in a pass; each text ends with the end id, short
@@ -433,7 +433,7 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
             group = group.sort_by([("place", "ascending"), ("text", "ascending")])
             texts = [np.concatenate([np.frombuffer(b"".join(coder.known(words(x))), "<i4"), end]) for x in group.column("text").to_pylist()]
             n_windows = sum(-(-len(t) // model.window) for t in texts)
-            batch = 256
+            batch = 128
             model.train(texts, again * -(-n_windows // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
             n = sum(map(len, texts))
             flat = np.concatenate([model.p[k].ravel() for k in names]).astype("<f4")

@@ -153,7 +153,7 @@ def _in_order(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("key", "digest", "text")), pa.array(parts, pa.int64()), pa.array(extra)], ["key", "digest", "text", "part", "extra"])
 
     dealt = hashed.select("key", "digest", "text").mapInArrow(deal, "key long, digest long, text string, part long, extra boolean")
-    return dealt.repartition(n_parts, "part").sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "digest", "text").drop("digest")
+    return dealt.repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions("part", "extra", F.col("key").desc_nulls_last(), "digest", "text").drop("digest")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = 3, part_bytes: int = 64 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
@@ -162,7 +162,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Edited: the last n_chars // ``share`` code points give way to the first as many (or all) of the next document by
     falling key, after the last the first one. Columns: key (long), n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next (containment of fingerprints). Texts are shuffled once; a task holds a
-    batch of them, of parts of about ``part_bytes``; a key with more rows than that takes several parts. Null texts are
+    batch of them. A part of about ``part_bytes`` is a task (pass more where there are many terabytes, as all parts are of one
+    shuffle); a key with more rows than that takes several parts. Null texts are
     empty, null keys come last; equal keys go by the XXH64 of their text. An empty text has an empty fingerprint. Repeated
     rows follow each other. Other columns are not read.
     """

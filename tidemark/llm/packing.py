@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,47 +19,82 @@ from tidemark.llm.text import Memo, by_bytes, hold
 # ---------------------------------------------------------------- token ids
 
 
+#: Fixed value: how a byte-level BPE file without a pattern of its own cuts texts into words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(path: str):
+    """The same encoding for tiktoken, which is faster on rare words; None unless the file says that it is the same:
+    its words are cut by ``PATTERN``, and each merge has the next id, so that ids order merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    merges = ["".join(x.split(" ") if isinstance(x, str) else x) for x in model.get("merges", ())]
+    ids = [model["vocab"].get(x) for x in merges]
+    same = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and whole.get("normalizer") is None and None not in ids
+    if not same or any(b - a != 1 for a, b in zip(ids, ids[1:], strict=False)) or ids and ids[0] < 256:
+        return None
+    ranks = {bytes(sign[c] for c in x): i for x, i in model["vocab"].items() if i <= ids[-1] and all(c in sign for c in x)}
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == ids[-1] + 1 else None
+
+
 class ByteEncoder:
     """Token ids of texts for a byte-level BPE file of ``tokenizers``, as little-endian unsigned 32-bit bytes.
 
-    Its pattern never joins a character to a later single space: a text may be cut before a space that stands between
-    two characters that are not white space. The parts are encoded for themselves, each distinct part once in a while.
+    Its pattern never joins a character to a later single space or line feed: a text may be cut before one that stands
+    between two characters that are not white space. The parts are encoded for themselves, each distinct part once in a
+    while.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ranked = Tokenizer.from_file(path), _ranked(path)
         names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.spaced = np.zeros(names[-1][1] + 1, bool)
         self.spaced[[i for name, i in names if name.startswith("Ġ")]] = True
+        self.feed = np.frombuffer(self._encode_each(["\n"])[0], "<u4")[0]
         self.words, self.others = Memo(self._encode_words, 400_000), Memo(self._encode_each)
 
     def _encode_each(self, parts: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts]
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes | None]:
-        """Ids of parts that follow a space, with that space; None for a part with white space at an end, or empty.
+    def _encode_joined(self, words: list[str], fed: bool) -> Iterator[tuple[str, bytes]]:
+        """Ids of words without white space, each with the space before it, or (``fed``) the line feed that it begins with.
 
-        Parts without white space go together in a few calls; of each one, only the first id has a space.
+        They go together in a few calls; of each one, only the first id has a space, or is the line feed.
         """
-        plain = [w for w in words if len(w.split()) == 1 and len(w) == len(w.strip())]
-        found: dict[str, bytes] = {}
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            text = "".join(some) if fed else " " + " ".join(some)
+            ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(ids == self.feed if fed else self.spaced[ids])
             if len(starts) == len(some):
-                ends = [*starts[1:].tolist(), len(ids)]
-                raw = ids.tobytes()
-                found.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, starts.tolist(), ends, strict=True))
+                ends, raw = [*starts[1:].tolist(), len(ids)], ids.tobytes()
+                yield from ((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, starts.tolist(), ends, strict=True))
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes | None]:
+        """Ids of parts that follow a space, with that space, or that begin with a line feed; None for a part with other
+        white space at an end, or empty."""
+        special = self.tokenizer.get_added_tokens_decoder().values() if self.ranked else ()
+        marks = [t.content for t in special]
+        plain, fed = [], []
+        for w in words:
+            core = w[1:] if w[:1] == "\n" else w
+            if core and len(core.split()) == 1 and not core[0].isspace() and not core[-1].isspace() and not any(m in core for m in marks):
+                (plain if core is w else fed).append(w)
+        found = dict(self._encode_joined(plain, False)) | dict(self._encode_joined(fed, True))
         for w in words:
             if w in found:
                 yield found[w]
-            elif not w or w[0].isspace() or w[-1].isspace():
+            elif not w or w == "\n" or w[-1].isspace() or w[0] != "\n" and w[0].isspace() or w[0] == "\n" and w[1].isspace():
                 yield None
             else:
-                yield self._encode_each([" " + w])[0]
+                yield self._encode_each([w if w[0] == "\n" else " " + w])[0]
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -73,7 +109,8 @@ class ByteEncoder:
         return whole
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(x or "").split(" ") for x in texts]
+        # A line feed goes with what follows it; parts that stood at other white space are None below.
+        parts = [(x or "").replace("\n", " \n").split(" ") for x in texts]
         heads = [x.pop(0) for x in parts]
         firsts = self.others(heads)
         found = self.words([p for x in parts for p in x])

@@ -163,7 +163,8 @@ def features(docs: DataFrame, labels: DataFrame, key: str, label: str, batch_byt
                 yield pa.RecordBatch.from_arrays([part.column("key"), flat(at, np.int16), flat(share, np.float32), *rest], ["key", "at", "share", "extras", "page"])
 
     found = rows.mapInArrow(run, f"key {kind}, {FEATURES}").withColumn("row", F.monotonically_increasing_id())
-    return materialize(found.join(known, "key", "left"), "page-features")
+    # By a merge at every size: labels grow with the documents.
+    return materialize(found.join(known.hint("merge"), "key", "left"), "page-features")
 
 
 def bounds(platt: tuple[tuple[float, float], tuple[float, float]], sure: float) -> list[tuple[float, float]]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, sql, token_counts
+from tidemark.llm import chat_format, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, source_audit, sql, token_counts, whitening
 from tidemark.llm.text import remainder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -96,6 +96,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), out="lines")
+    kept = line_dedup.kept_text(F.col("text"), F.col("lines.keep"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -112,8 +126,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
+        "op11_source_audit": op11_source_audit,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": sql.OP4, "op8_quality_rules": sql.OP8}
+    return {"op4_source_mix": sql.OP4, "op8_quality_rules": sql.OP8, "op11_source_audit": sql.OP11, "op12_line_dedup": sql.OP12}

@@ -73,3 +73,50 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not lost_much as kept
 from b
 """
+
+OP11 = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents
+), o as (
+  select r, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d
+), k as (
+  select lang, term, count(*)::hugeint as lang_n from o group by lang, term having count(distinct r) >= 10
+), l as (
+  select lang, sum(lang_n)::hugeint as lang_total, count(*)::hugeint as v from k group by lang
+), c as (
+  select o.lang, source, term, count(*)::hugeint as n from o join k using (lang, term) group by o.lang, source, term
+), g as (
+  select lang, source, coalesce(total, 0)::hugeint as total from (select distinct lang, source from d) left join (select lang, source, sum(n) as total from c group by lang, source) using (lang, source)
+), p as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (total + 2 * v) as p, 1 + (1000000000::hugeint * (lang_n + 2)) // (lang_total + 2 * v) as q
+  from g join k using (lang) join l using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+  ) s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+  select lang, source, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where n > 0 and p > q
+)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 10
+"""
+
+OP12 = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), x as (
+  select r, doc_id, string_split(t, chr(10)) as ls from d
+), y as (
+  select r, doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as l from x
+), k as (
+  select *, translate(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from y
+), c as (
+  select key from k where key <> '' group by key having count(distinct r) >= 10
+)
+select doc_id, count(*)::bigint as n_lines, count(c.key)::bigint as n_dropped, sha256(coalesce(string_agg(l, chr(10) order by i) filter (where c.key is null), '')) as kept_sha256
+from k left join c on k.key = c.key group by r, doc_id
+"""

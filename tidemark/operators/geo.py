@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.blocks import as_of
 
 
 def conflict_daily(feed: DataFrame) -> DataFrame:
@@ -56,8 +57,6 @@ def country_risk(conflict: DataFrame, ports: DataFrame, gov: DataFrame, trade: D
 
 
 def governance_as_of(days: DataFrame, gov: DataFrame) -> DataFrame:
-    """country_code, event_date with the latest governance row up to that day's year."""
-    years = governance(gov).select(F.col("country_code").alias("g_country"), F.col("year").alias("g_year"), "political_stability_wgi")
-    keys = days.select("country_code", "event_date").distinct()
-    joined = keys.join(years, (F.col("country_code") == F.col("g_country")) & (F.col("g_year") <= F.year("event_date")), "left")
-    return joined.groupBy("country_code", "event_date").agg(F.max("g_year").alias("as_of_year"), F.max_by("political_stability_wgi", "g_year").alias("wgi"))
+    """country_code, event_date with the latest governance row up to that day's year, by an as-of merge."""
+    years = governance(gov).select("country_code", F.make_date("year", F.lit(1), F.lit(1)).alias("from"), F.col("year").alias("as_of_year"), F.col("political_stability_wgi").alias("wgi"))
+    return as_of(days.select("country_code", "event_date").distinct(), years, "country_code", "event_date", "from", ["as_of_year", "wgi"], including=True)

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.blocks import over_days
 from tidemark.operators.ranks import quantiles
 from tidemark.operators.silver import latest
 
 
 def order_history(orders: DataFrame) -> DataFrame:
     """On-time rate, mean delay and number of a supplier's orders in the last 90 days before each one, its day included."""
-    w = Window.partitionBy("supplier_id").orderBy(F.unix_date("order_date")).rangeBetween(-90, 0)
-    return orders.withColumns({"on_time_rate": F.avg(F.col("on_time_flag").cast("double")).over(w), "order_delay": F.avg("delay_days").over(w), "order_volume": F.count("*").over(w)})
+    on_time, sums = F.col("on_time_flag").cast("double"), {}
+    for name, value in (("_ok", on_time), ("_delay", F.col("delay_days"))):
+        sums |= {name: F.sum(value), f"{name}_n": F.count(value)}
+    found = over_days(orders, "supplier_id", "order_date", 90, sums | {"order_volume": F.count("*")})
+    return found.withColumns({"on_time_rate": F.try_divide("_ok", "_ok_n"), "order_delay": F.try_divide("_delay", "_delay_n")}).drop(*sums)
 
 
 def shipment_totals(shipments: DataFrame) -> DataFrame:

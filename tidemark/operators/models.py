@@ -37,7 +37,7 @@ def folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, label: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows, four fifths and one, stratified by class."""
+    """Training and test rows, four fifths and one, stratified by class; for a split by time see ``training.time_split``."""
     dealt = folds(df, key, label, k)
     return dealt.filter("fold > 0").drop("fold"), dealt.filter("fold = 0").drop("fold")
 
@@ -78,14 +78,17 @@ def score_table(scores: DataFrame, key: str) -> DataFrame:
     return average_rank(scores).withColumn("risk_tier", model_tier("p")).orderBy(F.col("p").desc(), key)
 
 
-def attribution(df: DataFrame, label: str, key: str, features: list[str]) -> DataFrame:
-    """key, feature, value, direction: exact shares of a linear model's log-odds, coefficient times (x less its mean)."""
+def attribution(df: DataFrame, label: str, key: str, features: list[str], rows: DataFrame | None = None) -> DataFrame:
+    """key, feature, value, direction: exact shares of a linear model's log-odds, coefficient times (x less its mean).
+
+    The model and the means are of ``df``; ``rows`` (or those of ``df``) are explained.
+    """
     model = LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01).fit(df)
     weights = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.coefficients, strict=True)], "feature string, w double")
-    long = df.select(key, *(F.col(f).cast("double") for f in features)).unpivot(key, features, "feature", "x")
-    means = long.groupBy("feature").agg(F.avg("x").alias("mean")).join(F.broadcast(weights), "feature")
+    long = lambda part: part.select(key, *(F.col(f).cast("double") for f in features)).unpivot(key, features, "feature", "x")
+    means = long(df).groupBy("feature").agg(F.avg("x").alias("mean")).join(F.broadcast(weights), "feature")  # a row per feature
     value = (F.col("x") - F.col("mean")) * F.col("w")
-    return long.join(F.broadcast(means), "feature").select(key, "feature", value.alias("value"), F.when(value > 0, "↑ risk").otherwise("↓ risk").alias("direction"))
+    return long(df if rows is None else rows).join(F.broadcast(means), "feature").select(key, "feature", value.alias("value"), F.when(value > 0, "↑ risk").otherwise("↓ risk").alias("direction"))
 
 
 # ---------------------------------------------------------------- isolation forest

@@ -1,4 +1,5 @@
-"""Second layer: supplier and shipment features. All supplier windows share one key, so one exchange serves them."""
+"""Second layer: supplier and shipment features. Windows over a supplier's events run in blocks (``blocks``), so that no
+supplier's history is ordered in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.blocks import BLOCK_ROWS, Blocks, blocks_before, over_days
 
 EPS = 1e-9
 
@@ -29,64 +31,81 @@ def _proxies() -> dict[str, Column]:
     }
 
 
-def _by_supplier() -> Window:
-    return Window.partitionBy("supplier_id").orderBy("event_date", "purchase_order_id")
+ORDER = ("event_date", "purchase_order_id")
 
 
-def rolling(df: DataFrame) -> DataFrame:
+def rolling(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rates and delays over the last 7, 30 and 90 events of a supplier."""
-    last = lambda n: _by_supplier().rowsBetween(1 - n, 0)
+    blocks = Blocks(df, "supplier_id", "event_date", 89, block_rows)
+    last = lambda n: blocks.window(*ORDER).rowsBetween(1 - n, 0)
     ok = F.col("on_time").cast("double")
-    return df.withColumns(
-        {
-            "on_time_rate_7": F.avg(ok).over(last(7)),
-            "on_time_rate_30": F.avg(ok).over(last(30)),
-            "on_time_rate_90": F.avg(ok).over(last(90)),
-            "delay_mean_30": F.avg("delay_days").over(last(30)),
-            "delay_mean_90": F.avg("delay_days").over(last(90)),
-            "delay_std_90": F.stddev("delay_days").over(last(90)),
-            "disruptions_90": F.sum("disrupted").over(last(90)),
-            "total_90": F.count("*").over(last(90)),
-        }
-    ).withColumns(_proxies())
+    added = {
+        "on_time_rate_7": F.avg(ok).over(last(7)),
+        "on_time_rate_30": F.avg(ok).over(last(30)),
+        "on_time_rate_90": F.avg(ok).over(last(90)),
+        "delay_mean_30": F.avg("delay_days").over(last(30)),
+        "delay_mean_90": F.avg("delay_days").over(last(90)),
+        "delay_std_90": F.stddev("delay_days").over(last(90)),
+        "disruptions_90": F.sum("disrupted").over(last(90)),
+        "total_90": F.count("*").over(last(90)),
+    }
+    return blocks.own(blocks.rows.withColumns(added), *added).withColumns(_proxies())
 
 
 def rolling_days(df: DataFrame, n: int = 90) -> DataFrame:
     """On-time rate and number of events over the last ``n`` days, today included."""
-    w = Window.partitionBy("supplier_id").orderBy(F.unix_date("event_date")).rangeBetween(1 - n, 0)
-    return df.withColumns({f"on_time_rate_{n}d": F.avg(F.col("on_time").cast("double")).over(w), f"events_{n}d": F.count("*").over(w)})
-
-
-def last_disruption(df: DataFrame, as_of: str) -> DataFrame:
-    w = _by_supplier().rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("disrupted") == 1, F.col("event_date")), ignorenulls=True).over(w)
-    return df.withColumn("last_disruption", seen).withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption"))
-
-
-def streak(df: DataFrame) -> DataFrame:
-    """On-time events in a row up to each event; a late one is 0."""
-    so_far = _by_supplier().rowsBetween(Window.unboundedPreceding, 0)
-    island = F.sum(1 - F.col("on_time")).over(so_far)
-    inside = Window.partitionBy("supplier_id", "island").orderBy("event_date", "purchase_order_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("island", island).withColumn("on_time_streak", F.sum("on_time").over(inside)).drop("island")
-
-
-def trend(df: DataFrame, n: int = 90) -> DataFrame:
+    ok = F.col("on_time").cast("double")
+    found = over_days(df, "supplier_id", "event_date", n - 1, {"_ok": F.sum(ok), "_known": F.count(ok), f"events_{n}d": F.count("*")})
+    return found.withColumn(f"on_time_rate_{n}d", F.try_divide("_ok", "_known")).drop("_ok", "_known")
+
+
+def last_disruption(df: DataFrame, as_of: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    blocks = Blocks(df, "supplier_id", "event_date", 0, block_rows)
+    at = F.when(F.col("disrupted") == 1, F.col("event_date"))
+    rows = blocks.carried(blocks.rows, {"_last": F.max(at)}, {"_handed": F.max("_last").over(blocks_before("supplier_id"))})
+    seen = F.last(at, ignorenulls=True).over(blocks.window(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    found = blocks.own(rows.withColumn("last_disruption", F.coalesce(seen, "_handed")), "last_disruption")
+    return found.withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption"))
+
+
+def streak(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """On-time events in a row up to each event; a late one is 0. A block begins with what runs on from those before it."""
+    blocks = Blocks(df, "supplier_id", "event_date", 0, block_rows)
+    so_far = blocks.window(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.rows.withColumn("_island", F.sum(1 - F.col("on_time")).over(so_far))
+    inside = Window.partitionBy(*blocks.by, "_island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum("on_time").over(inside))
+    totals = {"_late": F.max((F.col("on_time") == 0).cast("int")), "_end": F.max_by("_run", F.struct(*ORDER))}
+    in_order = Window.partitionBy("supplier_id").orderBy("_block")
+    chain = F.sum("_late").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    # runs at the ends of blocks add up from the last block with a late event on
+    running = F.sum("_end").over(Window.partitionBy("supplier_id", "_chain").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    handed = blocks.carried_through(rows, totals, [{"_chain": chain}, {"_running": running}, {"_handed": F.lag("_running").over(in_order)}], ["_handed"])
+    found = handed.withColumn("on_time_streak", F.col("_run") + F.when(F.col("_island") == 0, F.coalesce("_handed", F.lit(0))).otherwise(0))
+    return blocks.own(found, "on_time_streak")
+
+
+def trend(df: DataFrame, n: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Least-squares slope of delay over the day, in the last ``n`` events."""
-    return df.withColumn("delay_slope", F.regr_slope("delay_days", F.unix_date("event_date").cast("double")).over(_by_supplier().rowsBetween(1 - n, 0)))
+    blocks = Blocks(df, "supplier_id", "event_date", n - 1, block_rows)
+    slope = F.regr_slope("delay_days", F.unix_date("event_date").cast("double")).over(blocks.window(*ORDER).rowsBetween(1 - n, 0))
+    return blocks.own(blocks.rows.withColumn("delay_slope", slope), "delay_slope")
 
 
-def exact_ewm(df: DataFrame, alpha: float = 0.2) -> DataFrame:
+def exact_ewm(df: DataFrame, alpha: float = 0.2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exponentially weighted on-time rate of each supplier over all its events, in order.
 
     The fold of a series is a sum with weights by place: alpha (1 - alpha)^i for the i-th newest event, and the rest of the
-    weight for the oldest. So no series is collected.
+    weight for the oldest. So no series is collected, and the sums of blocks add up, each scaled by the events after it.
     """
-    newest = Window.partitionBy("supplier_id").orderBy(F.col("event_date").desc(), F.col("purchase_order_id").desc())
-    placed = df.select("supplier_id", "on_time", F.row_number().over(newest).alias("n"))
-    decay = F.pow(F.lit(1 - alpha), F.col("n") - 1)
-    sums = placed.groupBy("supplier_id").agg(F.sum(decay * alpha * F.col("on_time")).alias("s"), F.max_by("on_time", "n").alias("oldest"), F.max("n").alias("k"))
-    return sums.select("supplier_id", (F.col("s") + F.pow(F.lit(1 - alpha), F.col("k") - 1) * (1 - alpha) * F.col("oldest")).alias("ewm"))
+    blocks = Blocks(df.select("supplier_id", "event_date", "purchase_order_id", "on_time"), "supplier_id", "event_date", 0, block_rows)
+    newest = Window.partitionBy(*blocks.by).orderBy(F.col("event_date").desc(), F.col("purchase_order_id").desc())
+    placed = blocks.rows.select(*blocks.by, "on_time", F.row_number().over(newest).alias("n"))
+    decay = lambda n: F.pow(F.lit(1 - alpha), n)
+    sums = placed.groupBy(*blocks.by).agg(F.sum(decay(F.col("n") - 1) * alpha * F.col("on_time")).alias("s"), F.max_by("on_time", "n").alias("oldest"), F.max("n").alias("k"))
+    after = F.coalesce(F.sum("k").over(Window.partitionBy("supplier_id").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    whole = sums.withColumn("later", after).groupBy("supplier_id").agg(F.sum(F.col("s") * decay(F.col("later"))).alias("s"), F.min_by("oldest", "_block").alias("oldest"), F.sum("k").alias("k"))
+    return whole.select("supplier_id", (F.col("s") + decay(F.col("k") - 1) * (1 - alpha) * F.col("oldest")).alias("ewm"))
 
 
 def delay_divergence(df: DataFrame, width: int = 5) -> DataFrame:

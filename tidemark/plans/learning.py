@@ -1,44 +1,78 @@
-"""Queries of trained models; they have no SQL."""
+"""The training set, with its SQL, and queries of trained models, which have none."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, network, scoring, silver
+from tidemark.operators import models, network, scoring
+from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
-from tidemark.plans.relational import bronze_table, features
+from tidemark.plans.relational import bronze_table, country, sups
+from tidemark.plans.sqltext import with_feeds
 from tidemark.plans.statistics import FEATURES, nodes
 from tidemark.sources.adapters import Feeds
 from tidemark.sources.stored import store
 
-#: Of shipments; then the features of their suppliers, all those of the risk classifier.
-OWN = ["month", "day_of_week", "is_ocean", "is_air_parcel", "log_cargo", "origin_risk_incoterm", "order_quantity"]
-OF_SUPPLIER = [
+#: The features of the risk classifier; all are of days before the cut-off.
+INPUTS = [
     "on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "days_since_disruption", "on_time_streak", "geo_score", "political_stability", "trade_score",
     "volatility", "financial_risk", "payment_delay_proxy", "network_pagerank", "second_order_contagion_score", "lead_time_variance", "trend_proxy", "port_score", "transit_route_risk", "order_volume_30", "order_volume_90", "spend_share_pct",
 ]
-INPUTS = OWN + OF_SUPPLIER
+
+_DATED = [c for c in INPUTS if c not in ("network_pagerank", "second_order_contagion_score")]
+_TRAINING = """
+with newest as (select * from (select *, row_number() over (partition by supplier_id, event_date order by purchase_order_id desc) as rn from streaks) where rn = 1),
+cuts as (select unnest(generate_series(date_trunc('month', min(event_date)) + interval 1 month, date_trunc('month', max(event_date) - interval 29 days), interval 1 month))::date as cutoff from ship),
+lab as (select *, case when delay_days > 3 or status in ('EXCEPTION', 'CUSTOMS_HOLD') then 1 else 0 end as label from ship where dq_score >= 0.6),
+rd as (select route, event_date, sum(n) over w as n, sum(hits) over w as hits from (select origin_port || '|' || destination_port as route, event_date, count(*) as n, sum(label) as hits from lab group by 1, 2) window w as (partition by route order by event_date)),
+base as (select s.supplier_id, upper(country_code) as country, 1 - financial_score / 100 as financial_risk, greatest(coalesce(annual_spend_usd, 0), 0) / (select sum(greatest(coalesce(annual_spend_usd, 0), 0)) from sup) * 100 as share, cutoff from sup s cross join cuts where dq_score >= 0.7),
+h as (select b.*, l.* exclude (supplier_id) from base b asof left join newest l on b.supplier_id = l.supplier_id and b.cutoff > l.event_date),
+hg as (select h.*, g.* exclude (country_code, event_date) from h asof left join geo g on h.country = g.country_code and h.cutoff > g.event_date),
+hr as (select hg.*, rd.n as rn_, rd.hits from hg asof left join rd on hg.origin_port || '|' || hg.destination_port = rd.route and hg.cutoff > rd.event_date)
+select supplier_id, cutoff::varchar as cutoff, coalesce((select max(disrupted) from evs where evs.supplier_id = hr.supplier_id and evs.event_date >= cutoff and evs.event_date < cutoff + interval 30 days), 0)::int as label,
+  round(coalesce(on_time_7, 1), 4) as on_time_rate_7, round(coalesce(on_time_30, 1), 4) as on_time_rate_30, round(coalesce(on_time_90, 1), 4) as on_time_rate_90, round(coalesce(on_time_30 * 0.2::double + on_time_90 * 0.8::double, 1), 4) as ewm_proxy,
+  round(coalesce(delay_30, 0), 4) + 0.0 as delay_mean_30, round(coalesce(delay_90, 0), 4) + 0.0 as delay_mean_90, round(coalesce(delay_std_90, 0), 4) as delay_std_90, round(coalesce(abs(delay_30 - delay_90) / (delay_90 + 1e-9::double), 0), 3) + 0.0 as drift_proxy,
+  round(coalesce(disruptions_90 / (total_90 + 1e-9::double), 0), 4) as disruption_rate_90, coalesce(date_diff('day', last_disruption, cutoff), 365)::double as days_since_disruption, coalesce(streak, 30)::double as on_time_streak,
+  round(coalesce(geo_score, 0.3::double), 7) as geo_score, round(2.5::double - 5 * coalesce(instability, 0.3::double), 4) as political_stability, round(coalesce(trade_score, 0), 7) as trade_score, round(coalesce(volatility, 0), 7) as volatility, round(coalesce(financial_risk, 0.3::double), 4) as financial_risk,
+  round(coalesce(delay_90 / 30, 0), 4) + 0.0 as payment_delay_proxy, round(coalesce(case when delay_90 > 0 then delay_std_90 / delay_90 else 0 end, 0), 3) as lead_time_variance, round(coalesce((delay_30 - delay_90) / 60, 0), 4) + 0.0 as trend_proxy, round(coalesce(port_score, 0), 7) as port_score,
+  round(coalesce(case when rn_ >= 10 then hits / rn_::double when rn_ is not null then 0.25::double end, 0), 4) as transit_route_risk, round(coalesce(total_90 / 3::double, 0), 4) as order_volume_30, coalesce(total_90, 0)::double as order_volume_90, round(share, 4) as spend_share_pct from hr"""
 
 
 def training(f: Feeds) -> DataFrame:
+    """The point-in-time set, stored, as fits read it many times."""
     shipments = bronze_table(f)
-    of_supplier = store(features(f, shipments).select("supplier_id", *OF_SUPPLIER), "supplier-features")
-    rows = silver.shipment_features(shipments, of_supplier).select("purchase_order_id", "supplier_id", "label", *OWN).join(of_supplier, "supplier_id", "left")
-    # Stored, as the fits below read it many times.
-    return models.assemble(store(models.folds(rows, "purchase_order_id", "label"), "training"), INPUTS)
+    geo = store(country(f).select("country_code", "event_date", *training_set.COUNTRY), "country-days")
+    cuts = store(training_set.cutoffs(shipments), "cut-offs")
+    return store(training_set.point_in_time(sups(f), shipments, geo, cuts), "training")
+
+
+@register("risk_training", with_feeds(_TRAINING))
+def risk_training(spark: SparkSession, d: str) -> DataFrame:
+    """What was known of each supplier at each cut-off, and whether a disrupted shipment came in the 30 days from it on."""
+    wide = {"drift_proxy": 3, "lead_time_variance": 3, "geo_score": 7, "trade_score": 7, "volatility": 7, "port_score": 7}
+    return training(Feeds(spark, d)).select("supplier_id", F.col("cutoff").cast("string").alias("cutoff"), "label", *(F.round(F.col(c).cast("double"), wide.get(c, 4)).alias(c) for c in _DATED))
+
+
+def split_rows(f: Feeds, names: list[str] = _DATED) -> tuple[DataFrame, DataFrame]:
+    """Earlier rows with folds and later ones, features assembled, each row named by supplier and cut-off."""
+    rows = training(f).withColumn("sample_id", F.concat_ws("@", "supplier_id", "cutoff"))
+    early, late = training_set.time_split(rows, "cutoff")
+    early = store(models.folds(early, "sample_id", "label"), "training-rows")
+    return models.assemble(early, names), models.assemble(late, names)
 
 
 @register("gbt_scores")
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = training(Feeds(spark, d))
-    scores = models.probability(models.boosted(rows.filter("fold > 0"), "label", rounds=10), rows).select("purchase_order_id", "label", "p")
-    return models.score_table(scores, "purchase_order_id")
+    """Scores of cut-offs after all those that the model learned from."""
+    early, late = split_rows(Feeds(spark, d))
+    scores = models.probability(models.boosted(early, "label", rounds=10), late).select("sample_id", "supplier_id", "cutoff", "label", "p")
+    return models.score_table(scores, "sample_id")
 
 
 @register("cv")
 def cv(spark: SparkSession, d: str) -> DataFrame:
-    rows = training(Feeds(spark, d)).select("label", "fold", "features")
+    rows = split_rows(Feeds(spark, d))[0].select("label", "fold", "features")
     found = models.search(rows, "label")
     grid = [({p.name: v for p, v in params.items()}, auc) for params, auc in zip(found.getEstimatorParamMaps(), found.avgMetrics, strict=True)]
     return spark.createDataFrame([(int(g["maxDepth"]), float(g["stepSize"]), float(a)) for g, a in grid], "max_depth int, step_size double, mean_auc double")
@@ -46,13 +80,14 @@ def cv(spark: SparkSession, d: str) -> DataFrame:
 
 @register("platt")
 def platt(spark: SparkSession, d: str) -> DataFrame:
-    return models.calibrated(training(Feeds(spark, d)), "label", "purchase_order_id")
+    return models.calibrated(split_rows(Feeds(spark, d))[0], "label", "sample_id")
 
 
 @register("attribution")
 def attribution(spark: SparkSession, d: str) -> DataFrame:
-    found = models.attribution(training(Feeds(spark, d)), "label", "purchase_order_id", INPUTS)
-    return scoring.strongest(found, "purchase_order_id", "value", 5)
+    """The five strongest features of each supplier and cut-off after those learned from."""
+    early, late = split_rows(Feeds(spark, d))
+    return scoring.strongest(models.attribution(early, "label", "sample_id", _DATED, late), "sample_id", "value", 5)
 
 
 @register("iforest")
@@ -80,4 +115,5 @@ def node_risk(spark: SparkSession, d: str) -> DataFrame:
 @register("attribution_top")
 def attribution_top(spark: SparkSession, d: str) -> DataFrame:
     """The ten features of largest mean attribution."""
-    return scoring.importances(models.attribution(training(Feeds(spark, d)), "label", "purchase_order_id", INPUTS), "value")
+    early, late = split_rows(Feeds(spark, d))
+    return scoring.importances(models.attribution(early, "label", "sample_id", _DATED, late), "value")

@@ -59,7 +59,8 @@ def _losses(lines: DataFrame, least_docs: int, keep_first: bool) -> DataFrame:
     """One row per document that loses lines: its hashes and the sorted positions it loses."""
     order = F.struct(F.col("_key").isNull(), "_key", *DOC, "_pos")
     common = lines.filter("_first").groupBy(*KEY).agg(F.count("*").alias("_docs"), F.min(order).alias("_least")).filter(F.col("_docs") >= least_docs)
-    lost = lines.join(common, KEY)
+    # stored, so that its size is known before the join: sent to all tasks if small, else merged, where a hot line's rows can be split
+    lost = lines.join(materialize(common.drop("_docs"), "common-lines"), KEY)
     if keep_first:
         lost = lost.filter(order != F.col("_least"))
     return lost.groupBy(*DOC).agg(F.array_sort(F.collect_set("_pos")).alias("_lost"))

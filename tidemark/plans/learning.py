@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import models, network, scoring
 from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
-from tidemark.plans.relational import bronze_table, country, sups
+from tidemark.plans.relational import bronze_table, country, nodes, sups
 from tidemark.plans.sqltext import with_feeds
-from tidemark.plans.statistics import FEATURES, nodes
+from tidemark.plans.statistics import FEATURES
 from tidemark.sources.adapters import Feeds
 from tidemark.sources.stored import store
 
@@ -106,10 +106,15 @@ def contagion_lr(spark: SparkSession, d: str) -> DataFrame:
 
 @register("node_risk")
 def node_risk(spark: SparkSession, d: str) -> DataFrame:
-    """Risk of each supplier from its own and its neighbours' features; the label is a p over one half."""
+    """Chance of each supplier to be disrupted in one of the last eight weeks, from its rate of disrupted weeks before and that of
+    its neighbours."""
     f = Feeds(spark, d)
-    hops = network.mean_neighbours(nodes(f), f.edges(), ["p"]).withColumn("label", (F.col("p") > 0.5).cast("int"))
-    return models.node_risk(hops, ["p_hop1", "p_hop2"])
+    weeks = store(f.scenarios().select("scenario_id", F.col("supplier_id").alias("id"), "disrupted"), "weeks")
+    marked = weeks.crossJoin(F.broadcast(weeks.agg((F.max("scenario_id") - 8).alias("last"))))
+    late = F.col("scenario_id") > F.col("last")
+    known = marked.groupBy("id").agg(F.avg(F.when(~late, F.col("disrupted"))).alias("p"), F.max(F.when(late, F.col("disrupted"))).alias("label")).fillna(0, ["p", "label"])
+    ids = nodes(f).select("id").join(known, "id", "left").fillna(0, ["p", "label"])
+    return models.node_risk(network.mean_neighbours(ids, f.edges(), ["p"]).join(ids.select("id", "label"), "id"), ["p", "p_hop1", "p_hop2"])
 
 
 @register("attribution_top")

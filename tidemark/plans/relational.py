@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bronze, geo, gold, silver
+from tidemark.operators import bronze, geo, gold, network, silver
 from tidemark.plans.registry import register
-from tidemark.plans.sqltext import with_feeds
+from tidemark.plans.sqltext import PAGERANK, SECOND_ORDER, with_feeds
 from tidemark.sources.adapters import AS_OF, Feeds
 from tidemark.sources.stored import store
 from tidemark.sources.tables import with_audit
@@ -167,16 +167,17 @@ def route_stats(spark: SparkSession, d: str) -> DataFrame:
 _LATEST = """
 (select * from (select *, row_number() over (partition by supplier_id order by event_date desc, purchase_order_id desc) as rn from streaks) where rn = 1)"""
 _GEO = "(select * from (select *, row_number() over (partition by country_code order by event_date desc) as rn from geo) where rn = 1)"
-_FEATURES = f"""
+_FEATURES = f"""{PAGERANK}, {SECOND_ORDER},
 feat as (select s.supplier_id, coalesce(on_time_7, 1) as on_time_rate_7, coalesce(on_time_30, 1) as on_time_rate_30, coalesce(on_time_90, 1) as on_time_rate_90, coalesce(on_time_30 * 0.2::double + on_time_90 * 0.8::double, 1) as ewm_proxy,
   coalesce(delay_30, 0) as delay_mean_30, coalesce(delay_90, 0) as delay_mean_90, coalesce(delay_std_90, 0) as delay_std_90, coalesce(abs(delay_30 - delay_90) / (delay_90 + 1e-9::double), 0) as drift_proxy,
   coalesce(disruptions_90 / (total_90 + 1e-9::double), 0) as disruption_rate_90, coalesce(date_diff('day', last_disruption, date '2001-11-05'), 365) as days_since_disruption, coalesce(streak, 30) as on_time_streak,
   coalesce(case when delay_90 > 0 then delay_std_90 / delay_90 else 0 end, 0) as lead_time_variance, coalesce((delay_30 - delay_90) / 60, 0) as trend_proxy, coalesce(geo_score, 0.3::double) as geo_score, coalesce(instability, 0.3::double) as instability,
   coalesce(trade_score, 0) as trade_score, coalesce(port_score, 0) as port_score, coalesce(volatility, 0) as volatility, coalesce(1 - financial_score / 100, 0.3::double) as financial_risk, coalesce(delay_90 / 30, 0) as payment_delay_proxy,
-  coalesce(network_pagerank, 0.01::double) as network_pagerank, coalesce(second_order, 0) as second_order, coalesce(case when r.n >= 10 then r.rate when r.n is not null then 0.25::double end, 0) as transit_route_risk,
+  coalesce(network_pagerank, 0.01::double) as network_pagerank, coalesce(second_order, 0) as second_order, coalesce(k.hhi, 0) as supply_concentration_hhi, coalesce(case when r.n >= 10 then r.rate when r.n is not null then 0.25::double end, 0) as transit_route_risk,
   coalesce(total_90 / 3::double, 0) as order_volume_30, coalesce(total_90, 0) as order_volume_90, greatest(coalesce(annual_spend_usd, 0), 0) / (select sum(greatest(coalesce(annual_spend_usd, 0), 0)) from sup) * 100 as spend_share_pct
   from sup s left join {_LATEST} l on s.supplier_id = l.supplier_id left join {_GEO} g on upper(s.country_code) = g.country_code left join route r on l.origin_port = r.origin_port and l.destination_port = r.destination_port
-  left join (select s_suppkey as supplier_id, s_suppkey::double / 10000 as network_pagerank, (s_suppkey % 7)::double / 7 as second_order from supplier where s_suppkey % 10 <> 0) c on s.supplier_id = c.supplier_id
+  left join (select r10.id as supplier_id, rank as network_pagerank, score as second_order from r10 join so using (id)) c on s.supplier_id = c.supplier_id
+  left join (select primary_category, sum(s * s) / (sum(s) * sum(s)) as hhi from (select primary_category, greatest(coalesce(annual_spend_usd, 0), 0) as s from sup) group by 1) k on s.primary_category = k.primary_category
   where s.dq_score >= 0.7)"""
 
 
@@ -185,21 +186,33 @@ def bronze_table(f: Feeds) -> DataFrame:
     return store(with_audit(ships(f), "carrier_tracking", "bronze", AS_OF), "bronze-shipments")
 
 
+def nodes(f: Feeds) -> DataFrame:
+    """Suppliers as nodes, with a risk of their own."""
+    return f.table("supplier").select(F.col("s_suppkey").alias("id"), (F.pmod(F.col("s_suppkey") * 37, F.lit(100)).cast("double") / 100).alias("p"))
+
+
+def centrality(f: Feeds) -> DataFrame:
+    """Network scores of each supplier: rank and second-order risk in the graph, concentration of spend in its category."""
+    edges, ids = store(f.edges(), "edges"), nodes(f)
+    scores = network.pagerank(ids, edges).withColumnRenamed("rank", "network_pagerank").join(network.second_order_risk(ids, edges).withColumnRenamed("score", "second_order_contagion_score"), "id")
+    suppliers = sups(f)
+    spend = suppliers.select(F.col("supplier_id").alias("id"), "primary_category").join(gold.concentration(suppliers).withColumnRenamed("hhi", "supply_concentration_hhi"), "primary_category")
+    return scores.join(spend.drop("primary_category"), "id", "left").withColumnRenamed("id", "supplier_id")
+
+
 def features(f: Feeds, shipments: DataFrame) -> DataFrame:
-    k = F.col("s_suppkey")
-    central = f.table("supplier").filter(k % 10 != 0).select(k.alias("supplier_id"), (k / 10000).alias("network_pagerank"), ((k % 7) / 7).alias("second_order_contagion_score"))
-    return silver.supplier_features(sups(f), shipments, country(f), central, AS_OF)
+    return silver.supplier_features(sups(f), shipments, country(f), centrality(f), AS_OF)
 
 
-_RATES = ("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "lead_time_variance", "trend_proxy", "geo_score", "instability", "trade_score", "port_score", "volatility", "financial_risk", "payment_delay_proxy", "network_pagerank", "transit_route_risk", "order_volume_30", "spend_share_pct")
+_RATES = ("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "lead_time_variance", "trend_proxy", "geo_score", "instability", "trade_score", "port_score", "volatility", "financial_risk", "payment_delay_proxy", "transit_route_risk", "order_volume_30", "spend_share_pct", "supply_concentration_hhi")
 
 
 @register("supplier_features", with_feeds(f"""
-with {_FEATURES} select supplier_id, {", ".join(f"round({c}, 4) + 0.0 as {c}" for c in _RATES)}, round(second_order, 4) as second_order_contagion_score, on_time_streak, days_since_disruption::double as days_since_disruption, order_volume_90::double as order_volume_90,
+with {_FEATURES} select supplier_id, {", ".join(f"round({c}, 4) + 0.0 as {c}" for c in _RATES)}, round(network_pagerank, 6) as network_pagerank, round(second_order, 4) as second_order_contagion_score, on_time_streak, days_since_disruption::double as days_since_disruption, order_volume_90::double as order_volume_90,
   round(2.5::double - 5 * instability, 4) as political_stability from feat"""))
 def supplier_features(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    return features(f, bronze_table(f)).select("supplier_id", *r4(*_RATES, "second_order_contagion_score"), "on_time_streak", dbl("days_since_disruption"), dbl("order_volume_90"), *r4("political_stability"))
+    return features(f, bronze_table(f)).select("supplier_id", *r4(*_RATES, "second_order_contagion_score"), F.round("network_pagerank", 6).alias("network_pagerank"), "on_time_streak", dbl("days_since_disruption"), dbl("order_volume_90"), *r4("political_stability"))
 
 
 @register("shipment_features", with_feeds(f"""

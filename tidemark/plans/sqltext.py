@@ -32,15 +32,16 @@ FEEDS = {
     "inventory": f"""
       select p_partkey as sku_id, {_PM("p_partkey", "n_sup")} as supplier_id, (p_size * 10)::double as stock, coalesce(dd, 0)::double as daily_demand,
         (p_size * 10)::double / nullif(coalesce(dd, 0)::double, 0) as days_of_supply, coalesce(dr, 0)::double as avg_daily_revenue, p_retailprice as unit_cost_usd
-      from part cross join (select count(*) as n_sup from supplier) left join (select l_partkey, sum(l_quantity) / 2500 as dd, sum(l_extendedprice) / 2500 as dr from lineitem group by 1) on p_partkey = l_partkey""",
+      from part cross join (select count(*) as n_sup from supplier) left join (select l_partkey, sum(l_quantity) / 365 as dd, sum(l_extendedprice) / 365 as dr from li where ship > date '2001-11-05' - 365 group by 1) on p_partkey = l_partkey""",
     "risk_sup": f"select s_suppkey as supplier_id, greatest(1, {_PM('s_suppkey * 7', 46)} - 1)::double as lt_mean, 1.1::double + ({_PM('s_suppkey', 20)})::double / 10 as factor from supplier",
     "weeks": "select floor(date_diff('day', date '1995-01-01', event_date) / 7)::int as scenario_id, l_suppkey as supplier_id, d from carrier",
     "scenarios": """
       select scenario_id, supplier_id, case when share >= 0.75::double then 1 else 0 end as disrupted, lt_mean + late as lead
       from (select scenario_id, supplier_id, avg((d > 3)::int::double) as share, avg(greatest(d, 0)::double) as late from weeks group by 1, 2) join risk_sup using (supplier_id)""",
     "edges": f"""
-      select src, dst, flow_volume, least(1.0::double, flow_volume / sum(flow_volume) over (partition by src) * (1 + ({_PM("src * 37", 100)})::double / 50)) as c, ({_PM("src * 31 + dst", 4)} = 0)::int as contagion_label
-      from (select a.l_suppkey as src, b.l_suppkey as dst, round(sum(a.l_extendedprice), 2) as flow_volume from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey group by 1, 2)""",
+      select src, dst, flow_volume, least(1.0::double, flow_volume / sum(flow_volume) over (partition by src) * (1 + ({_PM("src * 37", 100)})::double / 50)) as c, 
+        (round(least(1.0::double, flow_volume / sum(flow_volume) over (partition by src) * (1 + ({_PM("src * 37", 100)})::double / 50)) + ({_PM("src * 37", 100)})::double / 100 + ({_PM("src * 31 + dst * 17", 100)})::double / 100, 6) > 1.3::double)::int as contagion_label
+      from (select a.l_suppkey as src, b.l_suppkey as dst, round(sum(a.l_extendedprice), 2) as flow_volume from li a join li b on a.l_partkey = b.l_partkey and a.ship = b.ship and a.l_suppkey <> b.l_suppkey group by 1, 2)""",
     "spread": """
       select scenario_id, supplier_id, coalesce(disrupted, 0)::int as disrupted, lead, greatest(coalesce(disrupted, 0), coalesce(hit, 0))::int as second from scenarios full join (
         select scenario_id, dst as supplier_id, 1 as hit from (select scenario_id, supplier_id as src from scenarios where disrupted = 1) join edges using (src) group by 1, 2 having round(sum(c), 8) > 0.5) using (scenario_id, supplier_id)""",
@@ -89,6 +90,15 @@ FEEDS = {
 }
 
 
+NODES = "nd as (select s_suppkey as id, ((s_suppkey * 37) % 100)::double / 100 as p from supplier)"
+_RANKS = "".join(
+    f", r{i} as materialized (select nd.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) as rank from nd cross join sz cross join (select coalesce(sum(rank), 0) as loose from r{i - 1} where id not in (select src from ot)) left join (select dst as id, sum(rank * w) as got from wt join r{i - 1} on src = id group by 1) using (id))"
+    for i in range(1, 11)
+)
+PAGERANK = f"{NODES}, sz as (select count(*) as n from nd), ot as (select src, sum(flow_volume) as o from edges group by 1), wt as (select src, dst, flow_volume / o as w from edges join ot using (src)), r0 as (select id, 1.0::double / n as rank from nd cross join sz) {_RANKS}"
+SECOND_ORDER = "so as (select id, coalesce(1 - exp(s), 0) as score from nd left join (select dst as id, sum(ln(1 - least(p * c, 0.999999::double))) as s from edges join nd on src = nd.id group by 1) using (id))"
+
+
 def with_feeds(query: str) -> str:
     """The query after all feeds that it needs."""
     needed: list[str] = []

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bronze, forecast, gold, loss, network, scoring, silver
 from tidemark.plans.registry import register
-from tidemark.plans.relational import _MASTER, master, r4, ships
-from tidemark.plans.sqltext import with_feeds
+from tidemark.plans.relational import _MASTER, master, nodes, r4, ships
+from tidemark.plans.sqltext import NODES, PAGERANK, SECOND_ORDER, with_feeds
 from tidemark.sources.adapters import AS_OF, Feeds
 from tidemark.sources.stored import store
 
@@ -304,13 +304,6 @@ def contagion2(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- network
 
 
-def nodes(f: Feeds) -> DataFrame:
-    return f.table("supplier").select(F.col("s_suppkey").alias("id"), (F.pmod(F.col("s_suppkey") * 37, F.lit(100)).cast("double") / 100).alias("p"))
-
-
-_NODES = "nd as (select s_suppkey as id, ((s_suppkey * 37) % 100)::double / 100 as p from supplier)"
-
-
 @register("edges_top", with_feeds("select src, dst, round(flow_volume, 2) as flow_volume, round(c, 4) as c, contagion_label from (select *, row_number() over (partition by src order by flow_volume desc, dst) as place from edges) where place <= 10"))
 def edges_top(spark: SparkSession, d: str) -> DataFrame:
     """The ten largest flows of each supplier; the other graph queries take all flows."""
@@ -324,27 +317,29 @@ def contagion_top(spark: SparkSession, d: str) -> DataFrame:
     return network.contagion_order(f.edges(), n).select("src", F.round("mean_outbound", 6).alias("mean_outbound"))
 
 
-@register("spof", with_feeds("select supplier_id, count(*) as n_skus from (select l_partkey, min(l_suppkey) as supplier_id from lineitem where l_quantity >= 49 group by 1 having count(distinct l_suppkey) = 1) group by 1"))
+@register("spof", """
+select supplier_id, count(*) as n_skus from (
+  select min(l_suppkey) as supplier_id from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by l_partkey, c_nationkey having count(distinct l_suppkey) = 1) group by 1""")
 def spof(spark: SparkSession, d: str) -> DataFrame:
-    lines = Feeds(spark, d).table("lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("sku_id"), F.col("l_suppkey").alias("supplier_id"))
-    return network.single_points_of_failure(lines)
+    """Suppliers that alone ship a part to a nation."""
+    return network.single_points_of_failure(Feeds(spark, d).market_skus())
 
 
 @register("spof_all", with_feeds("select supplier_id, count(*) as n_skus from (select l_partkey, min(l_suppkey) as supplier_id from lineitem group by 1 having count(distinct l_suppkey) = 1) group by 1"))
 def spof_all(spark: SparkSession, d: str) -> DataFrame:
-    """As spof, over all lines."""
+    """As spof, over parts wherever they go; in these tables each part has several suppliers."""
     return network.single_points_of_failure(Feeds(spark, d).table("lineitem").select(F.col("l_partkey").alias("sku_id"), F.col("l_suppkey").alias("supplier_id")))
 
 
 @register("sage_mean", with_feeds(f"""
-with {_NODES}, lp as (select src, dst from edges union all select id, id from nd), h1 as (select nd.id, nd.p, nd.p + coalesce(m, 0) as p_hop1 from nd left join (select dst as id, avg(p) as m from lp join nd on lp.src = nd.id group by 1) using (id))
+with {NODES}, lp as (select src, dst from edges union all select id, id from nd), h1 as (select nd.id, nd.p, nd.p + coalesce(m, 0) as p_hop1 from nd left join (select dst as id, avg(p) as m from lp join nd on lp.src = nd.id group by 1) using (id))
 select h1.id, round(p, 7) as p, round(p_hop1, 7) as p_hop1, round(p_hop1 + coalesce(m, 0), 7) as p_hop2 from h1 left join (select dst as id, avg(p_hop1) as m from lp join h1 on lp.src = h1.id group by 1) using (id)"""))
 def sage_mean(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
     return network.mean_neighbours(nodes(f), f.edges(), ["p"]).select("id", *(F.round(c, 7).alias(c) for c in ("p", "p_hop1", "p_hop2")))
 
 
-@register("second_order", with_feeds(f"with {_NODES} select id, round(coalesce(1 - exp(s), 0), 6) as score from nd left join (select dst as id, sum(ln(1 - least(p * c, 0.999999::double))) as s from edges join nd on src = nd.id group by 1) using (id)"))
+@register("second_order", with_feeds(f"with {NODES}, {SECOND_ORDER} select id, round(score, 6) as score from so"))
 def second_order(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
     return network.second_order_risk(nodes(f), f.edges()).select("id", F.round("score", 6).alias("score"))
@@ -372,20 +367,14 @@ def reach_spend(spark: SparkSession, d: str) -> DataFrame:
     return network.spend_coverage(reached(f), bronze.suppliers(f.supplier_master())).select("seed", "n_hop1", "n_hop2", "n_hop3", *r4("spend_pct"))
 
 
-@register("reach_all")
-def reach_all(spark: SparkSession, d: str) -> DataFrame:
-    """From all suppliers, to three hops, over each one's ten largest flows: over all flows nearly every pair is one hop apart."""
+@register("reach_counts")
+def reach_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many suppliers each supplier reaches within one, two and three hops, by sketches."""
     f = Feeds(spark, d)
-    return network.reach(f.main_edges(), nodes(f), 3)
-
-
-_RANK = "".join(
-    f", r{i} as materialized (select nd.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) as rank from nd cross join sz cross join (select coalesce(sum(rank), 0) as loose from r{i - 1} where id not in (select src from ot)) left join (select dst as id, sum(rank * w) as got from wt join r{i - 1} on src = id group by 1) using (id))"
-    for i in range(1, 11)
-)
+    return network.reach_counts(f.edges(), nodes(f))
 
 
-@register("pagerank", with_feeds(f"with {_NODES}, sz as (select count(*) as n from nd), ot as (select src, sum(flow_volume) as o from edges group by 1), wt as (select src, dst, flow_volume / o as w from edges join ot using (src)), r0 as (select id, 1.0::double / n as rank from nd cross join sz) {_RANK} select id, round(rank, 6) as rank from r10"))
+@register("pagerank", with_feeds(f"with {PAGERANK} select id, round(rank, 6) as rank from r10"))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
     return network.pagerank(nodes(f), f.edges()).select("id", F.round("rank", 6).alias("rank"))

@@ -150,8 +150,10 @@ class Feeds:
         return self.dated_lines().select("supplier_id", F.col("po_id").alias("shipment_id"), status.alias("status"), late.alias("delay_days"))
 
     def inventory(self) -> DataFrame:
+        """Stock by part and its demand in the year up to the day of the report."""
         n_suppliers = self.table("supplier").agg(F.count("*").alias("n_suppliers"))
-        sold = self.table("lineitem").groupBy("l_partkey").agg((F.sum("l_quantity") / 2500).alias("daily_demand"), (F.sum("l_extendedprice") / 2500).alias("avg_daily_revenue"))
+        recent = F.col("ship") > F.date_sub(F.lit(AS_OF).cast("date"), 365)
+        sold = self.lines().filter(recent).groupBy("l_partkey").agg((F.sum("l_quantity") / 365).alias("daily_demand"), (F.sum("l_extendedprice") / 365).alias("avg_daily_revenue"))
         parts = self.table("part").crossJoin(F.broadcast(n_suppliers)).join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
         demand = F.coalesce("daily_demand", F.lit(0.0))
         return parts.select(
@@ -177,19 +179,32 @@ class Feeds:
         return joined.select("scenario_id", "supplier_id", F.when(F.col("share") >= 0.75, 1).otherwise(0).alias("disrupted"), (F.col("avg_lead_time_days") + F.col("late")).alias("lead_time_draw"))
 
     def edges(self) -> DataFrame:
-        """Suppliers that share an order, with the flow between them. An order has a few lines, so its pairs are few."""
-        lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
-        left = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("src")).agg(F.sum("l_extendedprice").alias("v"))
-        right = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
-        flow = left.join(right, "l_orderkey").filter("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.col("v") * F.col("n")), 2).alias("flow_volume"))
+        """Suppliers that ship the same part on the same day, with the flow between them.
+
+        A part has a few lines a day, so its pairs are few, and a supplier has about seven neighbours at any size of the
+        tables: most others are two, three or more hops away. The label leans on the flow and the source's own risk.
+        """
+        lines = self.lines().groupBy("l_partkey", "ship", "l_suppkey").agg(F.sum("l_extendedprice").alias("v"), F.count("*").alias("n"))
+        left = lines.select("l_partkey", "ship", F.col("l_suppkey").alias("src"), "v")
+        right = lines.select("l_partkey", "ship", F.col("l_suppkey").alias("dst"), "n")
+        flow = left.join(right, ["l_partkey", "ship"]).filter("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.col("v") * F.col("n")), 2).alias("flow_volume"))
         share = F.col("flow_volume") / F.sum("flow_volume").over(Window.partitionBy("src"))
-        return flow.withColumns({"c": F.least(F.lit(1.0), share * (1 + F.pmod(F.col("src") * 37, F.lit(100)) / 50)), "contagion_label": (F.pmod(F.col("src") * 31 + F.col("dst"), F.lit(4)) == 0).cast("int")})
+        spread = F.least(F.lit(1.0), share * (1 + F.pmod(F.col("src") * 37, F.lit(100)) / 50))
+        noise = F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(100)) / 100
+        lean = F.round(F.col("c") + F.pmod(F.col("src") * 37, F.lit(100)) / 100 + noise, 6)
+        return flow.withColumn("c", spread).withColumn("contagion_label", (lean > 1.3).cast("int"))
 
     def main_edges(self, k: int = 10) -> DataFrame:
         """Of each source the k largest flows."""
         order = Window.partitionBy("src").orderBy(F.col("flow_volume").desc(), "dst")
         return self.edges().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
+    def market_skus(self) -> DataFrame:
+        """A part as sold to one nation, with each supplier that ships it there: many have a single one."""
+        orders = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.select(F.concat_ws("-", "l_partkey", "c_nationkey").alias("sku_id"), F.col("l_suppkey").alias("supplier_id"))
+
     def labelled_scores(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "n_chars")
         p = lambda x: F.pmod(x, F.lit(1000)).cast("double") / 1000

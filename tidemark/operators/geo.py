@@ -42,9 +42,14 @@ def port_daily(feed: DataFrame) -> DataFrame:
     return daily.withColumn("port_score", F.least(F.lit(1.0), F.col("wait_hours") / 168))
 
 
-def country_risk(conflict: DataFrame, ports: DataFrame, gov: DataFrame, trade: DataFrame, commodity: DataFrame) -> DataFrame:
-    """Composite score and tier per country and day of conflict. Each side is reduced to its key before it is joined."""
-    c = conflict_daily(conflict).withColumns({"year": F.year("event_date"), "month": F.date_trunc("month", "event_date").cast("date")})
+def country_risk(conflict: DataFrame, ports: DataFrame, gov: DataFrame, trade: DataFrame, commodity: DataFrame, newest: bool = False) -> DataFrame:
+    """Composite score and tier per country and day of conflict, or per country on its ``newest`` day, which is picked before
+    anything is joined. Each side is reduced to its key before it is joined."""
+    daily = conflict_daily(conflict)
+    if newest:
+        columns = [c for c in daily.columns if c != "country_code"]
+        daily = daily.groupBy("country_code").agg(F.max_by(F.struct(*columns), "event_date").alias("_day")).select("country_code", "_day.*")
+    c = daily.withColumns({"year": F.year("event_date"), "month": F.date_trunc("month", "event_date").cast("date")})
     joined = (
         c.join(port_daily(ports), ["country_code", "event_date"], "left")
         .join(governance(gov), ["country_code", "year"], "left")

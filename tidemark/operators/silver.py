@@ -202,13 +202,14 @@ SUPPLIER_DEFAULTS = {
 }
 
 
-def shipment_features(shipments: DataFrame, features: DataFrame, exclude_current: bool = False) -> DataFrame:
+def shipment_features(shipments: DataFrame, features: DataFrame, exclude_current: bool = False, routes: DataFrame | None = None) -> DataFrame:
     """Calendar, mode, cargo and route features, and five of the supplier's (``features``, a row a supplier).
 
-    ``exclude_current`` leaves a row out of its own route's rate.
+    ``exclude_current`` leaves a row out of its own route's rate. ``routes`` are the :func:`route_stats` of these
+    shipments, where they are there already.
     """
     base = labelled(shipments)
-    joined = calendar(base).join(route_stats(base), ["origin_port", "destination_port"], "left")
+    joined = calendar(base).join(route_stats(base) if routes is None else routes, ["origin_port", "destination_port"], "left")
     if exclude_current:
         others = (F.col("route_rate") * F.col("route_n") - F.col("label")) / (F.col("route_n") - 1)
         joined = joined.withColumn("route_risk", F.when(F.col("route_n") > 10, others).otherwise(0.25))
@@ -226,6 +227,7 @@ def newest_values(df: DataFrame, as_of: str) -> DataFrame:
     """
     order = F.struct("event_date", "purchase_order_id")
     newest = Window.partitionBy("supplier_id").orderBy(F.col("event_date").desc(), F.col("purchase_order_id").desc())
+    df = df.select("supplier_id", "event_date", "purchase_order_id", "on_time", "delay_days", "disrupted", "origin_port", "destination_port")
     tail = df.withColumn("n", F.row_number().over(newest)).filter("n <= 90")
     last = lambda n, c: F.when(F.col("n") <= n, F.col(c).cast("double"))
     rates = tail.groupBy("supplier_id").agg(
@@ -243,14 +245,14 @@ def newest_values(df: DataFrame, as_of: str) -> DataFrame:
     return joined.withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption")).withColumns(_proxies())
 
 
-def supplier_features(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, centrality: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
+def supplier_features(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, centrality: DataFrame | None = None, as_of: str | None = None, routes: DataFrame | None = None) -> DataFrame:
     """One row per supplier past the gate of 0.7: its latest window values, its country's latest risk, its network scores.
 
-    ``centrality`` has a row a supplier. The route risk is that of the latest shipment's route; the shares of spend are of
+    ``centrality`` has a row a supplier, ``routes`` are the :func:`route_stats` of the shipments, where they are there already. The route risk is that of the latest shipment's route; the shares of spend are of
     all suppliers here. Missing values are those of ``SUPPLIER_DEFAULTS``.
     """
     now = newest_values(events(shipments), as_of or str(shipments.sparkSession.sql("select current_date()").first()[0]))
-    routes = route_stats(labelled(shipments)).select(F.col("origin_port").alias("last_origin_port"), F.col("destination_port").alias("last_destination_port"), F.col("route_risk").alias("transit_route_risk"))
+    routes = (route_stats(labelled(shipments)) if routes is None else routes).select(F.col("origin_port").alias("last_origin_port"), F.col("destination_port").alias("last_destination_port"), F.col("route_risk").alias("transit_route_risk"))
     now = now.join(routes, ["last_origin_port", "last_destination_port"], "left")
     country = latest(geo, "country_code", "event_date").select("country_code", "geo_score", "geo_risk_tier", "instability", "trade_score", "port_score", "volatility")
     joined = suppliers.filter("dq_score >= 0.7").join(now, "supplier_id", "left").join(country, "country_code", "left")

@@ -25,12 +25,12 @@ def sups(f: Feeds) -> DataFrame:
     return bronze.suppliers(f.supplier_master())
 
 
-def country(f: Feeds) -> DataFrame:
-    return geo.country_risk(f.conflict(), f.ports(), f.governance(), f.trade(), f.commodity())
+def country(f: Feeds, newest: bool = False) -> DataFrame:
+    return geo.country_risk(f.conflict(), f.ports(), f.governance(), f.trade(), f.commodity(), newest)
 
 
 def master(f: Feeds) -> DataFrame:
-    risk = country(f).select("country_code", "event_date", "geo_score")
+    risk = country(f, newest=True).select("country_code", "event_date", "geo_score")
     return gold.risk_master(sups(f), f.gold_shipments(), risk, f.gold_orders())
 
 
@@ -200,8 +200,13 @@ def centrality(f: Feeds) -> DataFrame:
     return scores.join(spend.drop("primary_category"), "id", "left").withColumnRenamed("id", "supplier_id")
 
 
-def features(f: Feeds, shipments: DataFrame) -> DataFrame:
-    return silver.supplier_features(sups(f), shipments, country(f), centrality(f), AS_OF)
+def routes_of(shipments: DataFrame) -> DataFrame:
+    """Statistics of routes, stored, as features of suppliers and of shipments both read them."""
+    return store(silver.route_stats(silver.labelled(shipments)), "routes")
+
+
+def features(f: Feeds, shipments: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    return silver.supplier_features(sups(f), shipments, country(f, newest=True), centrality(f), AS_OF, routes)
 
 
 _RATES = ("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "ewm_proxy", "delay_mean_30", "delay_mean_90", "delay_std_90", "drift_proxy", "disruption_rate_90", "lead_time_variance", "trend_proxy", "geo_score", "instability", "trade_score", "port_score", "volatility", "financial_risk", "payment_delay_proxy", "transit_route_risk", "order_volume_30", "spend_share_pct", "supply_concentration_hhi")
@@ -224,7 +229,8 @@ from ship s left join route r using (origin_port, destination_port) left join fe
 def shipment_features(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
     shipments = bronze_table(f)
-    found = silver.shipment_features(shipments, features(f, shipments))
+    routes = routes_of(shipments)
+    found = silver.shipment_features(shipments, features(f, shipments, routes), routes=routes)
     return found.select("purchase_order_id", "label", "month", "day_of_week", "quarter", "is_q4", "is_weekend", *r4("month_sin"), "is_ocean", *r4("log_cargo", "route_risk", "sup_disruption_rate_90", "sup_on_time_rate_90", "sup_geo_score", "sup_financial_risk", "sup_network_pagerank"))
 
 

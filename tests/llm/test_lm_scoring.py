@@ -136,7 +136,7 @@ def test_weights_learn_from_all_rows(spark):
     models = [lm_scoring.CausalModel(seen) for _ in range(3)]
     ids = int(seen.sum())
     for model, rows in zip(models[1:], (docs, docs.repartition(5))):
-        assert lm_scoring.fit(model, rows, RANKS, P.PATTERN, ids, shard_ids=ids // 3, least=ids) == ids
+        assert lm_scoring.fit(model, rows, RANKS, P.PATTERN, ids, shard_ids=ids // 3, passes=1) == ids
     coder = lm_scoring.subwords(RANKS, P.PATTERN)
     text = [np.append(np.frombuffer(b"".join(coder.known(words("red green blue grey " * 5))), "<i4"), coder.size)]
     start, one, other = (m.score(text)[0] for m in models)

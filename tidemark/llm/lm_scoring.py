@@ -287,6 +287,11 @@ class CausalModel:
         pad = np.zeros(self.window, np.int32)
         return np.concatenate([*texts, pad]), np.concatenate([*(self.sequence(t) for t in texts), pad])
 
+    def n_windows(self, texts: list[np.ndarray]) -> int:
+        """How many windows the texts take."""
+        step = self.window - self.overlap
+        return sum(1 + max(0, -(-(len(t) - self.window) // step)) for t in texts)
+
     def _spread(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """All texts as one: ids, input places, and by window its text's first place and size, its start, its first scored position."""
         w = self.window
@@ -304,18 +309,14 @@ class CausalModel:
     def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
         """Adam over the windows of all texts, in random order.
 
-        Training windows stand side by side, so each id is learned once in a pass; each text ends with the end id, short
-        windows are padded and masked. By default every window comes up once. ``span`` is the part of the whole training
-        that this call is: the rate falls over its second half.
+        The windows are those that score: they overlap, and each id is learned once in a pass, in the window that scores
+        it, with the ids before it as its context. Each text ends with the end id, short windows are padded and masked. By default every
+        window comes up once. ``span`` is the part of the whole training that this call is: the rate falls over its second half.
         """
         rng = np.random.default_rng(seed)
         w, self._tables = self.window, None
-        n = np.array([len(t) for t in texts], np.int64)
-        flat, places = self._flat(texts)
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        count = -(-n // w)
-        before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        starts, left = np.repeat(first, count) + before * w, np.repeat(n, count) - before * w
+        flat, places, owner, first, n, starts, fresh = self._spread(texts)
+        steps_in = np.arange(w)
         per_pass = -(-len(starts) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -324,8 +325,9 @@ class CausalModel:
             if turn == 0:
                 order = rng.permutation(len(starts))
             some = order[turn * batch : (turn + 1) * batch]
-            index = starts[some, None] + np.arange(w)
-            _, grads = self.gradients(places[index], flat[index], np.arange(w) < left[some, None])
+            place = starts[some, None] + steps_in
+            index = first[owner[some], None] + place
+            _, grads = self.gradients(places[index], flat[index], (place >= fresh[some, None]) & (place < n[owner[some], None]))
             pace = np.float32(rate * min(1.0, 2 * (1 - span[0] - (span[1] - span[0]) * step / ((steps or per_pass) + 1))) / (1 - 0.9**step))
             soft = np.float32(1 / (1 - 0.99**step))
             for k, (at, g) in grads.items():
@@ -408,19 +410,18 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return found
 
 
-def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, total: float, key: str = "doc_id", text: str = "text", shard_ids: int = 8_000_000, rounds: int = 2, least: int = 2_300_000, part: int = 4096) -> int:
+def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, total: float, key: str = "doc_id", text: str = "text", shard_ids: int = 8_000_000, rounds: int = 2, passes: int = 1, part: int = 4096) -> int:
     """Fits the weights to all training texts, which have ``total`` ids with their ends; how many ids were learned.
 
     Rows are dealt by a hash of key, text and place in the table (so that repeated rows part) into shards of about
     ``shard_ids`` ids and into ``rounds``. In a round a task trains a copy of the weights on a shard's rows of that round;
     the mean of all copies, by ids learned, goes to the next round. So the steps grow with the input and every text is
-    learned. Rows of a small corpus come up again, until about ``least`` ids went by. Copies are added up in parts of
-    ``part`` numbers.
+    learned ``passes`` times, whatever the size of the table. Copies are added up in parts of ``part`` numbers.
     """
     if not total:
         return 0
     spark = training.sparkSession
-    shards, again = math.ceil(total / shard_ids), math.ceil(least / total)
+    shards = math.ceil(total / shard_ids)
     place = F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id())
     rows = training.select(F.col(text).alias("text"), place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright(place, 32), F.lit(rounds)).alias("turn"))
     names, learned = list(model.p), 0
@@ -432,9 +433,8 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
             end = np.array([coder.size], np.int32)
             group = group.sort_by([("place", "ascending"), ("text", "ascending")])
             texts = [np.concatenate([np.frombuffer(b"".join(coder.known(words(x))), "<i4"), end]) for x in group.column("text").to_pylist()]
-            n_windows = sum(-(-len(t) // model.window) for t in texts)
             batch = 128
-            model.train(texts, again * -(-n_windows // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
+            model.train(texts, passes * -(-model.n_windows(texts) // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
             n = sum(map(len, texts))
             flat = np.concatenate([model.p[k].ravel() for k in names]).astype("<f4")
             parts = [flat[a : a + part].tobytes() for a in range(0, len(flat), part)]
@@ -483,6 +483,7 @@ def score_documents(
     head: int = 200_000,
     unit: int = 64,
     batch_bytes: int = 1 << 20,
+    passes: int = 1,
 ) -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -509,7 +510,7 @@ def score_documents(
     coder = subwords(tokenizer, pattern)
     seen = subword_counts(counts, tokenizer, pattern)
     model = CausalModel(seen)
-    fit(model, training, tokenizer, pattern, seen.sum(), key, text)
+    fit(model, training, tokenizer, pattern, seen.sum(), key, text, passes=passes)
     end = np.array([coder.size], np.int32)
     shared = spark.sparkContext.broadcast((model, top))
     kind = docs.schema[key].dataType.simpleString()

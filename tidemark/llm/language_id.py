@@ -152,7 +152,7 @@ def segments(text: bytes, size: int = SEGMENT) -> list[bytes]:
 def train(parts: dict[str, list[bytes]], hidden: int = 8, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 7) -> tuple[list[str], ByteGru]:
     """Fits a network to segments by language; each language makes up an equal part of each batch.
 
-    A batch is cut to a length drawn for it, so that short texts are learned as well.
+    A batch is cut to a length drawn for it, an eighth of a segment to a whole one, so that short texts are learned as well.
     """
     labels = sorted(parts)
     rng = np.random.default_rng(seed)
@@ -161,7 +161,7 @@ def train(parts: dict[str, list[bytes]], hidden: int = 8, steps: int = 240, batc
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     each = max(1, batch // len(labels))
     for step in range(1, steps + 1 if len(labels) > 1 else 1):
-        size = int(rng.integers(SEGMENT // 8, SEGMENT // 2 + 1))
+        size = int(rng.integers(SEGMENT // 8, SEGMENT + 1))
         picks = []
         for label in labels:
             for i in rng.integers(0, len(parts[label]), each):
@@ -196,7 +196,7 @@ def pooled(net: ByteGru, texts: list[bytes], batch: int = 1024) -> np.ndarray:
 
 def sample_segments(docs: DataFrame, key: str, text: str, lang: str, per_language: int, per_text: int) -> dict[str, list[bytes]]:
     """Segments of running text by language: of at most ``per_language`` documents of each (those with the least hash of
-    the key) at most ``per_text``, evenly spaced over the whole text. They are cut where the texts lie; the driver gets
+    the key; rows without a key have no place in that order and are left out) at most ``per_text``, evenly spaced over the whole text. They are cut where the texts lie; the driver gets
     at most ``per_language`` * ``per_text`` * SEGMENT bytes a language."""
     order = Window.partitionBy("lang").orderBy("place", "key")
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
@@ -228,7 +228,8 @@ def identify(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: st
 
     The network is fitted to a sample of the labelled rows of ``training`` (see :func:`sample_segments`; its bounds are the
     parameters). Then it reads every whole text, A-Z in lower case, in segments of running text, and labels every byte; a
-    document's probabilities are the mean over its letters. ``und`` with score 0: a null text, one without any letter,
+    document's probabilities are the mean over its letters (a-z and every byte beyond ASCII, so parts of a dash or an emoji
+    count as well, though a text of those alone has no letter). ``und`` with score 0: a null text, one without any letter,
     or a training table without rows. Of equal probabilities the first language wins. Equal rows give equal rows; null keys
     stay; other columns are not read.
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -243,14 +244,14 @@ def _deal(capacity: int, n_parts: int) -> Callable[[Iterator[pd.DataFrame]], Ite
     return deal
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int = 8) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; offsets in a sequence leave no gaps.
 
     Rows are numbered once, as a stored table. A full piece is a sequence by itself and isn't moved. The others are dealt,
     length by length, over parts of about ``part_rows`` rows; best-fit decreasing packs each part, and a part whose bins
     are as few as its lower bound is done. Of the other parts, the bins that still have room are dealt anew, whole bins at
     a time, and each new part is packed again; what came in stays where that saves nothing. That goes on until one part is
-    left, a round saves no bin, or ``rounds`` rounds are over. No value of any column puts more rows in a part. :func:`certificate`
+    left or a round saves no bin, or, if given, for ``rounds`` rounds. No value of any column puts more rows in a part. :func:`certificate`
     compares the whole with its bound.
     """
     numbered = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "packing-rows")
@@ -263,7 +264,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000
     bin_id = F.col("part") * (1 << 24) + F.col("bin")
     packed = dealt.groupBy("part").applyInPandas(_pack(capacity), schema).withColumn("bin_id", bin_id)
     done, base, before = None, n_parts, None
-    for _ in range(rounds if n_parts > 1 else 0):
+    for turn in count():
+        if n_parts == 1 or turn == rounds:
+            break
         packed = materialize(packed, "packing-round")
         is_open = (F.col("gap") > 0) & (F.col("filled") < capacity)
         n_again, n_bins = packed.agg(F.sum(is_open.cast("long")), F.count(F.when((F.col("offset") == 0) & is_open, 1))).first()
@@ -275,8 +278,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, part_rows: int = 50_000
         again = again.withColumns({"part": base + F.pmod(F.xxhash64("bin_id"), F.lit(n_parts)), "bin": F.col("bin_id")})
         packed = again.select("row", "length", "part", "bin", "offset").groupBy("part").applyInPandas(_pack(capacity), schema).withColumn("bin_id", bin_id)
         base += n_parts
-        if n_parts == 1:
-            break
     done = packed if done is None else done.unionByName(packed)
     placed = done.select("row", (F.col("bin_id") * 2 + 1).alias("sequence_id"), "offset")
     rest = numbered.filter(F.col("length") < capacity).join(placed, "row")

@@ -38,7 +38,7 @@ class PieceCounter:
 
     def _lengths(self, parts: list[str]) -> list[int]:
         """Encodes in calls of about equally many bytes; a single long part is a call of its own."""
-        ends = np.cumsum([len(x) for x in parts]) // self.call_bytes
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in parts]) // self.call_bytes
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(parts)]
         return [len(x) for a, b in zip(cuts, cuts[1:], strict=False) for x in self.model.encode(parts[a:b], num_threads=1)]
 

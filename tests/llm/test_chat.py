@@ -24,6 +24,7 @@ def test_round_trip(spark, tmp_path):
     rows = [
         (1, 1, "assistant", "two </turn>"), (1, 0, "user", "one\n"), (1, 2, "assistant", None), (2, 0, None, "x" * 50_000), (2, None, "assistant", "first"),
         (None, 0, "assistant", "<|endoftext|> é💙"), (3, 0, "user", ""), (3, 0, "user", ""), (3, 1, "### System:", "\\"),
+        *((4, 0, "user", t) for t in ("zebra", "the", "A", "banana split", "apple", "é", "<turn>", "", None, "漢", "💙", "the")), (4, 0, "assistant", "z"),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("ids", F.lit("clash"))
     turns.write.parquet(f"{tmp_path}/conversations.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,18 @@ def _assemble(first: int, turns: list[tuple[str, bytes, bytes]], trained: tuple[
     return np.concatenate(parts).astype(np.int32), np.cumsum(step[:at]) > 0
 
 
+def _by_text(turns: list[tuple], tool: SegmentCoder) -> list[tuple]:
+    """Turns in order of number and role; those equal in both, which are rare, are read back and ordered by text."""
+    out: list[tuple] = []
+    for _, run in groupby(turns, key=lambda t: t[:2]):
+        same = list(run)
+        if len(same) > 1:
+            texts = [unescape(x) for x in tool.decode([np.frombuffer(t[3], "<i4").tolist() for t in same])]
+            same = [same[i] for i in sorted(range(len(same)), key=texts.__getitem__)]
+        out += same
+    return out
+
+
 def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("assistant",), batch_bytes: int = 2 << 20) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text): conv_id, ids array<int>, loss_mask array<boolean>.
 
@@ -92,15 +105,16 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv_id", "turn", "role")), *columns], ["conv_id", "turn", "role", "role_ids", "text_ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = coder(tokenizer).first
+        tool = coder(tokenizer)
+        first = tool.first
         now: object = assemble  # no conversation yet
-        held: list[tuple[str, bytes, bytes]] = []
+        held: list[tuple] = []  # turn, role, ids of role and text
         out: tuple[list, list, list] = ([], [], [])
         size = 0
 
         def close() -> None:
             nonlocal size
-            ids, mask = _assemble(first, held, trained)
+            ids, mask = _assemble(first, [h[1:] for h in _by_text(held, tool)], trained)
             size += len(ids)
             for column, value in zip(out, (now, ids, mask), strict=True):
                 column.append(value)
@@ -116,7 +130,7 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
         like = pa.null()
         for batch in batches:
             like = batch.column("conv_id").type
-            for conv, role, role_ids, text_ids in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "role_ids", "text_ids")), strict=True):
+            for conv, turn, role, role_ids, text_ids in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "role_ids", "text_ids")), strict=True):
                 if now is assemble or conv != now:
                     if held:
                         close()
@@ -124,14 +138,14 @@ def format_chats(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
                     if 4 * size >= batch_bytes:
                         yield take(like)
                     now = conv
-                held.append((role, role_ids, text_ids))
+                held.append((turn, role, role_ids, text_ids))
         if held:
             close()
             yield take(like)
 
     turn_type = turns.schema["turn"].dataType.simpleString()
     encoded = rows.mapInArrow(encode, f"conv_id {kind}, turn {turn_type}, role string, role_ids binary, text_ids binary")
-    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_ids")
+    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role")
     return dealt.mapInArrow(assemble, f"conv_id {kind}, ids array<int>, loss_mask array<boolean>")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.storage import materialize
 from tidemark.llm.text import WORD
 
 
@@ -48,20 +49,24 @@ def systematic_copies(docs: DataFrame, text: str = "text", source: str = "source
 
     Size is the number of words; a null text has size 0. Within a source all documents expect target / source_size
     copies (0 if it has no words). They stand in an order of size classes, so that any stretch of like documents gets its
-    share; the expected copies are summed along that order from one offset per source, drawn from ``seed``, and a
+    share, and in a class in the order of their keys' hashes; the expected copies are summed along that order from one offset per source, drawn from ``seed``, and a
     document is taken once for each whole number that its stretch crosses: none more than ``most`` rounded up. The sums
-    are taken in two steps, within buckets of (source, size class, hash of the key) and over bucket totals, so a source
-    with most rows is spread over many tasks; there are so many buckets that one has about ``bucket_rows`` rows at most,
-    as long as no key repeats as often. Reruns agree. Ties: equal keys are ordered by size, and rows equal in both are
+    are taken in two steps, within buckets of (source, size class, range of hashes) and over bucket totals, so a source
+    with most rows is spread over many tasks. A class of a source has as many buckets as give one about ``bucket_rows`` rows,
+    as long as no key repeats as often, so there are few totals, and their number doesn't change the order. Reruns agree. Ties: equal hashes are ordered by size, and rows equal in both are
     alike, so it doesn't matter which of them is first. Keys are of any type that can be ordered. Null sources are a
     source; null keys are hashed like any other.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    buckets = max(64, -(-docs.count() // bucket_rows))
-    rows = rows.withColumns({"stratum": stratum(F.col("size")), "bucket": F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets})
+    rows = materialize(rows, "mix-rows")  # the words are counted once
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumns({"stratum": stratum(F.col("size")), "hash": hashed})
+    cells = rows.groupBy(F.col("source").alias("c_source"), F.col("stratum").alias("c_stratum")).agg(F.ceil(F.count("*") / bucket_rows).alias("n_buckets"))
+    rows = rows.join(materialize(cells, "mix-cells"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("stratum") == F.col("c_stratum")))
+    rows = rows.withColumn("bucket", F.shiftright(F.col("hash") * F.col("n_buckets"), 32)).drop("c_source", "c_stratum", "n_buckets")
     spot = ["source", "stratum", "bucket"]
     inside = Window.partitionBy(*spot)
-    rows = rows.withColumn("place", F.row_number().over(inside.orderBy("size", F.col("key").asc_nulls_last())))
+    rows = rows.withColumn("place", F.row_number().over(inside.orderBy("hash", "size", F.col("key").asc_nulls_last())))
     totals = rows.groupBy(*spot).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("stratum", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     wanted = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)

@@ -27,7 +27,7 @@ with d as (
     ('0x' || substr(md5('mix:' || coalesce(d.source, '\null')), 1, 8))::bigint::double / 4294967296.0::double as u,
     row_number() over (
       partition by d.source
-      order by length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % (select greatest(64, ceil(count(*) / 10000)::bigint) from documents), size, doc_id
+      order by length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint, size, doc_id
     ) as place
   from d join t on d.source is not distinct from t.source
 )

@@ -15,27 +15,43 @@ from tidemark.llm.storage import materialize
 from tidemark.llm.text import remainder
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named c0, c1, ..., so that no name of theirs meets one that an operator adds."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def place(docs: DataFrame, column: str) -> str:
+    """The name that :func:`renamed` gives a column."""
+    return f"c{docs.columns.index(column)}"
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` of rows of :func:`renamed`, by their own names."""
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language (op 9); the network learns from those whose crc32 remainder is not 2."""
-    found = language_id.identify(docs, docs.filter(remainder("doc_id", 4) != 2), carry=True)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    rows, key = renamed(docs), place(docs, "doc_id")
+    found = language_id.identify(rows, rows.filter(remainder(key, 4) != 2), key, place(docs, "text"), place(docs, "lang"), carry=True)
+    return restored(found.filter(F.col("lang_pred") != language_id.UNKNOWN), docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the quality rules (op 8)."""
-    return quality_rules.quality_rules(docs, out="_rules").filter("_rules.kept").drop("_rules")
+    return restored(quality_rules.quality_rules(renamed(docs), place(docs, "text"), out="_rules").filter("_rules.kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (op 3)."""
-    return near_dedup.one_of_each(docs)
+    return restored(near_dedup.one_of_each(renamed(docs), place(docs, "text")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix of sources does (op 4): none, once or twice."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    taken = mixing.systematic_copies(rows, key="_row").filter("copies > 0").select("_row", "copies")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = materialize(renamed(docs).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    taken = mixing.systematic_copies(rows, place(docs, "text"), place(docs, "source"), key="_row").filter("copies > 0").select("_row", "copies")
+    return restored(rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,32 @@ def test_null_and_empty(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+CLASHES = ("score", "lang_pred", "copies", "_row", "_fp", "_rules", "_copy", "_key", "c0", "rules", "size", "source_size", "target", "key", "fp", "row", "sequence_id")
+
+
+def test_columns_of_any_name_go_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60).withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert docs.columns == columns, name
+    rows = docs.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+    assert corpus_pipeline.pack(spark, docs, folder).count() >= len(rows)
+
+
+def test_a_text_longer_than_a_batch(spark, folder):
+    """A text of several megabytes goes through each stage whole."""
+    some = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 60")
+    rng = random.Random(1)
+    lines = [" ".join("".join(rng.choice(PARTS["en"]) for _ in range(rng.randint(1, 4))) for _ in range(12)).capitalize() + "." for _ in range(40_000)]
+    long = spark.createDataFrame([(9000, "\n".join(lines), "en", "s9", 1)], some.schema)
+    docs = some.unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert docs.filter("doc_id = 9000").first().text == "\n".join(lines), name
+    packed = corpus_pipeline.pack(spark, docs.filter("doc_id = 9000"), folder)
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packed.agg(F.sum("length")).first()[0] == len(tool.encode("\n".join(lines), add_special_tokens=False).ids) + 1

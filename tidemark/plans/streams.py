@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import silver
 from tidemark.plans import registry, relational
 from tidemark.plans.registry import register
+from tidemark.plans.sqltext import with_feeds
+from tidemark.sources.stored import shared_dir
 from tidemark.sources.adapters import AS_OF, Feeds
 from tidemark.streaming import streams
 
@@ -28,9 +33,11 @@ def st_sliding(spark: SparkSession, d: str) -> DataFrame:
 @register("st_session", """
 with g as (select *, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minutes or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
-select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as "end", user_id, count(*) as n from s group by user_id, k""")
+select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as "end", user_id, count(*) as n from s group by user_id, k
+having max(ts) + interval 30 minutes <= (select max(ts) - interval 1 hour from events)""")
 def st_session(spark: SparkSession, d: str) -> DataFrame:
-    return streams.drain(streams.sessions(streams.event_stream(spark, d))).select(text("start"), text("end"), "user_id", "n")
+    """Sessions that are over: they come out, and leave the state, once the watermark has passed their end."""
+    return streams.drain(streams.sessions(streams.event_stream(spark, d)), "append").select(text("start"), text("end"), "user_id", "n")
 
 
 @register("st_latest", "select user_id, arg_max(event_id, ts) as event_id, arg_max(event_type, ts) as event_type, round(arg_max(value, ts), 4) as value, count(*) as n_events from events group by 1")
@@ -73,3 +80,52 @@ def st_sliding30(spark: SparkSession, d: str) -> DataFrame:
     """The rate over 30 days, by key."""
     found = streams.drain(streams.sliding(streams.event_stream(spark, d), "30 days", by=["user_id"]), "update", ["start", "user_id"])
     return found.select(text("start"), "user_id", "n", F.round("rate", 4).alias("rate"))
+
+
+@register("st_on_time", with_feeds("""
+with p as (select l_suppkey, event_date, delay_days, supplier_id, dq_score from ship where dq_score >= 0.6 and supplier_id is not null)
+select strftime(start, '%Y-%m-%d %H:%M:%S') as start, supplier_id, count(*) as n, round(avg((delay_days <= 0)::int::double), 4) as rate
+from (select supplier_id, delay_days, unnest(generate_series(event_date::timestamp - interval 29 days, event_date::timestamp, interval 1 day)) as start from p)
+where start + interval 30 days <= (select max(event_date)::timestamp - interval 1 day from p) group by 1, 2"""))
+def st_on_time(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 30 days of the tracking stream, by supplier, that the watermark has passed."""
+    typed = streams.bronze_stream(StreamedLines(spark, d).carrier(), Feeds(spark, d).purchase_orders(), AS_OF)
+    found = streams.drain(streams.on_time_windows(silver.events(typed)), "append")
+    return found.select(text("start"), "supplier_id", "n", F.round("rate", 4).alias("rate"))
+
+
+@register("st_tracked", """
+with e as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as life from events),
+l as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn, count(*) over (partition by user_id, coalesce(life, 0)) as n_events from e)
+select user_id, event_id, event_type, n_events, case when event_type = 'purchase' then 'CLOSED' when ts + interval 7 days <= (select max(ts) from events) - interval 1 hour then 'EXPIRED' else 'OPEN' end as state from l where rn = 1""")
+def st_tracked(spark: SparkSession, d: str) -> DataFrame:
+    """The newest event of each user; a purchase ends what is known of one."""
+    found = streams.drain(streams.tracked(streams.event_stream(spark, d)), "update", ["user_id"])
+    return found.select("user_id", "event_id", "event_type", "n_events", "state")
+
+
+#: Events arrive in four parts by time; one in 50 arrives a part later than it should.
+_PARTS = """
+a as (select *, least(3, part + (event_id % 50 = 7)::int) as arrival from (select *, least(3, floor(date_diff('hour', date_trunc('day', lo), ts) / 180.0))::int as part from events cross join (select min(ts) as lo from events))),
+m as (select k, (select max(ts) from a where arrival < k) - interval 1 hour as mark from (select unnest(range(0, 4)) as k))"""
+
+
+@register("st_late", f"""
+with {_PARTS} select date_trunc('day', ts)::date::varchar as day, event_type, count(*) as n, round(sum(value), 2) as total, sum(coalesce((date_trunc('day', ts) + interval 1 day <= mark)::int, 0))::bigint as n_late
+from a join m on arrival = k group by 1, 2""")
+def st_late(spark: SparkSession, d: str) -> DataFrame:
+    """Sums by day over four batches, with the rows that came after their day was closed merged in."""
+    events = Feeds(spark, d).table("events")
+    first = events.agg(F.date_trunc("day", F.min("ts")).alias("lo"))
+    hours = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("lo")) / 3600)
+    part = F.least(F.lit(3), F.floor(hours / 180.0)) + (F.pmod("event_id", F.lit(50)) == 7).cast("int")
+    arrivals = events.crossJoin(F.broadcast(first)).withColumn("arrival", F.least(F.lit(3), part)).drop("lo")
+    folder = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    for k in range(4):
+        arrivals.filter(F.col("arrival") == k).drop("arrival").write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        run = stream.writeStream.foreachBatch(streams.late_writer(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+        streams.merge_days(spark, f"{folder}/out", k - 1)
+    days = spark.read.parquet(f"{folder}/out/days")
+    return days.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"), "n_late")

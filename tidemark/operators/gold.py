@@ -28,7 +28,11 @@ def shipment_totals(shipments: DataFrame) -> DataFrame:
 
 
 def risk_master(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, orders: DataFrame) -> DataFrame:
-    """Composite score and tier: each side is reduced to one row per key first, so suppliers stay unique."""
+    """Composite score and tier: each side is reduced to one row per key first, so suppliers stay unique.
+
+    ``disruption_probability`` is that of a disrupted shipment in the next 30 days, if as many come as in a third of the last 90 days
+    and each is disrupted as often as those so far.
+    """
     now = latest(order_history(orders), "supplier_id", "order_date", "order_id").select("supplier_id", "on_time_rate", "order_delay", "order_volume")
     country = latest(geo, "country_code", "event_date").select("country_code", "geo_score")
     joined = suppliers.join(shipment_totals(shipments), "supplier_id", "left").join(country, "country_code", "left").join(now, "supplier_id", "left")
@@ -38,6 +42,7 @@ def risk_master(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, orde
             "concentration_risk": F.col("order_volume") / 1000,
             "lead_time_variance": F.col("std_delay") / (F.col("mean_delay") + 1e-6),
             "late_rate": 1 - F.col("on_time_rate"),
+            "disruption_probability": F.round(1 - F.pow(1 - F.col("disruption_rate"), F.col("order_volume") / 3), 6),
         }
     )
     score = C.weighted(geo_score=0.30, disruption_rate=0.25, late_rate=0.20, lead_time_variance=0.15, financial_risk=0.10)
@@ -123,11 +128,12 @@ def briefing(risk: DataFrame, stock: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
-def actions(risk: DataFrame, stock: DataFrame) -> DataFrame:
-    """Rule-triggered actions as one table: purchase, alert, escalate, find a backup."""
+def actions(risk: DataFrame, stock: DataFrame, metrics: DataFrame, var_limit: float = 1_000_000) -> DataFrame:
+    """Rule-triggered actions as one table: purchase under 7 days of supply, alert at a probability over 0.7, escalate where the value at
+    risk (``metrics``, one row with var_95) is over its limit, find a backup for critical suppliers. An escalation is of no one supplier."""
     po = stock.filter("days_of_supply < 7").select(F.lit("PURCHASE_ORDER").alias("action"), "supplier_id", F.col("sku_id"), F.col("days_of_supply").alias("measure"))
-    alert = risk.filter("composite > 0.5").select(F.lit("ALERT").alias("action"), "supplier_id", F.lit(None).cast("bigint").alias("sku_id"), F.col("composite").alias("measure"))
-    escalate = risk.filter("composite > 0.6").select(F.lit("ESCALATE").alias("action"), "supplier_id", F.lit(None).cast("bigint").alias("sku_id"), F.col("composite").alias("measure"))
+    alert = risk.filter("disruption_probability > 0.7").select(F.lit("ALERT").alias("action"), "supplier_id", F.lit(None).cast("bigint").alias("sku_id"), F.col("disruption_probability").alias("measure"))
+    escalate = metrics.filter(F.col("var_95") > var_limit).select(F.lit("ESCALATE").alias("action"), F.lit(None).cast("bigint").alias("supplier_id"), F.lit(None).cast("bigint").alias("sku_id"), F.col("var_95").alias("measure"))
     backup = risk.filter("risk_tier = 'CRITICAL'").select(F.lit("BACKUP").alias("action"), "supplier_id", F.lit(None).cast("bigint").alias("sku_id"), F.col("composite").alias("measure"))
     return po.unionByName(alert).unionByName(escalate).unionByName(backup)
 
@@ -174,9 +180,9 @@ def risk_filter(scored: DataFrame, tiers: list[str], least: float, n: int, score
     return top(rows.filter(F.col(score) >= least), n, F.col(score).desc(), key)
 
 
-def alerts(risk: DataFrame, least: float = 0.5, score: str = "composite") -> DataFrame:
-    """An alert for each supplier over a score, as a row of the table of alerts."""
-    summary = F.format_string("Supplier %s is %s with a composite score of %.4f", F.col("supplier_id").cast("string"), F.col("risk_tier"), F.col(score))
+def alerts(risk: DataFrame, least: float = 0.7, score: str = "disruption_probability") -> DataFrame:
+    """An alert for each supplier over a probability, as a row of the table of alerts."""
+    summary = F.format_string("Supplier %s is %s with a disruption probability of %.4f", F.col("supplier_id").cast("string"), F.col("risk_tier"), F.round(score, 4))
     advice = F.when(F.col("risk_tier") == "CRITICAL", "Qualify a backup supplier").otherwise("Review open orders")
     rows = risk.filter(F.col(score) > least)
     return rows.select("supplier_id", summary.alias("risk_summary"), advice.alias("recommended_action"), F.when(F.col("risk_tier") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("urgency"), F.lit("SENT").alias("status"), F.lit("AGENT").alias("created_by"))

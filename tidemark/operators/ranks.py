@@ -1,7 +1,7 @@
 """Running totals and exact quantiles in two steps: inside ranges of values, and over the ranges.
 
-No group of rows is ordered in one task: the ranges start at values drawn by their hash, so that a heavy tail is split
-too, and every use of them in a plan finds the same ones.
+No group of rows is ordered in one task: values are dealt into ranges by Spark's sampling, as many as their size asks for,
+and stored with the number of their range, so that every use of them finds the same ones.
 """
 
 from __future__ import annotations
@@ -10,31 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.stored import store
 
-def running_totals(counts: DataFrame, group: list[str], value: str, sums: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
+
+def running_totals(counts: DataFrame, group: list[str], value: str, sums: list[str], descending: bool = False, parts: int | None = None) -> DataFrame:
     """Adds ``<s>_upto`` and ``<s>_all`` for each column of ``sums``: its total up to the row's value, and of the group.
 
-    ``counts`` has one row per group and value, none of them null. The table of ranges has ``parts`` rows a group; groups
-    are few (features, models), so it is sent to all tasks.
+    ``counts`` has one row per group and value, none of them null; it is planned once. There are ``parts`` ranges, or as many as the session's
+    shuffles have, fewer where they would be small.
     """
-    drawn = counts.select(*group, value).withColumn("_h", F.xxhash64(value))
-    if group:
-        first = Window.partitionBy(*group).orderBy("_h", value)
-        drawn = drawn.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") < parts)
-    else:
-        drawn = drawn.orderBy("_h", value).limit(parts - 1)
-    splits = drawn.groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("_splits"))
-    spread = counts.groupBy(*group).agg(*(F.sum(s).alias(f"{s}_all") for s in sums))
-    spread = spread.join(splits, group) if group else spread.crossJoin(splits)
-    placed = counts.join(F.broadcast(spread), group) if group else counts.crossJoin(F.broadcast(spread))
-    placed = placed.withColumn("_part", F.size(F.filter("_splits", lambda x: x < F.col(value)))).drop("_splits")
-    totals = placed.groupBy(*group, "_part").agg(*(F.sum(s).alias(s) for s in sums))
-    by_part = F.col("_part").desc() if descending else F.col("_part").asc()
-    by_value = F.col(value).desc() if descending else F.col(value).asc()
-    before = Window.partitionBy(*group).orderBy(by_part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, "_part", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}") for s in sums))
-    inside = Window.partitionBy(*group, "_part").orderBy(by_value).rowsBetween(Window.unboundedPreceding, 0)
-    running = placed.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums}).join(F.broadcast(starts), [*group, "_part"])
+    spot = [*group, value]
+    ranges = counts.repartitionByRange(parts, *spot) if parts else counts.repartitionByRange(*spot)
+    placed = store(ranges.withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(*group, "_part").agg(*(F.sum(s).alias(s) for s in sums))  # a row per range, one more for each group
+    order = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    before = Window.partitionBy(*group).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    starts = totals.select(*group, "_part", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_{s}") for s in sums), *(F.sum(s).over(whole).alias(f"{s}_all") for s in sums))
+    inside = Window.partitionBy(*group, "_part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumns({f"{s}_upto": F.sum(s).over(inside) for s in sums}).join(starts, [*group, "_part"])
     return running.withColumns({f"{s}_upto": F.col(f"{s}_upto") + F.col(f"_{s}") for s in sums}).drop("_part", *(f"_{s}" for s in sums))
 
 
@@ -58,6 +52,7 @@ def quantiles(rows: DataFrame, group: list[str], value: str, odds: dict[str, flo
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n", share: float = 1000) -> DataFrame:
     """``rows`` with the columns of ``table`` (unique by ``keys``, of which the first is the group), hot keys apart.
 
+    Rows whose key isn't in the table, or is null, are left out; the table is read twice, so it had better be stored.
     Keys with over a ``share``-th of their group's rows (so at most ``share`` a group) are sent to all tasks; only rows of
     other keys are shuffled. ``<n>_all`` holds the rows of the group.
     """

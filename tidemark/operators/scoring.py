@@ -26,7 +26,7 @@ def robust_scale(long: DataFrame) -> DataFrame:
 def _cdf(long: DataFrame) -> DataFrame:
     """feature, value, cdf, n, n_all: the share of rows up to each distinct value, its rows and all of the feature."""
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return running_totals(counts, ["feature"], "value", ["n"]).select("feature", "value", (F.col("n_upto") / F.col("n_all")).alias("cdf"), "n", "n_all")
+    return store(running_totals(counts, ["feature"], "value", ["n"]).select("feature", "value", (F.col("n_upto") / F.col("n_all")).alias("cdf"), "n", "n_all"), "cdf")
 
 
 def _tail_sums(rows: DataFrame, cdf: DataFrame, key: str) -> DataFrame:
@@ -170,10 +170,18 @@ def precision_at(scores: DataFrame, k: int, key: str, y: str = "y", p: str = "p"
 
 
 def average_rank(scores: DataFrame, p: str = "p") -> DataFrame:
-    """Rank of each row by falling score; ties take their mean place, cut to a whole number. Values are counted first."""
-    c = _cumulative(scores, [], F.lit(1), p)
+    """Rank of each row by falling score; ties take their mean place, cut to a whole number. Values are counted first.
+
+    Rows without a score stand behind all others, with their mean place among them.
+    """
+    known = scores.filter(F.col(p).isNotNull())
+    c = _cumulative(known, [], F.lit(1), p)
     place = F.floor(F.col("rows") - (F.col("n") - 1) / 2.0).cast("bigint")
-    return look_up(scores, c.select(F.col("p").alias(p), place.alias("place"), "n", F.col("all_rows").alias("n_all")), [p]).drop("n", "n_all")
+    table = store(c.select(F.col("p").alias(p), place.alias("place"), "n", F.col("all_rows").alias("n_all")), "places")
+    ranked = look_up(known, table, [p]).drop("n", "n_all").select(*scores.columns, "place")
+    counts = scores.agg(F.count(p).alias("_some"), F.count("*").alias("_all"))  # one row
+    rest = scores.filter(F.col(p).isNull()).crossJoin(F.broadcast(counts)).select(*scores.columns, F.floor(F.col("_some") + (F.col("_all") - F.col("_some") + 1) / 2).cast("bigint").alias("place"))
+    return ranked.unionByName(rest)
 
 
 # ---------------------------------------------------------------- drift
@@ -186,7 +194,7 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     denominator only. With fewer than two breakpoints it is 0.
     """
     cuts = quantiles(reference, ["feature"], "value", {f"q{i}": i / bins for i in range(bins + 1)})
-    edges = cuts.select("feature", F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(bins + 1))))).alias("edges"))
+    edges = store(cuts.select("feature", F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(bins + 1))))).alias("edges")), "edges")
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
         # the bin is the number of edges up to the value; the table of edges has a row per feature

@@ -255,8 +255,8 @@ def gold_orders90(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MASTER = f"""
-master as (select supplier_id, supplier_name, country_code, annual_spend_usd, primary_category, composite, variance, concentration, financial, case when composite >= 0.7 then 'CRITICAL' when composite >= 0.4 then 'HIGH' when composite >= 0.2 then 'MEDIUM' else 'LOW' end as risk_tier from (
-  select s.*, std / (mean + 1e-6::double) as variance, volume / 1000::double as concentration, 1 - financial_score / 100 as financial, round(0.30::double * g.geo_score + 0.25::double * rate + 0.20::double * (1 - o.on_time) + 0.15::double * (std / (mean + 1e-6::double)) + 0.10::double * (1 - financial_score / 100), 6) as composite
+master as (select supplier_id, supplier_name, country_code, annual_spend_usd, primary_category, composite, variance, concentration, financial, probability, case when composite >= 0.7 then 'CRITICAL' when composite >= 0.4 then 'HIGH' when composite >= 0.2 then 'MEDIUM' else 'LOW' end as risk_tier from (
+  select s.*, std / (mean + 1e-6::double) as variance, volume / 1000::double as concentration, 1 - financial_score / 100 as financial, round(1 - power(1 - rate, volume / 3::double), 6) as probability, round(0.30::double * g.geo_score + 0.25::double * rate + 0.20::double * (1 - o.on_time) + 0.15::double * (std / (mean + 1e-6::double)) + 0.10::double * (1 - financial_score / 100), 6) as composite
   from sup s left join (select supplier_id, avg(delay) as mean, stddev(delay) as std, sum((status in ('DELAYED', 'LOST'))::int)::double / count(*) as rate from gold_shipments group by 1) t using (supplier_id)
   left join {_GEO} g on upper(s.country_code) = g.country_code
   left join (select supplier_id, h as on_time, volume from (select supplier_id, avg(on_time::double) over (partition by supplier_id order by order_date range between interval 90 days preceding and current row) as h, count(*) over (partition by supplier_id order by order_date range between interval 90 days preceding and current row) as volume, row_number() over (partition by supplier_id order by order_date desc, order_id desc) as rn from gold_orders) where rn = 1) o using (supplier_id)))"""
@@ -266,9 +266,9 @@ def _master(query: str) -> str:
     return with_feeds(f"with {_MASTER} {query}")
 
 
-@register("risk_master", _master("select supplier_id, round(composite, 4) as composite, risk_tier, round(variance, 4) as lead_time_variance, round(concentration, 4) as concentration_risk, round(financial, 4) as financial_risk from master"))
+@register("risk_master", _master("select supplier_id, round(composite, 4) as composite, risk_tier, round(variance, 4) as lead_time_variance, round(concentration, 4) as concentration_risk, round(financial, 4) as financial_risk, round(probability, 4) as disruption_probability from master"))
 def risk_master(spark: SparkSession, d: str) -> DataFrame:
-    return master(Feeds(spark, d)).select("supplier_id", *r4("composite"), "risk_tier", *r4("lead_time_variance", "concentration_risk", "financial_risk"))
+    return master(Feeds(spark, d)).select("supplier_id", *r4("composite"), "risk_tier", *r4("lead_time_variance", "concentration_risk", "financial_risk", "disruption_probability"))
 
 
 @register("tier_counts", _master("select t as risk_tier, count(supplier_id) as n from (select unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) as t) left join master on t = risk_tier group by 1"))
@@ -361,16 +361,6 @@ def briefing(spark: SparkSession, d: str) -> DataFrame:
     return found.select("n_critical", "n_high", "n_medium", "n_low", *r4("pct_spend_at_risk"), "skus_under_7", "skus_under_14", F.round("revenue_at_risk", 2).alias("revenue_at_risk"))
 
 
-@register("actions", _master("""
-select 'PURCHASE_ORDER' as action, supplier_id, sku_id::double as sku_id, round(days_of_supply, 4) as measure from inventory where days_of_supply < 7
-union all select 'ALERT', supplier_id, null, round(composite, 4) from master where composite > 0.5
-union all select 'ESCALATE', supplier_id, null, round(composite, 4) from master where composite > 0.6
-union all select 'BACKUP', supplier_id, null, round(composite, 4) from master where risk_tier = 'CRITICAL'"""))
-def actions(spark: SparkSession, d: str) -> DataFrame:
-    f = Feeds(spark, d)
-    return gold.actions(master(f), f.inventory()).select("action", "supplier_id", dbl("sku_id"), *r4("measure"))
-
-
 @register("purchase_orders", with_feeds("""
 select sku_id, supplier_id, quantity, round(unit_cost_usd * quantity, 2) as value_usd, case when unit_cost_usd * quantity > 50000 then 'PENDING_APPROVAL' else 'AUTO_APPROVED' end as status, 'PO for SKU ' || sku_id || ': low stock' as message
 from (select *, ceil(daily_demand * 30)::bigint as quantity from inventory) where days_of_supply < 120"""))
@@ -404,7 +394,7 @@ def risk_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("supplier_alerts", _master("""
-select supplier_id, 'Supplier ' || supplier_id || ' is ' || risk_tier || ' with a composite score of ' || printf('%.4f', composite) as risk_summary, case when risk_tier = 'CRITICAL' then 'Qualify a backup supplier' else 'Review open orders' end as recommended_action,
-  case when risk_tier = 'CRITICAL' then 'CRITICAL' else 'HIGH' end as urgency, 'SENT' as status, 'AGENT' as created_by from master where composite > 0.5"""))
+select supplier_id, 'Supplier ' || supplier_id || ' is ' || risk_tier || ' with a disruption probability of ' || printf('%.4f', round(probability, 4)) as risk_summary, case when risk_tier = 'CRITICAL' then 'Qualify a backup supplier' else 'Review open orders' end as recommended_action,
+  case when risk_tier = 'CRITICAL' then 'CRITICAL' else 'HIGH' end as urgency, 'SENT' as status, 'AGENT' as created_by from master where probability > 0.7"""))
 def supplier_alerts(spark: SparkSession, d: str) -> DataFrame:
     return gold.alerts(master(Feeds(spark, d)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import bronze, forecast, gold, loss, network, scoring, silver
+from tidemark.operators import bronze, forecast, gold, loss, network, scoring, silver, sketches
 from tidemark.plans.registry import register
 from tidemark.plans.relational import _MASTER, master, nodes, r4, ships
 from tidemark.plans.sqltext import NODES, PAGERANK, SECOND_ORDER, with_feeds
@@ -60,7 +60,7 @@ select po_id, score, top_features from s join (select po_id, string_agg(feature,
 def anomaly_records(spark: SparkSession, d: str) -> DataFrame:
     rows = long(Feeds(spark, d))
     found = scoring.explanations(rows, scoring.ecod(rows, "po_id").filter("flag = 1"), "po_id")
-    return found.select("po_id", *r4("score"), F.array_join("top_features", ",").alias("top_features"))
+    return found.select("po_id", *r4("score"), F.array_join("top_features", ",").alias("top_features")).orderBy(F.col("score").desc(), "po_id")
 
 
 _SCORED = f"""{TAILS}, m as (select min(raw) as lo, max(raw) as hi, quantile_cont(raw, 0.95) as cut from raws),
@@ -289,6 +289,19 @@ def briefing_text(spark: SparkSession, d: str) -> DataFrame:
     return gold.briefing_text(totals, metrics)
 
 
+@register("actions", with_feeds(f"""
+with {_MASTER}, {_TAIL}
+select 'PURCHASE_ORDER' as action, supplier_id::double as supplier_id, sku_id::double as sku_id, round(days_of_supply, 4) as measure from inventory where days_of_supply < 7
+union all select 'ALERT', supplier_id, null, round(probability, 4) from master where probability > 0.7
+union all select 'ESCALATE', null, null, round(v95, 2) from cu where v95 > 1000000
+union all select 'BACKUP', supplier_id, null, round(composite, 4) from master where risk_tier = 'CRITICAL'"""))
+def actions(spark: SparkSession, d: str) -> DataFrame:
+    f = Feeds(spark, d)
+    found = gold.actions(store(master(f), "risk-master"), f.inventory(), loss.tail_metrics(losses(f)))
+    measure = F.when(F.col("action") == "ESCALATE", F.round("measure", 2)).otherwise(F.round("measure", 4))
+    return found.select("action", F.col("supplier_id").cast("double").alias("supplier_id"), F.col("sku_id").cast("double").alias("sku_id"), measure.alias("measure"))
+
+
 @register("convergence", with_feeds("""
 with pr as (select n, loss from scen_loss join (select unnest([50, 100, 200, 400]) as n) on scenario_id < n), cut as (select n, quantile_cont(loss, 0.95) as v from pr group by 1)
 select n, round(max(v), 2) as var_95, round(avg(loss) filter (where loss >= v), 2) as cvar_95 from pr join cut using (n) group by 1"""))
@@ -420,6 +433,50 @@ def pinball(spark: SparkSession, d: str) -> DataFrame:
     return forecast.pinball(forecast.quantile_forecast(rows, 300), rows).select(*r4("pinball", "mape", "width"), "n")
 
 
-@register("rolling_origin", with_feeds(" union all ".join(f"select {o} as origin, round({_LOSS}, 4) as pinball, round(2 * {_LOSS}, 4) as crps, count(*) as n from {_fc(o)} f{o} join demand using (sku, region, t)" for o in (220, 260, 300))))
+def _crps(origin: int) -> str:
+    return f"""(select avg(list_avg(list_transform(x, lambda v: abs(v - demand))) - list_sum(list_transform(range(1, len(x) + 1), lambda i: (2 * i - len(x) - 1) * x[i])) / (len(x) * len(x))) from (
+  select demand, list_transform(e, lambda v: greatest(0.0::double, naive + v)) as x from lagged join (select sku, region, list_sort(list(demand - naive)) as e from lagged where t <= {origin} and naive is not null group by 1, 2) using (sku, region)
+  where t > {origin} and t <= {origin} + 14 and naive is not null))"""
+
+
+@register("rolling_origin", with_feeds(" union all ".join(f"select {o} as origin, round({_LOSS}, 4) as pinball, round({_crps(o)}, 4) as crps, count(*) as n from {_fc(o)} f{o} join demand using (sku, region, t)" for o in (220, 260, 300))))
 def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.rolling_origin(Feeds(spark, d).demand(), [220, 260, 300]).select("origin", *r4("pinball", "crps"), "n")
+    demand = store(Feeds(spark, d).demand(), "demand")
+    return forecast.rolling_origin(demand, [220, 260, 300]).select("origin", *r4("pinball", "crps"), "n")
+
+
+_FAR = """far as (select sku, region, t, demand, case when t <= 272 then lag(demand, 52) over w else lag(demand, 104) over w end as naive from demand window w as (partition by sku, region order by t)),
+er as (select sku, region, quantile_cont(demand - naive, [0.1, 0.5, 0.9]) as q from lagged where t <= 220 and naive is not null group by 1, 2),
+f90 as (select sku, region, t, demand, greatest(0, naive + q[1]) as p10, greatest(0, naive + q[2]) as p50, greatest(0, naive + q[3]) as p90 from far join er using (sku, region) where t > 220 and t <= 310 and naive is not null)"""
+
+
+@register("forecast_horizons", with_feeds(f"with {_FAR} " + " union all ".join(f"select {h} as horizon, round({_LOSS}, 4) as pinball, round(avg(abs((demand - p50) / nullif(demand, 0))), 4) as mape, round(avg(p90 - p10), 4) as width, count(*) as n from f90 where t <= 220 + {h}" for h in (7, 30, 90))))
+def forecast_horizons(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of forecasts for 7, 30 and 90 weeks."""
+    demand = store(Feeds(spark, d).demand(), "demand")
+    return forecast.by_horizon(demand, 220, [7, 30, 90]).select("horizon", *r4("pinball", "mape", "width"), "n")
+
+
+# ---------------------------------------------------------------- sketches
+
+
+@register("route_profile", with_feeds("""
+select origin_port || '-' || destination_port as route, count(*) as n, min(delay_days) as least, max(delay_days) as greatest, quantile_disc(delay_days, 0.5) as median, quantile_disc(delay_days, 0.9) as p90
+from ship where delay_days is not null and event_date between date '1998-01-01' and date '1999-12-31' group by 1"""))
+def route_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Delays of each route over two years, from the table of sketches by route and day."""
+    shipments = ships(Feeds(spark, d)).withColumn("route", F.concat_ws("-", "origin_port", "destination_port"))
+    table = store(sketches.daily_sketches(shipments, ["route"], "event_date", ["delay_days"]), "route-sketches")
+    return sketches.profile(table, ["route"], "1998-01-01", "1999-12-31", {"median": 0.5, "p90": 0.9}).drop("feature")
+
+
+@register("drift_spans")
+def drift_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Stability of events over three pairs of spans, all from one table of sketches by day."""
+    events = Feeds(spark, d).table("events").withColumn("hour", F.hour("ts"))
+    table = store(sketches.daily_sketches(events, [], "ts", ["value", "hour"]), "event-sketches")
+    out = None
+    for name, a, b in (("halves", ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-31")), ("weeks", ("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14")), ("days", ("2024-01-02", "2024-01-02"), ("2024-01-03", "2024-01-03"))):
+        row = sketches.psi(table, a, b).withColumn("span", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -89,3 +89,18 @@ def test_contagion_of_known_strength(spark):
     assert np.mean(np.abs(np.array(want) - [q for _, q in found])) < 0.1
     risk = {r.id: r.p for r in models.node_risk(nodes.withColumn("label", (F.col("p") > 0.5).cast("int")), ["p"]).collect()}
     assert min(risk[i] for i in range(60) if p[i] > 0.7) > max(risk[i] for i in range(60) if p[i] < 0.3)
+
+
+def test_halving_keeps_the_best_and_tries_the_grid(table):
+    rows = models.assemble(models.folds(table, "id", "label"), ["a", "b", "c"]).select("label", "fold", "features").cache()
+    points = [*models.GRID[:2], *models.draw_points(4)]
+    assert all(set(p) == set(models.SPACE) for p in points[2:]) and models.draw_points(4) == points[2:]
+    trials = models.halving(rows, "label", points).collect()
+    by_rung = {}
+    for r in trials:
+        by_rung.setdefault(r.rung, []).append(r)
+    assert [len(by_rung[k]) for k in sorted(by_rung)] == [6, 2, 1] and [by_rung[k][0].folds for k in sorted(by_rung)] == [1, 3, 4]
+    for rung in (0, 1):
+        best = sorted(by_rung[rung], key=lambda r: (-r.auc, r.trial))[: len(by_rung[rung + 1])]
+        assert {r.trial for r in best} == {r.trial for r in by_rung[rung + 1]} == {r.trial for r in by_rung[rung] if r.kept}
+    assert by_rung[2][0].auc > 0.6

@@ -78,10 +78,10 @@ def subtotals(df: DataFrame, *by: str) -> DataFrame:
     return rolled.withColumn("level", F.bit_count("mask")).drop("mask")
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Equal-width counts; the last bin is closed."""
-    at = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return df.filter(F.col(column).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:
+    """Equal-width counts, for each value of ``by``; the last bin is closed."""
+    at = F.least(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    return df.filter(F.col(column).between(low, high)).groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def profile(df: DataFrame, *features: str) -> DataFrame:
@@ -204,6 +204,21 @@ def briefing_text(totals: DataFrame, metrics: DataFrame) -> DataFrame:
     return totals.crossJoin(metrics).select(text.alias("text"))
 
 
+def what_if_text(reached: DataFrame, stock: DataFrame, metrics: DataFrame, days: int = 30) -> DataFrame:
+    """seed, text: what it would mean if a supplier failed for ``days`` days.
+
+    ``reached`` has a row per seed with the suppliers at each hop and the share of spend within reach, ``metrics`` the one row of
+    tail metrics; the SKUs that run out are the seed's with fewer days of supply.
+    """
+    short = stock.filter(F.col("days_of_supply") < days).groupBy(F.col("supplier_id").alias("seed")).agg(F.count("*").alias("n_short"))
+    rows = reached.join(short, "seed", "left").fillna({"n_short": 0}).crossJoin(F.broadcast(metrics))
+    text = F.format_string(
+        f"If supplier %d fails for {days} days: mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f; %d SKUs run out; %d suppliers one step away, %d two and %d three steps, with %.2f%% of spend.",
+        "seed", "mean_loss", "var_95", "cvar_95", "n_short", "n_hop1", "n_hop2", "n_hop3", F.round("spend_pct", 2),
+    )
+    return rows.select("seed", text.alias("text"))
+
+
 def geo_report(country: DataFrame) -> DataFrame:
     """One row: country days, critical ones, their share."""
     hit = (F.col("geo_risk_tier") == "CRITICAL").cast("long")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.columns import model_tier
 from tidemark.operators.scoring import average_rank
+from tidemark.sources.stored import store
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -58,6 +61,66 @@ def search(df: DataFrame, label: str, k: int = 5) -> CrossValidatorModel:
     return CrossValidator(estimator=trees, estimatorParamMaps=grid, evaluator=rater, numFolds=k, foldCol="fold", parallelism=2).fit(df)
 
 
+#: The nine dimensions of the search: bounds of each, drawn evenly or, where so marked, evenly in the logarithm.
+SPACE: dict[str, tuple] = {
+    "maxDepth": ("whole", 2, 6),
+    "maxIter": ("whole", 5, 20),
+    "stepSize": ("log", 0.02, 0.4),
+    "subsamplingRate": ("even", 0.5, 1.0),
+    "featureSubsetShare": ("even", 0.4, 1.0),
+    "minInstancesPerNode": ("whole", 1, 20),
+    "minInfoGain": ("log", 1e-5, 1e-2),
+    "maxBins": ("whole", 16, 64),
+    "minWeightFractionPerNode": ("even", 0.0, 0.05),
+}
+#: Settings that a search tries beside those drawn: the grid of :func:`search`.
+GRID = [{"maxDepth": depth, "stepSize": step, "maxIter": 10} for depth in (2, 4) for step in (0.1, 0.3)]
+
+
+def draw_points(n: int, seed: int = 42) -> list[dict[str, float]]:
+    """``n`` settings drawn from the whole of :data:`SPACE`."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        point = {}
+        for name, (kind, low, high) in SPACE.items():
+            point[name] = int(rng.integers(low, high + 1)) if kind == "whole" else float(np.exp(rng.uniform(np.log(low), np.log(high)))) if kind == "log" else float(rng.uniform(low, high))
+        out.append(point)
+    return out
+
+
+def classifier(point: dict[str, float], label: str, seed: int = 42) -> GBTClassifier:
+    known = {("featureSubsetStrategy" if k == "featureSubsetShare" else k): (f"{v:.6f}" if k == "featureSubsetShare" and v < 1 else "all" if k == "featureSubsetShare" else v) for k, v in point.items()}
+    return GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **known)
+
+
+def halving(df: DataFrame, label: str, points: list[dict[str, float]], keep: int = 3, k: int = 5, parallel: int = 4) -> DataFrame:
+    """Successive halving over settings: trial, rung, folds (learned from), auc, kept, params (JSON).
+
+    Folds (column fold) above 0 are learned from and fold 0 judges. On the first rung every setting learns from one fold; the best
+    ``keep``-th of them go on to ``keep`` times as many folds, until the last rung learns from all. Settings of a rung are fitted side by
+    side, each as a distributed fit. Equal areas go by trial. Settings of a rung and their areas are all that the driver holds.
+    """
+    rater = BinaryClassificationEvaluator(labelCol=label)
+    judge = store(df.filter("fold = 0"), "judged")
+    rows, left, n_folds, rung = [], list(range(len(points))), 1, 0
+    while left:
+        part = store(df.filter(F.col("fold").between(1, n_folds)), "rung")
+
+        def fit(i: int, part: DataFrame = part) -> float:
+            return float(rater.evaluate(classifier(points[i], label).fit(part).transform(judge)))
+
+        with ThreadPool(parallel) as pool:
+            found = dict(zip(left, pool.map(fit, left), strict=True))
+        best = sorted(left, key=lambda i: (-found[i], i))
+        last = n_folds >= k - 1
+        on = best[: 1 if last else max(1, len(best) // keep)]
+        rows += [(i, rung, n_folds, found[i], i in on, json.dumps(points[i], sort_keys=True)) for i in left]
+        if last:
+            break
+        left, n_folds, rung = on, min(k - 1, n_folds * keep), rung + 1
+    return df.sparkSession.createDataFrame(rows, "trial int, rung int, folds int, auc double, kept boolean, params string")
+
+
 def calibrated(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """key, label, raw and calibrated probability of each row by models that did not see it.
 

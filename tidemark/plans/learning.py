@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, network, scoring
+from tidemark.operators import gold, models, network, scoring, silver
 from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
 from tidemark.plans.relational import bronze_table, country, nodes, sups
@@ -78,6 +78,13 @@ def cv(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(int(g["maxDepth"]), float(g["stepSize"]), float(a)) for g, a in grid], "max_depth int, step_size double, mean_auc double")
 
 
+@register("cv_halving")
+def cv_halving(spark: SparkSession, d: str) -> DataFrame:
+    """The table of trials of a search over nine dimensions, the grid's settings among them."""
+    rows = store(split_rows(Feeds(spark, d))[0].select("label", "fold", "features"), "search-rows")
+    return models.halving(rows, "label", [*models.GRID, *models.draw_points(8)])
+
+
 @register("platt")
 def platt(spark: SparkSession, d: str) -> DataFrame:
     return models.calibrated(split_rows(Feeds(spark, d))[0], "label", "sample_id")
@@ -97,6 +104,14 @@ def iforest(spark: SparkSession, d: str) -> DataFrame:
     return scoring.ensemble(models.isolation_forest(lines, "po_id", list(FEATURES)).join(tails, "po_id"), "iso_score", "score", 0.6)
 
 
+@register("ensemble_eval")
+def ensemble_eval(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble of forest and tails against the disruption labels of shipments."""
+    f = Feeds(spark, d)
+    labels = silver.labelled(bronze_table(f)).select(F.col("purchase_order_id").alias("po_id"), "label")
+    return scoring.detector_report(store(iforest(spark, d), "ensemble").join(labels, "po_id"), "label", "ensemble", 0.6)
+
+
 @register("contagion_lr")
 def contagion_lr(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
@@ -117,6 +132,14 @@ def node_risk(spark: SparkSession, d: str) -> DataFrame:
     return models.node_risk(network.mean_neighbours(ids, f.edges(), ["p"]).join(ids.select("id", "label"), "id"), ["p", "p_hop1", "p_hop2"])
 
 
+@register("supplier_narrative")
+def supplier_narrative(spark: SparkSession, d: str) -> DataFrame:
+    """The three strongest reasons for each supplier's risk at the newest cut-off, as text."""
+    early, late = split_rows(Feeds(spark, d))
+    newest = late.crossJoin(F.broadcast(late.agg(F.max("cutoff").alias("_newest")))).filter("cutoff = _newest").drop("_newest")
+    return gold.narrative(models.attribution(early, "label", "supplier_id", _DATED, newest), "supplier_id")
+
+
 @register("attribution_top")
 def attribution_top(spark: SparkSession, d: str) -> DataFrame:
     """The ten features of largest mean attribution."""

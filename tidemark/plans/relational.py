@@ -324,7 +324,8 @@ def active_events(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_id", "event_type", "severity", *r4("value"))
 
 
-@register("event_links", f"""with {_RISK_EVENTS} select ((user_id % n) + n) % n as supplier_id, count(*) as n_events, sum((severity = 'CRITICAL')::int)::bigint as n_critical from risk_events cross join (select count(*) as n from supplier) group by 1""")
+@register("event_links", f"""with {_RISK_EVENTS} select supplier_id, count(*) as n_events, sum((severity = 'CRITICAL')::int)::bigint as n_critical
+from (select severity, unnest(list_distinct([((user_id % n) + n) % n, (((user_id * 7 + event_id) % n) + n) % n])) as supplier_id from risk_events cross join (select count(*) as n from supplier)) group by 1""")
 def event_links(spark: SparkSession, d: str) -> DataFrame:
     found = Feeds(spark, d).risk_events().select(F.explode("affected_supplier_ids").alias("supplier_id"), "severity")
     return found.groupBy("supplier_id").agg(F.count("*").alias("n_events"), F.sum((F.col("severity") == "CRITICAL").cast("long")).alias("n_critical"))

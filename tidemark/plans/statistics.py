@@ -89,6 +89,13 @@ def alert_badges(spark: SparkSession, d: str) -> DataFrame:
     return scoring.top_alerts(scored, "po_id", "score", "flag").select("po_id", *r4("score"), "badge")
 
 
+@register("anomaly_hist", with_feeds(f"with {_SCORED} select flag, least(floor(round(score, 9) * 30), 29)::int as bin, count(*) as n from sc group by 1, 2"))
+def anomaly_hist(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of normal rows and of anomalies, in 30 bins each."""
+    scored = scoring.ecod(long(Feeds(spark, d)), "po_id").withColumn("score", F.round("score", 9))
+    return gold.histogram(scored, "score", 0.0, 1.0, 30, ["flag"])
+
+
 _Z = "g as (select feature, avg(value) as mean, stddev_pop(value) as dev from lf group by 1), z as (select po_id, feature, value, mean, dev, round((value - mean) / (dev + 1e-9::double), 3) as z from lf join g using (feature))"
 
 
@@ -380,6 +387,19 @@ def reach_spend(spark: SparkSession, d: str) -> DataFrame:
     return network.spend_coverage(reached(f), bronze.suppliers(f.supplier_master())).select("seed", "n_hop1", "n_hop2", "n_hop3", *r4("spend_pct"))
 
 
+@register("what_if", with_feeds(f"""
+with {_REACH}, {_TAIL}, t as (select round(avg(loss), 2) as mean_loss, round(max(v95), 2) as v95, round(avg(loss) filter (where loss >= v95), 2) as c95 from scen_loss cross join cu),
+sp as (select supplier_id as id, greatest(coalesce(annual_spend_usd, 0), 0) as spend from sup), rs as (select seed, sum((hop = 1)::int)::bigint as n1, sum((hop = 2)::int)::bigint as n2, sum((hop = 3)::int)::bigint as n3, round(sum(spend) / (select sum(spend) from sp) * 100, 2) as pct from rc left join sp using (id) group by 1)
+select seed, printf('If supplier %d fails for 30 days: mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f; %d SKUs run out; %d suppliers one step away, %d two and %d three steps, with %.2f%% of spend.', seed, mean_loss, v95, c95,
+  (select count(*) from inventory where supplier_id = seed and days_of_supply < 30), n1, n2, n3, pct) as text from rs cross join t"""))
+def what_if(spark: SparkSession, d: str) -> DataFrame:
+    """What the failure of each supplier whose id is divisible by 100 would mean."""
+    f = Feeds(spark, d)
+    around = network.spend_coverage(reached(f), bronze.suppliers(f.supplier_master()))
+    metrics = loss.tail_metrics(losses(f)).select(*(F.round(c, 2).alias(c) for c in ("mean_loss", "var_95", "cvar_95")))
+    return gold.what_if_text(around, f.inventory(), metrics)
+
+
 @register("reach_counts")
 def reach_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many suppliers each supplier reaches within one, two and three hops, by sketches."""

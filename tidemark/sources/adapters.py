@@ -232,4 +232,4 @@ class Feeds:
         value = F.col("value")
         severity = F.when(value < 25, "LOW").when(value < 60, "MEDIUM").when(value < 120, "HIGH").otherwise("CRITICAL")
         status = F.when(F.col("ts") >= F.lit("2024-01-24").cast("timestamp"), "ACTIVE").otherwise("CLOSED")
-        return self.table("events").crossJoin(F.broadcast(n_suppliers)).select("event_id", "ts", "event_type", severity.alias("severity"), status.alias("status"), "value", F.array(F.pmod("user_id", "n_suppliers")).alias("affected_supplier_ids"))
+        return self.table("events").crossJoin(F.broadcast(n_suppliers)).select("event_id", "ts", "event_type", severity.alias("severity"), status.alias("status"), "value", F.array_distinct(F.array(F.pmod("user_id", "n_suppliers"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.col("n_suppliers")))).alias("affected_supplier_ids"))

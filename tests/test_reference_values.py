@@ -120,8 +120,9 @@ def test_detector_report_and_alerts(spark):
 def test_texts_and_filters(spark):
     risk = spark.createDataFrame([("a", 0.71234, "CRITICAL"), ("b", 0.55, "HIGH"), ("c", 0.3, "MEDIUM")], "supplier_id string, composite double, risk_tier string")
     assert [r.supplier_id for r in gold.risk_filter(risk, [], 0.3, 2).collect()] == ["a", "b"] and [r.supplier_id for r in gold.risk_filter(risk, ["MEDIUM", "HIGH"], 0.3, 5).collect()] == ["b", "c"]
-    rows = gold.alerts(risk).collect()
-    assert [(r.urgency, r.status) for r in rows] == [("CRITICAL", "SENT"), ("HIGH", "SENT")] and rows[0].risk_summary == "Supplier a is CRITICAL with a composite score of 0.7123"
+    likely = spark.createDataFrame([("a", 0.71234, "CRITICAL"), ("b", 0.9, "HIGH"), ("c", 0.7, "HIGH"), ("d", None, "LOW")], "supplier_id string, disruption_probability double, risk_tier string")
+    rows = gold.alerts(likely).collect()
+    assert [(r.supplier_id, r.urgency, r.status) for r in rows] == [("a", "CRITICAL", "SENT"), ("b", "HIGH", "SENT")] and rows[0].risk_summary == "Supplier a is CRITICAL with a disruption probability of 0.7123"
     parts = spark.createDataFrame([("a", "x", 0.25), ("a", "y", -0.5), ("a", "z", 0.1)], "supplier_id string, feature string, value double")
     assert gold.narrative(parts, k=2).first().narrative == "  y: -0.5000 (↓ risk)\n  x: +0.2500 (↑ risk)"
 
@@ -142,3 +143,12 @@ def test_reports(spark):
     assert tuple(gold.geo_report(country).first()) == (4, 1, 0.25)
     assert tuple(gold.label_report(spark.createDataFrame([(1,), (0,)], "label int")).first()) == (2, 0.5)
     assert bronze.shipment_report(spark.createDataFrame([(1, 0.5), (0, 1.0)], "is_late int, dq_score double")).first().late_rate == 0.5
+
+
+def test_actions_by_their_triggers(spark):
+    risk = spark.createDataFrame([(1, 0.71, "LOW"), (2, 0.7, "CRITICAL"), (3, None, "HIGH")], "supplier_id long, disruption_probability double, risk_tier string").withColumn("composite", F.lit(0.5))
+    stock = spark.createDataFrame([(10, 1, 6.9), (11, 2, 7.0), (12, 3, None)], "sku_id long, supplier_id long, days_of_supply double")
+    metrics = lambda v: spark.createDataFrame([(v,)], "var_95 double")
+    found = sorted((r.action, r.supplier_id, r.measure) for r in gold.actions(risk, stock, metrics(2e6)).collect())
+    assert found == [("ALERT", 1, 0.71), ("BACKUP", 2, 0.5), ("ESCALATE", None, 2e6), ("PURCHASE_ORDER", 1, 6.9)]
+    assert "ESCALATE" not in {r.action for r in gold.actions(risk, stock, metrics(1e6)).collect()}

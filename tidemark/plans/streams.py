@@ -129,3 +129,19 @@ def st_late(spark: SparkSession, d: str) -> DataFrame:
         streams.merge_days(spark, f"{folder}/out", k - 1)
     days = spark.read.parquet(f"{folder}/out/days")
     return days.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"), "n_late")
+
+
+@register("st_ecod", """
+with e as (select event_id, ts < timestamp '2024-01-16' as fit, value::double as value, hour(ts)::double as hour from events), lv as (unpivot e on value, hour into name feature value v),
+c as (select feature, v, sum(sum(fit::int)) over (partition by feature order by v) / sum(sum(fit::int)) over (partition by feature) as f from lv group by 1, 2),
+r as (select event_id, fit, sum(-ln(least(f, 1 - f) + 1e-9::double)) as raw from lv join c using (feature, v) group by 1, 2)
+select event_id, round(raw, 4) as raw, (round(raw, 8) >= round(cut, 8))::int as flag from r cross join (select quantile_cont(raw, 0.95) as cut from r where fit)""")
+def st_ecod(spark: SparkSession, d: str) -> DataFrame:
+    """Events scored batch by batch by the tails of those before the middle of the month."""
+    hourly = lambda df: df.withColumns({"value": F.col("value").cast("double"), "hour": F.hour("ts").cast("double")})
+    past = hourly(Feeds(spark, d).table("events").filter("ts < '2024-01-16'"))
+    folder = f"{shared_dir(spark)}/tails-{uuid.uuid4().hex}"
+    write = streams.tail_writer(f"{folder}/scores", past, "event_id", ("value", "hour"))
+    stream = hourly(streams.event_stream(spark, d))
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, raw double, flag int").parquet(f"{folder}/scores").select("event_id", F.round("raw", 4).alias("raw"), "flag")

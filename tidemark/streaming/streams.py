@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators import scoring
 from tidemark.operators.bronze import shipments
-from tidemark.sources.stored import shared_dir
+from tidemark.operators.ranks import quantiles
+from tidemark.sources.stored import shared_dir, store
 from tidemark.sources.tables import write_partitions
 
 #: What stateful processors need; other aggregations run on it as well.
@@ -61,6 +63,23 @@ def scored(events: DataFrame, fitted: DataFrame, limit: float = 3.0) -> DataFram
     return events.join(F.broadcast(fitted), "event_type").select("event_id", (F.abs(z) > limit).cast("int").alias("flag"))
 
 
+def tail_writer(path: str, fitted: DataFrame, key: str, features: tuple[str, ...], contamination: float = 0.05) -> Callable[[DataFrame, int], None]:
+    """Scores each batch by the tails of a fitted table's distributions: key, raw, flag, in a folder of the batch's number.
+
+    A row is flagged from the raw score on that ``contamination`` of the fitted rows reach. The fitted table is stored once;
+    a batch's values are looked up in its running counts (:func:`scoring.ecod_out_of_sample`).
+    """
+    past = store(scoring.long_form(fitted, key, *features), "fitted-rows")
+    limit = store(quantiles(scoring.ecod_out_of_sample(past, past, key), [], "raw", {"cut": 1 - contamination}), "tail-limit")
+
+    def write(batch: DataFrame, number: int) -> None:
+        raw = scoring.ecod_out_of_sample(past, scoring.long_form(batch, key, *features), key)
+        found = raw.crossJoin(F.broadcast(limit)).select(key, "raw", (F.round("raw", 8) >= F.round("cut", 8)).cast("int").alias("flag"))  # a limit of one row
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 # ---------------------------------------------------------------- windows over panes
 
 

@@ -110,11 +110,16 @@ def geo_asof(spark: SparkSession, d: str) -> DataFrame:
     return geo.governance_as_of(geo.conflict_daily(f.conflict()), f.governance()).select("country_code", day("event_date"), dbl("as_of_year"), *r4("wgi"))
 
 
+def supplier_events(f: Feeds) -> DataFrame:
+    """The events of suppliers, stored: they are counted by day before windows run over them."""
+    return store(silver.events(ships(f)).select("supplier_id", *silver.ORDER, "on_time", "delay_days", "disrupted"), "supplier-events")
+
+
 @register("rolling_rows", with_feeds("""
 select purchase_order_id, round(on_time_7, 4) as on_time_rate_7, round(on_time_30, 4) as on_time_rate_30, round(on_time_90, 4) as on_time_rate_90, round(delay_30, 4) as delay_mean_30, round(delay_90, 4) as delay_mean_90, round(delay_std_90, 4) as delay_std_90,
   disruptions_90::bigint as disruptions_90, total_90, round(disruptions_90 / (total_90 + 1e-9::double), 4) as disruption_rate_90, round(on_time_30 * 0.2::double + on_time_90 * 0.8::double, 4) as ewm_proxy, round((delay_30 - delay_90) / 60, 4) + 0.0 as trend_proxy from roll"""))
 def rolling_rows(spark: SparkSession, d: str) -> DataFrame:
-    rolled = silver.rolling(silver.events(ships(Feeds(spark, d))))
+    rolled = silver.rolling(supplier_events(Feeds(spark, d)))
     return rolled.select("purchase_order_id", *r4("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "delay_mean_30", "delay_mean_90", "delay_std_90"), "disruptions_90", "total_90", *r4("disruption_rate_90", "ewm_proxy", "trend_proxy"))
 
 
@@ -122,17 +127,17 @@ def rolling_rows(spark: SparkSession, d: str) -> DataFrame:
 select purchase_order_id, round(avg(ok::double) over w, 4) as on_time_rate_90d, count(*) over w as events_90d from evs
 window w as (partition by supplier_id order by event_date range between interval 89 days preceding and current row)"""))
 def rolling_days(spark: SparkSession, d: str) -> DataFrame:
-    return silver.rolling_days(silver.events(ships(Feeds(spark, d)))).select("purchase_order_id", *r4("on_time_rate_90d"), "events_90d")
+    return silver.rolling_days(supplier_events(Feeds(spark, d))).select("purchase_order_id", *r4("on_time_rate_90d"), "events_90d")
 
 
 @register("streak", with_feeds("select purchase_order_id, streak as on_time_streak from streaks"))
 def streak(spark: SparkSession, d: str) -> DataFrame:
-    return silver.streak(silver.events(ships(Feeds(spark, d)))).select("purchase_order_id", "on_time_streak")
+    return silver.streak(supplier_events(Feeds(spark, d))).select("purchase_order_id", "on_time_streak")
 
 
 @register("last_disruption", with_feeds("select purchase_order_id, last_disruption::varchar as last_disruption, date_diff('day', last_disruption, date '2001-11-05')::double as days_since_disruption from isl"))
 def last_disruption(spark: SparkSession, d: str) -> DataFrame:
-    found = silver.last_disruption(silver.events(ships(Feeds(spark, d))), AS_OF)
+    found = silver.last_disruption(supplier_events(Feeds(spark, d)), AS_OF)
     return found.select("purchase_order_id", day("last_disruption"), dbl("days_since_disruption"))
 
 
@@ -140,14 +145,14 @@ def last_disruption(spark: SparkSession, d: str) -> DataFrame:
 select purchase_order_id, round(case when isfinite(s) then s end, 4) + 0.0 as delay_slope from (
   select purchase_order_id, regr_slope(delay_days, date_diff('day', date '1970-01-01', event_date)::double) over (partition by supplier_id order by event_date, purchase_order_id rows between 89 preceding and current row) as s from evs)"""))
 def ols_slope(spark: SparkSession, d: str) -> DataFrame:
-    return silver.trend(silver.events(ships(Feeds(spark, d)))).select("purchase_order_id", *r4("delay_slope"))
+    return silver.trend(supplier_events(Feeds(spark, d))).select("purchase_order_id", *r4("delay_slope"))
 
 
 @register("ewm_exact", with_feeds("""
 select supplier_id, round(sum(case when n = k then power(0.8::double, n - 1) else 0.2::double * power(0.8::double, n - 1) end * ok), 4) as ewm from (
   select *, row_number() over (partition by supplier_id order by event_date desc, purchase_order_id desc) as n, count(*) over (partition by supplier_id) as k from evs) group by 1"""))
 def ewm_exact(spark: SparkSession, d: str) -> DataFrame:
-    return silver.exact_ewm(silver.events(ships(Feeds(spark, d)))).select("supplier_id", *r4("ewm"))
+    return silver.exact_ewm(supplier_events(Feeds(spark, d))).select("supplier_id", *r4("ewm"))
 
 
 @register("js_true", with_feeds("""
@@ -155,7 +160,7 @@ with b as (select supplier_id, floor(delay_days / 5) as bin, sum((n <= 30)::int)
 s as (select supplier_id, a / sum(a) over (partition by supplier_id) as p, b / sum(b) over (partition by supplier_id) as q from b)
 select supplier_id, round(sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2, 4) as js from s group by 1"""))
 def js_true(spark: SparkSession, d: str) -> DataFrame:
-    return silver.delay_divergence(silver.events(ships(Feeds(spark, d)))).select("supplier_id", *r4("js"))
+    return silver.delay_divergence(supplier_events(Feeds(spark, d))).select("supplier_id", *r4("js"))
 
 
 @register("route_stats", with_feeds("select origin_port, destination_port, n as route_n, round(rate, 4) as route_rate, median_delay as route_median_delay, round(std_delay, 4) as route_std_delay, round(avg_cargo, 2) as route_avg_cargo, round(case when n >= 10 then rate else 0.25::double end, 4) as route_risk from route"))

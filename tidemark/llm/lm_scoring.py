@@ -306,7 +306,7 @@ class CausalModel:
         fresh = np.where(turn == 0, 0, (turn - 1) * step + w)
         return flat, places, np.repeat(np.arange(len(texts)), count), first, n, starts, fresh
 
-    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.02, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
+    def train(self, texts: list[np.ndarray], steps: int | None = None, batch: int = 128, rate: float = 0.05, span: tuple[float, float] = (0.0, 1.0), seed: int = 5) -> None:
         """Adam over the windows of all texts, in random order.
 
         The windows are those that score: they overlap, and each id is learned once in a pass, in the window that scores

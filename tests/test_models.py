@@ -104,3 +104,20 @@ def test_halving_keeps_the_best_and_tries_the_grid(table):
         best = sorted(by_rung[rung], key=lambda r: (-r.auc, r.trial))[: len(by_rung[rung + 1])]
         assert {r.trial for r in best} == {r.trial for r in by_rung[rung + 1]} == {r.trial for r in by_rung[rung] if r.kept}
     assert by_rung[2][0].auc > 0.6
+
+
+def test_scores_are_of_cut_offs_after_those_learned_from(spark):
+    import os
+
+    from tidemark.plans import learning
+    from tidemark.sources.adapters import Feeds
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    early, late = learning.split_rows(Feeds(spark, folder))
+    ends = early.agg(F.max("cutoff"), F.count("*")).first(), late.agg(F.min("cutoff"), F.count("*")).first()
+    assert (ends[1][0] - ends[0][0]).days >= 30 and ends[0][1] > 3 * ends[1][1] > 0
+    model = models.boosted(early, "label", rounds=3)
+    scored = models.score_table(models.probability(model, late).select("sample_id", "label", "p"), "sample_id")
+    assert scored.count() == ends[1][1] and scored.filter("p < 0 or p > 1 or place is null").isEmpty()

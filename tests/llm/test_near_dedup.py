@@ -7,6 +7,9 @@ from tidemark.llm import near_dedup
 from tidemark.llm.components import components
 
 
+SPANS = ((0, 64), (0, 22), (22, 43), (43, 64), (18, 26), (40, 46))
+
+
 def _reach(n, linked):
     """Least index that each of n items reaches."""
     root = list(range(n))
@@ -45,6 +48,24 @@ def test_golay_keys_meet():
         assert all(set(x[u]) & set(y[v]) for x, u, y, v in zip(a, use_a, b, use_b))
 
 
+def test_fingerprints_meet():
+    """Two that differ in up to four bits, wherever these are, share a key; no key comes twice, and there are few."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    other = fps.copy()
+    for row in range(len(fps)):
+        span = SPANS[row % len(SPANS)]  # anywhere, or dense in one or two segments
+        for i in rng.choice(np.arange(*span), row % 5, replace=False):
+            other[row] ^= np.uint64(1 << int(i))
+    found = []
+    for some in (fps, other):
+        keys, rows = near_dedup.bucket_keys(some)
+        pairs = set(zip(rows.tolist(), keys.tolist()))
+        assert len(pairs) == len(keys) and len(keys) < 31 * len(some)
+        found.append(pairs)
+    assert {row for row, _ in found[0] & found[1]} == set(range(len(fps)))
+
+
 def test_no_link_is_lost(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)

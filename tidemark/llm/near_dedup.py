@@ -109,18 +109,21 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of fingerprints (unsigned) and the row of each.
 
-    Four differing bits leave at most two in the two segments that differ least, so two linked fingerprints share an
-    index in both: every pair of segments gives a key for each pair of their indices, 28 on the average.
+    Four differing bits leave at most two in the two segments that differ least, taken together: were there three, one of
+    those segments would have two and the third as many. So some pair of segments, as one word, has a word at most one bit
+    from both fingerprints: a pair's keys are its own two indices and those with one bit turned in either segment, about 10.
     """
-    own = []
+    own, near = [], []
     for start, width in SEGMENTS:
         part = ((fps >> np.uint64(start)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        own.append(GOLAY.keys(part, width))
+        own.append(GOLAY.decode(part))
+        near.append(GOLAY.keys(part, width))
     keys, rows = [], []
     for k, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (a, use_a), (b, use_b) = own[i], own[j]
-        key = (k << 24 | a[:, :, None] << 12) | b[:, None, :]
-        use = use_a[:, :, None] & use_b[:, None, :]
+        (a, use_a), (b, use_b) = near[i], near[j]
+        turned = use_a & (a != own[i][:, None])  # a pair's own two indices are among the others already
+        key = np.concatenate([own[i][:, None] << 12 | b, a << 12 | own[j][:, None]], 1) | k << 24
+        use = np.concatenate([use_b, turned], 1)
         keys.append(key[use])
         rows.append(np.nonzero(use)[0])
     return np.concatenate(keys), np.concatenate(rows)

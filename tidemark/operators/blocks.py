@@ -13,7 +13,7 @@ from tidemark.sources.stored import store
 BLOCK_ROWS = 100_000
 
 
-def _day(column: str) -> Column:
+def day_number(column: str) -> Column:
     """Number of a day; null days stand before all others, as nulls do in an ascending window."""
     return F.coalesce(F.unix_date(F.col(column).cast("date")), F.lit(-(1 << 31)).cast("int"))
 
@@ -28,7 +28,7 @@ def day_blocks(df: DataFrame, key: str, day: str, rows: int = BLOCK_ROWS, halo:
     if halo > rows:
         raise ValueError("a halo can't have more rows than a block")
     of_key = Window.partitionBy("_key")
-    days = df.groupBy(F.col(key).alias("_key"), _day(day).alias("_day")).agg(F.count("*").alias("n"))
+    days = df.groupBy(F.col(key).alias("_key"), day_number(day).alias("_day")).agg(F.count("*").alias("n"))
     days = days.withColumns({"total": F.sum("n").over(of_key), "before": F.sum("n").over(of_key.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")})
     days = days.filter(F.col("total") > rows).withColumn("step", F.floor(F.col("before") / rows))
     days = days.withColumn("_block", F.dense_rank().over(of_key.orderBy("step")))
@@ -47,7 +47,7 @@ class Blocks:
         if not self.cut:  # no key has more rows than a block
             self.rows = df.withColumns({"_block": F.lit(0), "_own": F.lit(True)})
             return
-        placed = df.withColumn("_day", _day(day)).join(found.withColumnRenamed("_key", "_k").withColumnRenamed("_day", "_d"), (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
+        placed = df.withColumn("_day", day_number(day)).join(found.withColumnRenamed("_key", "_k").withColumnRenamed("_day", "_d"), (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
         dealt = placed.withColumn("_at", F.explode(F.coalesce("_to", F.array(F.lit(0)))))
         dealt = dealt.withColumn("_own", F.col("_at") == F.coalesce("_block", F.lit(0))).withColumn("_block", F.col("_at"))
         self.rows = store(dealt.select(*df.columns, "_block", "_own"), "blocked-rows")
@@ -88,10 +88,10 @@ def over_days(df: DataFrame, key: str, day: str, back: int, sums: dict[str, Colu
     Sums are taken by day first, and windows run over a key's days, not its rows.
     """
     names = {n: f"_sum_{n}" for n in sums}
-    panes = df.groupBy(F.col(key).alias("_k"), _day(day).alias("_d")).agg(*(c.alias(names[n]) for n, c in sums.items()))
+    panes = df.groupBy(F.col(key).alias("_k"), day_number(day).alias("_d")).agg(*(c.alias(names[n]) for n, c in sums.items()))
     w = Window.partitionBy("_k").orderBy("_d").rangeBetween(-back, 0)
     panes = panes.select("_k", "_d", *(F.sum(s).over(w).alias(n) for n, s in names.items()))
-    return df.join(panes, F.col(key).eqNullSafe(F.col("_k")) & (_day(day) == F.col("_d"))).drop("_k", "_d")
+    return df.join(panes, F.col(key).eqNullSafe(F.col("_k")) & (day_number(day) == F.col("_d"))).drop("_k", "_d")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], order: list[str] | None = None, including: bool = False, after: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bronze, geo, gold, network, silver
+from tidemark.operators.layers import WindowLayer
 from tidemark.plans.registry import register
 from tidemark.plans.sqltext import PAGERANK, SECOND_ORDER, with_feeds
 from tidemark.sources.adapters import AS_OF, Feeds
-from tidemark.sources.stored import store
+from tidemark.sources.stored import shared_dir, store
 from tidemark.sources.tables import with_audit
 
 r4 = lambda *names: [F.round(F.col(n).cast("double"), 4).alias(n) for n in names]
@@ -123,6 +126,28 @@ def rolling_rows(spark: SparkSession, d: str) -> DataFrame:
     return rolled.select("purchase_order_id", *r4("on_time_rate_7", "on_time_rate_30", "on_time_rate_90", "delay_mean_30", "delay_mean_90", "delay_std_90"), "disruptions_90", "total_90", *r4("disruption_rate_90", "ewm_proxy", "trend_proxy"))
 
 
+#: Days whose events arrive after all others.
+LATE_DAYS = ("1996-06-17", "1999-08-03")
+
+
+@register("layer_rewrite", with_feeds(f"""
+with dd as (select supplier_id, event_date, count(*) as n, (event_date in (date '{LATE_DAYS[0]}', date '{LATE_DAYS[1]}'))::int as hit from evs group by 1, 2),
+cc as (select *, sum(n) over (partition by supplier_id order by event_date) as upto from dd),
+tt as (select supplier_id, event_date, upto - n - max(case when hit = 1 then upto end) over (partition by supplier_id order by event_date) < 89 as touched from cc)
+select purchase_order_id, round(on_time_90, 4) as on_time_rate_90, round(delay_30, 4) as delay_mean_30, disruptions_90::bigint as disruptions_90, total_90, coalesce(touched, false)::int as written
+from roll join tt using (supplier_id, event_date)"""))
+def layer_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling rates kept by month; the months of two days are landed again with those days' events, and only windows that see them are written anew."""
+    rows = supplier_events(Feeds(spark, d))
+    layer = WindowLayer(spark, f"{shared_dir(spark)}/layer-{uuid.uuid4().hex}", rows.schema, "supplier_id", "event_date", silver.rolling, 89)
+    late = F.date_format("event_date", "yyyy-MM-dd").isin(*LATE_DAYS)
+    layer.land(rows.filter(~F.coalesce(late, F.lit(False))))
+    layer.update(0)
+    layer.land(rows.filter(F.date_format("event_date", "yyyy-MM").isin(*(x[:7] for x in LATE_DAYS))))
+    layer.update(1)
+    return layer.windows().select("purchase_order_id", *r4("on_time_rate_90", "delay_mean_30"), "disruptions_90", "total_90", "written")
+
+
 @register("rolling_days", with_feeds("""
 select purchase_order_id, round(avg(ok::double) over w, 4) as on_time_rate_90d, count(*) over w as events_90d from evs
 window w as (partition by supplier_id order by event_date range between interval 89 days preceding and current row)"""))

@@ -69,7 +69,7 @@ def test_any_change(case):
     layer.land(frame(rows))
     layer.update(0)
     rng = random.Random(8)
-    for turn in range(1, 4):
+    for turn in (1, 2):
         months = rng.sample(sorted({month(r) for r in rows}), 3)
         for m in months:
             inside = [r for r in rows if month(r) == m]

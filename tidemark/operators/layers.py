@@ -44,6 +44,10 @@ class WindowLayer:
         """Names of partitions: as many as there are months, or days."""
         return sorted(r.part for r in df.select("part").distinct().collect())
 
+    def _rewrite(self, df: DataFrame, name: str) -> None:
+        """Writes partitions, each in files of about the advisory size: small ones in one file, large ones in several tasks."""
+        write_partitions(df.hint("rebalance", "part"), f"{self.path}/{name}", "part")
+
     def land(self, rows: DataFrame) -> list[str]:
         """Replaces the partitions that ``rows`` has rows of; the partitions in which this changes something.
 
@@ -60,8 +64,8 @@ class WindowLayer:
             changes.write.parquet(f"{self.path}/changes/run={uuid.uuid4().hex}")
             changed = new.filter(F.col("part").isin(parts))
             days = changed.groupBy(F.col(self.key).alias("key"), day_number(self.day).alias("day"), "part").agg(F.count("*").alias("n"))
-            write_partitions(days, f"{self.path}/days", "part")  # before the rows: they are what changes are told from
-            write_partitions(changed, f"{self.path}/rows", "part")
+            self._rewrite(days, "days")  # before the rows: they are what changes are told from
+            self._rewrite(changed, "rows")
         return parts
 
     def reach(self, changes: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ class WindowLayer:
             rows = store(of(self._read("rows", self.rows, self._parts(reach)), reach, "left_semi"), "needed-rows")
             fresh = of(self.compute(rows), touched, "left_semi").withColumn("written", F.lit(run))
             kept = of(self._read("windows", fresh.schema, parts), touched, "left_anti").select(*fresh.columns)
-            write_partitions(store(fresh.unionByName(kept), "windows"), f"{self.path}/windows", "part")
+            self._rewrite(store(fresh.unionByName(kept), "windows"), "windows")
         append_rows(noted.select("run").distinct(), f"{self.path}/done")
         return parts
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running_totals
 from tidemark.operators.scoring import EPS
 
 #: Size of a KLL sketch: ranks are right to about 0.35 %, and a sketch of up to as many values is exact.
 K = 800
 
 
+def _long(df: DataFrame, keys: list[str], day: str, values: list[str]) -> DataFrame:
+    """keys, day, feature, value without nulls."""
+    return df.select(*keys, F.to_date(day).alias("day"), *(F.col(v).cast("double").alias(v) for v in values)).unpivot([*keys, "day"], values, "feature", "value").filter("value is not null and not isnan(value)")
+
+
 def daily_sketches(df: DataFrame, keys: list[str], day: str, values: list[str], k: int = K) -> DataFrame:
     """keys, day, feature, n, least, greatest, sketch: a row per key, day and column of ``values``; nulls don't count.
 
     The table is to be stored and grows by a day's rows a day; partial sketches are merged, so a hot key isn't collected.
     """
-    long = df.select(*keys, F.to_date(day).alias("day"), *(F.col(v).cast("double").alias(v) for v in values)).unpivot([*keys, "day"], values, "feature", "value").filter("value is not null and not isnan(value)")
+    long = _long(df, keys, day, values)
     return long.groupBy(*keys, "day", "feature").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
 
 
@@ -37,6 +45,20 @@ def profile(sketches: DataFrame, keys: list[str], first: str, last: str, odds: d
     return whole.select(*keys, "feature", "n", "least", "greatest", *(quantile("sketch", q).alias(name) for name, q in odds.items()))
 
 
+def daily_counts(df: DataFrame, keys: list[str], day: str, values: list[str]) -> DataFrame:
+    """keys, day, feature, value, n: how often each value occurs by key and day, for columns of few distinct values; nulls don't count."""
+    return _long(df, keys, day, values).groupBy(*keys, "day", "feature", "value").agg(F.count("*").alias("n"))
+
+
+def exact_profile(counts: DataFrame, keys: list[str], first: str, last: str, odds: dict[str, float]) -> DataFrame:
+    """As :func:`profile`, exact, from a table of :func:`daily_counts`."""
+    span = counts.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    upto = running_totals(span.groupBy(*keys, "feature", "value").agg(F.sum("n").alias("n")), [*keys, "feature"], "value", ["n"])
+    place = lambda q: F.ceil(F.col("n_all").cast("decimal(20,0)") * F.lit(Decimal(str(q))))
+    found = [F.min(F.when(F.col("n_upto") >= place(q), F.col("value"))).alias(name) for name, q in odds.items()]
+    return upto.groupBy(*keys, "feature").agg(F.max("n_all").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), *found)
+
+
 def _grid(sketch: str, steps: int) -> Column:
     """The middle of each of ``steps`` equal shares of a sketch's values, in order."""
     return F.kll_sketch_get_quantile_double(sketch, F.array(*(F.lit((i + 0.5) / steps) for i in range(steps))))

@@ -169,7 +169,7 @@ def narrative(attribution: DataFrame, key: str = "supplier_id", k: int = 3) -> D
     """Text per key from its k strongest attributions (key, feature, value), strongest first."""
     w = Window.partitionBy(key).orderBy(F.abs("value").desc(), "feature")
     first = attribution.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-    line = F.concat(F.lit("  "), F.col("feature"), F.format_string(": %+.4f", "value"), F.when(F.col("value") > 0, " (↑ risk)").otherwise(" (↓ risk)"))
+    line = F.concat(F.lit("  "), F.col("feature"), F.format_string(": %+.4f", C.printed("value", 4)), F.when(F.col("value") > 0, " (↑ risk)").otherwise(" (↓ risk)"))
     lines = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("x"))
     return lines.select(key, F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("narrative"))
 
@@ -190,8 +190,8 @@ def alerts(risk: DataFrame, least: float = 0.7, score: str = "disruption_probabi
 
 def anomaly_text(records: DataFrame, key: str, threshold: float) -> DataFrame:
     """One line of text per anomaly (key, score, feature, value, mean, deviation, z)."""
-    low, high = (F.col("mean") + k * F.col("deviation") for k in (-2, 2))
-    text = F.format_string("Anomaly of %s: score %.4f (threshold %.2f); %s is %.2f, expected %.2f to %.2f, z %+.3f", F.col(key).cast("string"), F.col("score"), F.lit(threshold), F.col("feature"), F.col("value"), low, high, F.col("z"))
+    low, high = (C.printed(C.rounded(F.col("mean") + k * F.col("deviation"), 4), 2) for k in (-2, 2))
+    text = F.format_string("Anomaly of %s: score %.4f (threshold %.2f); %s is %.2f, expected %.2f to %.2f, z %+.3f", F.col(key).cast("string"), C.printed("score", 4), F.lit(threshold), F.col("feature"), C.printed("value", 2), low, high, C.printed("z", 3))
     return records.select(key, text.alias("text"))
 
 
@@ -199,7 +199,7 @@ def briefing_text(totals: DataFrame, metrics: DataFrame) -> DataFrame:
     """The weekly briefing as text, from one row of portfolio totals and one of tail metrics."""
     text = F.format_string(
         "Critical suppliers: %d (%.2f%% of spend at risk), high: %d. Mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f. SKUs under 7 days: %d, under 14 days: %d, revenue at risk %.2f.",
-        "n_critical", "pct_spend_at_risk", "n_high", "mean_loss", "var_95", "cvar_95", "skus_under_7", "skus_under_14", "revenue_at_risk",
+        "n_critical", C.printed("pct_spend_at_risk", 2), "n_high", *(C.printed(c, 0) for c in ("mean_loss", "var_95", "cvar_95")), "skus_under_7", "skus_under_14", C.printed("revenue_at_risk", 2),
     )
     return totals.crossJoin(metrics).select(text.alias("text"))
 
@@ -214,7 +214,7 @@ def what_if_text(reached: DataFrame, stock: DataFrame, metrics: DataFrame, days:
     rows = reached.join(short, "seed", "left").fillna({"n_short": 0}).crossJoin(F.broadcast(metrics))
     text = F.format_string(
         f"If supplier %d fails for {days} days: mean loss %.0f, VaR(95%%) %.0f, CVaR(95%%) %.0f; %d SKUs run out; %d suppliers one step away, %d two and %d three steps, with %.2f%% of spend.",
-        "seed", "mean_loss", "var_95", "cvar_95", "n_short", "n_hop1", "n_hop2", "n_hop3", F.round("spend_pct", 2),
+        "seed", *(C.printed(c, 0) for c in ("mean_loss", "var_95", "cvar_95")), "n_short", "n_hop1", "n_hop2", "n_hop3", C.rounded("spend_pct", 2),
     )
     return rows.select("seed", text.alias("text"))
 

@@ -54,9 +54,10 @@ def ecod_out_of_sample(fitted: DataFrame, scored: DataFrame, key: str) -> DataFr
     return _tail_sums(scored, cdf, key)
 
 
-def z_scores(long: DataFrame) -> DataFrame:
+def z_scores(long: DataFrame, signed: bool = False) -> DataFrame:
+    """Adds z to three places; with ``signed``, one that is rounded to zero from below is -0.0, for texts."""
     fitted = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
-    return long.join(F.broadcast(fitted), "feature").withColumn("z", F.round((F.col("value") - F.col("mean")) / (F.col("deviation") + EPS), 3)).drop("mean", "deviation")
+    return long.join(F.broadcast(fitted), "feature").withColumn("z", C.rounded((F.col("value") - F.col("mean")) / (F.col("deviation") + EPS), 3, signed)).drop("mean", "deviation")
 
 
 def strongest(long: DataFrame, key: str, by: str, k: int = 5) -> DataFrame:

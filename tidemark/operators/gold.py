@@ -42,11 +42,11 @@ def risk_master(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, orde
             "concentration_risk": F.col("order_volume") / 1000,
             "lead_time_variance": F.col("std_delay") / (F.col("mean_delay") + 1e-6),
             "late_rate": 1 - F.col("on_time_rate"),
-            "disruption_probability": F.round(1 - F.pow(1 - F.col("disruption_rate"), F.col("order_volume") / 3), 6),
+            "disruption_probability": C.rounded(1 - F.pow(1 - F.col("disruption_rate"), F.col("order_volume") / 3), 6),
         }
     )
     score = C.weighted(geo_score=0.30, disruption_rate=0.25, late_rate=0.20, lead_time_variance=0.15, financial_risk=0.10)
-    return joined.withColumn("composite", F.round(score, 6)).withColumn("risk_tier", C.gold_tier("composite"))
+    return joined.withColumn("composite", C.rounded(score, 6)).withColumn("risk_tier", C.gold_tier("composite"))
 
 
 def top(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
@@ -87,8 +87,8 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by
 def profile(df: DataFrame, *features: str) -> DataFrame:
     """Mean, deviation, least, median and most of each feature."""
     long = df.select(*(F.col(c).cast("double") for c in features)).unpivot([], list(features), "feature", "value")
-    one = long.groupBy("feature").agg(*(F.round(f("value"), 3).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))))
-    return one.join(F.broadcast(quantiles(long, ["feature"], "value", {"median": 0.5})), "feature").withColumn("median", F.round("median", 3))
+    one = long.groupBy("feature").agg(*(C.rounded(f("value"), 3).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))))
+    return one.join(F.broadcast(quantiles(long, ["feature"], "value", {"median": 0.5})), "feature").withColumn("median", C.rounded("median", 3))
 
 
 def spend_share(suppliers: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def risk_filter(scored: DataFrame, tiers: list[str], least: float, n: int, score
 
 def alerts(risk: DataFrame, least: float = 0.7, score: str = "disruption_probability") -> DataFrame:
     """An alert for each supplier over a probability, as a row of the table of alerts."""
-    summary = F.format_string("Supplier %s is %s with a disruption probability of %.4f", F.col("supplier_id").cast("string"), F.col("risk_tier"), F.round(score, 4))
+    summary = F.format_string("Supplier %s is %s with a disruption probability of %.4f", F.col("supplier_id").cast("string"), F.col("risk_tier"), C.rounded(score, 4))
     advice = F.when(F.col("risk_tier") == "CRITICAL", "Qualify a backup supplier").otherwise("Review open orders")
     rows = risk.filter(F.col(score) > least)
     return rows.select("supplier_id", summary.alias("risk_summary"), advice.alias("recommended_action"), F.when(F.col("risk_tier") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("urgency"), F.lit("SENT").alias("status"), F.lit("AGENT").alias("created_by"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import columns as C
 from tidemark.operators.ranks import look_up, quantiles, running_totals
 from tidemark.sources.stored import store
 
@@ -43,7 +44,7 @@ def ecod(long: DataFrame, key: str, contamination: float = 0.05) -> DataFrame:
     """
     raw = store(_tail_sums(long, _cdf(long), key), "ecod")  # read for the extremes, the threshold and the scores
     limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(quantiles(raw, [], "raw", {"cut": 1 - contamination}))
-    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (F.round("raw", 8) >= F.round("cut", 8)).cast("int").alias("flag"))
+    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (C.rounded("raw", 8) >= C.rounded("cut", 8)).cast("int").alias("flag"))
 
 
 def ecod_out_of_sample(fitted: DataFrame, scored: DataFrame, key: str) -> DataFrame:
@@ -75,7 +76,7 @@ def normal_percentile(z: str) -> Column:
     t = 1 / (1 + 0.3275911 * x)
     poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
     erf = 1 - poly * F.exp(-x * x)
-    return F.round(F.when(F.col(z) >= 0, 0.5 + erf / 2).otherwise(0.5 - erf / 2) * 100, 1)
+    return C.rounded(F.when(F.col(z) >= 0, 0.5 + erf / 2).otherwise(0.5 - erf / 2) * 100, 1)
 
 
 def explanations(long: DataFrame, scores: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -96,7 +97,7 @@ def detector_report(scored: DataFrame, label: str, score: str = "ensemble", thre
 
 def anomaly_kpis(scored: DataFrame, score: str = "ensemble", flag: str = "is_anomaly") -> DataFrame:
     """One row: number, mean and largest score of the anomalies."""
-    return scored.filter(F.col(flag) == 1).agg(F.count("*").alias("n_anomalies"), F.round(F.avg(score), 3).alias("avg_score"), F.round(F.max(score), 3).alias("max_score"))
+    return scored.filter(F.col(flag) == 1).agg(F.count("*").alias("n_anomalies"), C.rounded(F.avg(score), 3).alias("avg_score"), C.rounded(F.max(score), 3).alias("max_score"))
 
 
 def top_alerts(scored: DataFrame, key: str, score: str = "ensemble", flag: str = "is_anomaly", k: int = 5) -> DataFrame:
@@ -227,7 +228,7 @@ def kl(reference: DataFrame, current: DataFrame, bins: int = 20) -> DataFrame:
 
 def drift_report(index: DataFrame, divergence: DataFrame) -> DataFrame:
     """One row: index by feature, the largest, features that drifted, flags."""
-    item = F.struct("feature", F.round("psi", 4).alias("psi"))
+    item = F.struct("feature", C.rounded("psi", 4).alias("psi"))
     rows = index.agg(F.max("psi").alias("max_psi"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("psi") > 0.25, F.col("feature")))), ",").alias("drifted"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(item)))).alias("by_feature"))
     return rows.crossJoin(divergence).withColumn("retrain", (F.col("max_psi") > 0.25) | (F.col("kl") > 0.10))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
 from tidemark.operators import gold, models, network, scoring, silver
 from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
@@ -51,7 +52,7 @@ def training(f: Feeds) -> DataFrame:
 def risk_training(spark: SparkSession, d: str) -> DataFrame:
     """What was known of each supplier at each cut-off, and whether a disrupted shipment came in the 30 days from it on."""
     wide = {"drift_proxy": 3, "lead_time_variance": 3, "geo_score": 7, "trade_score": 7, "volatility": 7, "port_score": 7}
-    return training(Feeds(spark, d)).select("supplier_id", F.col("cutoff").cast("string").alias("cutoff"), "label", *(F.round(F.col(c).cast("double"), wide.get(c, 4)).alias(c) for c in _DATED))
+    return training(Feeds(spark, d)).select("supplier_id", F.col("cutoff").cast("string").alias("cutoff"), "label", *(C.rounded(F.col(c).cast("double"), wide.get(c, 4)).alias(c) for c in _DATED))
 
 
 def split_rows(f: Feeds, names: list[str] = _DATED) -> tuple[DataFrame, DataFrame]:

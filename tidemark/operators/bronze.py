@@ -47,8 +47,12 @@ def delay_days(expected: str, actual: str, as_of: str | None = None) -> Column:
     return F.when(both, gap(F.col(actual))).when(F.col(expected).isNotNull(), F.greatest(F.lit(0.0), gap(now))).otherwise(0.0)
 
 
-def shipments(events: DataFrame, orders: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Tracking events with canonical values, joined with their purchase orders; an order of several lines fans out."""
+def shipments(events: DataFrame, orders: DataFrame, as_of: str | None = None, within: str | None = None) -> DataFrame:
+    """Tracking events with canonical values, joined with their purchase orders; an order of several lines fans out.
+
+    ``within`` is a column of both sides that the purchase order determines, and by which events may lie dealt already: the join goes by it
+    alone, and the purchase orders are compared as two bounds, so that they are no key to shuffle by.
+    """
     typed = events.withColumns(
         {
             "canonical_status": C.canonical_status("raw_status"),
@@ -57,8 +61,15 @@ def shipments(events: DataFrame, orders: DataFrame, as_of: str | None = None) ->
             "transport_mode": C.transport_mode("carrier_type"),
         }
     ).withColumns({"is_late": (F.col("delay_days") > 0).cast("int"), "is_exception": (F.col("canonical_status") == "EXCEPTION").cast("int")})
-    slim = orders.select("purchase_order_id", "supplier_id", "sku_id", "order_quantity", "unit_cost_usd", F.upper(F.trim("incoterm")).isin(*C.ORIGIN_RISK).cast("int").alias("origin_risk_incoterm"))
-    joined = typed.join(slim, "purchase_order_id", "left").withColumn("order_value_usd", F.col("order_quantity") * F.coalesce("unit_cost_usd", F.lit(0.0)))
+    bare = orders.withColumnRenamed(within, "_within") if within else orders
+    slim = bare.select(*(["_within"] if within else []), "purchase_order_id", "supplier_id", "sku_id", "order_quantity", "unit_cost_usd", F.upper(F.trim("incoterm")).isin(*C.ORIGIN_RISK).cast("int").alias("origin_risk_incoterm"))
+    if within:
+        slim = slim.withColumnRenamed("purchase_order_id", "_po")
+        same = (F.col(within) == F.col("_within")) & (F.col("purchase_order_id") >= F.col("_po")) & (F.col("purchase_order_id") <= F.col("_po"))
+        joined = typed.join(slim, same, "left").drop("_po", "_within", within)
+    else:
+        joined = typed.join(slim, "purchase_order_id", "left")
+    joined = joined.withColumn("order_value_usd", F.col("order_quantity") * F.coalesce("unit_cost_usd", F.lit(0.0)))
     flagged = joined.withColumns(
         {
             "dq_null_po": F.col("purchase_order_id").isNull().cast("int"),

@@ -141,3 +141,29 @@ def test_split_by_time_and_a_model_that_learns(spark, feeds):
     scores = models.probability(model, models.assemble(late, names))
     means = {r.supplier_id: r.p for r in scores.groupBy("supplier_id").agg(F.avg("p").alias("p")).collect()}
     assert means["y"] > 0.6 > 0.4 > means["x"]
+
+
+@pytest.mark.parametrize("pane_rows", [5, blocks.BLOCK_ROWS])
+def test_history_by_panes_equals_the_windows_of_all_events(spark, pane_rows):
+    """Null days and delays, ties of a day, suppliers that pause for months, panes of one day: the values are those of the row-wise windows."""
+    rng = random.Random(11)
+    day = lambda k: None if rng.random() < 0.02 else D0 + dt.timedelta(days=rng.choice((rng.randrange(400), rng.randrange(3) + 200)) if k != "rare" else 40 * rng.randrange(10))
+    late = lambda: rng.choice([None, 0.0, -1.5, 2.25, -3.0, 0.5])
+    keys = ["much"] * 400 + ["some"] * 60 + ["rare"] * 5 + ["none"] * 2
+    rows = [(f"p{i:04d}", k, day(k), None if k == "none" else late(), rng.choice(["EXCEPTION", "DELIVERED", "DELIVERED"]), rng.choice("ab"), rng.choice("cd"), 1.0, 1.0) for i, k in enumerate(keys)]
+    ships = spark.createDataFrame(rows, SHIP)
+    cuts = training.cutoffs(ships)
+    events = silver.events(ships)
+    past = training.history(events, cuts, pane_rows).cache()
+    if pane_rows > 5:  # a row per supplier and time between cut-offs
+        assert past.groupBy("supplier_id", F.trunc("event_date", "month")).count().filter("count > 1").isEmpty()
+    left = spark.createDataFrame([(k,) for k in set(keys)], "supplier_id string").crossJoin(cuts)
+    found = blocks.as_of(left, past, "supplier_id", "cutoff", "event_date", training.HISTORY)
+    by_row = silver.streak(silver.last_disruption(silver.rolling(events), "1970-01-01"))
+    want = blocks.as_of(left, by_row, "supplier_id", "cutoff", "event_date", training.HISTORY, ["purchase_order_id"])
+    close = lambda a, b: a == b or a is not None and b is not None and abs(a - b) < 1e-9
+    a, b = (sorted(df.collect(), key=lambda r: (r.supplier_id, r.cutoff)) for df in (found, want))
+    assert len(a) == len(b) > 30
+    for x, y in zip(a, b, strict=True):
+        for c in x.asDict():
+            assert close(x[c], y[c]) if isinstance(y[c], float) else x[c] == y[c], (c, x, y)

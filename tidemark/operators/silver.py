@@ -20,7 +20,7 @@ def events(shipments: DataFrame, least_dq: float = 0.6) -> DataFrame:
     )
 
 
-def _proxies() -> dict[str, Column]:
+def proxies() -> dict[str, Column]:
     """Columns that follow from the rolling ones."""
     return {
         "disruption_rate_90": F.col("disruptions_90") / (F.col("total_90") + EPS),
@@ -49,7 +49,7 @@ def rolling(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         "disruptions_90": F.sum("disrupted").over(last(90)),
         "total_90": F.count("*").over(last(90)),
     }
-    return blocks.own(blocks.rows.withColumns(added), *added).withColumns(_proxies())
+    return blocks.own(blocks.rows.withColumns(added), *added).withColumns(proxies())
 
 
 def rolling_days(df: DataFrame, n: int = 90) -> DataFrame:
@@ -129,7 +129,7 @@ def latest(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
 def labelled(shipments: DataFrame, least_dq: float = 0.6) -> DataFrame:
     """Shipments past the gate with their disruption label; a null value of cargo and a null delay are 0."""
     label = F.when((F.col("delay_days") > 3) | F.col("canonical_status").isin("EXCEPTION", "CUSTOMS_HOLD"), 1).otherwise(0)
-    return shipments.filter(F.col("dq_score") >= least_dq).fillna(0.0, ["cargo_value_usd", "delay_days"]).withColumn("label", label)
+    return shipments.filter(F.col("dq_score") >= least_dq).fillna(0.0, [c for c in ("cargo_value_usd", "delay_days") if c in shipments.columns]).withColumn("label", label)
 
 
 def route_stats(df: DataFrame, least_rows: int = 10, prior: float = 0.25) -> DataFrame:
@@ -242,7 +242,7 @@ def newest_values(df: DataFrame, as_of: str) -> DataFrame:
     since = df.join(marks.select("supplier_id", "late"), "supplier_id").filter(F.col("late").isNull() | (order > F.col("late")))
     streaks = since.groupBy("supplier_id").agg(F.count("*").alias("on_time_streak"))
     joined = rates.join(marks.drop("late"), "supplier_id").join(streaks, "supplier_id", "left").fillna({"on_time_streak": 0})
-    return joined.withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption")).withColumns(_proxies())
+    return joined.withColumn("days_since_disruption", F.datediff(F.lit(as_of).cast("date"), "last_disruption")).withColumns(proxies())
 
 
 def supplier_features(suppliers: DataFrame, shipments: DataFrame, geo: DataFrame, centrality: DataFrame | None = None, as_of: str | None = None, routes: DataFrame | None = None) -> DataFrame:

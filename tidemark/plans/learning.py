@@ -9,7 +9,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import gold, models, network, scoring, silver
 from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
-from tidemark.plans.relational import bronze_table, country, nodes, sups
+from tidemark.plans.relational import bronze_table, country, nodes, ships, sups
 from tidemark.plans.sqltext import with_feeds
 from tidemark.plans.statistics import FEATURES
 from tidemark.sources.adapters import Feeds
@@ -41,8 +41,9 @@ select supplier_id, cutoff::varchar as cutoff, coalesce((select max(disrupted) f
 
 
 def training(f: Feeds) -> DataFrame:
-    """The point-in-time set, stored, as fits read it many times."""
-    shipments = bronze_table(f)
+    """The point-in-time set, stored, as fits read it many times; of the shipments only the columns that it rests on."""
+    used = ("supplier_id", "event_date", "purchase_order_id", "delay_days", "canonical_status", "dq_score", "origin_port", "destination_port")
+    shipments = store(ships(f).select(*used), "bronze-shipments")
     geo = store(country(f).select("country_code", "event_date", *training_set.COUNTRY), "country-days")
     cuts = store(training_set.cutoffs(shipments), "cut-offs")
     return store(training_set.point_in_time(sups(f), shipments, geo, cuts), "training")

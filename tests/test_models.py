@@ -121,3 +121,17 @@ def test_scores_are_of_cut_offs_after_those_learned_from(spark):
     model = models.boosted(early, "label", rounds=3)
     scored = models.score_table(models.probability(model, late).select("sample_id", "label", "p"), "sample_id")
     assert scored.count() == ends[1][1] and scored.filter("p < 0 or p > 1 or place is null").isEmpty()
+
+
+def test_strongest_attributions_are_found_in_the_row(spark, table):
+    """The same as by a window over the long form; nothing is shuffled by row, nulls stand last and equal values go by name."""
+    from tidemark.operators import scoring
+
+    rows = table.withColumns({"d": F.col("a"), "e": F.when(F.col("id") % 3 > 0, F.col("c"))})
+    ready, names = models.assemble(rows, ["a", "b", "c", "d", "e"]), ["a", "b", "c", "d", "e"]
+    found = models.attribution(ready, "label", "id", names, strongest=4)
+    want = scoring.strongest(models.attribution(ready, "label", "id", names), "id", "value", 4)
+    fields = ("id", "place", "feature", "value", "direction")
+    a, b = ({tuple(r[c] for c in fields) for r in df.collect()} for df in (found, want))
+    assert a == b and len(a) == 2400
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().toString()

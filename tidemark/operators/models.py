@@ -141,17 +141,25 @@ def score_table(scores: DataFrame, key: str) -> DataFrame:
     return average_rank(scores).withColumn("risk_tier", model_tier("p")).orderBy(F.col("p").desc(), key)
 
 
-def attribution(df: DataFrame, label: str, key: str, features: list[str], rows: DataFrame | None = None) -> DataFrame:
+def attribution(df: DataFrame, label: str, key: str, features: list[str], rows: DataFrame | None = None, strongest: int | None = None) -> DataFrame:
     """key, feature, value, direction: exact shares of a linear model's log-odds, coefficient times (x less its mean).
 
-    The model and the means are of ``df``; ``rows`` (or those of ``df``) are explained.
+    The model and the means are of ``df``; ``rows`` (or those of ``df``) are explained. With ``strongest``, only that many features of
+    each row, those of largest absolute value (equal ones by name), with their ``place``: found inside the row, so nothing is shuffled for it.
     """
     model = LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01).fit(df)
-    weights = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.coefficients, strict=True)], "feature string, w double")
-    long = lambda part: part.select(key, *(F.col(f).cast("double") for f in features)).unpivot(key, features, "feature", "x")
-    means = long(df).groupBy("feature").agg(F.avg("x").alias("mean")).join(F.broadcast(weights), "feature")  # a row per feature
-    value = (F.col("x") - F.col("mean")) * F.col("w")
-    return long(df if rows is None else rows).join(F.broadcast(means), "feature").select(key, "feature", value.alias("value"), F.when(value > 0, "↑ risk").otherwise("↓ risk").alias("direction"))
+    means = df.agg(*(F.avg(F.col(f).cast("double")).alias(f"_mean_{f}") for f in features))  # one row
+    weigh = lambda f, w: (F.col(f).cast("double") - F.col(f"_mean_{f}")) * float(w)
+    values = [F.struct(F.lit(f).alias("feature"), weigh(f, w).alias("value")) for f, w in zip(features, model.coefficients, strict=True)]
+    found = (df if rows is None else rows).crossJoin(F.broadcast(means)).select(key, F.array(*values).alias("_all"))
+    if strongest is None:
+        found = found.select(key, F.explode("_all").alias("_one")).select(key, "_one.*")
+    else:
+        # nulls stand behind all values, as they do in a falling order
+        ranked = F.array_sort(F.transform("_all", lambda e: F.struct((e["value"].isNull()).alias("none"), (-F.abs(e["value"])).alias("o"), e["feature"].alias("feature"), e["value"].alias("value"))))
+        found = found.select(key, F.posexplode(F.slice(ranked, 1, strongest)).alias("_at", "_one")).select(key, "_one.feature", "_one.value", (F.col("_at") + 1).alias("place"))
+    direction = F.when(F.col("value") > 0, "↑ risk").otherwise("↓ risk")
+    return found.select(key, "feature", "value", direction.alias("direction"), *([] if strongest is None else ["place"]))
 
 
 # ---------------------------------------------------------------- isolation forest

@@ -96,7 +96,7 @@ def platt(spark: SparkSession, d: str) -> DataFrame:
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     """The five strongest features of each supplier and cut-off after those learned from."""
     early, late = split_rows(Feeds(spark, d))
-    return scoring.strongest(models.attribution(early, "label", "sample_id", _DATED, late), "sample_id", "value", 5)
+    return models.attribution(early, "label", "sample_id", _DATED, late, strongest=5)
 
 
 @register("iforest")
@@ -139,7 +139,7 @@ def supplier_narrative(spark: SparkSession, d: str) -> DataFrame:
     """The three strongest reasons for each supplier's risk at the newest cut-off, as text."""
     early, late = split_rows(Feeds(spark, d))
     newest = late.crossJoin(F.broadcast(late.agg(F.max("cutoff").alias("_newest")))).filter("cutoff = _newest").drop("_newest")
-    return gold.narrative(models.attribution(early, "label", "supplier_id", _DATED, newest), "supplier_id")
+    return gold.narrative(models.attribution(early, "label", "supplier_id", _DATED, newest, strongest=3), "supplier_id")
 
 
 @register("attribution_top")

@@ -1,10 +1,12 @@
 """Two-step totals and quantiles against plain ones."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranks
+from tidemark.operators import ranks, scoring
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,27 @@ def test_look_up_hot_and_rare_keys(spark):
     for share in (1, 5, 1000):
         found = ranks.look_up(rows, table, ["g", "v"], share=share).collect()
         assert sorted(r.i for r in found) == list(range(300)) and all(r.x == 2 * r.v for r in found)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.95, 1.0])
+def test_a_quantile_of_all_rows_from_bins(spark, q):
+    rng = random.Random(5)
+    values = [rng.choice([0.5, 7.25, rng.random() * 30, None]) for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    want = ranks.quantiles(rows, [], "v", {"x": q}).first().x
+    assert ranks.whole_quantile(rows, "v", q, "x").first().x == want
+    assert ranks.whole_quantile(rows.filter("v is null"), "v", q, "x").first().x is None
+    assert ranks.whole_quantile(rows.filter("v = 7.25"), "v", q, "x").first().x == 7.25
+
+
+def test_tails_of_whole_rows_equal_those_of_the_long_form(spark):
+    """Values that are frequent, rare, null and repeated keys; rows are not cut into a row per feature, so the plan has no unpivot by key."""
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(4800)}", rng.choice([0.0, None, float(rng.randrange(3000))]), float(rng.randrange(3)), rng.random()) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double")
+    found = {r.k: r for r in scoring.tail_scores(df, "k", "a", "b", "c").collect()}
+    want = {r.k: r for r in scoring.ecod(scoring.long_form(df, "k", "a", "b", "c"), "k").collect()}
+    assert found.keys() == want.keys()
+    for k, r in want.items():
+        assert abs(found[k].raw - r.raw) < 1e-9 and abs(found[k].score - r.score) < 1e-9 and found[k].flag == r.flag
+    assert "Expand" not in scoring.tail_table(df, "k", "a", "b", "c")._jdf.queryExecution().executedPlan().toString()

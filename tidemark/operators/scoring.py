@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
-from tidemark.operators.ranks import look_up, quantiles, running_totals
+from tidemark.operators.ranks import look_up, quantiles, running_totals, whole_quantile
 from tidemark.sources.stored import store
 
 EPS = 1e-9
@@ -36,14 +36,54 @@ def _tail_sums(rows: DataFrame, cdf: DataFrame, key: str) -> DataFrame:
     return look_up(rows, cdf, ["feature", "value"]).groupBy(key).agg(F.sum(tail).alias("raw"))
 
 
+def _spread_join(rows: DataFrame, feature: str, table: DataFrame) -> DataFrame:
+    """Adds ``_f``, the share of the feature's values up to the row's; ``table`` has value, cdf, n, n_all.
+
+    Values with a thousandth of the rows or more are looked up in a table sent to all tasks; rows that have one go through the join
+    under a key of their own hash, so no value gathers them. Where there are only such values, nothing is shuffled.
+    """
+    hot = F.col("n") * 1000 > F.col("n_all")
+    rows = rows.join(F.broadcast(table.filter(hot).select(F.col("value").alias("_v"), F.col("cdf").alias("_hot"))), F.col(feature) == F.col("_v"), "left").drop("_v")
+    cold = table.filter(~hot).select(F.col("value").alias("_v"), F.lit(0).alias("_s"), F.col("cdf").alias("_cold"))
+    if cold.isEmpty():
+        return rows.withColumnRenamed("_hot", "_f")
+    found = F.col("_hot").isNotNull()
+    rows = rows.withColumns({"_k": F.when(~found, F.col(feature)), "_t": F.when(found, F.xxhash64(*rows.columns)).otherwise(0)})
+    rows = rows.join(cold, (F.col("_k") == F.col("_v")) & (F.col("_t") == F.col("_s")), "left")
+    return rows.withColumn("_f", F.coalesce("_hot", "_cold")).drop("_k", "_t", "_v", "_s", "_hot", "_cold")
+
+
+def tail_table(df: DataFrame, key: str, *features: str) -> DataFrame:
+    """key and raw, the tails of each feature's empirical distribution at the row's value, summed over the rows of a key.
+
+    A row stays whole: it meets the distributions one by one, and is not cut into a row per feature. Nulls are 0.
+    """
+    cdf = _cdf(long_form(df, key, *features))
+    rows = df.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features)).withColumn("_raw", F.lit(0.0))
+    left = list(features)
+    for feature in features:
+        left.remove(feature)
+        met = _spread_join(rows, feature, cdf.filter(F.col("feature") == feature).drop("feature"))
+        rows = met.select(key, *left, (F.col("_raw") - F.ln(F.least(F.col("_f"), 1 - F.col("_f")) + EPS)).alias("_raw"))
+    return rows.groupBy(key).agg(F.sum("_raw").alias("raw"))
+
+
+def tail_scores(df: DataFrame, key: str, *features: str, contamination: float = 0.05) -> DataFrame:
+    """:func:`ecod` of columns instead of the long form."""
+    return _flagged(store(tail_table(df, key, *features), "ecod"), key, contamination)
+
+
 def ecod(long: DataFrame, key: str, contamination: float = 0.05) -> DataFrame:
     """key, raw, score in [0, 1] and flag: tails of each feature's empirical distribution, summed.
 
     The extremes and the threshold are one row, sent to all tasks. Sums are compared with it to eight places, so that rows
     of the same tails tie whatever the order of the sum.
     """
-    raw = store(_tail_sums(long, _cdf(long), key), "ecod")  # read for the extremes, the threshold and the scores
-    limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(quantiles(raw, [], "raw", {"cut": 1 - contamination}))
+    return _flagged(store(_tail_sums(long, _cdf(long), key), "ecod"), key, contamination)  # read for the extremes, the threshold and the scores
+
+
+def _flagged(raw: DataFrame, key: str, contamination: float) -> DataFrame:
+    limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(whole_quantile(raw, "raw", 1 - contamination, "cut"))
     return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (C.rounded("raw", 8) >= C.rounded("cut", 8)).cast("int").alias("flag"))
 
 
@@ -55,9 +95,9 @@ def ecod_out_of_sample(fitted: DataFrame, scored: DataFrame, key: str) -> DataFr
     return _tail_sums(scored, cdf, key)
 
 
-def z_scores(long: DataFrame, signed: bool = False) -> DataFrame:
-    """Adds z to three places; with ``signed``, one that is rounded to zero from below is -0.0, for texts."""
-    fitted = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+def z_scores(long: DataFrame, signed: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """Adds z to three places, by means and deviations of ``of`` (or ``long``); with ``signed``, one that is rounded to zero from below is -0.0, for texts."""
+    fitted = (long if of is None else of).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
     return long.join(F.broadcast(fitted), "feature").withColumn("z", C.rounded((F.col("value") - F.col("mean")) / (F.col("deviation") + EPS), 3, signed)).drop("mean", "deviation")
 
 
@@ -79,10 +119,10 @@ def normal_percentile(z: str) -> Column:
     return C.rounded(F.when(F.col(z) >= 0, 0.5 + erf / 2).otherwise(0.5 - erf / 2) * 100, 1)
 
 
-def explanations(long: DataFrame, scores: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """One record per scored row: score, flag, its k strongest features, maps of z-scores and of normal percentiles."""
+def explanations(long: DataFrame, scores: DataFrame, key: str, k: int = 5, of: DataFrame | None = None) -> DataFrame:
+    """One record per scored row: score, flag, its k strongest features, maps of z-scores (by means and deviations of ``of``, or ``long``) and of normal percentiles."""
     entry = F.struct((-F.abs("z")).alias("o"), "feature", "z", normal_percentile("z").alias("percentile"))
-    maps = z_scores(long).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    maps = z_scores(long, of=of).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("s"))
     pairs = lambda c: F.map_from_entries(F.transform("s", lambda x: F.struct(x["feature"], x[c])))
     top = F.transform(F.slice("s", 1, k), lambda x: x["feature"])
     return scores.join(maps, key).select(key, "score", "flag", top.alias("top_features"), pairs("z").alias("z_map"), pairs("percentile").alias("percentile_map"))

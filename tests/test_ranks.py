@@ -70,3 +70,13 @@ def test_tails_of_whole_rows_equal_those_of_the_long_form(spark):
     for k, r in want.items():
         assert abs(found[k].raw - r.raw) < 1e-9 and abs(found[k].score - r.score) < 1e-9 and found[k].flag == r.flag
     assert "Expand" not in scoring.tail_table(df, "k", "a", "b", "c")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_detector_report_reads_its_rows_once(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(rng.randrange(2), rng.random()) for _ in range(300)], "label int, ensemble double")
+    found = scoring.detector_report(rows, "label")
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    one, all_rows = found.first(), rows.collect()
+    pairs = [(a.ensemble > b.ensemble) for a in all_rows if a.label for b in all_rows if not b.label]
+    assert abs(one.roc_auc - sum(pairs) / len(pairs)) < 1e-9 and one.n_samples == 300

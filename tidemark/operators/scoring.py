@@ -130,6 +130,7 @@ def explanations(long: DataFrame, scores: DataFrame, key: str, k: int = 5, of: D
 
 def detector_report(scored: DataFrame, label: str, score: str = "ensemble", threshold: float = 0.6) -> DataFrame:
     """One row: ROC-AUC of the score, share of anomalies, share of labelled rows, threshold, number of rows."""
+    scored = store(scored.select(label, score), "scored")  # read for the area and the shares
     area = auc(scored.select(F.lit(1).alias("_g"), F.col(label).alias("y"), F.col(score).alias("p")), ["_g"]).select("auc")
     rest = scored.agg(F.avg((F.col(score) >= threshold).cast("double")).alias("anomaly_rate"), F.avg(F.col(label).cast("double")).alias("disruption_rate"), F.count("*").alias("n_samples"))
     return area.crossJoin(rest).select(F.col("auc").alias("roc_auc"), "anomaly_rate", "disruption_rate", F.lit(threshold).alias("threshold"), "n_samples")

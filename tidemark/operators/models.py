@@ -191,6 +191,16 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
+def _flat(tree: pd.DataFrame) -> tuple:
+    """feature, cut, low, high, path, depth of a tree whose leaves lead to themselves; path is that of a row that ends in the node."""
+    feature, cut, low, high, size = (tree[c].to_numpy() for c in ("feature", "cut", "low", "high", "size"))
+    depth, itself = np.zeros(len(tree)), np.arange(len(tree))
+    for at in itself[feature >= 0]:  # a node stands before those below it
+        depth[low[at]] = depth[high[at]] = depth[at] + 1
+    leaf = feature < 0
+    return np.where(leaf, 0, feature), cut, np.where(leaf, itself, low), np.where(leaf, itself, high), depth + _mean_path(size), int(depth.max())
+
+
 def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 200, sample: int = 256, share: float = 0.8, seed: int = 42) -> DataFrame:
     """key, iso_score in [0, 1]: trees are grown in parallel on samples of ``sample`` rows, then sent to all tasks.
 
@@ -218,20 +228,17 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
 
     schema = "feature int, cut double, low int, high int, size int, tree int, node int, rows int"
     forest = drawn.groupBy("tree").applyInPandas(grow, schema).orderBy("tree", "node").toPandas()
-    shared = spark.sparkContext.broadcast([t.reset_index(drop=True) for _, t in forest.groupby("tree")])
+    shared = spark.sparkContext.broadcast([_flat(t) for _, t in forest.groupby("tree")])
+    norm = _mean_path(np.array([forest["rows"].iloc[0]]))[0] if len(forest) else 1.0
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x, total = frame[features].to_numpy(), np.zeros(len(frame))
-            for tree in shared.value:
-                feature, cut, low, high, size = (tree[c].to_numpy() for c in ("feature", "cut", "low", "high", "size"))
-                at, depth = np.zeros(len(frame), int), np.zeros(len(frame))
-                while (inner := feature[at] >= 0).any():
-                    go = at[inner]
-                    at[inner] = np.where(x[inner, feature[go]] <= cut[go], low[go], high[go])
-                    depth[inner] += 1
-                total += depth + _mean_path(size[at])
-            norm = _mean_path(np.array([shared.value[0]["rows"].iloc[0]]))[0] if shared.value else 1.0
+            x, total, each = np.ascontiguousarray(frame[features].to_numpy(dtype=float)).ravel(), np.zeros(len(frame)), np.arange(len(frame)) * len(features)
+            for feature, cut, low, high, path, deep in shared.value:
+                at = np.zeros(len(frame), int)
+                for _ in range(deep):
+                    at = np.where(x[each + feature[at]] <= cut[at], low[at], high[at])
+                total += path[at]
             s = 2 ** (-total / max(1, len(shared.value)) / max(norm, 1e-9))
             yield pd.DataFrame({"key": frame["key"], "iso_score": np.clip(s / 0.5, 0, 1)})
 

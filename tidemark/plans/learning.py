@@ -102,7 +102,7 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
 @register("iforest")
 def iforest(spark: SparkSession, d: str) -> DataFrame:
     lines = Feeds(spark, d).lines()
-    tails = scoring.ecod(scoring.long_form(lines, "po_id", *FEATURES), "po_id").select("po_id", "score")
+    tails = scoring.tail_scores(lines, "po_id", *FEATURES).select("po_id", "score")
     return scoring.ensemble(models.isolation_forest(lines, "po_id", list(FEATURES)).join(tails, "po_id"), "iso_score", "score", 0.6)
 
 

@@ -167,3 +167,25 @@ def test_history_by_panes_equals_the_windows_of_all_events(spark, pane_rows):
     for x, y in zip(a, b, strict=True):
         for c in x.asDict():
             assert close(x[c], y[c]) if isinstance(y[c], float) else x[c] == y[c], (c, x, y)
+
+
+def test_rolling_sums_equal_windows_row_by_row(spark, skewed):
+    """Whole and broken days, nulls and days so many that their squares pass 2^63 in sum; no frame of 90 rows is summed anew for each row."""
+    from pyspark.sql.window import Window
+
+    last = lambda n: Window.partitionBy("supplier_id").orderBy(*silver.ORDER).rowsBetween(1 - n, 0)
+    ok, delay, bad = F.col("on_time").cast("double"), F.col("delay_days"), F.col("disrupted")
+    far = F.when(F.col("purchase_order_id") < "p01500", 2000000000 + F.col("delay_days")).otherwise(F.col("delay_days"))
+    gaps = F.when(F.xxhash64("purchase_order_id") % 3 != 0, F.col("on_time"))
+    for df in (skewed, skewed.withColumn("delay_days", F.col("delay_days") + 0.25), skewed.withColumn("delay_days", far.cast("int")), skewed.withColumn("on_time", gaps).withColumn("delay_days", F.col("delay_days").cast("int"))):
+        want = {f"on_time_rate_{n}": F.avg(ok).over(last(n)) for n in (7, 30, 90)} | {f"delay_mean_{n}": F.avg(delay).over(last(n)) for n in (30, 90)}
+        want |= {"delay_std_90": F.round(F.stddev(delay.cast("decimal(20,2)") % 1000).over(last(90)), 6), "disruptions_90": F.sum(bad).over(last(90)), "total_90": F.count("*").over(last(90))}
+        found = silver.rolling(df).withColumn("delay_std_90", F.round("delay_std_90", 6)).select(*df.columns, *want)
+        near = df.withColumns(want).select(*found.columns)
+        if df.schema["delay_days"].dataType.simpleString() == "int":
+            assert "specifiedwindowframe(RowFrame, -89" not in silver.rolling(df)._jdf.queryExecution().optimizedPlan().toString()
+        hot = df.groupBy("supplier_id").agg(F.max("delay_days").alias("m")).filter("m > 1000").select("supplier_id")  # numbers of both kinds: Spark's own are rounded
+        same(near.join(hot, "supplier_id", "left_anti").drop("delay_std_90"), found.join(hot, "supplier_id", "left_anti").drop("delay_std_90"))
+    exact = silver.rolling(skewed.filter("supplier_id = 'hot'").withColumn("delay_days", (2000000000 + F.col("delay_days")).cast("int"))).select("purchase_order_id", F.round("delay_std_90", 9).alias("s"))
+    close = silver.rolling(skewed.filter("supplier_id = 'hot'").withColumn("delay_days", F.col("delay_days").cast("int"))).select("purchase_order_id", F.round("delay_std_90", 9).alias("s"))
+    same(exact, close)

@@ -107,3 +107,26 @@ def test_a_failed_run_is_made_good(case, monkeypatch):
     assert "2001-05" in layer.update(2)
     assert plain(layer.windows()) == plain(seen(frame(rows)))
     assert layer.update(3) == []
+
+
+def test_a_new_partition_is_noted_as_a_whole(case):
+    """Notes are as many as partitions, not as rows; a month that comes later, between others, reaches those after it."""
+    layer, frame, rows = case
+    late = [r for r in rows if month(r) == "2001-04"]
+    layer.land(frame([r for r in rows if month(r) != "2001-04"]), stored=True)
+    assert layer.spark.read.parquet(f"{layer.path}/changes").count() == len({month(r) for r in rows}) - 1
+    layer.update(0)
+    assert layer.land(frame(late), stored=True) == ["2001-04"]
+    assert layer.spark.read.parquet(f"{layer.path}/changes").count() == len({month(r) for r in rows})
+    assert {"2001-04", "2001-05"} <= set(layer.update(1)) and "2001-03" not in layer.update(2)
+    assert plain(layer.windows()) == plain(seen(frame(rows)))
+    assert layer.update(3) == []
+
+
+def test_a_key_costs_as_much_as_it_has_days(case):
+    """No window looks ahead from each row, which would cost the square of a key's days."""
+    layer, frame, rows = case
+    layer.land(frame(rows))
+    plan = layer.reach(frame(rows).selectExpr("supplier_id as key", "unix_date(event_date) as day", "'x' as part"))._jdf.queryExecution().toString()
+    assert "UnboundedPreceding" in plan or "unboundedpreceding" in plan
+    assert "unboundedfollowing" not in plan.lower()

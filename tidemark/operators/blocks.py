@@ -42,11 +42,13 @@ class Blocks:
 
     def __init__(self, df: DataFrame, key: str, day: str, halo: int = 0, rows: int = BLOCK_ROWS):
         self.key, self.columns, self.by = key, df.columns, [key, "_block"]
-        found = store(day_blocks(df, key, day, rows, halo), "blocks")
-        self.cut = not found.isEmpty()
-        if not self.cut:  # no key has more rows than a block
+        # Only keys with more rows than a block are counted by day.
+        large = store(df.groupBy(F.col(key).alias("_large")).agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("_large"), "large-keys")
+        self.cut = not large.isEmpty()
+        if not self.cut:
             self.rows = df.withColumns({"_block": F.lit(0), "_own": F.lit(True)})
             return
+        found = store(day_blocks(df.join(large, F.col(key) == F.col("_large"), "left_semi"), key, day, rows, halo), "blocks")
         placed = df.withColumn("_day", day_number(day)).join(found.withColumnRenamed("_key", "_k").withColumnRenamed("_day", "_d"), (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
         dealt = placed.withColumn("_at", F.explode(F.coalesce("_to", F.array(F.lit(0)))))
         dealt = dealt.withColumn("_own", F.col("_at") == F.coalesce("_block", F.lit(0))).withColumn("_block", F.col("_at"))

@@ -31,11 +31,13 @@ class WindowLayer:
         self.spark, self.path, self.key, self.day, self.compute, self.halo, self.partition = spark, path, key, day, compute, halo, partition
         self.columns, self.rows = rows.names, T.StructType([*rows.fields, T.StructField("part", T.StringType())])
         self.kind = rows[key].dataType.simpleString()
+        self.days = f"key {self.kind}, day int, n long, part string"
 
     def _read(self, name: str, schema: T.StructType | str, parts: list[str] | None = None) -> DataFrame:
         """A table of the layer, or some partitions of it; empty before it was written."""
         if not exists(self.spark, f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], schema)
+            fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
         found = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return found if parts is None else found.filter(F.col("part").isin(parts))
 
@@ -48,23 +50,32 @@ class WindowLayer:
         """Writes partitions, each in files of about the advisory size: small ones in one file, large ones in several tasks."""
         write_partitions(df.hint("rebalance", "part"), f"{self.path}/{name}", "part")
 
-    def land(self, rows: DataFrame) -> list[str]:
+    def land(self, rows: DataFrame, stored: bool = False) -> list[str]:
         """Replaces the partitions that ``rows`` has rows of; the partitions in which this changes something.
 
-        Old and new rows of these partitions are compared, repeats counted, and the keys and days of those that came or went are
-        noted for :meth:`update`. The same rows once again change nothing.
+        Old and new rows of partitions that were there are compared, repeats counted, and the keys and days of those that came or
+        went are noted for :meth:`update`; a new partition is noted as a whole, without key and day. The same rows once again change
+        nothing. ``stored`` says that ``rows`` are a table already, outside of the layer, and need not be written down first.
         """
         named = F.coalesce(F.date_format(self.day, self.partition), F.lit("none"))
-        new = store(rows.filter(F.col(self.key).isNotNull()).select(*self.columns, named.alias("part")), "landed")
-        old = self._read("rows", self.rows, self._parts(new)).select(*new.columns)
-        differ = new.exceptAll(old).unionAll(old.exceptAll(new))
-        changes = store(differ.select(F.col(self.key).alias("key"), day_number(self.day).alias("day"), "part").distinct(), "changes")
-        parts = self._parts(changes)
+        new = rows.filter(F.col(self.key).isNotNull()).select(*self.columns, named.alias("part"))
+        new = new if stored else store(new, "landed")
+        a_day = [F.col(self.key).alias("key"), day_number(self.day).alias("day"), "part"]
+        landed = self._parts(new)
+        held = self._parts(self._read("rows", self.rows, landed))
+        parts = [p for p in landed if p not in held]
+        changes = self.spark.range(1).select(F.explode(F.array(*map(F.lit, parts)) if parts else F.array().cast("array<string>")).alias("part"))
+        changes = changes.select(F.lit(None).cast(self.kind).alias("key"), F.lit(None).cast("int").alias("day"), "part")
+        if held:
+            old = self._read("rows", self.rows, held).select(*new.columns, F.lit(-1).alias("_times"))
+            both = new.filter(F.col("part").isin(held)).withColumn("_times", F.lit(1)).unionAll(old)
+            differ = both.groupBy(*new.columns).agg(F.sum("_times").alias("_times")).filter("_times <> 0")
+            changes = store(changes.unionAll(differ.select(*a_day).distinct()), "changes")
+            parts = self._parts(changes)
         if parts:
             changes.write.parquet(f"{self.path}/changes/run={uuid.uuid4().hex}")
-            changed = new.filter(F.col("part").isin(parts))
-            days = changed.groupBy(F.col(self.key).alias("key"), day_number(self.day).alias("day"), "part").agg(F.count("*").alias("n"))
-            self._rewrite(days, "days")  # before the rows: they are what changes are told from
+            changed = new.filter(F.col("part").isin(parts)) if len(parts) < len(landed) else new
+            self._rewrite(changed.groupBy(*a_day).agg(F.count("*").alias("n")), "days")  # before the rows: they are what changes are told from
             self._rewrite(changed, "rows")
         return parts
 
@@ -72,35 +83,47 @@ class WindowLayer:
         """key, day, part, touched of the days that changes (key, day, part) reach, and of those whose rows they are computed from.
 
         A day is touched if it changed, or if fewer than ``halo`` rows of its key lie between it and the last changed day before
-        it; a day is needed if that few lie between it and the next touched one. Only days of changed keys are ordered.
+        it; a day is needed if that few lie between it and the next touched one. Only days of changed keys are ordered, and
+        both ways by running totals, so a key costs as much as it has days.
         """
         marked = changes.select("key", "day", "part", F.lit(0).cast("long").alias("n"), F.lit(True).alias("hit")).distinct()
-        days = self._read("days", f"key {self.kind}, day int, n long, part string").join(changes.select("key").distinct(), "key", "left_semi")
-        line = days.withColumn("hit", F.lit(False)).unionByName(marked).groupBy("key", "day", "part").agg(F.sum("n").alias("n"), F.max("hit").alias("hit"))
-        in_order = Window.partitionBy("key").orderBy("day")
+        days = self._read("days", self.days).join(changes.select("key").distinct(), "key", "left_semi")
+        line = days.withColumn("hit", F.lit(False)).unionByName(marked).repartition("key").groupBy("key", "day", "part").agg(F.sum("n").alias("n"), F.max("hit").alias("hit"))
+        by_key = Window.partitionBy("key")
+        in_order = by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a day is in one partition
         line = line.withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
         hit = F.last(F.when(F.col("hit"), F.col("upto")), ignorenulls=True).over(in_order)
         line = line.withColumn("touched", F.coalesce(F.col("before") - hit < self.halo, F.lit(False)))
-        ahead = in_order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        touch = F.first(F.when(F.col("touched"), F.col("before")), ignorenulls=True).over(ahead)
+        back = by_key.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        touch = F.last(F.when(F.col("touched"), F.col("before")), ignorenulls=True).over(back)
         return line.withColumn("needed", touch - F.col("upto") < self.halo).filter("needed").select("key", "day", "part", "touched")
 
     def update(self, run: int = 0) -> list[str]:
         """Brings the windows up to date with all that landed; the partitions rewritten.
 
         Windows of touched days are computed from the rows they need and marked ``written`` = ``run``; all other windows of
-        a rewritten partition are kept as they are.
+        a rewritten partition are kept as they are. Where there are no windows yet, all are computed from all rows.
         """
         noted = self._read("changes", f"key {self.kind}, day int, part string, run string").join(self._read("done", "run string"), "run", "left_anti")
+        if not exists(self.spark, f"{self.path}/windows"):
+            runs = store(noted.select("run").distinct(), "noted-runs")
+            rows = self._read("rows", self.rows)
+            parts = self._parts(rows)
+            if parts:
+                self._rewrite(self.compute(rows).withColumn("written", F.lit(run)), "windows")
+            append_rows(runs, f"{self.path}/done")
+            return parts
         noted = store(noted, "noted")
-        reach = store(self.reach(noted), "reach")
-        touched = reach.filter("touched").select("key", "day")
+        whole = self._read("days", self.days, self._parts(noted.filter("key is null"))).select("key", "day", "part")
+        reach = store(self.reach(noted.filter("key is not null").select("key", "day", "part").unionAll(whole)), "reach")
+        touched = reach.filter("touched").select(F.col("key").alias("_k"), F.col("day").alias("_d"))
         parts = self._parts(reach.filter("touched"))
         if parts:
-            of = lambda df, days, how: df.join(days.select(F.col("key").alias("_k"), F.col("day").alias("_d")), (F.col(self.key) == F.col("_k")) & (day_number(self.day) == F.col("_d")), how)
-            rows = store(of(self._read("rows", self.rows, self._parts(reach)), reach, "left_semi"), "needed-rows")
-            fresh = of(self.compute(rows), touched, "left_semi").withColumn("written", F.lit(run))
-            kept = of(self._read("windows", fresh.schema, parts), touched, "left_anti").select(*fresh.columns)
+            at = (F.col(self.key) == F.col("_k")) & (day_number(self.day) == F.col("_d"))
+            marked = reach.select(F.col("key").alias("_k"), F.col("day").alias("_d"), F.col("touched").alias("_touched"))
+            rows = store(self._read("rows", self.rows, self._parts(reach)).join(marked, at).drop("_k", "_d"), "needed-rows")
+            fresh = self.compute(rows).filter("_touched").drop("_touched").withColumn("written", F.lit(run))
+            kept = self._read("windows", fresh.schema, parts).join(touched, at, "left_anti").select(*fresh.columns)
             self._rewrite(store(fresh.unionByName(kept), "windows"), "windows")
         append_rows(noted.select("run").distinct(), f"{self.path}/done")
         return parts

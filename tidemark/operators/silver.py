@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
@@ -35,21 +36,42 @@ ORDER = ("event_date", "purchase_order_id")
 
 
 def rolling(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rates and delays over the last 7, 30 and 90 events of a supplier."""
+    """Rates and delays over the last 7, 30 and 90 events of a supplier.
+
+    A window over whole numbers is a running sum less that of n rows before, so a row costs the same whatever n, and all is
+    exact; squares are summed in two halves, so that no number of days overflows. Delays in fractions are summed window by window.
+    """
     blocks = Blocks(df, "supplier_id", "event_date", 89, block_rows)
-    last = lambda n: blocks.window(*ORDER).rowsBetween(1 - n, 0)
-    ok = F.col("on_time").cast("double")
+    in_order = blocks.window(*ORDER)
+    so_far, last = in_order.rowsBetween(Window.unboundedPreceding, 0), lambda n: in_order.rowsBetween(1 - n, 0)
+    whole = isinstance(df.schema["delay_days"].dataType, T.IntegralType)
+    ok, delay, bad = (F.col(c).cast("long") for c in ("on_time", "delay_days", "disrupted"))
+    high, low = F.shiftright(delay * delay, 31), (delay * delay).bitwiseAND(F.lit((1 << 31) - 1))
+    sums = {"ok": (ok, (7, 30, 90)), "bad": (bad, (90,))} | ({"delay": (delay, (30, 90)), "high": (high, (90,)), "low": (low, (90,))} if whole else {})
+    running, windows = {"_n": F.count("*").over(so_far)}, {}
+    for k, (c, reaches) in sums.items():
+        running |= {f"_{k}": F.coalesce(F.sum(c).over(so_far), F.lit(0)), f"_known_{k}": F.count(c).over(so_far)}
+        windows |= {f"{name}_{n}": F.col(name) - F.lag(name, n, 0).over(in_order) for name in (f"_{k}", f"_known_{k}") for n in reaches}
+    mean = lambda k, n: F.try_divide(F.col(f"_{k}_{n}").cast("double"), F.col(f"_known_{k}_{n}").cast("double"))
+    plain = {"delay_mean_30": F.avg("delay_days").over(last(30)), "delay_mean_90": F.avg("delay_days").over(last(90)), "delay_std_90": F.stddev("delay_days").over(last(90))}
     added = {
-        "on_time_rate_7": F.avg(ok).over(last(7)),
-        "on_time_rate_30": F.avg(ok).over(last(30)),
-        "on_time_rate_90": F.avg(ok).over(last(90)),
-        "delay_mean_30": F.avg("delay_days").over(last(30)),
-        "delay_mean_90": F.avg("delay_days").over(last(90)),
-        "delay_std_90": F.stddev("delay_days").over(last(90)),
-        "disruptions_90": F.sum("disrupted").over(last(90)),
-        "total_90": F.count("*").over(last(90)),
+        "on_time_rate_7": mean("ok", 7),
+        "on_time_rate_30": mean("ok", 30),
+        "on_time_rate_90": mean("ok", 90),
+        **({"delay_mean_30": mean("delay", 30), "delay_mean_90": mean("delay", 90), "delay_std_90": _spread("_known_delay_90", "_delay_90", "_high_90", "_low_90")} if whole else plain),
+        "disruptions_90": F.when(F.col("_known_bad_90") > 0, F.col("_bad_90")),
+        "total_90": F.least("_n", F.lit(90)),
     }
-    return blocks.own(blocks.rows.withColumns(added), *added).withColumns(proxies())
+    return blocks.own(blocks.rows.withColumns(running).withColumns(windows).withColumns(added), *added).withColumns(proxies())
+
+
+def _spread(count: str, total: str, high: str, low: str) -> Column:
+    """Standard deviation from exact sums: ``high`` times 2^31 and ``low`` are that of squares."""
+    n, s = F.col(count), F.col(total)
+    exact = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    small = n * (F.col(high) * (1 << 31) + F.col(low)) - s * s
+    large = (exact(high, 12) * F.lit(1 << 31).cast("decimal(10,0)") + exact(low, 12)) * exact(count, 3) - exact(total, 13) * exact(total, 13)
+    return F.when(n > 1, F.sqrt(F.when(F.col(high) < (1 << 20), small.cast("double")).otherwise(large.cast("double")) / (n * (n - 1))))
 
 
 def rolling_days(df: DataFrame, n: int = 90) -> DataFrame:

@@ -189,3 +189,12 @@ def test_rolling_sums_equal_windows_row_by_row(spark, skewed):
     exact = silver.rolling(skewed.filter("supplier_id = 'hot'").withColumn("delay_days", (2000000000 + F.col("delay_days")).cast("int"))).select("purchase_order_id", F.round("delay_std_90", 9).alias("s"))
     close = silver.rolling(skewed.filter("supplier_id = 'hot'").withColumn("delay_days", F.col("delay_days").cast("int"))).select("purchase_order_id", F.round("delay_std_90", 9).alias("s"))
     same(exact, close)
+
+
+def test_supplier_events_take_running_sums(spark):
+    """Their delays are whole numbers, so no frame of 90 events is summed anew for each event."""
+    from tidemark.plans.relational import supplier_events
+    from tidemark.sources.adapters import Feeds
+
+    plan = silver.rolling(supplier_events(Feeds(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, unboundedpreceding" in plan and "specifiedwindowframe(RowFrame, -89" not in plan

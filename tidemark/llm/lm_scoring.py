@@ -98,8 +98,11 @@ class CausalModel:
         starts = np.append(np.arange(0, n - w, step), n - w)
         return starts, np.append(0, starts[:-1] + w)
 
-    def _hidden(self, places: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Hidden states of (batch, window) input places, and what backpropagation needs."""
+    def _hidden(self, places: np.ndarray, lead: int = 0) -> tuple[np.ndarray, tuple]:
+        """Hidden states of (batch, window) input places, and what backpropagation needs.
+
+        The first ``lead`` positions are context alone: they are attended to and have no states.
+        """
         p, width = self.p, self.width
         x = p["ids"][places]
         x += p["at"]
@@ -110,15 +113,15 @@ class CausalModel:
         qkv[:, :width] *= flat.dtype.type(width**-0.5)
         qkv[:, -1] = 1
         qkv = qkv.reshape(*places.shape, -1)
-        q, k, v = qkv[..., :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
+        q, k, v = qkv[:, lead:, :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
         e = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(e, -LIMIT, LIMIT, out=e)
         np.exp(e, out=e)
-        e *= self.causal
+        e *= self.causal[lead:]
         mixed = np.matmul(e, v)
         total = mixed[..., -1:]
         y = mixed[..., :-1] / total
-        h = (y + x).reshape(-1, width) @ p["w"]
+        h = (y + x[:, lead:]).reshape(-1, width) @ p["w"]
         h += p["b"]
         np.tanh(h, out=h)
         return h, (x, q, k, v, e, total, y)
@@ -146,20 +149,20 @@ class CausalModel:
             self._tables = *tables, calm, bool(reach < LIMIT)
         return self._tables
 
-    def _states(self, places: np.ndarray) -> np.ndarray:
+    def _states(self, places: np.ndarray, lead: int = 0) -> np.ndarray:
         """As :meth:`_hidden`, by the tables of :meth:`_fold`."""
         table, at, calm, _ = self._fold()
         width, hidden = self.width, len(self.p["b"])
         z = np.take(table, places, axis=0)
         z += at
-        e = np.matmul(z[..., :width], z[..., width : 2 * width].transpose(0, 2, 1))
+        e = np.matmul(z[:, lead:, :width], z[..., width : 2 * width].transpose(0, 2, 1))
         if not calm:
             np.clip(e, -LIMIT, LIMIT, out=e)
         np.exp(e, out=e)
-        e *= self.causal
+        e *= self.causal[lead:]
         mixed = np.matmul(e, z[..., 2 * width : 2 * width + hidden + 1])
         h = mixed[..., :-1] / mixed[..., -1:]
-        h += z[..., -hidden:]
+        h += z[:, lead:, -hidden:]
         np.tanh(h, out=h)
         return h.reshape(-1, hidden)
 
@@ -173,7 +176,8 @@ class CausalModel:
         rows = np.arange(len(place))
         states, out, at = np.empty((len(place), len(p["b"])), np.float32), np.empty(len(place), np.float32), 0
         for a in range(0, len(inputs), some):
-            h = self._states(inputs[a : a + some])[scored[a : a + some].ravel()]
+            lead = int(scored[a : a + some].any(0).argmax())
+            h = self._states(inputs[a : a + some], lead)[scored[a : a + some, lead:].ravel()]
             end = at + len(h)
             states[at:end] = h
             logits = h @ p["class"]
@@ -206,11 +210,12 @@ class CausalModel:
         Each gradient comes with the rows that it is of; the other rows of that table have none.
         """
         p, width = self.p, self.width
-        every, (x, q, k, v, e, total, y) = self._hidden(inputs)
+        lead = 0 if scored is None else int(scored.any(0).argmax())
+        every, (x, q, k, v, e, total, y) = self._hidden(inputs, lead)
         kind = every.dtype.type
-        use = slice(None) if scored is None or scored.all() else np.flatnonzero(scored)
+        use = slice(None) if scored is None or scored[:, lead:].all() else np.flatnonzero(scored[:, lead:])
         h = every[use]
-        n, place = len(h), self.place[targets.ravel()[use]]
+        n, place = len(h), self.place[targets[:, lead:].ravel()[use]]
         order, starts = self._by_class(place)
         h, place = h[order], place[order]
         group = self.class_of[place]
@@ -252,8 +257,8 @@ class CausalModel:
         gh *= 1 - h * h
         back = np.zeros_like(every) if not isinstance(use, slice) else np.empty_like(every)
         back[order if isinstance(use, slice) else use[order]] = gh
-        grads["w"], grads["b"] = (all_rows, (y + x).reshape(-1, width).T @ back), (all_rows, np.ones(len(back), kind) @ back)
-        gy = np.empty((*x.shape[:2], width + 1), x.dtype)
+        grads["w"], grads["b"] = (all_rows, (y + x[:, lead:]).reshape(-1, width).T @ back), (all_rows, np.ones(len(back), kind) @ back)
+        gy = np.empty((*y.shape[:2], width + 1), x.dtype)
         np.matmul(back, p["w"].T, out=gy.reshape(-1, width + 1)[:, :-1])
         # Less the mean of the weights' gradients, through the column of ones.
         np.einsum("bij,bij->bi", gy[..., :-1], y, out=gy[..., -1])
@@ -262,14 +267,15 @@ class CausalModel:
         ga = np.matmul(gy, v.transpose(0, 2, 1))
         ga *= e
         g_all = np.empty((*x.shape[:2], 3 * width), x.dtype)
-        g_all[..., :width] = np.matmul(ga, k)
-        g_all[..., :width] *= kind(width**-0.5)
+        g_all[:, :lead, :width] = 0
+        g_all[:, lead:, :width] = np.matmul(ga, k)
+        g_all[:, lead:, :width] *= kind(width**-0.5)
         g_all[..., width : 2 * width] = np.matmul(ga.transpose(0, 2, 1), q)
         g_all[..., 2 * width :] = np.matmul(e.transpose(0, 2, 1), gy[..., :-1])
         flat = g_all.reshape(-1, 3 * width)
         grads["qkv"] = (all_rows, x.reshape(-1, width).T @ flat)
         gx = flat @ p["qkv"].T
-        gx += gy.reshape(-1, width + 1)[:, :-1]
+        gx.reshape(x.shape)[:, lead:] += gy[..., :-1]
         grads["at"] = (all_rows, (np.ones(len(x), kind) @ gx.reshape(len(x), -1)).reshape(-1, width))
         read = inputs.ravel()
         order = np.argsort(read, kind="stable")
@@ -323,8 +329,11 @@ class CausalModel:
         for step in range(1, (steps or per_pass) + 1):
             turn = (step - 1) % per_pass
             if turn == 0:
+                # Windows with context ahead of what they score come together, so that nothing is computed for it but its keys and values.
                 order = rng.permutation(len(starts))
-            some = order[turn * batch : (turn + 1) * batch]
+                order = order[np.argsort(fresh[order] > starts[order], kind="stable")]
+                turns = rng.permutation(per_pass)
+            some = order[turns[turn] * batch : (turns[turn] + 1) * batch]
             place = starts[some, None] + steps_in
             index = first[owner[some], None] + place
             _, grads = self.gradients(places[index], flat[index], (place >= fresh[some, None]) & (place < n[owner[some], None]))
@@ -346,6 +355,8 @@ class CausalModel:
         """Log10 probability of each text (ids with the end id); every id is scored once."""
         w = self.window
         flat, places, owner, first, n, starts, fresh = self._spread(texts)
+        order = np.argsort(fresh > starts, kind="stable")  # those with context ahead together
+        owner, starts, fresh = owner[order], starts[order], fresh[order]
         total = np.zeros(len(texts))
         steps = np.arange(w)
         for a in range(0, len(owner), rows):

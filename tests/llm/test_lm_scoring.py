@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,46 @@ def test_folded_tables_give_the_same_states(counts, factor):
     places = np.stack([model.sequence(x) for x in ids])
     assert np.allclose(model._states(places), model._hidden(places)[0], atol=2e-4 if factor > 1 else 1e-5)
     assert np.isfinite(model.logp(places, ids, np.ones(ids.shape, bool))).all()
+
+
+def test_split_texts_give_the_same_words_and_ids():
+    """Words of many texts at once, with odd spaces, empty texts and words that hold a space of their own."""
+    texts = ["", None, " A  b\tc\x0bd\x0ce\rf\n", "\x1c\x1dx\x1fy\x85z w É İ", "  ", "x　y a\xa0b it's 12,5", "the the end "]
+    coder = lm_scoring.subwords(RANKS, P.PATTERN)
+    for part in (pa.array(texts), pa.array(texts)[2:6], pa.array([None], pa.string()), pa.array([], pa.string())):
+        found, n = lm_scoring.split(part)
+        want = [words(x) for x in part.to_pylist()]
+        assert n.tolist() == [len(w) for w in want] and found.to_pylist() == [w for own in want for w in own]
+        ids = [[i for w in own for i in coder.coding.encode_ordinary(" " + w.decode())] + [coder.size] for own in want]
+        assert [x.tolist() for x in coder.texts(found, n)] == ids
+    word = pa.array([b"ab", b"a\xffb", b"\xff", "a　".encode(), b"the"])
+    ids, size = coder.encode(word[1:])
+    assert ids.astype("<i4").tobytes() == b"".join(coder._encode(word[1:].to_pylist())) and size.sum() == len(ids)
+
+
+def test_context_alone_takes_no_states(counts, monkeypatch):
+    """Of a long text 24 states a window are computed in training and scoring, not 32; gradients stay the same."""
+    model = lm_scoring.CausalModel(counts)
+    seen, whole = [], lm_scoring.CausalModel._attend
+
+    def attend(self, kv, qx, *more):
+        seen.append(qx.shape[0] * qx.shape[1])
+        return whole(self, kv, qx, *more)
+
+    monkeypatch.setattr(lm_scoring.CausalModel, "_attend", attend)
+    ids = np.random.default_rng(6).integers(0, 300, 32 + 24 * 50)
+    model.score([ids])
+    assert sum(seen) == len(ids)
+    seen.clear()
+    model.train([ids])
+    assert sum(seen) == len(ids)
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(7)
+    key, g = rng.zipf(1.3, 3000) % 500, rng.standard_normal((3000, 5))
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    times = np.diff(np.append(first, len(key)))
+    for many in (1, 16, 10_000):
+        assert np.allclose(lm_scoring.sums_of_rows(g, order, first, times, many), np.add.reduceat(g[order], first, axis=0))

@@ -5,18 +5,33 @@ from __future__ import annotations
 import base64
 import copy
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.text import Memo, by_bytes, hold, words
+from tidemark.llm.text import by_bytes, hold
 
-# ---------------------------------------------------------------- subword ids
+# ---------------------------------------------------------------- words and subword ids
+
+
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts one after the other, each different one once, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return flat.filter(real).cast(pa.binary()).dictionary_encode(), np.diff(before[starts])
+
+
+#: What a tokenizer's pattern may take for a space, but the ASCII ones; and what stands for bytes that are no UTF-8.
+SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\ufffd]")
 
 
 class Subwords:
@@ -29,12 +44,56 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.coding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = len(ranks)
-        self.known = Memo(self._encode, 300_000)
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for word, rank in ranks.items():
+            self.bytes_of[rank] = len(word)
 
     def _encode(self, some: list[bytes]) -> list[bytes]:
         encode = self.coding.encode_ordinary
         return [np.array(encode(" " + w.decode("utf-8", "replace")), "<i4").tobytes() for w in some]
 
+    def known(self, some: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        ids, size = self.encode(pa.array(some, pa.binary()))
+        return [x.astype("<i4").tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] if some else []
+
+    def encode(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each word has.
+
+        Words and their spaces are encoded as one string: no id reaches over an ASCII space, but where a word has another
+        space in it, and then each word is encoded for itself. Ids are dealt to words by their bytes.
+        """
+        sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)  # a copy
+        if not len(sizes):
+            return np.empty(0, np.int32), sizes
+        start, end = some.offset, some.offset + len(some)
+        offsets = np.frombuffer(some.buffers()[1], np.int32)[start : end + 1]
+        letters = np.frombuffer(some.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        joined = np.insert(letters, offsets[:-1] - offsets[0], 32).tobytes().decode("utf-8", "replace")
+        if SPACES.search(joined):
+            odd = np.array([bool(SPACES.search(w.decode("utf-8", "replace"))) for w in some.to_pylist()])
+            own = [np.frombuffer(x, "<i4") for x in self._encode(some.filter(pa.array(odd)).to_pylist())]
+            ids, sizes[~odd] = self.encode(some.filter(pa.array(~odd)))
+            sizes[odd] = [len(x) for x in own]
+            of_odd, out = np.repeat(odd, sizes), np.empty(sizes.sum(), np.int32)
+            out[of_odd], out[~of_odd] = np.concatenate(own), ids
+            return out, sizes
+        ids = np.array(self.coding.encode_ordinary(joined), np.int32)
+        at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes + 1), "right")
+        return ids, np.diff(at, prepend=0)
+
+    def texts(self, found: pa.DictionaryArray, n: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, with the end's id last, from its words as :func:`split` gives them."""
+        table, size = self.encode(found.dictionary)
+        table, size = np.append(table, np.int32(self.size)), np.append(size, 1)  # a last word that is the end
+        starts = np.cumsum(size) - size
+        word = np.insert(found.indices.to_numpy(), np.cumsum(n), len(size) - 1)
+        size_of = size[word]
+        ends = np.cumsum(size_of)
+        place = np.arange(ends[-1] if len(ends) else 0)
+        place += np.repeat(starts[word] - (ends - size_of), size_of)
+        return np.split(table[place], ends[np.cumsum(n + 1) - 1][:-1]) if len(n) else []
+
 
 def subwords(path: str, pattern: str) -> Subwords:
     return hold(("subwords", path), lambda: Subwords(path, pattern))
@@ -45,6 +104,43 @@ def subwords(path: str, pattern: str) -> Subwords:
 #: Products that an exponential takes are cut to this size, so that sums of them stay finite and positive.
 LIMIT = 60.0
 
+
+def cut(x: np.ndarray) -> None:
+    np.minimum(x, x.dtype.type(LIMIT), out=x)
+    np.maximum(x, x.dtype.type(-LIMIT), out=x)
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by one exponential, which numpy has faster."""
+    x *= x.dtype.type(2)
+    np.minimum(x, x.dtype.type(LIMIT), out=x)
+    np.exp(x, out=x)
+    x += x.dtype.type(1)
+    np.divide(x.dtype.type(-2), x, out=x)
+    x += x.dtype.type(1)
+    return x
+
+
+def sums_of_rows(g: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, many: int = 16) -> np.ndarray:
+    """Sums of the rows of g in groups: the rows ``order[first[i] : first[i] + times[i]]`` are group i.
+
+    Groups of many rows are summed one by one, the others together, their n-th rows at a time.
+    """
+    out = np.empty((len(first), g.shape[1]), g.dtype)
+    large = np.flatnonzero(times > many)
+    ones = np.ones(times.max(initial=0), g.dtype)
+    for i in large:
+        out[i] = ones[: times[i]] @ np.take(g, order[first[i] : first[i] + times[i]], axis=0)
+    small = np.argsort(-np.where(times > many, 0, times), kind="stable")[: len(times) - len(large)]
+    begin, counts = first[small], times[small]
+    total = np.take(g, order[begin], axis=0)
+    for turn in range(1, int(counts.max(initial=0))):
+        some = np.searchsorted(-counts, -turn)  # those with more rows come first
+        total[:some] += np.take(g, order[begin[:some] + turn], axis=0)
+    out[small] = total
+    return out
+
+
 class CausalModel:
     """One causal attention layer that predicts the next id in two steps: its class, then its place in the class.
 
@@ -98,88 +194,99 @@ class CausalModel:
         starts = np.append(np.arange(0, n - w, step), n - w)
         return starts, np.append(0, starts[:-1] + w)
 
-    def _hidden(self, places: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Hidden states of (batch, window) input places, and what backpropagation needs."""
+    def _rows(self, x: np.ndarray, one: int) -> tuple[np.ndarray, np.ndarray]:
+        """Products of inputs with the weights: keys, values and ``one``; queries and what goes to the hidden layer as it is.
+
+        What attention and the hidden layer take from an input is linear in it, so it is a row of a table, and the hidden
+        layer's weights go into the values. The column of ones makes a product with the values sum the weights as well.
+        """
+        width = self.width
+        own = x @ self._joined()
+        ones = np.full((len(x), 1), one, own.dtype)
+        return np.concatenate([own[:, : -width - len(self.p["b"])], ones], 1), own[:, -width - len(self.p["b"]) :]
+
+    def _joined(self) -> np.ndarray:
+        """The weights of keys, values, queries and the hidden layer side by side."""
         p, width = self.p, self.width
-        x = p["ids"][places]
-        x += p["at"]
-        flat = x.reshape(-1, width)
-        # A last column of ones makes the products below sum the weights as well.
-        qkv = np.empty((len(flat), 3 * width + 1), flat.dtype)
-        np.matmul(flat, p["qkv"], out=qkv[:, :-1])
-        qkv[:, :width] *= flat.dtype.type(width**-0.5)
-        qkv[:, -1] = 1
-        qkv = qkv.reshape(*places.shape, -1)
-        q, k, v = qkv[..., :width], qkv[..., width : 2 * width], qkv[..., 2 * width :]
-        e = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(e, -LIMIT, LIMIT, out=e)
+        q, k, v = np.split(p["qkv"], 3, 1)
+        return np.concatenate([k, v @ p["w"], q * q.dtype.type(width**-0.5), p["w"]], 1)
+
+    def _attend(self, kv: np.ndarray, qx: np.ndarray, calm: bool = False) -> tuple[np.ndarray, tuple]:
+        """Hidden states of the last positions of windows, as many as have queries, and what backpropagation needs."""
+        width = self.width
+        e = np.matmul(qx[..., :width], kv[..., :width].transpose(0, 2, 1))
+        if not calm:
+            cut(e)
         np.exp(e, out=e)
-        e *= self.causal
-        mixed = np.matmul(e, v)
+        e *= self.causal[self.window - e.shape[1] :]
+        mixed = np.matmul(e, kv[..., width:])
         total = mixed[..., -1:]
         y = mixed[..., :-1] / total
-        h = (y + x).reshape(-1, width) @ p["w"]
-        h += p["b"]
-        np.tanh(h, out=h)
-        return h, (x, q, k, v, e, total, y)
+        h = y + qx[..., width:]
+        return tanh(h), (e, total, y)
+
+    def _hidden(self, places: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Hidden states of (batch, window) input places, and what backpropagation needs."""
+        kv, qx = self._rows(self.p["ids"], 1)
+        at_kv, at_qx = self._rows(self.p["at"], 0)
+        h, more = self._attend(kv[places] + at_kv, qx[places] + at_qx + np.append(np.zeros(self.width, qx.dtype), self.p["b"]))
+        return h.reshape(-1, h.shape[-1]), more
 
     def _by_class(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of targets by class, and where each class starts in it."""
         group = self.class_of[place]
         return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=self.n_classes + 1))])
 
-    def _fold(self) -> tuple[np.ndarray, np.ndarray, bool, bool]:
-        """Products of the inputs with the weights, by place and by position, made once for scoring.
+    def _calm(self, *tables: tuple[np.ndarray, np.ndarray]) -> tuple[bool, bool]:
+        """Whether no product of keys and queries, and none of hidden states and weights, can be so large that it has to be cut."""
+        p = self.p
+        longest = [sum(np.sqrt(np.square(t[i][:, : self.width]).sum(1).max(initial=0)) for t in tables) for i in (0, 1)]
+        reach = max(np.abs(p[k]).sum(axis).max() + np.abs(p[f"{k}_b"]).max() for k, axis in (("class", 0), ("member", 1)) if p[k].size)
+        return bool(longest[0] * longest[1] < LIMIT), bool(reach < LIMIT)
 
-        What attention and the hidden layer take from an input is linear in it, so it is a row of a table, and the hidden
-        layer's weights go into the values. Last, whether no product can be so large that it has to be cut.
+    def _fold(self) -> tuple[tuple, tuple, bool, bool]:
+        """The rows of :meth:`_rows` by place and by position, made once for scoring.
+
+        Last, whether no product can be so large that it has to be cut.
         """
         if self._tables is None:
-            p, width = self.p, self.width
-            own = np.split(p["qkv"], 3, 1)
-            make = lambda x, one: np.concatenate([x @ own[0] * np.float32(width**-0.5), x @ own[1], x @ own[2] @ p["w"], np.full((len(x), 1), one, np.float32), x @ p["w"]], 1)
-            tables = make(p["ids"], 1), make(p["at"], 0)
-            tables[1][:, -len(p["b"]) :] += p["b"]
-            longest = lambda a, b: sum(np.sqrt((t[:, a:b] ** 2).sum(1).max()) for t in tables)
-            calm = bool(longest(0, width) * longest(width, 2 * width) < LIMIT)
-            reach = max(np.abs(p[k]).sum(axis).max() + np.abs(p[f"{k}_b"]).max() for k, axis in (("class", 0), ("member", 1)) if p[k].size)
-            self._tables = *tables, calm, bool(reach < LIMIT)
+            p = self.p
+            ids, at = self._rows(p["ids"], 1), self._rows(p["at"], 0)
+            at[1][:, self.width :] += p["b"]
+            self._tables = tuple(map(np.ascontiguousarray, ids)), at, *self._calm(ids, at)
         return self._tables
 
-    def _states(self, places: np.ndarray) -> np.ndarray:
-        """As :meth:`_hidden`, by the tables of :meth:`_fold`."""
-        table, at, calm, _ = self._fold()
-        width, hidden = self.width, len(self.p["b"])
-        z = np.take(table, places, axis=0)
-        z += at
-        e = np.matmul(z[..., :width], z[..., width : 2 * width].transpose(0, 2, 1))
-        if not calm:
-            np.clip(e, -LIMIT, LIMIT, out=e)
-        np.exp(e, out=e)
-        e *= self.causal
-        mixed = np.matmul(e, z[..., 2 * width : 2 * width + hidden + 1])
-        h = mixed[..., :-1] / mixed[..., -1:]
-        h += z[..., -hidden:]
-        np.tanh(h, out=h)
-        return h.reshape(-1, hidden)
+    def _states(self, places: np.ndarray, skip: int = 0) -> np.ndarray:
+        """As :meth:`_hidden`, by the tables of :meth:`_fold`, without the first ``skip`` positions of each window."""
+        (kv, qx), (at_kv, at_qx), calm, _ = self._fold()
+        kv, qx = np.take(kv, places, axis=0), np.take(qx, places[:, skip:], axis=0)
+        kv += at_kv
+        qx += at_qx[skip:]
+        h = self._attend(kv, qx, calm)[0]
+        return h.reshape(-1, h.shape[-1])
+
+    def _leads(self, scored: np.ndarray) -> np.ndarray:
+        """Of windows: whether their first positions are scored as well, not context alone."""
+        return scored[:, : self.overlap].any(1)
 
     def logp(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the target ids at the scored positions of (batch, window) input places."""
         p, some = self.p, 64  # windows whose attention fits in a core's cache
         calm = self._fold()[3]
+        skip = 0 if self._leads(scored).any() else self.overlap
         place = self.place[targets[scored]]
         group = self.class_of[place]
         ones = np.ones(max(self.n_classes + 1, int(np.diff(self.cuts).max(initial=0))), np.float32)
         rows = np.arange(len(place))
         states, out, at = np.empty((len(place), len(p["b"])), np.float32), np.empty(len(place), np.float32), 0
         for a in range(0, len(inputs), some):
-            h = self._states(inputs[a : a + some])[scored[a : a + some].ravel()]
+            h = self._states(inputs[a : a + some], skip)[scored[a : a + some, skip:].ravel()]
             end = at + len(h)
             states[at:end] = h
             logits = h @ p["class"]
             logits += p["class_b"]
             if not calm:
-                np.clip(logits, -LIMIT, LIMIT, out=logits)
+                cut(logits)
             out[at:end] = logits[rows[: len(h)], group[at:end]]
             np.exp(logits, out=logits)
             out[at:end] -= np.log(logits @ ones[: self.n_classes + 1])
@@ -192,7 +299,7 @@ class CausalModel:
                 own = h[a:b] @ p["member"][low:high].T
                 own += p["member_b"][low:high]
                 if not calm:
-                    np.clip(own, -LIMIT, LIMIT, out=own)
+                    cut(own)
                 inner[a:b] = own[rows[: b - a], place[a:b] - low]
                 np.exp(own, out=own)
                 inner[a:b] -= np.log(own @ ones[: high - low])
@@ -205,28 +312,55 @@ class CausalModel:
 
         Each gradient comes with the rows that it is of; the other rows of that table have none.
         """
-        p, width = self.p, self.width
-        every, (x, q, k, v, e, total, y) = self._hidden(inputs)
-        kind = every.dtype.type
-        use = slice(None) if scored is None or scored.all() else np.flatnonzero(scored)
-        h = every[use]
-        n, place = len(h), self.place[targets.ravel()[use]]
-        order, starts = self._by_class(place)
-        h, place = h[order], place[order]
+        p, width, hidden = self.p, self.width, len(self.p["b"])
+        scored = np.ones(inputs.shape, bool) if scored is None else scored
+        leads = self._leads(scored)
+        turn = np.argsort(leads, kind="stable")  # windows whose first positions are context alone come first
+        inputs, targets, scored = inputs[turn], targets[turn], scored[turn]
+        some = len(leads) - int(leads.sum())
+        # Rows of the different inputs, dealt to all positions.
+        read = inputs.ravel()
+        order = np.argsort(read, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) != 0]))
+        used, times = read[order[first]], np.diff(np.append(first, len(read)))
+        inverse = np.empty(len(read), np.int64)
+        inverse[order] = np.repeat(np.arange(len(used)), times)
+        inverse = inverse.reshape(inputs.shape)
+        x = p["ids"][used]
+        kv, qx = self._rows(x, 1)
+        at_kv, at_qx = self._rows(p["at"], 0)
+        at_qx[:, width:] += p["b"]
+        calm, calm_out = self._calm((kv, qx), (at_kv, at_qx))
+        kind = kv.dtype.type
+        kv = np.take(kv, inverse, axis=0)
+        kv += at_kv
+        qx = np.ascontiguousarray(qx)
+        parts = []
+        for a, b, skip in ((0, some, self.overlap), (some, len(inputs), 0)):
+            if a < b:
+                own = np.take(qx, inverse[a:b, skip:], axis=0)
+                own += at_qx[skip:]
+                parts.append((a, b, skip, own, *self._attend(kv[a:b], own, calm)))
+        every = [(h.reshape(-1, hidden), np.flatnonzero(scored[a:b, skip:]), targets[a:b, skip:]) for a, b, skip, _, h, _ in parts]
+        h = np.concatenate([np.take(h, use, axis=0) for h, use, _ in every])
+        place = self.place[np.concatenate([t.ravel()[use] for _, use, t in every])]
+        n, (by_class, starts) = len(h), self._by_class(place)
+        h, place = np.take(h, by_class, axis=0), place[by_class]
+        scaled = h * kind(1 / n)
         group = self.class_of[place]
+        rows = np.arange(n)
         logits = h @ p["class"]
         logits += p["class_b"]
-        np.clip(logits, -LIMIT, LIMIT, out=logits)
+        if not calm_out:
+            cut(logits)
         np.exp(logits, out=logits)
         logits /= (logits @ np.ones(self.n_classes + 1, kind))[:, None]
-        rows = np.arange(n)
         loss = -np.log(logits[rows, group]).sum()
         logits[rows, group] -= 1
-        logits *= kind(1 / n)
-        all_rows = slice(None)
-        grads = {"class": (all_rows, h.T @ logits), "class_b": (all_rows, np.ones(n, kind) @ logits)}
+        all_rows, ones = slice(None), np.ones(n, kind)
+        grads = {"class": (all_rows, scaled.T @ logits), "class_b": (all_rows, (ones @ logits) * kind(1 / n))}
         gh = logits @ p["class"].T
-        touched, members, biases = [], [], []
+        touched, members, biases, chosen = [], [], [], np.ones(n, kind)
         for c in range(self.n_classes):
             a, b, low, high = starts[c], starts[c + 1], self.cuts[c], self.cuts[c + 1]
             if a == b:
@@ -234,48 +368,56 @@ class CausalModel:
             weights = p["member"][low:high]
             own = h[a:b] @ weights.T
             own += p["member_b"][low:high]
-            np.clip(own, -LIMIT, LIMIT, out=own)
+            if not calm_out:
+                cut(own)
             np.exp(own, out=own)
             own /= (own @ np.ones(high - low, kind))[:, None]
-            at = place[a:b] - low
-            loss -= np.log(own[rows[: b - a], at]).sum()
-            own[rows[: b - a], at] -= 1
-            own *= kind(1 / n)
+            target = rows[: b - a] * (high - low)
+            target += place[a:b]
+            target -= low
+            flat = own.reshape(-1)
+            np.take(flat, target, out=chosen[a:b], mode="clip")
+            flat[target] = chosen[a:b] - 1
             touched.append(np.arange(low, high))
-            members.append(own.T @ h[a:b])
-            biases.append(np.ones(b - a, kind) @ own)
+            members.append(own.T @ scaled[a:b])
+            biases.append(ones[a:b] @ own)
             gh[a:b] += own @ weights
-        loss -= float(self.unseen_logp) * (n - starts[-2])
+        loss -= np.log(chosen).sum() + float(self.unseen_logp) * (n - starts[-2])
         if touched:
             at = np.concatenate(touched)
-            grads["member"], grads["member_b"] = (at, np.concatenate(members)), (at, np.concatenate(biases))
-        gh *= 1 - h * h
-        back = np.zeros_like(every) if not isinstance(use, slice) else np.empty_like(every)
-        back[order if isinstance(use, slice) else use[order]] = gh
-        grads["w"], grads["b"] = (all_rows, (y + x).reshape(-1, width).T @ back), (all_rows, np.ones(len(back), kind) @ back)
-        gy = np.empty((*x.shape[:2], width + 1), x.dtype)
-        np.matmul(back, p["w"].T, out=gy.reshape(-1, width + 1)[:, :-1])
-        # Less the mean of the weights' gradients, through the column of ones.
-        np.einsum("bij,bij->bi", gy[..., :-1], y, out=gy[..., -1])
-        np.negative(gy[..., -1], out=gy[..., -1])
-        e /= total
-        ga = np.matmul(gy, v.transpose(0, 2, 1))
-        ga *= e
-        g_all = np.empty((*x.shape[:2], 3 * width), x.dtype)
-        g_all[..., :width] = np.matmul(ga, k)
-        g_all[..., :width] *= kind(width**-0.5)
-        g_all[..., width : 2 * width] = np.matmul(ga.transpose(0, 2, 1), q)
-        g_all[..., 2 * width :] = np.matmul(e.transpose(0, 2, 1), gy[..., :-1])
-        flat = g_all.reshape(-1, 3 * width)
-        grads["qkv"] = (all_rows, x.reshape(-1, width).T @ flat)
-        gx = flat @ p["qkv"].T
-        gx += gy.reshape(-1, width + 1)[:, :-1]
-        grads["at"] = (all_rows, (np.ones(len(x), kind) @ gx.reshape(len(x), -1)).reshape(-1, width))
-        read = inputs.ravel()
-        order = np.argsort(read, kind="stable")
-        read = read[order]
-        first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
-        grads["ids"] = (read[first], np.add.reduceat(gx[order], first, axis=0))
+            grads["member"], grads["member_b"] = (at, np.concatenate(members)), (at, np.concatenate(biases) * kind(1 / n))
+        h *= -h
+        h += 1
+        gh *= h
+        gh *= kind(1 / n)
+        back = np.empty_like(gh)
+        back[by_class] = gh
+        # The gradients of all positions' rows: keys, values, queries, hidden layer.
+        g, done = np.empty((*inputs.shape, 2 * (width + hidden)), kind), 0
+        g[:some, : self.overlap, width + hidden :] = 0
+        for (a, b, skip, q, _, (e, total, y)), (_, use, _) in zip(parts, every, strict=True):
+            gy = np.zeros((y.shape[0] * y.shape[1], hidden + 1), kind)
+            gy[use, :-1] = back[done : done + len(use)]
+            done += len(use)
+            gy = gy.reshape(*y.shape[:2], -1)
+            # Less the mean of the weights' gradients, through the column of ones.
+            np.einsum("bij,bij->bi", gy[..., :-1], y, out=gy[..., -1])
+            np.negative(gy[..., -1], out=gy[..., -1])
+            e /= total
+            ga = np.matmul(gy, kv[a:b, :, width:].transpose(0, 2, 1))
+            ga *= e
+            own = g[a:b]
+            own[..., :width] = np.matmul(ga.transpose(0, 2, 1), q[..., :width])
+            own[..., width : width + hidden] = np.matmul(e.transpose(0, 2, 1), gy[..., :-1])
+            own[:, skip:, width + hidden : -hidden] = np.matmul(ga, kv[a:b, :, :width])
+            own[:, skip:, -hidden:] = gy[..., :-1]
+        at = (np.ones(len(g), kind) @ g.reshape(len(g), -1)).reshape(self.window, -1)
+        g = sums_of_rows(g.reshape(-1, g.shape[-1]), order, first, times)
+        joined = self._joined()
+        grads["ids"], grads["at"], grads["b"] = (used, g @ joined.T), (all_rows, at @ joined.T), (all_rows, at[:, -hidden:].sum(0))
+        k, v, q, w = np.split(x.T @ g + p["at"].T @ at, np.cumsum([width, hidden, width]), 1)
+        grads["qkv"] = (all_rows, np.concatenate([q * kind(width**-0.5), k, v @ p["w"].T], 1))
+        grads["w"] = (all_rows, p["qkv"][:, 2 * width :].T @ v + w)
         return float(loss) / n, grads
 
     def sequence(self, ids: np.ndarray) -> np.ndarray:
@@ -316,6 +458,7 @@ class CausalModel:
         rng = np.random.default_rng(seed)
         w, self._tables = self.window, None
         flat, places, owner, first, n, starts, fresh = self._spread(texts)
+        places = places.astype(np.min_scalar_type(self.start))  # numbers of 16 bits are sorted faster
         steps_in = np.arange(w)
         per_pass = -(-len(starts) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -330,17 +473,30 @@ class CausalModel:
             _, grads = self.gradients(places[index], flat[index], (place >= fresh[some, None]) & (place < n[owner[some], None]))
             pace = np.float32(rate * min(1.0, 2 * (1 - span[0] - (span[1] - span[0]) * step / ((steps or per_pass) + 1))) / (1 - 0.9**step))
             soft = np.float32(1 / (1 - 0.99**step))
+            # m and v are kept as sums without their factors 0.1 and 0.01.
+            scale = np.sqrt(np.float32(0.01) * soft)
             for k, (at, g) in grads.items():
-                # Of the tables by id only the rows that a batch touches move.
-                new_m, new_v = m[k][at], v[k][at]
-                new_m += np.float32(0.1) * (g - new_m)
-                new_v += np.float32(0.01) * (g * g - new_v)
-                m[k][at], v[k][at] = new_m, new_v
-                move = np.sqrt(new_v * soft)
-                move += np.float32(1e-8)
-                np.divide(new_m, move, out=move)
-                move *= pace
-                self.p[k][at] -= move
+                # Of the tables by id only the rows that a batch touches move; neighbours move without a copy.
+                cuts = [] if isinstance(at, slice) else np.flatnonzero(np.diff(at) != 1) + 1
+                if len(cuts) > 8 or isinstance(at, slice):
+                    some = [(at, g)]
+                else:
+                    ends = [0, *cuts, len(at)]
+                    some = [(slice(int(at[i]), int(at[j - 1]) + 1), g[i:j]) for i, j in zip(ends, ends[1:])]
+                for rows, g in some:
+                    new_m, new_v = m[k][rows], v[k][rows]
+                    new_m *= np.float32(0.9)
+                    new_m += g
+                    new_v *= np.float32(0.99)
+                    g *= g
+                    new_v += g
+                    if not isinstance(rows, slice):
+                        m[k][rows], v[k][rows] = new_m, new_v
+                    np.sqrt(new_v, out=g)
+                    g += np.float32(1e-8) / scale
+                    np.divide(new_m, g, out=g)
+                    g *= np.float32(0.1) * pace / scale
+                    self.p[k][rows] -= g
 
     def score(self, texts: list[np.ndarray], rows: int = 512) -> np.ndarray:
         """Log10 probability of each text (ids with the end id); every id is scored once."""
@@ -348,14 +504,16 @@ class CausalModel:
         flat, places, owner, first, n, starts, fresh = self._spread(texts)
         total = np.zeros(len(texts))
         steps = np.arange(w)
-        for a in range(0, len(owner), rows):
-            own, begin = owner[a : a + rows], starts[a : a + rows]
-            place = begin[:, None] + steps
-            scored = (place >= fresh[a : a + rows, None]) & (place < n[own, None])
-            index = first[own, None] + place
-            logp = self.logp(places[index], flat[index], scored)
-            by_window = np.add.reduceat(logp.astype(np.float64), np.concatenate([[0], np.cumsum(scored.sum(1))[:-1]]))
-            np.add.at(total, own, by_window)
+        leads = fresh - starts < self.overlap
+        for some in (np.flatnonzero(~leads), np.flatnonzero(leads)):  # the first have context that needs no states
+            for a in range(0, len(some), rows):
+                at = some[a : a + rows]
+                own, place = owner[at], starts[at, None] + steps
+                scored = (place >= fresh[at, None]) & (place < n[own, None])
+                index = first[own, None] + place
+                logp = self.logp(places[index], flat[index], scored)
+                by_window = np.add.reduceat(logp.astype(np.float64), np.concatenate([[0], np.cumsum(scored.sum(1))[:-1]]))
+                np.add.at(total, own, by_window)
         return total / np.log(10)
 
 
@@ -366,22 +524,28 @@ def word_counts(docs: DataFrame, text: str = "text", batch_bytes: int = 8 << 20)
     """word (binary), count: words of all texts; a null word is the end of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        ends = 0
+        held: list[pa.Table] = []
+        ends = rows = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*held, None], pa.binary()), pa.array([*held.values(), ends], pa.int64())], ["word", "n"])
+        def tallied() -> list[pa.Table]:
+            return [pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])] if held else []
 
         for batch in batches:
             for part in by_bytes(batch, "text", batch_bytes):
-                for x in part.column("text").to_pylist():
-                    held.update(words(x))
-                ends += part.num_rows
-                if len(held) > 500_000:
-                    yield out()
-                    held.clear()
-                    ends = 0
-        yield out()
+                found, n = split(part.column("text"))
+                times = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                held.append(pa.table([found.dictionary, pa.array(times, pa.int64())], ["word", "n"]))
+                ends += len(n)
+                rows += len(times)
+                if rows > 1_000_000:
+                    held = tallied()
+                    rows = len(held[0])
+                if rows > 500_000:
+                    yield from held[0].to_batches() if len(held) == 1 else tallied()[0].to_batches()
+                    held, rows = [], 0
+        for table in tallied():
+            yield from table.to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -394,11 +558,11 @@ def subword_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
         coder = subwords(path, pattern)
         total = np.zeros(coder.size + 1, np.int64)
         for batch in batches:
-            some, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            ids = [np.frombuffer(x, "<i4") for x in coder._encode([w for w in some if w is not None])]
-            inner = np.array([w is not None for w in some], bool)
-            if ids:
-                np.add.at(total, np.concatenate(ids), np.repeat(n[inner], [len(x) for x in ids]))
+            some, n = batch.column("word"), batch.column("n").to_numpy()
+            inner = some.is_valid()
+            ids, size = coder.encode(some.filter(inner))
+            inner = inner.to_numpy(zero_copy_only=False)
+            np.add.at(total, ids, np.repeat(n[inner], size))
             total[-1] += n[~inner].sum()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
@@ -430,9 +594,8 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
 
         def run(group: pa.Table) -> pa.Table:  # runs before the next round begins
             model, coder = copy.deepcopy(shared.value), subwords(tokenizer, pattern)
-            end = np.array([coder.size], np.int32)
             group = group.sort_by([("place", "ascending"), ("text", "ascending")])
-            texts = [np.concatenate([np.frombuffer(b"".join(coder.known(words(x))), "<i4"), end]) for x in group.column("text").to_pylist()]
+            texts = [x for batch in group.to_batches() for piece in by_bytes(batch, "text", 4 << 20) for x in coder.texts(*split(piece.column("text")))]
             batch = 128
             model.train(texts, passes * -(-model.n_windows(texts) // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
             n = sum(map(len, texts))
@@ -482,7 +645,7 @@ def score_documents(
     text: str = "text",
     head: int = 200_000,
     unit: int = 64,
-    batch_bytes: int = 1 << 20,
+    batch_bytes: int = 4 << 20,
     passes: int = 1,
 ) -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score.
@@ -507,37 +670,33 @@ def score_documents(
         least, held = level, held + n
     top = {bytes(r.word): r.n for r in frequent.filter(F.col("level") >= least).collect()} if held else {}
 
-    coder = subwords(tokenizer, pattern)
     seen = subword_counts(counts, tokenizer, pattern)
     model = CausalModel(seen)
     fit(model, training, tokenizer, pattern, seen.sum(), key, text, passes=passes)
-    end = np.array([coder.size], np.int32)
-    shared = spark.sparkContext.broadcast((model, top))
+    # Words that aren't sent to tasks come last and have no count there.
+    shared = spark.sparkContext.broadcast((model, pa.array(list(top), pa.binary()), np.array([*top.values(), 0], np.float64)))
     kind = docs.schema[key].dataType.simpleString()
     bottom = n_all + 0.5 * (n_distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = shared.value
+        model, top, top_n = shared.value
         coder = subwords(tokenizer, pattern)
-        get = top.get
         for batch in batches:
             for part in by_bytes(batch, "text", batch_bytes):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                ids = []
-                for x in part.column("text").to_pylist():
-                    own = words(x)
-                    found = [get(w, 0) for w in own]
-                    known = np.array(found, np.float64)
-                    rare = Counter(w for w, n in zip(own, found, strict=True) if not n)
-                    seen = known[known > 0]
-                    base = np.log10(seen + 0.5).sum() + np.log10(n_ends + 0.5)
-                    for column, value in zip(out, (len(own) + 1, len(seen) + (n_ends > 0), base, list(rare), list(rare.values())), strict=True):
-                        column.append(value)
-                    ids.append(np.concatenate([np.frombuffer(b"".join(coder.known(own)), "<i4"), end]))
-                score = model.score(ids)
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), *columns, pa.array(score)], ["key", "n_tokens", "n_known", "base", "rare", "times", "score"])
+                found, n = split(part.column("text"))
+                index, text_of = found.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
+                at = pc.fill_null(pc.index_in(found.dictionary, value_set=top), len(top_n) - 1)
+                times = top_n[at.to_numpy(zero_copy_only=False)][index]
+                seen = times > 0
+                by_text = lambda at, x=None: np.bincount(text_of[at], x, len(n))  # noqa: B023, E731
+                base = by_text(seen, np.log10(times[seen] + 0.5)) + np.log10(n_ends + 0.5)
+                pairs, repeats = np.unique(text_of[~seen] * len(found.dictionary) + index[~seen], return_counts=True)
+                owner, rare = np.divmod(pairs, max(1, len(found.dictionary)))
+                offsets = pa.array(np.searchsorted(owner, np.arange(len(n) + 1)), pa.int32())
+                lists = (pa.ListArray.from_arrays(offsets, x) for x in (found.dictionary.take(pa.array(rare)), pa.array(repeats, pa.int64())))
+                score = model.score(coder.texts(found, n))
+                columns = [pa.array(n + 1, pa.int64()), pa.array(by_text(seen) + (n_ends > 0), pa.int64()), pa.array(base), *lists, pa.array(score)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *columns], ["key", "n_tokens", "n_known", "base", "rare", "times", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {kind}, n_tokens long, n_known long, base double, rare array<binary>, times array<long>, score double"

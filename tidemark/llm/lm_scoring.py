@@ -595,7 +595,7 @@ def fit(model: CausalModel, training: DataFrame, tokenizer: str, pattern: str, t
         def run(group: pa.Table) -> pa.Table:  # runs before the next round begins
             model, coder = copy.deepcopy(shared.value), subwords(tokenizer, pattern)
             group = group.sort_by([("place", "ascending"), ("text", "ascending")])
-            texts = [x for batch in group.to_batches() for piece in by_bytes(batch, "text", 4 << 20) for x in coder.texts(*split(piece.column("text")))]
+            texts = [x for batch in group.to_batches() for piece in by_bytes(batch, "text", 1 << 20) for x in coder.texts(*split(piece.column("text")))]
             batch = 128
             model.train(texts, passes * -(-model.n_windows(texts) // batch), batch, span=(turn / rounds, (turn + 1) / rounds))
             n = sum(map(len, texts))
@@ -645,7 +645,7 @@ def score_documents(
     text: str = "text",
     head: int = 200_000,
     unit: int = 64,
-    batch_bytes: int = 4 << 20,
+    batch_bytes: int = 1 << 20,
     passes: int = 1,
 ) -> DataFrame:
     """One row per document: key, n_tokens, n_known, train_tokens, base_score, score.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bronze, loss, network, sketches
 from tidemark.plans import registry
 from tidemark.sources.adapters import Feeds
-from tidemark.sources.stored import shared_dir
+from tidemark.sources.stored import shared_dir, store
 from tidemark.streaming import streams
 
 D0 = dt.datetime(2024, 1, 1)
@@ -105,3 +105,43 @@ def test_orders_joined_within_their_key(spark):
     assert rows(bronze.shipments(events, orders, "2024-01-02", "k")) == rows(bronze.shipments(events, orders, "2024-01-02"))
     plan = bronze.shipments(Feeds(spark, SMALL).carrier(), Feeds(spark, SMALL).purchase_orders(), "2001-11-05", "l_orderkey")._jdf.queryExecution().optimizedPlan().toString()
     assert "_po" in plan
+
+
+def test_pressure_is_the_product_of_flows_and_scenarios(spark):
+    """Suppliers in several blocks, more scenarios than stand side by side, parallel flows and a repeated row of a scenario."""
+    rng = random.Random(3)
+    hits = [(w, s, int(rng.random() < 0.3)) for w in range(-5, 1500) for s in rng.sample(range(12), 3)] + [(7, 3, 1)]
+    edges = [(rng.randrange(12), rng.randrange(-600, 600), rng.random() / 2) for _ in range(900)] + [(1, 2, 0.2), (1, 2, 0.2)]
+    want = {}
+    for w, s, hit in hits:
+        for a, b, c in edges:
+            if hit and a == s:
+                want[w, b] = want.get((w, b), 0) + c
+    found = loss.under_pressure(spark.createDataFrame(hits, "scenario_id int, supplier_id long, disrupted int"), spark.createDataFrame(edges, "src long, dst long, c double"), 0.5)
+    assert sorted((r.scenario_id, r.supplier_id) for r in found.collect()) == sorted(k for k, v in want.items() if round(v, 8) > 0.5)
+
+
+def test_flows_by_order_are_shuffled_twice(spark):
+    """By order, then by source: lines were shuffled three times on each side before, and pairs twice more."""
+    edges = Feeds(spark, SMALL).order_edges()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    lines = [(r.l_orderkey, r.l_suppkey, r.l_extendedprice) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_extendedprice").collect()]
+    of, want = {}, {}
+    for o, s, v in lines:
+        of.setdefault(o, []).append((s, v))
+    for rows in of.values():
+        for a, v in rows:
+            for b, _ in rows:
+                if a != b:
+                    want[a, b] = want.get((a, b), 0) + v
+    found = {(r.src, r.dst): r.flow_volume for r in edges.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 0.011 for k in want)
+
+
+def test_shuffles_of_a_stored_table_are_freed(spark):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    stored = store(spark.range(1000).repartition(3, "id").groupBy("id").count(), "freed")
+    assert files() <= before
+    assert stored.count() == 1000

@@ -145,3 +145,27 @@ def test_shuffles_of_a_stored_table_are_freed(spark):
     stored = store(spark.range(1000).repartition(3, "id").groupBy("id").count(), "freed")
     assert files() <= before
     assert stored.count() == 1000
+
+
+def test_flows_by_part_and_day_are_shuffled_twice(spark):
+    """By part and day, then by source; lines were shuffled three times on each side before."""
+    edges = Feeds(spark, SMALL).edges()
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    of, want = {}, {}
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect():
+        of.setdefault((r.l_partkey, r.l_shipdate), []).append((r.l_suppkey, r.l_extendedprice))
+    for rows in of.values():
+        for a, v in rows:
+            for b, _ in rows:
+                if a != b:
+                    want[a, b] = want.get((a, b), 0) + v
+    found = {(r.src, r.dst): r.flow_volume for r in edges.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 0.011 for k in want)
+
+
+def test_edges_are_derived_once_for_a_fit(spark, monkeypatch):
+    calls = []
+    edges = Feeds.edges
+    monkeypatch.setattr(Feeds, "edges", lambda self: calls.append(1) or edges(self))
+    rows = registry.queries()["contagion_lr"](spark, SMALL)
+    assert len(calls) == 1 and "lineitem" not in "".join(rows.inputFiles())

@@ -249,9 +249,9 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
 def edge_contagion(nodes: DataFrame, edges: DataFrame, features: list[str]) -> DataFrame:
     """src, dst, p: chance of contagion along each edge, from the features of both ends and the flow."""
     ends = [nodes.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in features)) for end in ("src", "dst")]
-    joined = edges.join(ends[0], "src").join(ends[1], "dst")
     names = [f"{end}_{c}" for end in ("src", "dst") for c in features] + ["c"]
-    ready = assemble(joined, names)
+    joined = edges.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "contagion_label", *names)
+    ready = assemble(store(joined, "contagion-rows"), names)  # for the fit and the scores
     return probability(LogisticRegression(labelCol="contagion_label", featuresCol="features").fit(ready), ready).select("src", "dst", "p")
 
 

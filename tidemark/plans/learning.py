@@ -117,8 +117,9 @@ def ensemble_eval(spark: SparkSession, d: str) -> DataFrame:
 @register("contagion_lr")
 def contagion_lr(spark: SparkSession, d: str) -> DataFrame:
     f = Feeds(spark, d)
-    hops = network.mean_neighbours(nodes(f), f.edges(), ["p"])
-    return models.edge_contagion(hops, f.edges(), ["p", "p_hop1", "p_hop2"])
+    edges = store(f.edges(), "edges")  # read for each hop and for the rows, which themselves are read for the fit and the scores
+    hops = store(network.mean_neighbours(nodes(f), edges, ["p"]), "hops")
+    return models.edge_contagion(hops, edges, ["p", "p_hop1", "p_hop2"])
 
 
 @register("node_risk")

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bronze, loss, network, sketches
-from tidemark.plans import registry
+from tidemark.operators import bronze, loss, models, network, scoring, sketches
+from tidemark.plans import learning, registry
 from tidemark.sources.adapters import Feeds
 from tidemark.sources.stored import shared_dir, store
 from tidemark.streaming import streams
@@ -169,3 +169,24 @@ def test_edges_are_derived_once_for_a_fit(spark, monkeypatch):
     monkeypatch.setattr(Feeds, "edges", lambda self: calls.append(1) or edges(self))
     rows = registry.queries()["contagion_lr"](spark, SMALL)
     assert len(calls) == 1 and "lineitem" not in "".join(rows.inputFiles())
+
+
+def test_scores_of_rows_are_those_of_their_keys(spark):
+    """Rows keep what they carry, repeated keys are summed as one, and nothing is joined for it."""
+    rng = random.Random(5)
+    rows = [(i % 190, rng.randrange(9) / 3, rng.random() if rng.random() < 0.9 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, own long")
+    found = scoring.row_scores(store(scoring.tail_rows(df, df, ["a", "b"], ["k", "own"]), "rows"), "k")
+    want = {r.k: r.score for r in scoring.tail_scores(df, "k", "a", "b").collect()}
+    assert sorted(r.own for r in found.collect()) == list(range(200))
+    assert all(abs(r.score - want[r.k]) < 1e-12 for r in found.collect())
+    forest = models.isolation_forest(df, "k", ["a", "b"], trees=5, sample=32, carried=["own", "b"])
+    assert forest.columns == ["k", "own", "b", "iso_score"] and {(r.own, r.b) for r in forest.collect()} == {(r[3], r[2] or 0.0) for r in rows}
+
+
+def test_ensemble_keeps_labels_and_scores_alone(spark, monkeypatch):
+    """Shipments with all their columns, and scores joined by order, were stored before."""
+    kept = []
+    monkeypatch.setattr(learning, "store", lambda df, name: kept.append((name, df.columns)) or store(df, name))
+    assert registry.queries()["ensemble_eval"](spark, SMALL).first().n_samples > 0
+    assert kept == [("labels", ["po_id", "label"]), ("forest-tails", ["po_id", "iso_score", "_raw"])]

@@ -201,15 +201,16 @@ def _flat(tree: pd.DataFrame) -> tuple:
     return np.where(leaf, 0, feature), cut, np.where(leaf, itself, low), np.where(leaf, itself, high), depth + _mean_path(size), int(depth.max())
 
 
-def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 200, sample: int = 256, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """key, iso_score in [0, 1]: trees are grown in parallel on samples of ``sample`` rows, then sent to all tasks.
+def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int = 200, sample: int = 256, share: float = 0.8, seed: int = 42, carried: list[str] | None = None) -> DataFrame:
+    """key, columns ``carried`` (features with nulls as 0), iso_score in [0, 1]: trees are grown in parallel on samples of ``sample`` rows, then sent to all tasks.
 
     Rows are drawn for a tree by their hash, about twice the sample's size, and each tree keeps those of least hash.
     The forest has at most trees * 2 * sample nodes. The score is that of the paths, 2 to the power of minus the mean path
     over the expected one, by 0.5 and cut at 1.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
+    carried = carried or []
+    rows = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features), *(c for c in carried if c not in features))
     n = rows.count()
     space = 1 << 40
     odds = min(1.0, 2 * sample / max(n, 1))
@@ -240,10 +241,10 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
                     at = np.where(x[each + feature[at]] <= cut[at], low[at], high[at])
                 total += path[at]
             s = 2 ** (-total / max(1, len(shared.value)) / max(norm, 1e-9))
-            yield pd.DataFrame({"key": frame["key"], "iso_score": np.clip(s / 0.5, 0, 1)})
+            yield frame[["key", *carried]].assign(iso_score=np.clip(s / 0.5, 0, 1))
 
-    kind = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(score, f"key {kind}, iso_score double").withColumnRenamed("key", key)
+    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in ["key", *carried])
+    return rows.mapInPandas(score, f"{kept}iso_score double").withColumnRenamed("key", key)
 
 
 def edge_contagion(nodes: DataFrame, edges: DataFrame, features: list[str]) -> DataFrame:

@@ -53,19 +53,39 @@ def _spread_join(rows: DataFrame, feature: str, table: DataFrame) -> DataFrame:
     return rows.withColumn("_f", F.coalesce("_hot", "_cold")).drop("_k", "_t", "_v", "_s", "_hot", "_cold")
 
 
-def tail_table(df: DataFrame, key: str, *features: str) -> DataFrame:
-    """key and raw, the tails of each feature's empirical distribution at the row's value, summed over the rows of a key.
+def tail_rows(df: DataFrame, of: DataFrame, features: list[str], kept: list[str]) -> DataFrame:
+    """``kept`` and _raw of each row: the tails of the features' distributions in ``of`` at the row's values. Nulls are 0.
 
-    A row stays whole: it meets the distributions one by one, and is not cut into a row per feature. Nulls are 0.
+    A row stays whole: it meets the distributions one by one, and is not cut into a row per feature.
     """
-    cdf = _cdf(long_form(df, key, *features))
-    rows = df.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features)).withColumn("_raw", F.lit(0.0))
+    cdf = _cdf(long_form(of, kept[0], *features))
+    rows = df.select(*kept, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features)).withColumn("_raw", F.lit(0.0))
     left = list(features)
     for feature in features:
         left.remove(feature)
         met = _spread_join(rows, feature, cdf.filter(F.col("feature") == feature).drop("feature"))
-        rows = met.select(key, *left, (F.col("_raw") - F.ln(F.least(F.col("_f"), 1 - F.col("_f")) + EPS)).alias("_raw"))
-    return rows.groupBy(key).agg(F.sum("_raw").alias("raw"))
+        rows = met.select(*kept, *left, (F.col("_raw") - F.ln(F.least(F.col("_f"), 1 - F.col("_f")) + EPS)).alias("_raw"))
+    return rows
+
+
+def tail_table(df: DataFrame, key: str, *features: str) -> DataFrame:
+    """key and raw, the tails of each feature's empirical distribution at the row's value, summed over the rows of a key."""
+    return tail_rows(df, df, list(features), [key]).groupBy(key).agg(F.sum("_raw").alias("raw"))
+
+
+def row_scores(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of :func:`tail_rows` with the score in [0, 1] of their key, as :func:`tail_scores` gives it, in place of _raw.
+
+    Only the extremes of keys are found first; rows are dealt by key once, and lie by it afterwards. ``rows`` are read twice.
+    """
+    raw = rows.groupBy(key).agg(F.sum("_raw").alias("raw"))
+    limits = store(raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")), "tail-limits")
+    summed = rows.withColumn("raw", F.sum("_raw").over(Window.partitionBy(key))).drop("_raw")
+    return summed.crossJoin(F.broadcast(limits)).withColumn("score", _placed()).drop("raw", "lo", "hi")
+
+
+def _placed() -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS)))
 
 
 def tail_scores(df: DataFrame, key: str, *features: str, contamination: float = 0.05) -> DataFrame:
@@ -84,7 +104,7 @@ def ecod(long: DataFrame, key: str, contamination: float = 0.05) -> DataFrame:
 
 def _flagged(raw: DataFrame, key: str, contamination: float) -> DataFrame:
     limits = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).crossJoin(whole_quantile(raw, "raw", 1 - contamination, "cut"))
-    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS))).alias("score"), (C.rounded("raw", 8) >= C.rounded("cut", 8)).cast("int").alias("flag"))
+    return raw.crossJoin(F.broadcast(limits)).select(key, "raw", _placed().alias("score"), (C.rounded("raw", 8) >= C.rounded("cut", 8)).cast("int").alias("flag"))
 
 
 def ecod_out_of_sample(fitted: DataFrame, scored: DataFrame, key: str) -> DataFrame:

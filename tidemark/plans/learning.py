@@ -9,7 +9,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import gold, models, network, scoring, silver
 from tidemark.operators import training as training_set
 from tidemark.plans.registry import register
-from tidemark.plans.relational import bronze_table, country, nodes, ships, sups
+from tidemark.plans.relational import country, nodes, ships, sups
 from tidemark.plans.sqltext import with_feeds
 from tidemark.plans.statistics import FEATURES
 from tidemark.sources.adapters import Feeds
@@ -101,17 +101,18 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
 
 @register("iforest")
 def iforest(spark: SparkSession, d: str) -> DataFrame:
+    """A line's score of the forest goes with it through its tails, so the two aren't joined."""
     lines = Feeds(spark, d).lines()
-    tails = scoring.tail_scores(lines, "po_id", *FEATURES).select("po_id", "score")
-    return scoring.ensemble(models.isolation_forest(lines, "po_id", list(FEATURES)).join(tails, "po_id"), "iso_score", "score", 0.6)
+    forest = models.isolation_forest(lines, "po_id", list(FEATURES), carried=list(FEATURES))
+    rows = store(scoring.tail_rows(forest, lines, list(FEATURES), ["po_id", "iso_score"]), "forest-tails")
+    return scoring.ensemble(scoring.row_scores(rows, "po_id"), "iso_score", "score", 0.6)
 
 
 @register("ensemble_eval")
 def ensemble_eval(spark: SparkSession, d: str) -> DataFrame:
-    """The ensemble of forest and tails against the disruption labels of shipments."""
-    f = Feeds(spark, d)
-    labels = silver.labelled(bronze_table(f)).select(F.col("purchase_order_id").alias("po_id"), "label")
-    return scoring.detector_report(store(iforest(spark, d), "ensemble").join(labels, "po_id"), "label", "ensemble", 0.6)
+    """The ensemble of forest and tails against the disruption labels of shipments, of which nothing else is stored."""
+    labels = store(silver.labelled(ships(Feeds(spark, d))).select(F.col("purchase_order_id").alias("po_id"), "label"), "labels")
+    return scoring.detector_report(iforest(spark, d).join(labels, "po_id"), "label", "ensemble", 0.6)
 
 
 @register("contagion_lr")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.layers import WindowLayer
+from tidemark.sources.tables import write_partitions
 
 SCHEMA = "supplier_id string, event_date date, purchase_order_id string, on_time int"
 D0 = dt.date(2001, 1, 1)
@@ -130,3 +131,28 @@ def test_a_key_costs_as_much_as_it_has_days(case):
     plan = layer.reach(frame(rows).selectExpr("supplier_id as key", "unix_date(event_date) as day", "'x' as part"))._jdf.queryExecution().toString()
     assert "UnboundedPreceding" in plan or "unboundedpreceding" in plan
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_windows_are_computed_slice_by_slice(spark, case, tmp_path):
+    """The same windows, of a few rows at once, and no shuffle files are left of what was written."""
+    _, frame, rows = case
+    sliced, whole = (WindowLayer(spark, str(tmp_path / f"by-{n}"), frame(rows).schema, "supplier_id", "event_date", seen, HALO, slice_rows=n) for n in (50, 10_000))
+    calls = []
+    sliced.compute = lambda df: calls.append(df.count()) or seen(df)
+    late = [r for r in rows if r[1] and r[1].month in (3, 4, 9)]
+    for layer in (sliced, whole):
+        layer.land(frame([r for r in rows if r not in late[::5]]))
+        layer.update(0)
+        layer.land(frame(late))
+        layer.update(1)
+        assert plain(layer.windows()) == plain(seen(frame(rows)))
+    kept = len([r for r in rows if r not in late[::5]])
+    assert len(calls) == -(-kept // 50) + 1 and sum(calls[:-1]) == kept
+    assert sorted(map(tuple, sliced.windows().select("purchase_order_id", "written").collect())) == sorted(map(tuple, whole.windows().select("purchase_order_id", "written").collect()))
+
+
+def test_shuffles_of_written_partitions_are_freed(spark, tmp_path):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    write_partitions(spark.range(1000).withColumn("part", F.col("id") % 3).hint("rebalance", "part"), str(tmp_path / "t"), "part")
+    assert files() <= before and spark.read.parquet(str(tmp_path / "t")).count() == 1000

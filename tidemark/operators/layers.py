@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.operators.blocks import day_number
-from tidemark.sources.stored import exists, store
-from tidemark.sources.tables import append_rows, write_partitions
+from tidemark.sources.stored import discard, exists, rename, store
+from tidemark.sources.tables import append_partitions, append_rows, write_partitions
+
+#: Rows whose windows are shuffled at once.
+SLICE_ROWS = 1 << 25
 
 
 class WindowLayer:
@@ -25,10 +28,13 @@ class WindowLayer:
 
     Every step may be repeated after a failure: changes are noted before anything is rewritten, and crossed off after
     the windows are written. Rows without a key are left out. Columns must be comparable (no maps).
+    Windows are computed for some keys and written for some partitions after the others, about ``slice_rows`` rows at once, so
+    the shuffles of one step are all that the disk holds beside the tables.
     """
 
-    def __init__(self, spark: SparkSession, path: str, rows: T.StructType, key: str, day: str, compute: Callable[[DataFrame], DataFrame], halo: int, partition: str = "yyyy-MM"):
+    def __init__(self, spark: SparkSession, path: str, rows: T.StructType, key: str, day: str, compute: Callable[[DataFrame], DataFrame], halo: int, partition: str = "yyyy-MM", slice_rows: int | None = None):
         self.spark, self.path, self.key, self.day, self.compute, self.halo, self.partition = spark, path, key, day, compute, halo, partition
+        self.slice_rows = slice_rows or SLICE_ROWS
         self.columns, self.rows = rows.names, T.StructType([*rows.fields, T.StructField("part", T.StringType())])
         self.kind = rows[key].dataType.simpleString()
         self.days = f"key {self.kind}, day int, n long, part string"
@@ -50,6 +56,17 @@ class WindowLayer:
         """Writes partitions, each in files of about the advisory size: small ones in one file, large ones in several tasks."""
         write_partitions(df.hint("rebalance", "part"), f"{self.path}/{name}", "part")
 
+    def _groups(self, parts: list[str]) -> list[list[str]]:
+        """Partitions of about ``slice_rows`` rows in all, or a single larger one, at a time."""
+        counts = {r.part: r.n for r in self._read("days", self.days, parts).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+        groups, size = [[]], 0
+        for part in parts:
+            size += counts.get(part, 0)
+            if groups[-1] and size > self.slice_rows:
+                groups, size = [*groups, []], counts.get(part, 0)
+            groups[-1].append(part)
+        return groups
+
     def land(self, rows: DataFrame, stored: bool = False) -> list[str]:
         """Replaces the partitions that ``rows`` has rows of; the partitions in which this changes something.
 
@@ -110,7 +127,12 @@ class WindowLayer:
             rows = self._read("rows", self.rows)
             parts = self._parts(rows)
             if parts:
-                self._rewrite(self.compute(rows).withColumn("written", F.lit(run)), "windows")
+                n = self._read("days", self.days).agg(F.sum("n")).first()[0]
+                slices, name = -(-n // self.slice_rows), f"windows-{uuid.uuid4().hex}"
+                for i in range(slices):  # a folder of its own until all are there
+                    own = rows.filter(F.pmod(F.xxhash64(self.key), F.lit(slices)) == i) if slices > 1 else rows
+                    append_partitions(self.compute(own).withColumn("written", F.lit(run)).hint("rebalance", "part"), f"{self.path}/{name}", "part")
+                rename(self.spark, f"{self.path}/{name}", f"{self.path}/windows")
             append_rows(runs, f"{self.path}/done")
             return parts
         noted = store(noted, "noted")
@@ -124,7 +146,11 @@ class WindowLayer:
             rows = store(self._read("rows", self.rows, self._parts(reach)).join(marked, at).drop("_k", "_d"), "needed-rows")
             fresh = self.compute(rows).filter("_touched").drop("_touched").withColumn("written", F.lit(run))
             kept = self._read("windows", fresh.schema, parts).join(touched, at, "left_anti").select(*fresh.columns)
-            self._rewrite(store(fresh.unionByName(kept), "windows"), "windows")
+            both = store(fresh.unionByName(kept), "windows")
+            for group in self._groups(parts):
+                self._rewrite(both.filter(F.col("part").isin(group)), "windows")
+            for table in (both, rows):
+                discard(table)
         append_rows(noted.select("run").distinct(), f"{self.path}/done")
         return parts
 
